@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from chronofold.llm.chat_format import OP8_SQL, op8_chat_format
+from chronofold.llm.decontaminate import op4_decontamination
+from chronofold.llm.language_id import op6_language_id
+from chronofold.llm.license_scan import op7_license_scan
+from chronofold.llm.near_dedup import op1_near_duplicates
 from chronofold.llm.packing import op3_pattern_packing
 from chronofold.llm.record_files import op9_token_records
 from chronofold.llm.token_counts import op2_token_counts
 
 QUERIES = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_token_counts": op2_token_counts,
     "op3_pattern_packing": op3_pattern_packing,
+    "op4_decontamination": op4_decontamination,
+    "op6_language_id": op6_language_id,
+    "op7_license_scan": op7_license_scan,
+    "op8_chat_format": op8_chat_format,
     "op9_token_records": op9_token_records,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_chat_format": OP8_SQL}
