@@ -9,17 +9,28 @@ from chronofold.llm.license_scan import op7_license_scan
 from chronofold.llm.near_dedup import op1_near_duplicates
 from chronofold.llm.packing import op3_pattern_packing
 from chronofold.llm.record_files import op9_token_records
+from chronofold.llm.suffix_dedup import op5_suffix_repeats
 from chronofold.llm.token_counts import op2_token_counts
 
+
+
+def pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_token_counts": op2_token_counts,
     "op3_pattern_packing": op3_pattern_packing,
     "op4_decontamination": op4_decontamination,
+    "op5_suffix_repeats": op5_suffix_repeats,
     "op6_language_id": op6_language_id,
     "op7_license_scan": op7_license_scan,
     "op8_chat_format": op8_chat_format,
     "op9_token_records": op9_token_records,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_chat_format": OP8_SQL}
