@@ -4,7 +4,7 @@ Each window of an item has a rarest word, its pivot. The index stores the
 postings (document, position) of the pivots over the whole corpus; a posting,
 moved back by the pivot's place in the item, is where the item would stand.
 There the neighbouring words are intersected with the item's, outwards from
-the pivot. Runs of a window's length are exact phrase matches; the share of
+the pivot; the index keeps them beside each posting. Runs of a window's length are exact phrase matches; the share of
 equal words around the pivot gives proximity matches.
 """
 
@@ -79,30 +79,39 @@ def matches(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text:
     frequency = words.select(F.explode("words").alias("term")).join(small(places.select("term").distinct()), "term").groupBy("term").agg(F.count("*").alias("f"))
     chosen = stored(pivots(places, frequency, window))
     discard(places)
-    #: No word is empty. An empty term before the words keeps a row of each document.
-    counted = docs.sparkSession.range(1).select(F.lit("").alias("term"))
-    postings = words.select("doc_id", "words", F.posexplode(F.concat(F.array(F.lit("")), "words")).alias("at", "term"))
-    found = postings.join(small(chosen.unionByName(counted, allowMissingColumns=True)), "term").withColumn("at", F.col("at") - 1)
-    start = F.greatest(F.col("at") - (window - 1), F.lit(0))
-    their_before = F.reverse(F.slice("words", start + 1, F.greatest(F.col("at"), F.lit(0)) - start))
-    aligned = found.select(
-        "doc_id", "item_id", "n", "at", "term", F.size("words").alias("n_words"), F.reverse("before").alias("before"), "after", their_before.alias("their_before"), F.slice("words", F.col("at") + 2, F.lit(window - 1)).alias("their_after")
+    # No word is empty: an empty term before the words keeps a row of each
+    # document. The index holds a posting's neighbours and never all words, so
+    # that a long text's postings don't carry the text each.
+    wanted = chosen.select("term").distinct().unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term")))
+    postings = words.select("doc_id", "words", F.posexplode(F.concat(F.array(F.lit("")), "words")).alias("place", "term")).join(small(wanted), "term")
+    at = F.col("place") - 1
+    start = F.greatest(at - (window - 1), F.lit(0))
+    index = stored(
+        postings.select(
+            "doc_id",
+            "term",
+            at.alias("at"),
+            F.size("words").cast("long").alias("n_words"),
+            F.slice("words", start + 1, F.greatest(at, F.lit(0)) - start).alias("their_before"),
+            F.slice("words", at + 2, F.when(at < 0, 0).otherwise(window - 1)).alias("their_after"),
+        )
     )
+    aligned = index.join(small(chosen), "term").select("doc_id", "item_id", "n", "at", "n_words", F.reverse("before").alias("before"), "after", F.reverse("their_before").alias("their_before"), "their_after")
     met = aligned.select(
         "doc_id",
         "item_id",
         "n",
         "at",
         "n_words",
-        (F.col("term") == "").alias("mark"),
         (1 + F.size("before") + F.size("after")).alias("around"),
         _run(F.col("before"), F.col("their_before")).alias("l"),
         _run(F.col("after"), F.col("their_after")).alias("r"),
         (1 + _equal(F.col("before"), F.col("their_before")) + _equal(F.col("after"), F.col("their_after"))).alias("equal"),
     )
     exact = F.col("l") + F.col("r") + 1 >= F.least(F.col("n"), F.lit(window))
-    kept = met.withColumn("exact", F.when(~F.col("mark"), exact)).where(F.col("mark") | F.col("exact") | (F.col("equal") >= near * F.col("around")))
-    return kept.select("doc_id", F.col("n_words").cast("long").alias("n_words"), "item_id", (F.col("at") - F.col("l")).alias("first"), (F.col("at") + F.col("r")).alias("last"), "exact")
+    kept = met.withColumn("exact", exact).where(F.col("exact") | (F.col("equal") >= near * F.col("around")))
+    hits = kept.select("doc_id", "n_words", "item_id", (F.col("at") - F.col("l")).alias("first"), (F.col("at") + F.col("r")).alias("last"), "exact")
+    return hits.unionByName(index.where("term = ''").select("doc_id", "n_words"), allowMissingColumns=True)
 
 
 def contamination(found: DataFrame) -> DataFrame:
