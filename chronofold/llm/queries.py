@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from chronofold.llm.audio_fingerprint import op10_audio_alignment
 from chronofold.llm.chat_format import OP8_SQL, op8_chat_format
 from chronofold.llm.decontaminate import op4_decontamination
 from chronofold.llm.language_id import op6_language_id
@@ -30,6 +31,7 @@ QUERIES = {
     "op7_license_scan": op7_license_scan,
     "op8_chat_format": op8_chat_format,
     "op9_token_records": op9_token_records,
+    "op10_audio_alignment": op10_audio_alignment,
     "pipeline": pipeline,
 }
 
