@@ -11,10 +11,10 @@ the overlap that the threshold asks for have a value in common within their
 prefixes. Candidates pass an estimate of the Jaccard similarity from the
 sketch of the union; those that pass are verified on the full sets.
 
-A list isn't expanded into its pairs. First its members are linked to one of
-them, the hub, and the links that hold make components. Pairs within a
-component need no further look. The members of lists that still hold several
-components are then compared by all of their shingles, which are the sketches
+A long list isn't expanded into its pairs. First its members are linked to one of
+them, the hub, and the links that hold make components; short lists yield all
+their pairs. Pairs within a component need no further look. The members of long
+lists that still hold several components are then compared by all of their shingles, which are the sketches
 of largest k: the prefix and the place of the first common value bound the
 overlap of a pair from above, so that few pairs remain to be verified.
 """
@@ -35,16 +35,20 @@ from chronofold.llm.common import discard, stored
 K = 64
 #: Per cent by which an estimate may fall short of the similarity: six standard deviations for k = 64 at 80 per cent.
 SLACK = 30
+#: Lists up to this length yield all their pairs, a bounded number for each member.
+SHORT = 16
+#: Rows of three longs or fewer that are broadcast, counted; more are joined by a shuffle.
+BROADCAST_ROWS = 400_000
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
-    """The distinct hashes of all runs of ``width`` words, ascending; fewer words are one run, none give none.
+    """The distinct hashes, from 0 below 2**63, of all runs of ``width`` words, ascending; fewer words are one run, none give none.
 
     A-Z are lower-cased and words end at ASCII white space.
     """
     words = (text or "").encode().lower().split()
     if not words:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64)
     h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
     n = max(1, len(h) - width + 1)
     out = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
@@ -52,7 +56,7 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
         out = (out ^ h[k : k + n]) * np.uint64(0xFF51AFD7ED558CCD)
         out ^= out >> np.uint64(32)
         out = out * np.uint64(0xC4CEB9FE1A85EC53) + np.uint64(k)
-    return np.unique(out ^ out >> np.uint64(29))
+    return np.unique((out ^ out >> np.uint64(29)) >> np.uint64(1)).view(np.int64)
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str, width: int, k: int = K) -> DataFrame:
@@ -65,7 +69,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, width: int, k: int = K) ->
                 sets = [shingle_hashes(t.as_py(), width) for t in part.column(1)]
                 digests = b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets)
                 halves = np.frombuffer(digests, "<i8").reshape(-1, 2)
-                kept = [s[:k].view(np.int64) for s in sets]
+                kept = [s[:k] for s in sets]
                 offsets = np.cumsum([0, *map(len, kept)]).astype(np.int32)
                 values = np.concatenate(kept) if kept else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -77,17 +81,26 @@ def sketches(docs: DataFrame, doc_id: str, text: str, width: int, k: int = K) ->
     return rows.mapInArrow(sketch, "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>")
 
 
-def sets_of(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """doc_id and the full set of shingle hashes as an array of longs."""
+def sets_of(docs: DataFrame, doc_id: str, text: str, width: int, wanted: DataFrame) -> DataFrame:
+    """doc_id and the full set of shingle hashes of the (doc_id, d1, d2) in ``wanted``, for the rows whose set has that digest."""
 
     @F.arrow_udf("array<long>")
-    def full(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            sets = [shingle_hashes(t.as_py(), width).view(np.int64) for t in batch]
+    def full(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, d1, d2 in batches:
+            sets = []
+            for body, x, y in zip(texts, d1.to_pylist(), d2.to_pylist(), strict=True):
+                s = shingle_hashes(body.as_py(), width)
+                sets.append(s if np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8").tolist() == [x, y] else s[:0])
             offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), full(F.col(text).cast("string")).alias("full"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.join(bounded(wanted), "doc_id").select("doc_id", full("text", "d1", "d2").alias("full")).where(F.size("full") > 0)
+
+
+def bounded(rows: DataFrame) -> DataFrame:
+    """``rows``, a stored table of few columns, to be broadcast if they are few enough; otherwise joins shuffle."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def similar(shared, n_a, n_b, percent: int):
@@ -96,52 +109,71 @@ def similar(shared, n_a, n_b, percent: int):
 
 
 def sketch_lists(reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """(v, doc_id): the inverted lists of the rarest values of each sketch, those with two members or more.
+    """(v, f, doc_id, n): the inverted lists of the rarest values of each sketch that have f > 1 members.
 
     Sets of fewer than percent * k / 100 shingles are shared whole with those
     that can be similar, and the overlap that the threshold asks for is exact.
     """
-    held = F.least(F.col("n_shingles"), F.lit(k))
-    expected = -(-k * (percent - SLACK) // 100)
-    overlap = F.when(F.col("n_shingles") * 100 < percent * k, F.ceil(F.col("n_shingles") * percent / 100)).otherwise(expected)
-    values = reps.select("doc_id", held.alias("held"), overlap.cast("int").alias("overlap"), F.explode("sketch").alias("v"))
+    values = reps.select("doc_id", F.col("n_shingles").cast("int").alias("n"), F.explode("sketch").alias("v"))
     frequency = values.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
     by_doc = W.partitionBy("doc_id")
-    shared = values.join(frequency, "v").withColumn("alone", F.col("held") - F.count("*").over(by_doc)).withColumn("r", F.row_number().over(by_doc.orderBy("f", "v")))
-    prefix = stored(shared.where(F.col("alone") + F.col("r") <= F.col("held") - F.col("overlap") + 1).select("v", "doc_id"))
-    lists = prefix.groupBy("v").agg(F.count("*").alias("f")).where("f > 1").select("v")
-    return prefix.join(lists, "v")
+    held = F.least(F.col("n"), F.lit(k))
+    expected = -(-k * (percent - SLACK) // 100)
+    overlap = F.when(F.col("n") * 100 < percent * k, F.ceil(F.col("n") * percent / 100)).otherwise(expected)
+    shared = values.join(frequency, "v").withColumn("alone", held - F.count("*").over(by_doc)).withColumn("r", F.row_number().over(by_doc.orderBy("f", "v")))
+    prefix = stored(shared.where(F.col("alone") + F.col("r") <= held - overlap + 1).select("v", "doc_id", "n"))
+    lists = prefix.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
+    return prefix.join(lists, "v").select("v", "f", "doc_id", "n")
+
+
+def list_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) of sizes that allow the similarity: all pairs of short lists, those with the smallest id of long ones."""
+    a = lists.where(f"f <= {SHORT}").select("v", F.col("doc_id").alias("a"), F.col("n").alias("n_a"))
+    long = lists.where(f"f > {SHORT}")
+    hubs = long.groupBy("v").agg(F.min("doc_id").alias("doc_id"))
+    hub = long.join(hubs, ["v", "doc_id"]).select("v", F.col("doc_id").alias("a"), F.col("n").alias("n_a"))
+    b = lists.select("v", F.col("doc_id").alias("b"), F.col("n").alias("n_b"))
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return a.unionByName(hub).join(b, "v").where((F.col("a") < F.col("b")) & sizes).select("a", "b").distinct()
 
 
 def estimated(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes allow the similarity and whose union's sketch estimates it, less a margin."""
-    mine = reps.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("x"))
-    other = reps.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("y"))
-    both = pairs.join(other, "b").join(mine, "a").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    """The pairs (a, b) for which the sketch of the union estimates the similarity, less a margin.
+
+    The upper halves of the values do for an estimate: chance equality, which
+    is rare, can only raise it.
+    """
+    short = reps.select("doc_id", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("s"))
+    both = pairs.join(short.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b").join(short.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a")
     union = F.slice(F.array_sort(F.array_union("x", "y")), 1, k)
     share = F.size(F.array_intersect(union, F.array_intersect("x", "y"))) / F.size(union)
     return both.where(100 * share >= percent - SLACK).select("a", "b")
 
 
 def verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar."""
-    mine = full.select(F.col("doc_id").alias("a"), F.col("full").alias("x"))
+    """The pairs (a, b), a stored table, whose full sets are similar."""
+    first = stored(pairs.select(F.col("a").alias("doc_id")).distinct())
+    mine = full.join(bounded(first), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("full").alias("x"))
     other = full.select(F.col("doc_id").alias("b"), F.col("full").alias("y"))
     both = pairs.join(other, "b").join(mine, "a")
-    return both.where(similar(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"), percent)).select("a", "b")
+    return both.where(similar(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"), percent)).select("a", "b").distinct()
 
 
-def open_pairs(lists: DataFrame, label: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that may be similar, among the members of lists with several components.
+def open_members(lists: DataFrame, label: DataFrame) -> DataFrame:
+    """(doc_id, label) of the members of long lists with several components."""
+    labelled = lists.where(f"f > {SHORT}").join(label, "doc_id", "left").select("v", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    several = labelled.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("v")
+    return labelled.join(several, "v", "left_semi").select("doc_id", "label").distinct()
+
+
+def open_pairs(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of (doc_id, label) members with different labels that may be similar.
 
     All shingles of these documents are ranked from the rarest among them to
     the most frequent. Similar sets have their first common shingle within
     their prefixes, and what follows it bounds their overlap. For each shingle
     the component with most members isn't paired with itself.
     """
-    labelled = lists.join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    several = labelled.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("v")
-    members = labelled.join(several, "v", "left_semi").select("doc_id", "label").distinct()
     entries = full.join(members, "doc_id").select("doc_id", "label", F.size("full").alias("n"), F.explode("full").alias("h"))
     frequency = entries.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
     by_doc = W.partitionBy("doc_id")
@@ -195,20 +227,24 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     group of their own text, and groups with the same smallest id are one.
     Other columns are ignored. An empty table gives no rows.
     """
-    seen = stored(sketches(docs, doc_id, text, width, k))
+    sketched = stored(sketches(docs, doc_id, text, width, k))
+    seen = stored(sketched.drop("sketch"))
     classes = stored(seen.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
-    reps = stored(seen.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "d1", "d2"], "left_semi").select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"]))
+    reps = stored(sketched.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"]))
+    discard(sketched)
     lists = stored(sketch_lists(reps, k, percent))
-    full = stored(sets_of(docs.join(lists.select(F.col("doc_id").alias(doc_id)).distinct(), doc_id, "left_semi"), doc_id, text, width).dropDuplicates(["doc_id"]))
-    hubs = lists.groupBy("v").agg(F.min("doc_id").alias("a"))
-    to_hub = lists.withColumnRenamed("doc_id", "b").join(hubs, "v").where("a <> b").select("a", "b").distinct()
-    links = stored(verified(estimated(to_hub, reps, k, percent), full, percent))
-    first = stored(components(links))
-    rest = stored(verified(open_pairs(lists, first.select(F.col("node").alias("doc_id"), F.col("component").alias("label")), full, percent), full, percent))
+    digests = lambda ids: stored(reps.select("doc_id", "d1", "d2").join(ids, "doc_id", "left_semi"))
+    near = stored(estimated(list_pairs(lists, percent), reps, k, percent))
+    full = stored(sets_of(docs, doc_id, text, width, digests(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())))
+    first = stored(components(verified(near, full, percent)))
     discard(full)
+    members = stored(open_members(lists, first.select(F.col("node").alias("doc_id"), F.col("component").alias("label"))))
     discard(lists)
-    merged = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest)
-    group = stored(components(merged))
+    full = stored(sets_of(docs, doc_id, text, width, digests(members.select("doc_id"))))
+    rest = verified(stored(open_pairs(members, full, percent)), full, percent)
+    group = stored(components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest)))
+    discard(full)
+    discard(reps)
     found = seen.join(classes, ["d1", "d2"], "left").join(group.withColumnRenamed("node", "rep"), "rep", "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))
     out = found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
