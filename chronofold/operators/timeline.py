@@ -71,7 +71,7 @@ def merge(a: Event, b: Event) -> None:
     """b into a: the longer time, the better geometry."""
     if b.quality > a.quality:
         a.lat, a.lon, a.radius = b.lat, b.lon, b.radius
-    a.end, a.start = max(a.end, b.end), min(a.start, b.start)
+    a.end = max(a.end, b.end)
     a.quality, a.manual, a.revision = max(a.quality, b.quality), a.manual or b.manual, max(a.revision, b.revision)
 
 
