@@ -7,9 +7,15 @@ tasks it ran and not the stages before the written table.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,21 +46,38 @@ def shared_dir(spark: SparkSession) -> str:
 _own: dict[str, str] = {}
 
 
+#: Rows of a file that :func:`stored` writes.
+FILE_ROWS = 250_000
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df``, computed once and held on the executors' disks; what a lost one held is computed again."""
+    out = df.persist(StorageLevel.DISK_ONLY)
+    out._chronofold_rows = out.count()
+    return out
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a table written to the shared folder and read again."""
+    """``df`` as a table written to the shared folder and read again, in files of FILE_ROWS rows or more."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    held = kept(df)
+    held.coalesce(max(1, held._chronofold_rows // FILE_ROWS)).write.option("compression", "zstd").parquet(path)
+    held.unpersist()
     out = spark.read.schema(df.schema).parquet(path)
     out._chronofold_path = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete what :func:`stored` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._chronofold_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Drop what :func:`stored` wrote or :func:`kept` holds, once nothing reads it any more."""
+    for df in tables:
+        if hasattr(df, "_chronofold_path"):
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(df._chronofold_path)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        else:
+            df.unpersist()
 
 
 def ascii_lower(text):
@@ -73,3 +96,23 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def lean(run: Callable) -> Callable:
+    """An Arrow function that gives freed memory back to the system when its task ends.
+
+    Spark keeps Python workers for later tasks. What the allocators of idle
+    workers hold counts against the executor, while it may run something else.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped

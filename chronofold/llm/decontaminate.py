@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import alnum_words, discard, stored
+from chronofold.llm.common import alnum_words, discard, kept, stored
 
 #: Item windows are broadcast up to this size, measured; beyond it they are joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
@@ -73,12 +73,11 @@ def matches(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text:
     tables give the rows of the other side, if any, without matches.
     """
     words = docs.select(F.col(doc_id).alias("doc_id"), alnum_words(F.col(text).cast("string")).alias("words"))
-    places = stored(item_places(items, item_id, item_text, window))
+    places = kept(item_places(items, item_id, item_text, window))
     size = places.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
     small = F.broadcast if size <= BROADCAST_BYTES else (lambda df: df)
     frequency = words.select(F.explode("words").alias("term")).join(small(places.select("term").distinct()), "term").groupBy("term").agg(F.count("*").alias("f"))
-    chosen = stored(pivots(places, frequency, window))
-    discard(places)
+    chosen = kept(pivots(places, frequency, window))
     # No word is empty: an empty term before the words keeps a row of each
     # document. The index holds a posting's neighbours and never all words, so
     # that a long text's postings don't carry the text each.
@@ -96,6 +95,7 @@ def matches(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text:
             F.slice("words", at + 2, F.when(at < 0, 0).otherwise(window - 1)).alias("their_after"),
         )
     )
+    discard(places)
     aligned = index.join(small(chosen), "term").select("doc_id", "item_id", "n", "at", "n_words", F.reverse("before").alias("before"), "after", F.reverse("their_before").alias("their_before"), "their_after")
     met = aligned.select(
         "doc_id",
@@ -109,8 +109,8 @@ def matches(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text:
         (1 + _equal(F.col("before"), F.col("their_before")) + _equal(F.col("after"), F.col("their_after"))).alias("equal"),
     )
     exact = F.col("l") + F.col("r") + 1 >= F.least(F.col("n"), F.lit(window))
-    kept = met.withColumn("exact", exact).where(F.col("exact") | (F.col("equal") >= near * F.col("around")))
-    hits = kept.select("doc_id", "n_words", "item_id", (F.col("at") - F.col("l")).alias("first"), (F.col("at") + F.col("r")).alias("last"), "exact")
+    matched = met.withColumn("exact", exact).where(F.col("exact") | (F.col("equal") >= near * F.col("around")))
+    hits = matched.select("doc_id", "n_words", "item_id", (F.col("at") - F.col("l")).alias("first"), (F.col("at") + F.col("r")).alias("last"), "exact")
     return hits.unionByName(index.where("term = ''").select("doc_id", "n_words"), allowMissingColumns=True)
 
 

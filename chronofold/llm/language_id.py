@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronofold.llm.common import lean
+
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 _BITS = 21  # of a code point
@@ -87,6 +89,7 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "
     chosen = sample_of_each(labelled.select(lang, key), lang, key, per_lang, langs).select(F.col(key)).distinct()
     texts = labelled.join(F.broadcast(chosen), key, "left_semi").select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
@@ -121,6 +124,7 @@ def identify(docs: DataFrame, profiles: Profiles, *, text: str = "text", lang_in
     """
 
     @F.arrow_udf(f"{lang_into} string, {score_into} double")
+    @lean
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             found = [profiles.predict(t.as_py()) for t in batch]

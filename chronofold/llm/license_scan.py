@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronofold.llm.common import lean
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -201,6 +203,7 @@ def scan(docs: DataFrame, *, text: str = "text", n_into: str = "n_words", into:
     """
 
     @F.arrow_udf("n long, found array<struct<label:string,first:long,last:long,priority:int,base:boolean>>")
+    @lean
     def look(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             counts, found = [], []

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import discard, stored
+from chronofold.llm.common import discard, lean, stored
 
 K = 64
 #: Per cent by which an estimate may fall short of the similarity: six standard deviations for k = 64 at 80 per cent.
@@ -62,6 +62,7 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
 def sketches(docs: DataFrame, doc_id: str, text: str, width: int, k: int = K) -> DataFrame:
     """doc_id, n_shingles, two halves of a digest of the set, and the k smallest hashes in ascending order."""
 
+    @lean
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 1000):
@@ -85,6 +86,7 @@ def sets_of(docs: DataFrame, doc_id: str, text: str, width: int, wanted: DataFra
     """doc_id and the full set of shingle hashes of the (doc_id, d1, d2) in ``wanted``, for the rows whose set has that digest."""
 
     @F.arrow_udf("array<long>")
+    @lean
     def full(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, d1, d2 in batches:
             sets = []
@@ -208,7 +210,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         star = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))
-        after = stored(large.join(down, "a").select(F.explode(star).alias("e")).select("e.a", "e.b").where("a <> b").distinct())
+        after = large.join(down, "a").select(F.explode(star).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        after = stored(after)
         discard(now)
         now = after
 
@@ -228,24 +231,22 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     Other columns are ignored. An empty table gives no rows.
     """
     sketched = stored(sketches(docs, doc_id, text, width, k))
-    seen = stored(sketched.drop("sketch"))
-    classes = stored(seen.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
-    reps = stored(sketched.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"]))
-    discard(sketched)
+    classes = sketched.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    seen = stored(sketched.drop("sketch").join(classes, ["d1", "d2"], "left").select("doc_id", "n_shingles", "d1", "d2", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep")))
+    owners = seen.where("doc_id = rep").select("doc_id", "d1", "d2").distinct()
+    reps = stored(sketched.join(owners, ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"]))
     lists = stored(sketch_lists(reps, k, percent))
-    digests = lambda ids: stored(reps.select("doc_id", "d1", "d2").join(ids, "doc_id", "left_semi"))
+    digests = lambda ids: stored(owners.join(ids, "doc_id", "left_semi"))
     near = stored(estimated(list_pairs(lists, percent), reps, k, percent))
     full = stored(sets_of(docs, doc_id, text, width, digests(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())))
     first = stored(components(verified(near, full, percent)))
-    discard(full)
+    discard(sketched, reps, near, full)
     members = stored(open_members(lists, first.select(F.col("node").alias("doc_id"), F.col("component").alias("label"))))
-    discard(lists)
     full = stored(sets_of(docs, doc_id, text, width, digests(members.select("doc_id"))))
     rest = verified(stored(open_pairs(members, full, percent)), full, percent)
     group = stored(components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest)))
-    discard(full)
-    discard(reps)
-    found = seen.join(classes, ["d1", "d2"], "left").join(group.withColumnRenamed("node", "rep"), "rep", "left")
+    discard(lists, members, full, first)
+    found = seen.join(group.withColumnRenamed("node", "rep"), "rep", "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))
     out = found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronofold.llm import tokens
-from chronofold.llm.common import stored
+from chronofold.llm.common import kept, lean, stored
 
 
 def patterns(lengths: np.ndarray, size: int) -> np.ndarray:
@@ -119,6 +119,7 @@ def pieces(docs: DataFrame, *, text: str, doc_id: str, path: str, size: int, end
     """Each document's pieces, with a rank among the pieces of its length within the task that made it."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, k long"
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, seen = tokens.encoder(path), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         tail = np.array([end_id], "<u4")
@@ -154,7 +155,7 @@ def pack(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", path: s
     and the table of places that goes back is bounded by the patterns.
     """
     cut = stored(pieces(docs, text=text, doc_id=doc_id, path=path or tokens.default_path(), size=size, end_id=end_id))
-    by_task = stored(cut.groupBy("length", "part").agg(F.count("*").alias("n")))
+    by_task = kept(cut.groupBy("length", "part").agg(F.count("*").alias("n")))
     counts = np.zeros(size + 1, np.int64)
     for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect():
         counts[r.length] = r.n
@@ -163,6 +164,7 @@ def pack(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", path: s
     keys = where["length"] * step + where["rank"]
     base = by_task.withColumn("base", F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
 
+    @lean
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))

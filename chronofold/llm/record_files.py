@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.llm import tokens
-from chronofold.llm.common import shared_dir
+from chronofold.llm.common import lean, shared_dir
 
 MASK = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
@@ -104,6 +104,7 @@ def write_token_records(docs: DataFrame, out: str, *, text: str = "text", doc_id
     where.create_dir(folder, recursive=True)
     dealt = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
 
+    @lean
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, encode = TaskContext.get(), tokens.encoder(path)
         where, folder = fs.FileSystem.from_uri(out)
@@ -142,6 +143,7 @@ def scan_token_records(spark, shards: list[tuple[int, str, int, int]]) -> DataFr
     schema = "path string, base long"
     listed = spark.createDataFrame(spark.sparkContext.parallelize(starts, len(starts)), schema) if starts else spark.createDataFrame([], schema)
 
+    @lean
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import discard, free_name, stored
+from chronofold.llm.common import discard, free_name, lean, stored
 
 MIN_WORDS = 50
 RUN = 8
@@ -89,6 +89,7 @@ def suffixes(docs: DataFrame, least: int) -> DataFrame:
     """(h, text_key, doc_id, at): the retained suffixes by the hash of their first words; one row more for each text, whose ``at`` is -1 - its words."""
     size = least - WINDOW + 1
 
+    @lean
     def retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, len(batch), 500):
@@ -116,6 +117,7 @@ def extended(docs: DataFrame, shared: DataFrame, least: int) -> DataFrame:
     """(h, text_key, doc_id, at): shared suffixes, extended to ``least`` words from every place at which a passage with them may begin."""
     by_doc = shared.groupBy("doc_id").agg(F.collect_list("at").alias("ats"))
 
+    @lean
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, len(batch), 500):
@@ -149,15 +151,14 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     if least < WINDOW + RUN:
         raise ValueError(f"least must be at least {WINDOW + RUN}")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
-    kept = stored(suffixes(rows, least))
-    texts = kept.where("at < 0")
+    retained = stored(suffixes(rows, least))
+    texts = retained.where("at < 0")
     same = texts.groupBy("text_key").agg(F.min("doc_id").alias("lowest"), F.count("*").alias("c")).where("c > 1")
     copies = stored(texts.join(same, "text_key").select("doc_id", (-1 - F.col("at")).alias("n"), (F.col("doc_id") == F.col("lowest")).alias("first")))
     several = [F.min("text_key").alias("lo"), F.max("text_key").alias("hi")]
-    suffix = kept.where("at >= 0")
+    suffix = retained.where("at >= 0")
     shared = suffix.join(suffix.groupBy("h").agg(*several).where("lo < hi").select("h"), "h", "left_semi").select("doc_id", "at")
     long = stored(extended(rows, shared, least))
-    discard(kept)
     equal = long.groupBy("h").agg(*several, F.min("doc_id").alias("lowest")).where("lo < hi").select("h", "lowest")
     found = long.join(equal, "h").select("doc_id", "at", (F.col("doc_id") == F.col("lowest")).alias("first"))
     found = found.join(copies.where("not first").select("doc_id").distinct(), "doc_id", "left_anti")
@@ -166,7 +167,9 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     spans = opened.groupBy("doc_id", "first", "span").agg(F.min("at").alias("start_word"), (F.max("at") + least).alias("end_word"))
     whole = copies.select("doc_id", F.lit(0).alias("start_word"), F.col("n").alias("end_word"), "first").distinct()
     out = spans.select("doc_id", "start_word", "end_word", "first").unionByName(whole)
-    return out.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first")
+    done = stored(out.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first"))
+    discard(retained, copies, long)
+    return done
 
 
 def without_spans(body: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -190,6 +193,7 @@ def drop_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     cut_id, spans = cuts.columns
 
     @F.arrow_udf("string")
+    @lean
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for bodies, lists in batches:
             yield pa.array([None if b is None else without_spans(b, [(x["start_word"], x["end_word"]) for x in s or []]).decode("utf-8", "replace") for b, s in zip(bodies.cast(pa.binary()).to_pylist(), lists.to_pylist(), strict=True)], pa.string())

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.llm import tokens
+from chronofold.llm.common import lean
 
 
 def count_batch(texts: list[str | None], path: str, batch_bytes: int, segment_chars: int) -> list[int]:
@@ -50,6 +51,7 @@ def token_counts(docs: DataFrame, *, text: str = "text", into: str = "n_tokens",
     path = path or tokens.default_path()
 
     @F.arrow_udf("long")
+    @lean
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array(count_batch(batch.to_pylist(), path, batch_bytes, segment_chars), pa.int64())
