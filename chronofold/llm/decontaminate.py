@@ -151,5 +151,21 @@ def op4_decontamination(spark, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        F.size("near_items").cast("long").alias("n_near_items"),
     )
+
+
+_WORDS = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+
+OP4_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+dp AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS p FROM d), ip AS (SELECT item_id, len(w) AS m, unnest(w) AS x, unnest(range(len(w))) AS p FROM i),
+dg AS (SELECT doc_id, p, list(x) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS g FROM dp),
+ig AS (SELECT item_id, least(m, 10) AS n, list(x) OVER (PARTITION BY item_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS g FROM ip),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(g, ' ') AS g FROM ig WHERE len(g) = n),
+dw AS (SELECT doc_id, p, n, array_to_string(list_slice(g, 1, n), ' ') AS g FROM dg, (SELECT DISTINCT n FROM iw) WHERE len(g) >= n),
+h AS (SELECT doc_id, p, iw.n, item_id FROM dw JOIN iw ON dw.g = iw.g AND dw.n = iw.n),
+c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from chronofold.llm.audio_fingerprint import op10_audio_alignment
 from chronofold.llm.chat_format import OP8_SQL, op8_chat_format
-from chronofold.llm.decontaminate import op4_decontamination
+from chronofold.llm.decontaminate import OP4_SQL, op4_decontamination
 from chronofold.llm.language_id import op6_language_id
 from chronofold.llm.license_scan import op7_license_scan
 from chronofold.llm.near_dedup import op1_near_duplicates
@@ -35,4 +35,4 @@ QUERIES = {
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_chat_format": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_decontamination": OP4_SQL, "op8_chat_format": OP8_SQL}

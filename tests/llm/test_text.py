@@ -17,6 +17,15 @@ def test_op4(spark):
     assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got} == brute.contamination(docs, items)
 
 
+def test_op4_equals_its_sql(spark):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    out = decontaminate.op4_decontamination(spark, SF)
+    want = con.sql(decontaminate.OP4_SQL).select(*out.columns).fetchall()
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want)
+
+
 def test_windows_short_items_and_near_matches(spark):
     items = spark.createDataFrame([(1, prose(1, 30)), (2, "Only five WORDS stand here"), (3, None), (4, "--"), (2, "Only five WORDS stand here"), (5, prose(1, 30))], "item_id long, text string")
     w = prose(1, 30).split()
