@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import lean, stored, table
+from chronofold.llm.common import discard, lean, stored, table
 from chronofold.llm.near_dedup import components
 
 FRAME_S = 0.128
@@ -146,73 +146,109 @@ def fingerprints(media: DataFrame, *, key: str = "id", audio: str = "audio") ->
     return media.select(F.col(key).cast("long").alias("id"), take(F.col(audio).cast("binary")).alias("prints"))
 
 
-def candidates(prints: DataFrame, index_keys: int) -> DataFrame:
-    """(a, b, offset, votes): each recording b with the hubs a of the keys it shares, at the offset with most votes.
+def postings(prints: DataFrame, index_keys: int) -> DataFrame:
+    """(k, id): the index, with the ``index_keys`` keys of smallest hash of every recording, so that two recordings pick the same ones where they share them."""
 
-    Every recording is in the index, with the ``index_keys`` keys of smallest
-    hash, so that two recordings pick the same ones where they share them. The
-    hub of a key is the smallest id that has it: a key that many recordings
-    share yields a row for each, and not their pairs.
-    """
-
-    @F.arrow_udf("array<struct<k:long,at:int>>")
+    @F.arrow_udf("array<long>")
     @lean
     def sample(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            found = [keys(np.array(x.as_py() or [], np.int32), index_keys) for x in batch]
-            offsets = np.cumsum([0, *(len(k) for k, _ in found)]).astype(np.int32)
-            pairs = [np.concatenate([f[j] for f in found]) if found else np.zeros(0) for j in range(2)]
-            values = pa.StructArray.from_arrays([pa.array(pairs[0].astype(np.int64)), pa.array(pairs[1].astype(np.int32))], ["k", "at"])
-            yield pa.ListArray.from_arrays(pa.array(offsets), values)
+            found = [keys(np.array(x.as_py() or [], np.int32), index_keys)[0] for x in batch]
+            offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
+
+    return prints.select(F.explode(sample("prints")).alias("k"), "id")
+
+
+def hub_pairs(index: DataFrame) -> DataFrame:
+    """(a, b): each recording b with the hubs a of its keys.
+
+    The hub of a key is the smallest id that has it: a key that many recordings
+    share yields a row for each, and not their pairs.
+    """
+    hubs = index.groupBy("k").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("k", "a")
+    return index.join(hubs, "k").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+
+
+def open_pairs(index: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs (a, b) of recordings that share a key and are in different components (node, component).
+
+    Pairs within a component need no further look. For each key the component
+    with most members isn't paired with itself.
+    """
+    labelled = index.join(label.withColumnRenamed("node", "id"), "id", "left").select("k", "id", F.coalesce("component", "id").alias("label"))
+    by_label = labelled.groupBy("k", "label").agg(F.count("*").alias("c"))
+    largest = by_label.groupBy("k").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("k", F.col("m.label").alias("largest"))
+    members = stored(labelled.join(largest, "k"))
+    a = members.where("label <> largest").select("k", "largest", F.col("id").alias("id_a"), F.col("label").alias("label_a"))
+    b = members.select("k", F.col("id").alias("id_b"), F.col("label").alias("label_b"))
+    once = (F.col("label_b") == F.col("largest")) | (F.col("id_a") < F.col("id_b"))
+    met = a.join(b, (a.k == b.k) & (F.col("label_a") != F.col("label_b")) & once)
+    return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
-    postings = stored(prints.select("id", F.explode(sample("prints")).alias("p")).select("id", "p.k", "p.at"))
-    hubs = postings.groupBy("k").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n > 1").select("k", "id")
-    hub = postings.join(hubs, ["k", "id"]).select("k", F.col("id").alias("a"), F.col("at").alias("a_at"))
-    met = postings.join(hub, "k").where("id <> a")
-    votes = met.groupBy("a", F.col("id").alias("b"), (F.col("at") - F.col("a_at")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = W.partitionBy("a", "b").orderBy(F.desc("votes"), F.abs("offset"), "offset")
-    return votes.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
 
+def voted(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of y against x that their common keys vote for, those with most votes first, of equal votes the smallest."""
+    _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
+    offsets, votes = np.unique(y[1][j] - x[1][i], return_counts=True)
+    order = np.lexsort((offsets, np.abs(offsets), -votes))
+    return offsets[order], votes[order]
 
-def aligned(pairs: DataFrame, prints: DataFrame, most_errors: float, least_frames: int) -> DataFrame:
-    """The candidates whose fingerprints agree over the whole overlap at their offset, with frames and bit_error_rate."""
 
-    @F.arrow_udf("frames int, errors long")
+def aligned(pairs: DataFrame, prints: DataFrame, most_errors: float, least_frames: int, index_keys: int) -> DataFrame:
+    """The pairs (a, b) whose fingerprints agree over the whole overlap at the offset with most votes: a, b, offset, votes, frames, bit_error_rate."""
+
+    @F.arrow_udf("offset int, votes int, frames int, errors long")
     @lean
-    def compare(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for xs, ys, offsets in batches:
-            frames, errors = [], []
-            for x, y, o in zip(xs, ys, offsets.to_pylist(), strict=True):
-                a, b = x.values.to_numpy().view(np.uint32)[max(0, -o) :], y.values.to_numpy().view(np.uint32)[max(0, o) :]
-                n = min(len(a), len(b))
-                frames.append(n)
-                errors.append(int(np.bitwise_count(a[:n] ^ b[:n]).sum()))
-            yield pa.StructArray.from_arrays([pa.array(frames, pa.int32()), pa.array(errors, pa.int64())], ["frames", "errors"])
+    def compare(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for xs, ys in batches:
+            rows = []
+            for u, v in zip(xs, ys, strict=True):
+                x, y = u.values.to_numpy(), v.values.to_numpy()
+                for o, votes in zip(*(z[:1].tolist() for z in voted(keys(x, index_keys), keys(y, index_keys))), strict=True):
+                    a, b = x.view(np.uint32)[max(0, -o) :], y.view(np.uint32)[max(0, o) :]
+                    n = min(len(a), len(b))
+                    errors = int(np.bitwise_count(a[:n] ^ b[:n]).sum())
+                    if n >= least_frames and errors <= most_errors * 32 * n:
+                        rows.append((o, votes, n, errors))
+                        break
+                else:
+                    rows.append(None)
+            yield pa.array([r and dict(zip(("offset", "votes", "frames", "errors"), r, strict=True)) for r in rows], pa.struct([("offset", pa.int32()), ("votes", pa.int32()), ("frames", pa.int32()), ("errors", pa.int64())]))
 
     mine, other = (prints.select(F.col("id").alias(k), F.col("prints").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    met = pairs.join(other, "b").join(mine, "a").select("a", "b", "offset", "votes", compare("x", "y", "offset").alias("c"))
-    rate = F.col("c.errors") / (F.col("c.frames") * 32)
-    return met.where((F.col("c.frames") >= least_frames) & (rate <= most_errors)).select("a", "b", "offset", "votes", "c.frames", F.round(rate, 6).alias("bit_error_rate"))
+    met = pairs.join(other, "b").join(mine, "a").select("a", "b", compare("x", "y").alias("c")).where("c is not null")
+    return met.select("a", "b", "c.offset", "c.votes", "c.frames", F.round(F.col("c.errors") / (F.col("c.frames") * 32), 6).alias("bit_error_rate"))
 
 
-def align(prints: DataFrame, *, most_errors: float = 0.2, least_frames: int = 60, index_keys: int = 32) -> DataFrame:
+def align(prints: DataFrame, *, most_errors: float = 0.25, least_frames: int = 60, index_keys: int = 32) -> DataFrame:
     """Groups of recordings that sound alike: id, n_frames, component_id, aligned_to, offset, frames, bit_error_rate.
 
     ``prints`` is (id, prints). Recordings are linked where, at the offset that
     most of their common keys vote for, at least ``least_frames`` integers
-    overlap and at most ``most_errors`` of their bits differ. ``component_id``
-    is the smallest id that is reachable by links; ``aligned_to`` the hub with a smaller id that it
-    is linked to with fewest errors, with ``offset`` the hops by which its sound comes later here. Both are null
-    for a recording without such a link, whose component is its own id.
+    overlap and at most ``most_errors`` of their bits differ. First each is
+    compared with the hubs of its keys; then the recordings of a key that are
+    still in several components are compared with each other, so that all that
+    share a key and pass are in one component.
+
+    ``component_id`` is the smallest id that is reachable by links;
+    ``aligned_to`` the recording with a smaller id, of those it was compared
+    with, that it is linked to with fewest errors, with ``offset`` the hops by
+    which its sound comes later here. Both are null for a recording without
+    such a link, which is the smallest id of its component.
 
     Null ids have a null component; empty fingerprints link to nothing. Rows
     that repeat an id count once for links and come out once each. Of equal
     votes the smallest offset counts, of equal errors the smallest id.
     """
     usable = prints.where("id is not null and size(prints) > 0").dropDuplicates(["id"])
-    links = stored(aligned(candidates(usable, index_keys), usable, most_errors, least_frames))
-    group = components(links.select("a", "b"))
-    best = links.withColumn("r", F.row_number().over(W.partitionBy("b").orderBy("bit_error_rate", "a"))).where("r = 1").select(F.col("b").alias("id"), F.col("a").alias("aligned_to"), "offset", "frames", "bit_error_rate")
+    index = stored(postings(usable, index_keys))
+    first = stored(aligned(hub_pairs(index), usable, most_errors, least_frames, index_keys))
+    label = stored(components(first.select("a", "b")))
+    rest = stored(aligned(open_pairs(index, label), usable, most_errors, least_frames, index_keys))
+    discard(index)
+    group = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest.select("a", "b")))
+    best = first.unionByName(rest).withColumn("r", F.row_number().over(W.partitionBy("b").orderBy("bit_error_rate", "a"))).where("r = 1").select(F.col("b").alias("id"), F.col("a").alias("aligned_to"), "offset", "frames", "bit_error_rate")
     out = prints.select("id", F.size("prints").alias("n_frames")).join(group.withColumnRenamed("node", "id"), "id", "left").join(best, "id", "left")
     return out.select("id", "n_frames", F.coalesce("component", "id").alias("component_id"), "aligned_to", "offset", "frames", "bit_error_rate")
 

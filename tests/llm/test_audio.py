@@ -55,3 +55,62 @@ def test_chroma_finds_the_pitch():
     t = np.arange(8000) / 4000
     frames = a.chroma(4000, np.sin(2 * np.pi * 440 * t))
     assert frames.shape[1] == 12 and (frames.argmax(1) == 0).all() and frames.sum(1) == pytest.approx(1)
+
+
+def printed(spark, prints):
+    return spark.createDataFrame([(i, x.view(np.int32).tolist()) for i, x in prints.items()], "id long, prints array<int>")
+
+
+def noise(rng, n, share):
+    """Integers of which ``share`` of the bits are set."""
+    return np.packbits(rng.random((n, 32)) < share, axis=1).view(np.uint32).ravel()
+
+
+def groups_by_brute_force(prints, most_errors):
+    """id -> smallest id that is reachable by pairs of equal length with few bit errors at offset 0."""
+    label = {i: i for i in prints}
+    for x in prints:
+        for y in prints:
+            if x < y and np.bitwise_count(prints[x] ^ prints[y]).sum() <= most_errors * 32 * len(prints[x]):
+                lo, hi = sorted((label[x], label[y]))
+                label = {i: lo if c == hi else c for i, c in label.items()}
+    return label
+
+
+def test_groups_that_share_a_jingle_with_a_smaller_id(spark):
+    """All keys are the jingle's, and the smallest id that has them is in no group; rates between 0.2 and 0.25 count too."""
+    rng = np.random.default_rng(11)
+    some = lambda n: rng.integers(1, 2**32, n, dtype=np.uint32)
+    jingle, prints = some(30), {}
+    prints[0] = np.concatenate([jingle, some(90)])
+    for k in range(1, 31):
+        tail = some(90)
+        for j in range(3):
+            prints[10 * k + j] = np.concatenate([jingle, tail ^ noise(rng, 90, 0.18)])
+    want = groups_by_brute_force(prints, 0.25)
+    assert len(set(want.values())) == 31 and len(set(groups_by_brute_force(prints, 0.2).values())) > 31
+    rows = a.align(printed(spark, prints)).collect()
+    assert {r.id: r.component_id for r in rows} == want
+    assert all(r.offset == 0 and want[r.aligned_to] == want[r.id] for r in rows if r.id % 10)
+
+
+def test_recall_at_a_quarter_of_the_bits(spark):
+    """As test_recall_of_the_index, with the larger rate and one group of 60 noisy copies."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(30):
+        base = rng.normal(0, 0.125, 64)
+        rows += [(100 * k + j, a.play((base + rng.normal(0, 0.012 * (j > 0), 64)).tolist())) for j in range(60 if k == 7 else 3)]
+    prints = a.fingerprints(table(spark, rows)).cache()
+    all_ = {r.id: np.array(r.prints, np.int32).view(np.uint32) for r in prints.collect()}
+    close = {(x, y) for x in all_ for y in all_ if x < y and np.bitwise_count(all_[x] ^ all_[y]).sum() <= 0.25 * 32 * len(all_[x])}
+    out = a.align(prints).collect()
+    group = {r.id: r.component_id for r in out}
+    found = {(x, y) for x, y in close if group[x] == group[y]}
+    print(f"recall {len(found)} of {len(close)}, in the large group {len([x for x, _ in found if x // 100 == 7])} of {len([x for x, _ in close if x // 100 == 7])}")
+    assert len(found) / len(close) >= 0.95
+    for r in out:
+        if r.aligned_to is not None:
+            x, y = all_[r.aligned_to][max(0, -r.offset) :], all_[r.id][max(0, r.offset) :]
+            n = min(len(x), len(y))
+            assert r.frames == n >= 60 and np.bitwise_count(x[:n] ^ y[:n]).sum() <= 0.25 * 32 * n
