@@ -6,8 +6,8 @@ few neighbouring frames and pitch classes; each of sixteen answers is a
 two-bit Gray code, so a place in the recording becomes a 32-bit integer.
 
 Recordings that share sound share integers at a constant distance. Groups of
-integers are the keys of an index; equal keys vote for an offset, and the bit
-errors of the two fingerprints at the offset with most votes decide.
+integers are the keys of an index; equal keys vote for offsets, and the bit
+errors of the two fingerprints at each of these decide.
 """
 
 from __future__ import annotations
@@ -43,6 +43,8 @@ LEVELS = (-0.31, 0.043, 0.37)
 #: Where the integers of a key stand, in hops, and in how many bits any two of them differ at least.
 PLACES = (0, 5, 10, 15)
 LEAST_BITS = 6
+#: Votes that are counted at once.
+VOTES = 1_000_000
 
 
 def decode(audio: bytes | None) -> tuple[int, np.ndarray]:
@@ -105,8 +107,8 @@ def fingerprint(frames: np.ndarray) -> np.ndarray:
     return out.view(np.int32)
 
 
-def keys(prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys and their places: of the groups of integers at PLACES, the ``most`` with the smallest hashes.
+def keys(prints: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys in ascending order and their places, all of them: hashes of the groups of integers at PLACES; with ``most``, of so many distinct ones.
 
     Groups with a silent integer, or with two that differ in few bits, say
     little about a recording and aren't keys.
@@ -124,8 +126,13 @@ def keys(prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(29)
     at = np.flatnonzero(told)
-    found, first = np.unique(h[at], return_index=True)
-    return found[:most].view(np.int64), at[first[:most]].astype(np.int32)
+    found = h[at].view(np.int64)
+    order = np.argsort(found, kind="stable")
+    found, at = found[order], at[order].astype(np.int32)
+    if most is not None:
+        held = np.isin(found, np.unique(found)[:most])
+        found, at = found[held], at[held]
+    return found, at
 
 
 def fingerprints(media: DataFrame, *, key: str = "id", audio: str = "audio") -> DataFrame:
@@ -146,14 +153,14 @@ def fingerprints(media: DataFrame, *, key: str = "id", audio: str = "audio") ->
     return media.select(F.col(key).cast("long").alias("id"), take(F.col(audio).cast("binary")).alias("prints"))
 
 
-def postings(prints: DataFrame, index_keys: int) -> DataFrame:
-    """(k, id): the index, with the ``index_keys`` keys of smallest hash of every recording, so that two recordings pick the same ones where they share them."""
+def postings(prints: DataFrame) -> DataFrame:
+    """(k, id): the index, with every distinct key of every recording."""
 
     @F.arrow_udf("array<long>")
     @lean
     def sample(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            found = [keys(np.array(x.as_py() or [], np.int32), index_keys)[0] for x in batch]
+            found = [np.unique(keys(np.array(x.as_py() or [], np.int32))[0]) for x in batch]
             offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
 
@@ -189,23 +196,37 @@ def open_pairs(index: DataFrame, label: DataFrame) -> DataFrame:
 
 def voted(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Offsets of y against x that their common keys vote for, those with most votes first, of equal votes the smallest."""
-    _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
-    offsets, votes = np.unique(y[1][j] - x[1][i], return_counts=True)
+    lo, hi = np.searchsorted(y[0], x[0], "left"), np.searchsorted(y[0], x[0], "right")
+    n = hi - lo
+    met = np.flatnonzero(n)
+    if not len(met):
+        return met, met
+    base = int(y[1].min()) - int(x[1].max())
+    count = np.zeros(int(y[1].max()) - int(x[1].min()) - base + 1, np.int64)
+    for part in np.array_split(met, 1 + int(n.sum()) // VOTES):
+        m = n[part]
+        at = np.repeat(lo[part] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        count += np.bincount(y[1][at] - np.repeat(x[1][part], m) - base, minlength=len(count))
+    held = np.flatnonzero(count)
+    offsets, votes = held + base, count[held]
     order = np.lexsort((offsets, np.abs(offsets), -votes))
     return offsets[order], votes[order]
 
 
-def aligned(pairs: DataFrame, prints: DataFrame, most_errors: float, least_frames: int, index_keys: int) -> DataFrame:
-    """The pairs (a, b) whose fingerprints agree over the whole overlap at the offset with most votes: a, b, offset, votes, frames, bit_error_rate."""
+def aligned(pairs: DataFrame, prints: DataFrame, most_errors: float, least_frames: int) -> DataFrame:
+    """The pairs (a, b) whose fingerprints agree over the whole overlap at an offset that a common key votes for, the one with most votes: a, b, offset, votes, frames, bit_error_rate."""
 
     @F.arrow_udf("offset int, votes int, frames int, errors long")
     @lean
-    def compare(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for xs, ys in batches:
+    def compare(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        last = keys_x = None
+        for ids, xs, ys in batches:
             rows = []
-            for u, v in zip(xs, ys, strict=True):
+            for i, u, v in zip(ids.to_pylist(), xs, ys, strict=True):
                 x, y = u.values.to_numpy(), v.values.to_numpy()
-                for o, votes in zip(*(z[:1].tolist() for z in voted(keys(x, index_keys), keys(y, index_keys))), strict=True):
+                if i != last:
+                    last, keys_x = i, keys(x)
+                for o, votes in zip(*(z.tolist() for z in voted(keys_x, keys(y))), strict=True):
                     a, b = x.view(np.uint32)[max(0, -o) :], y.view(np.uint32)[max(0, o) :]
                     n = min(len(a), len(b))
                     errors = int(np.bitwise_count(a[:n] ^ b[:n]).sum())
@@ -217,16 +238,17 @@ def aligned(pairs: DataFrame, prints: DataFrame, most_errors: float, least_frame
             yield pa.array([r and dict(zip(("offset", "votes", "frames", "errors"), r, strict=True)) for r in rows], pa.struct([("offset", pa.int32()), ("votes", pa.int32()), ("frames", pa.int32()), ("errors", pa.int64())]))
 
     mine, other = (prints.select(F.col("id").alias(k), F.col("prints").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    met = pairs.join(other, "b").join(mine, "a").select("a", "b", compare("x", "y").alias("c")).where("c is not null")
+    met = pairs.join(other, "b").join(mine, "a").select("a", "b", compare("a", "x", "y").alias("c")).where("c is not null")
     return met.select("a", "b", "c.offset", "c.votes", "c.frames", F.round(F.col("c.errors") / (F.col("c.frames") * 32), 6).alias("bit_error_rate"))
 
 
-def align(prints: DataFrame, *, most_errors: float = 0.25, least_frames: int = 60, index_keys: int = 32) -> DataFrame:
+def align(prints: DataFrame, *, most_errors: float = 0.25, least_frames: int = 60) -> DataFrame:
     """Groups of recordings that sound alike: id, n_frames, component_id, aligned_to, offset, frames, bit_error_rate.
 
-    ``prints`` is (id, prints). Recordings are linked where, at the offset that
-    most of their common keys vote for, at least ``least_frames`` integers
-    overlap and at most ``most_errors`` of their bits differ. First each is
+    ``prints`` is (id, prints). Recordings are linked where, at an offset that
+    any of their common keys votes for, at least ``least_frames`` integers
+    overlap and at most ``most_errors`` of their bits differ; of several such
+    offsets the one with most votes counts. First each is
     compared with the hubs of its keys; then the recordings of a key that are
     still in several components are compared with each other, so that all that
     share a key and pass are in one component.
@@ -242,10 +264,10 @@ def align(prints: DataFrame, *, most_errors: float = 0.25, least_frames: int = 6
     votes the smallest offset counts, of equal errors the smallest id.
     """
     usable = prints.where("id is not null and size(prints) > 0").dropDuplicates(["id"])
-    index = stored(postings(usable, index_keys))
-    first = stored(aligned(hub_pairs(index), usable, most_errors, least_frames, index_keys))
+    index = stored(postings(usable))
+    first = stored(aligned(hub_pairs(index), usable, most_errors, least_frames))
     label = stored(components(first.select("a", "b")))
-    rest = stored(aligned(open_pairs(index, label), usable, most_errors, least_frames, index_keys))
+    rest = stored(aligned(open_pairs(index, label), usable, most_errors, least_frames))
     discard(index)
     group = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest.select("a", "b")))
     best = first.unionByName(rest).withColumn("r", F.row_number().over(W.partitionBy("b").orderBy("bit_error_rate", "a"))).where("r = 1").select(F.col("b").alias("id"), F.col("a").alias("aligned_to"), "offset", "frames", "bit_error_rate")

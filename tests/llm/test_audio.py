@@ -114,3 +114,22 @@ def test_recall_at_a_quarter_of_the_bits(spark):
             x, y = all_[r.aligned_to][max(0, -r.offset) :], all_[r.id][max(0, r.offset) :]
             n = min(len(x), len(y))
             assert r.frames == n >= 60 and np.bitwise_count(x[:n] ^ y[:n]).sum() <= 0.25 * 32 * n
+
+
+def test_clip_of_a_long_recording_and_of_a_repeat(spark):
+    """A key at any place of a long recording counts, and a clip from a later repeat of a passage is found there."""
+    rng = np.random.default_rng(12)
+    some = lambda n: rng.integers(1, 2**32, n, dtype=np.uint32)
+    long, passage, other, rest = some(20_000), some(100), some(150), some(150)
+    prints = {0: long, 1: np.concatenate([passage, other, passage, rest])}
+    prints |= {10 + j: long[4000 * j + 1500 :][:390].copy() for j in range(5)} | {20: np.concatenate([passage, rest ^ noise(rng, 150, 0.24)])}
+    got = {r.id: r for r in a.align(printed(spark, prints)).collect()}
+    assert all(got[10 + j].aligned_to == 0 and got[10 + j].offset == -4000 * j - 1500 for j in range(5))
+    assert got[20].aligned_to == 1 and got[20].offset == -250 and got[20].frames == 250
+
+
+def test_votes_of_all_places():
+    x = np.array([1, 1, 2], np.int64), np.array([0, 10, 5], np.int32)
+    y = np.array([1, 1, 2, 3], np.int64), np.array([4, 14, 9, 1], np.int32)
+    offsets, votes = a.voted(x, y)
+    assert list(zip(offsets.tolist(), votes.tolist(), strict=True)) == [(4, 3), (-6, 1), (14, 1)]
