@@ -45,6 +45,8 @@ PLACES = (0, 5, 10, 15)
 LEAST_BITS = 6
 #: Votes that are counted at once.
 VOTES = 1_000_000
+#: Integers of recordings whose keys a task keeps for further pairs.
+KEPT_PLACES = 1_000_000
 
 
 def decode(audio: bytes | None) -> tuple[int, np.ndarray]:
@@ -218,15 +220,19 @@ def aligned(pairs: DataFrame, prints: DataFrame, most_errors: float, least_frame
 
     @F.arrow_udf("offset int, votes int, frames int, errors long")
     @lean
-    def compare(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        last = keys_x = None
-        for ids, xs, ys in batches:
+    def compare(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        known, places = {}, 0
+        for i_s, j_s, xs, ys in batches:
             rows = []
-            for i, u, v in zip(ids.to_pylist(), xs, ys, strict=True):
+            for i, j, u, v in zip(i_s.to_pylist(), j_s.to_pylist(), xs, ys, strict=True):
                 x, y = u.values.to_numpy(), v.values.to_numpy()
-                if i != last:
-                    last, keys_x = i, keys(x)
-                for o, votes in zip(*(z.tolist() for z in voted(keys_x, keys(y))), strict=True):
+                if places > KEPT_PLACES:
+                    known, places = {}, 0
+                for k, z in ((i, x), (j, y)):
+                    if k not in known:
+                        known[k] = keys(z)
+                        places += len(z)
+                for o, votes in zip(*(z.tolist() for z in voted(known[i], known[j])), strict=True):
                     a, b = x.view(np.uint32)[max(0, -o) :], y.view(np.uint32)[max(0, o) :]
                     n = min(len(a), len(b))
                     errors = int(np.bitwise_count(a[:n] ^ b[:n]).sum())
@@ -238,7 +244,7 @@ def aligned(pairs: DataFrame, prints: DataFrame, most_errors: float, least_frame
             yield pa.array([r and dict(zip(("offset", "votes", "frames", "errors"), r, strict=True)) for r in rows], pa.struct([("offset", pa.int32()), ("votes", pa.int32()), ("frames", pa.int32()), ("errors", pa.int64())]))
 
     mine, other = (prints.select(F.col("id").alias(k), F.col("prints").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    met = pairs.join(other, "b").join(mine, "a").select("a", "b", compare("a", "x", "y").alias("c")).where("c is not null")
+    met = pairs.join(other, "b").join(mine, "a").select("a", "b", compare("a", "b", "x", "y").alias("c")).where("c is not null")
     return met.select("a", "b", "c.offset", "c.votes", "c.frames", F.round(F.col("c.errors") / (F.col("c.frames") * 32), 6).alias("bit_error_rate"))
 
 
@@ -295,17 +301,22 @@ def play(vector: list[float] | None) -> bytes | None:
     return out.getvalue()
 
 
-def recordings(spark, sf_dir: str) -> DataFrame:
-    """(id, audio): each vector of ``embeddings``, played. The tables hold no recordings of their own."""
+def played_prints(spark, sf_dir: str) -> DataFrame:
+    """(id, prints) of each vector of ``embeddings``, played. The tables hold no recordings of their own.
 
-    @F.arrow_udf("binary")
+    The audio doesn't leave the function: batches of it would be large.
+    """
+
+    @F.arrow_udf("array<int>")
     @lean
-    def played(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def take(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([play(x.as_py()) for x in batch], pa.binary())
+            found = [fingerprint(chroma(*decode(play(x.as_py())))) for x in batch]
+            offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
 
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), played("embedding").alias("audio"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), take("embedding").alias("prints"))
 
 
 def op10_audio_alignment(spark, sf_dir: str) -> DataFrame:
-    return align(stored(fingerprints(recordings(spark, sf_dir))))
+    return align(stored(played_prints(spark, sf_dir)))
