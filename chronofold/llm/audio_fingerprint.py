@@ -41,8 +41,8 @@ SPAN = max(w for _, _, _, w in FILTERS)
 #: A held note makes shares of exactly 0, which the sums of the image can miss by a little; no level is near.
 LEVELS = (-0.31, 0.043, 0.37)
 #: Where the integers of a key stand, in hops. Each integer spans SPAN frames,
-#: so those of a key share none, and the two kinds bridge different stretches.
-PLACES = ((0, 7, 14, 21, 28), (0, 11, 22, 33, 44))
+#: so those of a key share none, and the three kinds bridge different stretches.
+PLACES = ((0, 7, 14, 21, 28), (0, 11, 22, 33, 44), (0, 13, 26, 39, 52))
 #: In how many bits an integer of a key differs at least from its first one.
 LEAST_BITS = 6
 #: Samples that are decoded, and frames that are transformed, at once.
