@@ -3,13 +3,19 @@
 Events of a history are split into islands that can't touch each other; each
 island is swept on its own in order of time. Gaps between stays are filled
 afterwards, across islands.
+
+Two events on the same time are settled by interval arithmetic: the preferred
+one keeps all of its time, and of the other what lies before it and after it is
+left. What is before stays where it is; what is after waits in the queue for
+its turn like any other event.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
-from dataclasses import dataclass, replace
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,16 +24,27 @@ from pyspark.sql import functions as F
 
 from chronofold.operators.routes import distance_m
 
-#: Before this second the day dialect is preferred to the item dialect.
+# Fixed values.
+#: A day-dialect event that starts before this second is preferred to an item-dialect event.
 CUTOFF_TS = 1_533_168_000
 NEAR_S = 60
 RESIDUAL_S = 1
+PLACE_M = 50.0
+DIALECTS = {"arc", "moves"}
 KINDS = ("stay", "move", "gap")
-SCHEMA = "history_id string, id bigint, kind string, start_ts double, end_ts double, quality int, manual boolean, revision double, source string, lat double, lon double, radius_m double, geometry_valid boolean, geometry_from bigint, part int"
+#: What a route and a distance add to the quality of a move.
+ROUTE_POINTS, DISTANCE_POINTS = 6, 2
+
+SCHEMA = (
+    "history_id string, id bigint, kind string, start_ts double, end_ts double, quality int, manual boolean, revision double, source string, lat double, lon double, radius_m double, "
+    "geometry_valid boolean, route_from bigint, distance_from bigint, place_from bigint, absorbed array<bigint>, start_offset_s int, end_offset_s int, part int"
+)
 
 
 @dataclass
 class Event:
+    """``bare`` is the quality without route and distance; the three ``_from`` are ids of the events whose route, distance and place count."""
+
     id: int
     kind: str
     start: float
@@ -38,22 +55,52 @@ class Event:
     source: str = ""
     lat: float | None = None
     lon: float | None = None
-    radius: float = 50.0
-    geometry: bool = True
-    geometry_from: int | None = None
+    radius: float = PLACE_M
+    route_from: int | None = None
+    distance_from: int | None = None
+    place_from: int | None = None
+    absorbed: list[int] = field(default_factory=list)
+    start_offset: int | None = None
+    end_offset: int | None = None
     part: int = 0
+    geometry: bool = True
 
-    def place_in_line(self) -> tuple:
+    def __post_init__(self) -> None:
+        if self.place_from is None:
+            self.place_from = self.id
+
+    def turn(self) -> tuple:
+        """The place in the queue."""
         return self.start, not self.manual, -self.quality, self.end - self.start, KINDS.index(self.kind), self.id, self.part
 
+    def _rated(self, route_from: int | None, distance_from: int | None) -> None:
+        for before, now, points in ((self.route_from, route_from, ROUTE_POINTS), (self.distance_from, distance_from, DISTANCE_POINTS)):
+            self.quality += points * ((now is not None) - (before is not None))
+        self.route_from, self.distance_from = route_from, distance_from
+
+    def unrouted(self) -> Event:
+        """A move whose time changes loses its route and its distance, and the quality that they gave."""
+        if self.kind == "move":
+            self._rated(None, None)
+            self.geometry = False
+        return self
+
+    def take_from(self, other: Event) -> None:
+        """Of moves over exactly the same time one takes from the other what it hasn't itself."""
+        if self.kind == other.kind == "move" and (self.start, self.end) == (other.start, other.end):
+            self._rated(other.route_from if self.route_from is None else self.route_from, other.distance_from if self.distance_from is None else self.distance_from)
+            self.start_offset = other.start_offset if self.start_offset is None else self.start_offset
+            self.end_offset = other.end_offset if self.end_offset is None else self.end_offset
+
 
 def preferred(a: Event, b: Event) -> bool:
     """Whether a keeps its time against b; ties go to a."""
-    if a.source != b.source and min(a.start, b.start) < CUTOFF_TS and {a.source, b.source} == {"moves", "arc"}:
-        return a.source == "moves"
-    mine = (a.manual, a.quality, -(a.end - a.start), a.revision if a.source == b.source else 0.0, -KINDS.index(a.kind), -a.id)
-    other = (b.manual, b.quality, -(b.end - b.start), b.revision if a.source == b.source else 0.0, -KINDS.index(b.kind), -b.id)
-    return mine >= other
+    if {a.source, b.source} == DIALECTS:
+        day = a if a.source == "moves" else b
+        if day.start < CUTOFF_TS:
+            return day is a
+    rank = lambda e: (e.manual, e.quality, e.start - e.end, e.revision if a.source == b.source else 0, -KINDS.index(e.kind), -e.id)
+    return rank(a) >= rank(b)
 
 
 def compatible(a: Event, b: Event) -> bool:
@@ -64,103 +111,106 @@ def compatible(a: Event, b: Event) -> bool:
         return True
     if None in (a.lat, a.lon, b.lat, b.lon):
         return False
-    return distance_m((0, a.lon, a.lat), (0, b.lon, b.lat)) <= max(50.0, a.radius + b.radius)
+    return distance_m((0, a.lon, a.lat), (0, b.lon, b.lat)) <= max(PLACE_M, a.radius + b.radius)
+
 
+def absorb(a: Event, b: Event) -> None:
+    """b becomes part of a: the later end with its offset, and of stays the place of higher quality."""
+    if b.end >= a.end:
+        a.end, a.end_offset = b.end, b.end_offset
+    a.absorbed = [*a.absorbed, b.id, *b.absorbed]
+    if b.kind == "stay" and b.quality > a.quality:
+        a.lat, a.lon, a.radius, a.place_from, a.quality = b.lat, b.lon, b.radius, b.place_from, b.quality
 
-def merge(a: Event, b: Event) -> None:
-    """b into a: the longer time, the better geometry."""
-    if b.quality > a.quality:
-        a.lat, a.lon, a.radius = b.lat, b.lon, b.radius
-    a.end = max(a.end, b.end)
-    a.quality, a.manual, a.revision = max(a.quality, b.quality), a.manual or b.manual, max(a.revision, b.revision)
 
+def settle(winner: Event, loser: Event) -> tuple[Event | None, Event | None]:
+    """What is left of the loser before and after the winner.
 
-def carry(winner: Event, loser: Event) -> None:
-    """Of moves over exactly the same time the winner takes the route if it has none."""
-    if winner.kind == loser.kind == "move" and (winner.start, winner.end) == (loser.start, loser.end) and not winner.geometry and loser.geometry:
-        winner.geometry_from = loser.id
+    Between moves of the two dialects a remainder of a second or less isn't
+    left but goes to the winner.
+    """
+    grows = winner.kind == loser.kind == "move" and {winner.source, loser.source} == DIALECTS
+    before, after = winner.start - loser.start, loser.end - winner.end
+    start, end = winner.start, winner.end
+    if grows and 0 < before <= RESIDUAL_S:
+        winner.start, winner.start_offset, before = loser.start, loser.start_offset, 0
+    if grows and 0 < after <= RESIDUAL_S:
+        winner.end, winner.end_offset, after = loser.end, loser.end_offset, 0
+    winner.take_from(loser)
+    head = replace(loser, end=start, end_offset=winner.start_offset).unrouted() if before > 0 else None
+    tail = replace(loser, start=end, start_offset=winner.end_offset, part=loser.part + (head is not None)).unrouted() if after > 0 else None
+    return head, tail
+
+
+def place(timeline: list[Event], event: Event, wait: Callable[[Event], None]) -> None:
+    """Put an event at the end of a timeline. Nothing in the queue starts before it; what ``wait`` gets doesn't either."""
+    while timeline:
+        last = timeline[-1]
+        if compatible(last, event) and (last.kind == "gap" or event.start - last.end < NEAR_S):
+            absorb(last, event)
+            return
+        if last.end <= event.start:
+            break
+        stays = preferred(last, event)
+        head, tail = settle(last, event) if stays else settle(event, last)
+        if tail:
+            wait(tail)
+        if stays:
+            return
+        timeline.pop()
+        if head:
+            timeline.append(head)
+    timeline.append(event)
+
+
+def joined(events: list[Event]) -> list[Event]:
+    """Neighbours that the sweep brought together and that touch, or stays within a minute, become one."""
+    out: list[Event] = []
+    for e in events:
+        if out and compatible(out[-1], e) and (e.start == out[-1].end or e.kind == "stay" and 0 < e.start - out[-1].end < NEAR_S):
+            absorb(out[-1], e)
+        else:
+            out.append(e)
+    return out
 
 
 def resolve(events: list[Event]) -> list[Event]:
     """Events without overlap; nothing is left of an event whose time others have."""
-    pending = [(e.place_in_line(), k, e) for k, e in enumerate(events) if e.end > e.start]
-    heapq.heapify(pending)
-    count, done = len(events), []
+    queue = [(e.turn(), e) for e in events if e.end > e.start]
+    queue = [(turn, k, e) for k, (turn, e) in enumerate(queue)]
+    heapq.heapify(queue)
+    timeline, count = [], len(queue)
 
-    def queue(e: Event) -> None:
+    def wait(e: Event) -> None:
         nonlocal count
+        heapq.heappush(queue, (e.turn(), count, e))
         count += 1
-        heapq.heappush(pending, (e.place_in_line(), count, e))
-
-    while pending:
-        c = heapq.heappop(pending)[2]
-        while c is not None and c.end > c.start:
-            p = done[-1] if done else None
-            if p is None:
-                done.append(c)
-                break
-            cross = p.kind == c.kind == "move" and p.source != c.source
-            same = compatible(p, c)
-            if same and (p.kind == "gap" or c.start - p.end < NEAR_S):
-                merge(p, c)
-                break
-            if c.start >= p.end:
-                done.append(c)
-                break
-            if preferred(p, c):
-                if c.end <= p.end:
-                    carry(p, c)
-                elif cross and c.end - p.end <= RESIDUAL_S:
-                    carry(p, c)
-                    p.end = c.end
-                else:
-                    c.start, c.geometry = p.end, False
-                    continue
-                break
-            before, after = c.start - p.start, p.end - c.end
-            if cross and before <= RESIDUAL_S:
-                if after > RESIDUAL_S:
-                    queue(replace(p, start=c.end, geometry=False, part=p.part + 1))
-                elif after > 0:
-                    c.end = p.end
-                carry(c, p)
-                c.start = min(c.start, p.start)
-                done.pop()
-                continue
-            if cross and 0 < after <= RESIDUAL_S:
-                c.end = p.end
-                after = 0
-            if before <= 0:
-                if after > 0:
-                    queue(replace(p, start=c.end, geometry=False, part=p.part + 1))
-                done.pop()
-                continue
-            if after > 0:
-                queue(replace(p, start=c.end, geometry=False, part=p.part + 1))
-            p.end, p.geometry = c.start, False
-            done.append(c)
-            break
-    return done
+
+    while queue:
+        place(timeline, heapq.heappop(queue)[2], wait)
+    return joined(timeline)
 
 
 def separate_stays(events: list[Event]) -> list[Event]:
-    """Between touching stays at different places time is trimmed from both sides, up to a minute."""
-    for p, c in zip(events, events[1:], strict=False):
-        gap = c.start - p.end
-        if p.kind != "stay" or c.kind != "stay" or compatible(p, c) or not 0 <= gap < NEAR_S:
+    """Stays at different places get a minute between them.
+
+    Each side gives half of what is missing or, if the other has too little,
+    more; a minute of each remains. If both have too little, stays that touch
+    are parted by a second at most, and others are left as they are.
+    """
+    for a, b in zip(events, events[1:], strict=False):
+        between = b.start - a.end
+        if {a.kind, b.kind} != {"stay"} or not 0 <= between < NEAR_S or compatible(a, b):
             continue
-        needed = NEAR_S - gap
-        room = [x.end - x.start - min(NEAR_S, x.end - x.start) for x in (p, c)]
-        if sum(room) < needed:
-            if gap > 0:
+        needed, remains = NEAR_S - between, float(NEAR_S)
+        spare = lambda e: max(0.0, e.end - e.start - remains)
+        if spare(a) + spare(b) < needed:
+            if between:
                 continue
-            room = [max(0.0, x.end - x.start - 0.001) for x in (p, c)]
-            needed = min(1.0, sum(room))
-        mine = min(room[0], needed / 2)
-        other = min(room[1], needed - mine)
-        mine = min(room[0], needed - other)
-        p.end -= mine
-        c.start += other
+            remains = 0.001
+            needed = min(1.0, spare(a) + spare(b))
+        given = min(spare(a), max(needed / 2, needed - spare(b)))
+        a.end, b.start = a.end - given, b.start + needed - given
     return events
 
 
@@ -172,7 +222,7 @@ def islands(events: DataFrame) -> DataFrame:
     at the next start and the island before has a gap, the two are one.
     """
     w = W.partitionBy("history_id").orderBy("start_ts", "id")
-    reach = F.max("end_ts").over(w.rowsBetween(W.unboundedPreceding, -1))
+    reach = F.max(F.coalesce("end_ts", F.lit(math.inf))).over(w.rowsBetween(W.unboundedPreceding, -1))
     split = events.withColumn("_cut", F.coalesce((F.col("start_ts") - reach >= NEAR_S).cast("int"), F.lit(1)))
     split = split.withColumn("_part", F.sum("_cut").over(w.rowsBetween(W.unboundedPreceding, 0)))
     of_part = W.partitionBy("history_id", "_part")
@@ -185,12 +235,16 @@ def islands(events: DataFrame) -> DataFrame:
 
 
 COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
-_TYPES = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_()}
+_TYPES = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64())}
+#: Columns that events may have beside those that they must have.
+OPTIONAL = {"has_route": "boolean", "has_distance": "boolean", "start_offset_s": "int", "end_offset_s": "int"}
 
 
 def _event(r: dict) -> Event:
+    own = lambda column: r["id"] if r[column] else None
     return Event(
-        r["id"], r["kind"], float(r["start_ts"]), float(r["end_ts"]), r["quality"] or 0, bool(r["manual"]), float(r["revision"] or 0), r["source"] or "", r["lat"], r["lon"], 50.0 if r["radius_m"] is None else float(r["radius_m"])
+        r["id"], r["kind"], float(r["start_ts"]), math.inf if r["end_ts"] is None else float(r["end_ts"]), r["quality"] or 0, bool(r["manual"]), float(r["revision"] or 0), r["source"] or "", r["lat"], r["lon"], PLACE_M if r["radius_m"] is None else float(r["radius_m"]),
+        route_from=own("has_route"), distance_from=own("has_distance"), start_offset=r["start_offset_s"], end_offset=r["end_offset_s"],
     )
 
 
@@ -201,7 +255,8 @@ def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def finish(history: str, events: list[Event]) -> None:
         for e in separate_stays(resolve(events)):
             if e.end > e.start:
-                rows.append((history, e.id, e.kind, e.start, e.end, e.quality, e.manual, e.revision, e.source, e.lat, e.lon, e.radius, e.geometry, e.geometry_from, e.part))
+                end = None if e.end == math.inf else e.end
+                rows.append((history, e.id, e.kind, e.start, end, e.quality, e.manual, e.revision, e.source, e.lat, e.lon, e.radius, e.geometry, e.route_from, e.distance_from, e.place_from, e.absorbed, e.start_offset, e.end_offset, e.part))
 
     def batch_of() -> pa.RecordBatch:
         columns = zip(*rows, strict=True)
@@ -216,8 +271,7 @@ def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if at is not None:
                     finish(at[0], events)
                 at, events = (r["history_id"], r["island"]), []
-            if r["start_ts"] is not None and r["end_ts"] is not None:
-                events.append(_event(r))
+            events.append(_event(r))
         if rows:
             yield batch_of()
     if at is not None:
@@ -229,12 +283,26 @@ def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sweep(events: DataFrame, whole: bool = False) -> DataFrame:
     """Events (history_id, id, kind, start_ts, end_ts, quality, manual, revision, source, lat, lon, radius_m) without overlap.
 
-    With ``whole`` a history is one island, which gives the same rows.
+    Moves may have has_route and has_distance, which count 6 and 2 points of
+    their quality and are lost when their time changes, and any event
+    start_offset_s and end_offset_s. ``route_from``, ``distance_from`` and
+    ``place_from`` are the ids of the events whose route, distance and place a
+    row has; ``absorbed`` the ids of those that became part of it. A null end
+    is open and lies after all others; rows without a start, and those that end
+    when or before they start, are left out. With ``whole`` a history is one
+    island, which gives the same rows.
     """
-    dealt = events.withColumn("island", F.lit(0)) if whole else islands(events)
+    given = events.where("start_ts is not null and (end_ts is null or end_ts > start_ts)")
+    given = given.select("*", *(F.lit(None).cast(t).alias(c) for c, t in OPTIONAL.items() if c not in events.columns))
+    dealt = given.withColumn("island", F.lit(0)) if whole else islands(given)
     return dealt.repartition("history_id", "island").sortWithinPartitions("history_id", "island").mapInArrow(_swept, SCHEMA)
 
 
+def redirects(swept: DataFrame) -> DataFrame:
+    """(history_id, id, to_id): events that became part of another."""
+    return swept.select("history_id", F.explode("absorbed").alias("id"), F.col("id").alias("to_id"))
+
+
 def filled_gaps(timeline: DataFrame) -> DataFrame:
     """The gaps between a stay and the next stay of a swept timeline: history_id, start_ts, end_ts."""
     w = W.partitionBy("history_id").orderBy("start_ts", "id", "part")

@@ -61,6 +61,70 @@ def test_touching_stays_are_parted():
     assert b.start - a.end == pytest.approx(1.0)
 
 
+def test_the_day_dialect_is_preferred_by_its_own_start():
+    late = t.CUTOFF_TS + 10.0
+    item, day = move(1, t.CUTOFF_TS - 50.0, late + 60, source="arc", quality=9), move(2, late, late + 90, source="moves")
+    assert t.preferred(item, day) and not t.preferred(day, item)
+    early = move(3, t.CUTOFF_TS - 1.0, late, source="moves")
+    assert t.preferred(early, item) and not t.preferred(item, early)
+    other = move(4, 0.0, 10.0, source="elsewhere", quality=3)
+    assert t.preferred(other, move(5, 0.0, 10.0, source="moves"))
+
+
+def test_residuals_stay_between_other_sources():
+    out = t.resolve([move(1, 0, 100, source="moves", quality=9), move(2, 10, 101, source="else")])
+    assert spans(out) == [("move", 1, 0, 100), ("move", 2, 100, 101)]
+
+
+def test_residuals_on_either_side_go_to_the_winner():
+    base = t.CUTOFF_TS + 0.0
+    out = t.resolve([move(1, base, base + 100, source="moves"), move(2, base + 1, base + 99, source="arc", quality=5)])
+    assert spans(out) == [("move", 2, base, base + 100)]
+    out = t.resolve([move(1, base, base + 100, source="moves"), move(2, base + 1, base + 60, source="arc", quality=5)])
+    assert spans(out) == [("move", 2, base, base + 60), ("move", 1, base + 60, base + 100)]
+
+
+def test_a_move_loses_its_route_and_quality_with_its_time():
+    full = move(1, 0, 100, quality=11, route_from=1, distance_from=1)
+    out = t.resolve([full, move(2, 50, 80, manual=True)])
+    assert [(e.quality, e.route_from, e.distance_from, e.geometry) for e in out] == [(3, None, None, False), (0, None, None, True), (3, None, None, False)]
+
+
+def test_moves_over_the_same_time_share_their_route():
+    out = t.resolve([move(1, 0, 100, manual=True), move(2, 0, 100, quality=9, route_from=2, distance_from=2, start_offset=3600)])
+    assert [(e.id, e.route_from, e.distance_from, e.quality, e.start_offset) for e in out] == [(1, 2, 2, 8, 3600)]
+    base = t.CUTOFF_TS + 0.0
+    out = t.resolve([move(1, base, base + 100, source="moves", quality=8, route_from=1), move(2, base + 1, base + 100, source="arc", manual=True)])
+    assert [(e.id, e.start, e.route_from) for e in out] == [(2, base, 1)]
+
+
+def test_a_merged_stay_takes_place_and_end_of_either_side():
+    out = t.resolve([stay(1, 0, 100, quality=1, end_offset=0), stay(2, 50, 300, lat=0.0001, quality=6, manual=True, revision=9.0, end_offset=3600)])
+    e = out[0]
+    assert (e.id, e.end, e.place_from, e.lat, e.quality, e.end_offset, e.manual, e.revision, e.absorbed) == (1, 300, 2, 0.0001, 6, 3600, False, 0.0, [2])
+
+
+def test_what_the_sweep_brings_together_is_joined():
+    out = t.resolve([stay(1, 0, 100, quality=9), move(2, 90, 130), stay(3, 120, 200, quality=9)])
+    assert spans(out) == [("stay", 1, 0, 100), ("move", 2, 100, 120), ("stay", 3, 120, 200)]
+    assert spans(t.joined([stay(1, 0, 100), stay(2, 100, 200), stay(3, 230, 300), stay(4, 360, 400)])) == [("stay", 1, 0, 300), ("stay", 4, 360, 400)]
+    gap = lambda i, a, b: t.Event(i, "gap", a, b)
+    assert len(t.joined([gap(1, 0, 10), gap(2, 20, 30)])) == 2 and len(t.joined([gap(1, 0, 10), gap(2, 10, 30)])) == 1
+
+
+def test_the_rest_of_a_shifted_event_waits_for_its_turn():
+    """Time that a later, short event wins is not lost for what follows it."""
+    out = t.resolve([stay(1, 0, 100, quality=9), move(2, 50, 150, quality=1), move(3, 60, 80, quality=10)])
+    assert spans(out) == [("stay", 1, 0, 60), ("move", 3, 60, 80), ("stay", 1, 80, 100), ("move", 2, 100, 150)]
+
+
+def test_short_sides_of_touching_stays():
+    a, b = t.separate_stays([stay(1, 0, 70), stay(2, 70, 1000, lat=1.0)])
+    assert (a.end, b.start) == (60, 120)
+    a, b = t.separate_stays([stay(1, 0, 40), stay(2, 50, 90, lat=1.0)])
+    assert (a.end, b.start) == (40, 50)
+
+
 EVENTS = st.lists(
     st.tuples(st.sampled_from(t.KINDS), st.integers(0, 5000), st.integers(1, 900), st.integers(0, 9), st.booleans(), st.sampled_from(["arc", "moves"]), st.sampled_from([0.0, 1.0])), max_size=25
 )
@@ -102,6 +166,16 @@ def test_islands_equal_one_pass(spark):
     assert sorted(t.sweep(events).collect()) == sorted(t.sweep(events, whole=True).collect())
 
 
+def test_open_events_and_rows_without_time(spark):
+    schema = "history_id string, id bigint, kind string, start_ts double, end_ts double, quality int, manual boolean, revision double, source string, lat double, lon double, radius_m double"
+    rows = [("h", 1, "stay", 0.0, 100.0, 5, False, 0.0, "arc", 0.0, 0.0, 50.0), ("h", 2, "move", 50.0, None, 1, False, 0.0, "arc", None, None, None), ("h", 3, "move", None, 9.0, 1, False, 0.0, "arc", None, None, None), ("h", 4, "gap", 7.0, 7.0, 1, False, 0.0, "arc", None, None, None)]
+    out = t.sweep(spark.createDataFrame(rows, schema)).collect()
+    assert [(r.id, r.start_ts, r.end_ts) for r in sorted(out, key=lambda r: r.start_ts)] == [(1, 0.0, 100.0), (2, 100.0, None)]
+    merged = [("h", k, "stay", 100.0 * k, 100.0 * k + 50 + k, 5 + k, False, 0.0, "arc", 0.0, 0.0, 50.0) for k in (1, 2)]
+    swept = t.sweep(spark.createDataFrame(merged, schema))
+    assert [tuple(r) for r in t.redirects(swept).collect()] == [("h", 2, 1)]
+
+
 def test_integrity_counts_what_is_wrong(spark):
     rows = [("stay", 0.0, 10.0), ("stay", 5.0, 20.0), ("move", 20.0, 20.0), ("move", 30.0, None), ("gap", 40.0, 50.0)]
     r = t.integrity(spark.createDataFrame(rows, "kind string, start_ts double, end_ts double")).first()
