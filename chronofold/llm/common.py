@@ -14,7 +14,6 @@ import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,29 +45,40 @@ def shared_dir(spark: SparkSession) -> str:
 _own: dict[str, str] = {}
 
 
-#: Rows of a file that :func:`stored` writes.
-FILE_ROWS = 250_000
+#: Bytes, as held, of a file that :func:`stored` writes: one task's work.
+FILE_BYTES = 32 << 20
 
 
 def kept(df: DataFrame) -> DataFrame:
     """``df``, computed once and held on the executors' disks; what a lost one held is computed again."""
     out = df.persist(StorageLevel.DISK_ONLY)
-    out._chronofold_rows = out.count()
+    out.count()
+    _made[-1].append(out)
     return out
 
 
+def held_bytes(df: DataFrame) -> int:
+    """The size of what :func:`kept` holds."""
+    return int(df._jdf.queryExecution().withCachedData().stats().sizeInBytes())
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a table written to the shared folder and read again, in files of FILE_ROWS rows or more."""
+    """``df`` as a table written to the shared folder and read again, in files of about FILE_BYTES or more."""
     spark = df.sparkSession
     path = shared_dir(spark)
     held = kept(df)
-    held.coalesce(max(1, held._chronofold_rows // FILE_ROWS)).write.option("compression", "zstd").parquet(path)
-    held.unpersist()
+    held.coalesce(max(1, -(-held_bytes(held) // FILE_BYTES))).write.option("compression", "zstd").parquet(path)
+    discard(held)
     out = spark.read.schema(df.schema).parquet(path)
     out._chronofold_path = path
+    _made[-1].append(out)
     return out
 
 
+#: What :func:`stored` and :func:`kept` made and nothing has discarded yet, a list for each :func:`lasting` that is under way.
+_made: list[list[DataFrame]] = [[]]
+
+
 def discard(*tables: DataFrame) -> None:
     """Drop what :func:`stored` wrote or :func:`kept` holds, once nothing reads it any more."""
     for df in tables:
@@ -78,6 +88,21 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
         else:
             df.unpersist()
+        for made in _made:
+            made[:] = [x for x in made if x is not df]
+
+
+def lasting(make: Callable[[], DataFrame]) -> DataFrame:
+    """The result of ``make``, stored, without the intermediate tables that it went through."""
+    _made.append([])
+    try:
+        out = stored(make())
+        _made[-1] = [x for x in _made[-1] if x is not out]
+        discard(*_made[-1])
+    finally:
+        _made.pop()
+    _made[-1].append(out)
+    return out
 
 
 def ascii_lower(text):
