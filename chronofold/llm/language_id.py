@@ -8,7 +8,9 @@ it. The language with the smallest sum is the prediction.
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,16 +19,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import lean
+from chronofold.llm.common import free_name, lean
 
 UNKNOWN = "und"
-_OTHER = re.compile(r"[\W\d_]+")
+
+
+@functools.cache
+def _other() -> re.Pattern:
+    """Runs of what isn't a letter: all but word characters, and of these digits, other numerals and the underscore."""
+    numerals = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha()]
+    return re.compile(f"[\\W_{''.join(numerals)}]+")
+
+
 _BITS = 21  # of a code point
 
 
 def grams(text: str) -> np.ndarray:
     """Codes of all 1-, 2- and 3-grams of a text: lower-cased, letters only, one space between words and at both ends."""
-    clean = _OTHER.sub(" ", text.lower()).strip()
+    clean = _other().sub(" ", text.lower()).strip()
     if not clean:
         return np.zeros(0, np.uint64)
     x = np.frombuffer(f" {clean} ".encode("utf-32-le"), "<u4").astype(np.uint64)
@@ -69,25 +79,32 @@ class Profiles:
         return self.langs[best], max(0.0, 1.0 - float(cost[best]) / (self.most * len(mine)))
 
 
-def sample_of_each(rows: DataFrame, lang: str, key: str, per_lang: int, langs: int) -> DataFrame:
-    """Up to ``per_lang`` rows of each of the ``langs`` most frequent languages, those of smallest hash of the key."""
-    frequent = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(langs).select(lang)
-    order = W.partitionBy(lang).orderBy(F.xxhash64(key), key)
-    return rows.join(F.broadcast(frequent), lang).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_lang).drop("_r")
+def sample_of_each(rows: DataFrame, lang: str, key: str, per_lang: int) -> DataFrame:
+    """(lang, key): up to ``per_lang`` rows of each language, those of smallest hash of the key.
+
+    A language's rows are first thinned by their hashes to about twice as many
+    as are asked for, so that no task ranks all rows of a frequent one.
+    """
+    h = F.xxhash64(key)
+    share = F.col("n").cast("double")
+    counts = rows.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n"))
+    near = rows.select(lang, key, h.alias("h")).join(counts, F.col(lang) == F.col("l")).where((F.col("h") / F.lit(2.0**64) + 0.5) * share <= 2.0 * per_lang)
+    return near.withColumn("r", F.row_number().over(W.partitionBy(lang).orderBy("h", key))).where(F.col("r") <= per_lang).select(lang, key)
 
 
-def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", most: int = 400, per_lang: int = 500, langs: int = 200) -> Profiles:
+def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", most: int = 400, per_lang: int = 500) -> Profiles:
     """Profiles of all languages in column ``lang``.
 
-    Learns from a bounded sample: at most ``per_lang`` rows with text and label
-    of each language, whichever have the smallest hashes of ``key``, and at
-    most ``langs`` languages, the most frequent. Each text has the same weight
-    in a profile. Executors return the ``most`` n-grams of each language and
-    task, so the driver gets a bounded number of rows.
+    Learns every language there is, from a bounded sample: at most ``per_lang``
+    rows with text and label of each, whichever have the smallest hashes of
+    ``key``; of rows that share a key those with the smallest hashes of their
+    text, also at most ``per_lang``. Each text has the same weight in a
+    profile. The driver gets ``most`` n-grams of each language.
     """
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
-    chosen = sample_of_each(labelled.select(lang, key), lang, key, per_lang, langs).select(F.col(key)).distinct()
-    texts = labelled.join(F.broadcast(chosen), key, "left_semi").select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.col(text).alias("text"))
+    chosen = sample_of_each(labelled.select("lang", "key"), "lang", "key", per_lang).distinct()
+    order = W.partitionBy("lang").orderBy(F.xxhash64("key"), "key", F.xxhash64("text"))
+    texts = labelled.join(chosen, ["lang", "key"], "left_semi").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang).select("lang", "text")
 
     @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +137,7 @@ def identify(docs: DataFrame, profiles: Profiles, *, text: str = "text", lang_in
     The whole text counts. Null texts and texts without a letter get ``und``
     and 0, and so does everything if no profile was learned. Rows are neither
     merged nor dropped, ties go to the language that sorts first, and columns
-    of the two names are replaced.
+    of the two names, in upper or lower case, are replaced.
     """
 
     @F.arrow_udf(f"{lang_into} string, {score_into} double")
@@ -130,9 +147,10 @@ def identify(docs: DataFrame, profiles: Profiles, *, text: str = "text", lang_in
             found = [profiles.predict(t.as_py()) for t in batch]
             yield pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [lang_into, score_into])
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (lang_into, score_into)]
-    guessed = docs.select(*kept, predict(F.col(text).cast("string")).alias("_guess"))
-    return guessed.select(*kept, f"_guess.{lang_into}", f"_guess.{score_into}")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in (lang_into.lower(), score_into.lower())]
+    guess = free_name(docs, "guess")
+    guessed = docs.select(*kept, predict(F.col(text).cast("string")).alias(guess))
+    return guessed.select(*kept, f"{guess}.{lang_into}", f"{guess}.{score_into}")
 
 
 def held_out(doc_id: str = "doc_id"):
