@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 START = "start"
@@ -76,41 +77,28 @@ def format_chats(turns: DataFrame, template: Template | None = None) -> DataFram
     """
     t = template or Template()
     text, role = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("role").cast("string"), F.lit(""))
-    head = F.concat(F.lit(t.opening), _escape(role, _ROLE), F.lit(t.after_role))
-    body = _escape(text, _TEXT)
-    rows = turns.select("conv_id", F.struct(F.col("turn"), role.alias("role"), head.alias("head"), body.alias("body")).alias("t"))
-    held = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    machine = F.aggregate("t", F.lit(START), lambda state, x: _next_state(t, state, x.role))
-    pieces = F.flatten(
-        F.transform(
-            "t",
-            lambda x: F.array(
-                F.struct(F.length(x.head).alias("length"), F.lit(False).alias("loss")),
-                F.struct(F.length(x.body).alias("length"), x.role.isin(*t.loss_roles).alias("loss")),
-                F.struct(F.lit(len(t.closing)).alias("length"), F.lit(False).alias("loss")),
-            ),
-        )
-    )
-    ends = F.aggregate(
-        F.sequence(F.lit(0), F.size("pieces") - 1),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("list")),
-        lambda s, k: F.struct((s["at"] + F.get("pieces", k)["length"]).alias("at"), F.concat(s["list"], F.lit(","), s["at"].cast("string")).alias("list")),
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text")).select(
+        "*", F.concat(F.lit(t.opening), _escape(F.col("role"), _ROLE), F.lit(t.after_role)).alias("head"), _escape(F.col("text"), _TEXT).alias("body")
     )
-    out = held.select(
+    # Where a turn begins is summed up in a window: folded over an array it would copy what it has with each turn.
+    order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
+    size = F.length("head") + F.length("body") + len(t.closing)
+    placed = rows.select("conv_id", "role", "head", "body", F.row_number().over(order).alias("k"), F.coalesce(F.sum(size).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int").alias("at"))
+    held = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("k", "at", "role", "head", "body"))).alias("t"))
+    machine = F.aggregate("t", F.lit(START), lambda state, x: _next_state(t, state, x.role))
+    piece = lambda start, length, loss: F.struct(start.alias("start"), length.alias("length"), loss.alias("loss"))
+
+    def pieces(x: Column) -> Column:
+        head, body = F.length(x.head), F.length(x.body)
+        return F.array(piece(x.at, head, F.lit(False)), piece(x.at + head, body, x.role.isin(*t.loss_roles)), piece(x.at + head + body, F.lit(len(t.closing)), F.lit(False)))
+
+    return held.select(
         "conv_id",
         F.size("t").cast("long").alias("n_turns"),
         F.array_join(F.transform("t", lambda x: F.concat(x.head, x.body, F.lit(t.closing))), "").alias("formatted"),
+        F.flatten(F.transform("t", pieces)).alias("segments"),
         machine.alias("final_state"),
-        pieces.alias("pieces"),
-    )
-    return out.select(
-        "conv_id",
-        "n_turns",
-        "formatted",
-        F.zip_with(F.slice(F.split(ends["list"], ","), 2, F.size("pieces")), "pieces", lambda at, p: F.struct(at.cast("int").alias("start"), p["length"].alias("length"), p["loss"].alias("loss"))).alias("segments"),
-        "final_state",
-        F.col("final_state").isin(*t.accepting).alias("valid"),
-    )
+    ).withColumn("valid", F.col("final_state").isin(*t.accepting))
 
 
 def read_turns(formatted: Column, template: Template | None = None) -> Column:
