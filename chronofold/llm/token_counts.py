@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,38 +14,23 @@ from chronofold.llm import tokens
 from chronofold.llm.common import lean
 
 
-def count_batch(texts: list[str | None], path: str, batch_bytes: int, segment_chars: int) -> list[int]:
-    """Counts of a list of texts, encoded in batches of about ``batch_bytes``."""
-    encode = tokens.tokenizer(path).encode_batch_fast
-    counts = [0] * len(texts)
-    held: list[str] = []
-    owner: list[int] = []
-    size = 0
+def runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours of about ``most`` bytes together, one at least."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, to
+        at = to
 
-    def flush() -> None:
-        for i, e in zip(owner, encode(held, add_special_tokens=False), strict=True):
-            counts[i] += len(e)
-        held.clear()
-        owner.clear()
 
-    for i, text in enumerate(texts):
-        for piece in tokens.segments(text or "", segment_chars):
-            held.append(piece)
-            owner.append(i)
-            size += len(piece)
-            if size >= batch_bytes:
-                flush()
-                size = 0
-    flush()
-    return counts
-
-
-def token_counts(docs: DataFrame, *, text: str = "text", into: str = "n_tokens", path: str | None = None, batch_bytes: int = 1 << 18, segment_chars: int = 1 << 13) -> DataFrame:
+def token_counts(docs: DataFrame, *, text: str = "text", into: str = "n_tokens", path: str | None = None, batch_bytes: int = 1 << 22) -> DataFrame:
     """``docs`` with the number of tokens of ``text`` in column ``into``.
 
-    Only lengths leave the Arrow function. Texts longer than ``segment_chars``
-    are cut where the tokenizer would cut too, at a space after something that
-    isn't white space; a text without such a place stays whole. Null and empty
+    Only lengths leave the Arrow function. Texts go in batches of about
+    ``batch_bytes``. Each is cut where the tokenizer would cut too, at a space
+    after something that isn't white space; a text without such a place stays
+    whole. The distinct segments of a batch are encoded together, and their
+    lengths are kept for later batches and summed up by text. Null and empty
     texts count 0. Rows are neither merged nor dropped: repeated rows, null ids
     and an empty table come out as they went in. A column ``into`` that is
     already there is replaced; other columns pass unread.
@@ -54,7 +41,10 @@ def token_counts(docs: DataFrame, *, text: str = "text", into: str = "n_tokens",
     @lean
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array(count_batch(batch.to_pylist(), path, batch_bytes, segment_chars), pa.int64())
+            lengths = tokens.encoder(path).lengths
+            sizes = pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            counts = [lengths(batch[at:to]) for at, to in runs(sizes, batch_bytes)]
+            yield pa.array(np.concatenate([np.zeros(0, np.int64), *counts]))
 
     return docs.withColumn(into, count(F.col(text).cast("string")))
 

@@ -6,7 +6,7 @@ import functools
 import os
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,20 +41,6 @@ def parts(text: str) -> list[str]:
     return _SAFE.split(text) if _SPACED.search(text) else text.split(" ")
 
 
-def segments(text: str, most: int) -> Iterator[str]:
-    """Text in pieces of about ``most`` characters that encode alone as they do together."""
-    at = 0
-    while len(text) - at > most:
-        cut = text.find(" ", at + most)
-        while cut > 0 and text[cut - 1].isspace():
-            cut = text.find(" ", cut + 1)
-        if cut < 0:
-            break
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
-
-
 #: White space before a space, in the widest sense: there Arrow's split isn't safe.
 _SPACED_RE2 = r"[\s\x0b\x1c-\x1f\x{85}\x{180e}\p{Z}] "
 #: A word of letters and what may follow it; the pre-tokenizer cuts between the two.
@@ -110,17 +96,21 @@ class Encoder:
                     self[part] = out
                 return out
 
-        self._ids, self._kept = ids, Kept()
+        self._ids, self._kept, self._keep, self._encode = ids, Kept(), keep, encode
+        self._lengths: dict[str, int] = {}
 
     def one(self, text: str) -> bytes:
         """The ids of one text as bytes."""
         first, *rest = parts(text)
         return self._ids(first) + b"".join(map(self._kept.__getitem__, rest))
 
-    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts (null: empty) one after another, and where each text begins; the last entry is their number."""
+    def _split(self, texts: pa.Array) -> tuple[list[str], np.ndarray, list[str], np.ndarray, dict[int, str]]:
+        """Texts cut at safe spaces by Arrow: the distinct pieces after a space, the codes of all pieces, each text's first piece and where it stands, and the texts that Arrow's split isn't safe for.
+
+        The code of a first piece is the number of distinct pieces and the place of its text; a text that isn't split has an empty one.
+        """
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = {i: self.one(texts[i].as_py()) for i in np.flatnonzero(pc.match_substring_regex(texts, _SPACED_RE2).to_numpy(zero_copy_only=False))}
+        odd = {int(i): texts[i].as_py() for i in np.flatnonzero(pc.match_substring_regex(texts, _SPACED_RE2).to_numpy(zero_copy_only=False))}
         if odd:
             mask = np.zeros(len(texts), bool)
             mask[list(odd)] = True
@@ -133,6 +123,38 @@ class Encoder:
         codes, known = np.array(coded.indices, np.int64), coded.dictionary.to_pylist()
         firsts = words.take(pa.array(starts[:-1])).to_pylist()
         codes[starts[:-1]] = len(known) + np.arange(len(texts))  # no space before these
+        return known, codes, firsts, starts, odd
+
+    def lengths(self, texts: pa.Array) -> np.ndarray:
+        """How many ids each text (null: empty) has."""
+        if not len(texts):
+            return np.zeros(0, np.int64)
+        known, codes, firsts, starts, odd = self._split(texts)
+        spaced = [f" {w}" for w in known]
+        whole = {i: self._cut(t) for i, t in odd.items()}
+        table = self._known_lengths(w for part in (spaced, firsts, *whole.values()) for w in part)
+        length = np.array([*(table[w] for w in spaced), *(sum(table[w] for w in whole[i]) if i in whole else table[w] for i, w in enumerate(firsts))], np.int64)
+        return np.add.reduceat(length[codes], starts[:-1])
+
+    def _cut(self, text: str) -> list[str]:
+        first, *rest = parts(text)
+        return [first, *(f" {w}" for w in rest)]
+
+    def _known_lengths(self, pieces: Iterable[str]) -> dict[str, int]:
+        """The table of lengths with all of these pieces; those it lacks are encoded together."""
+        wanted = set(pieces)
+        if len(self._lengths) > self._keep:
+            self._lengths = {"": 0}
+        fresh = list(wanted.difference(self._lengths))
+        for at in range(0, len(fresh), 10_000):
+            part = fresh[at : at + 10_000]
+            self._lengths.update(zip(part, map(len, self._encode(part, add_special_tokens=False)), strict=True))
+        return self._lengths
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: empty) one after another, and where each text begins; the last entry is their number."""
+        known, codes, firsts, starts, odd = self._split(texts)
+        odd = {i: self.one(t) for i, t in odd.items()}
         entries = [*map(self._kept.__getitem__, known), *(odd[i] if i in odd else self._ids(w) if w else b"" for i, w in enumerate(firsts))]
         length = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
         begin = np.cumsum(length) - length
