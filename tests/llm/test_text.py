@@ -65,6 +65,28 @@ def test_distance_is_the_plain_one():
     assert p.predict(None) == p.predict("12 !?") == ("und", 0.0)
 
 
+def test_numerals_are_no_letters(spark):
+    p = language_id.fit(spark.createDataFrame([(1, "abc def", "en"), (2, "uvw xyz", "de")], "doc_id long, text string, lang string"))
+    assert [p.predict(t)[0] for t in ("½ ²", "Ⅻ ①", "٣", "_", "½ a")] == ["und"] * 4 + ["en"]
+
+
+def test_every_language_is_learned_and_rows_are_bounded(spark):
+    rows = [(k, f"w{chr(97 + k % 26)}{chr(97 + k // 26)} zq", f"l{k}") for k in range(260)] + [(1000, f"same id {k} {'abcdefghij'[k % 10] * 3}", "x") for k in range(50)] + [(2000 + k, "plain words", "x") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    p = language_id.fit(docs, per_lang=5)
+    assert len(p.langs) == 261
+    picked = language_id.sample_of_each(docs.where("lang = 'x'"), "lang", "doc_id", 5).collect()
+    assert 1 <= len(picked) <= 5
+
+
+def test_columns_of_names_that_the_operators_use(spark):
+    docs = spark.createDataFrame([(1, "abc def under the MIT license", "en", "k", "k", "k", "k")], "doc_id long, text string, lang string, _guess string, _seen string, guess string, Seen string")
+    out = language_id.identify(docs, language_id.fit(docs), lang_into="LANG")
+    assert out.columns == ["doc_id", "text", "_guess", "_seen", "guess", "Seen", "LANG", "score"] and out.first()._guess == "k"
+    seen = license_scan.scan(docs)
+    assert seen.columns == [*docs.columns, "n_words", "detections"] and seen.first().Seen == "k"
+
+
 def test_languages_of_odd_rows(odd_docs, no_docs):
     profiles = language_id.fit(odd_docs)
     out = language_id.identify(odd_docs, profiles)
@@ -90,7 +112,12 @@ def test_op7_base_places(spark):
 
 LICENSES = {
     "Released under the MIT License.": {"mit"}, "SPDX-License-Identifier: GPL-2.0-only": {"gpl-2"}, "the GNU Lesser General Public License version 2.1": {"lgpl-2.1"}, "CC BY-NC-SA 4.0": {"cc-by-nc", "cc-by-nc-sa"},
-    "a general commitment to the public": set(), "GPLv3 or later; All rights reserved.": {"gpl-3", "all-rights-reserved"}, "BSD 3-Clause License": {"bsd-3"},
+    "a general commitment to the public": set(),
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software)": {"mit"},
+    "Redistribution and use in source and binary forms, with or without modification, are permitted. Neither the name of the Example Project nor the names of its contributors may be used to endorse or promote products derived from this software": {"bsd", "bsd-3"},
+    "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License": {"gpl-3"},
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": {"mpl-2"}, "see https://www.apache.org/licenses/LICENSE-2.0 there": {"apache-2"},
+    "GPLv3 or later; All rights reserved.": {"gpl-3", "all-rights-reserved"}, "BSD 3-Clause License": {"bsd-3"},
 }
 
 
@@ -101,7 +128,38 @@ def test_license_rules(text):
 
 
 def test_there_are_hundreds_of_rules():
-    assert len(license_scan.rules()) > 300 and all(r.keyword in f" {r.pattern} " or r.keyword == "spdx" or r.pattern for r in license_scan.rules())
+    rules = license_scan.rules()
+    assert len(rules) > 300 and len({r.pattern for r in rules if not r.base}) == len(rules) - 3
+
+
+def test_containment_is_the_plain_one():
+    rng = __import__("random").Random(3)
+    for _ in range(200):
+        spans = [(a, a + rng.randint(0, 9)) for a in (rng.randint(0, 40) for _ in range(rng.randint(1, 30)))]
+        tree, held = license_scan.Containment([a for a, _ in spans]), []
+        for a, b in spans:
+            assert tree.holds(a, b) == any(x <= a and b <= y for x, y in held)
+            if rng.random() < 0.5:
+                tree.add(a, b)
+                held.append((a, b))
+
+
+def test_op7_equals_a_plain_scan(spark):
+    """All patterns on all texts, without keywords; of what is found the plain containment decides."""
+    import re
+
+    rules = [(k, r, re.compile(rf"(?<!\S)(?:{r.pattern})(?!\S)")) for k, r in enumerate(license_scan.rules())]
+    got = {r.doc_id: r for r in license_scan.op7_license_scan(spark, SF).collect()}
+    for doc_id, text in (tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()):
+        joined = " ".join(brute.words(text))
+        found = [(-r.priority, -(m.end() - m.start()), k, m.start(), m.end(), r) for k, r, p in rules for m in p.finditer(joined)]
+        words = lambda x: (joined[x[3] : x[4]].count(" ") + 1)
+        kept = []
+        for x in sorted(found, key=lambda x: (x[0], -words(x), x[2], x[3])):
+            if x[5].base or not any(y[3] <= x[3] and x[4] <= y[4] for y in kept if not y[5].base):
+                kept.append(x)
+        assert got[doc_id].labels == ",".join(sorted({x[5].label for x in kept})), text[:200]
+        assert got[doc_id].score == max((x[5].priority / 100 for x in kept), default=0.0)
 
 
 def test_licenses_of_odd_rows(odd_docs, no_docs):
@@ -134,3 +192,11 @@ def test_chats_come_back(spark):
         assert [s.start for s in r.segments][1:] == [s.start + s.length for s in r.segments][:-1]
         assert r.segments[-1].start + r.segments[-1].length == len(r.formatted)
     assert chat_format.format_chats(turns.where("false")).count() == 0
+
+
+def test_ties_go_by_the_text_itself(spark):
+    """Escaped, the first text sorts after the second."""
+    rows = [(1, 0, "user", t) for t in ("<z", "<|", "0", "&", "&a", "A")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat_format.format_chats(turns)
+    assert [t.text for t in out.select(chat_format.read_turns(out.formatted).alias("t")).first().t] == sorted(r[3] for r in rows)

@@ -28,8 +28,9 @@ def test_pieces_encode_as_whole_texts():
         for at, ids, begin in small.batches(pa.array(texts, pa.string()), most):
             for k in range(len(begin) - 1):
                 assert ids[begin[k] : begin[k + 1]].tolist() == ids_of(texts[at + k]), texts[at + k]
-    assert token_counts.count_batch(texts, PATH, 100, 3) == [len(ids_of(t)) for t in texts]
-    assert "".join(tokens.segments("ab cd  ef gh", 2)) == "ab cd  ef gh"
+    assert small.lengths(pa.array(texts, pa.string())).tolist() == [len(ids_of(t)) for t in texts]
+    assert [small.lengths(pa.array([t], pa.string())).tolist() for t in texts[:200]] == [[len(ids_of(t))] for t in texts[:200]]
+    assert list(token_counts.runs(np.array([3, 3, 9, 1, 1, 1]), 6)) == [(0, 2), (2, 3), (3, 6)]
 
 
 def test_op2(spark):
