@@ -21,6 +21,7 @@ overlap of a pair from above, so that few pairs remain to be verified.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,15 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import discard, lean, stored
+from chronofold.llm.common import bounded, discard, lean, stored
 
 K = 64
 #: Per cent by which an estimate may fall short of the similarity: six standard deviations for k = 64 at 80 per cent.
 SLACK = 30
 #: Lists up to this length yield all their pairs, a bounded number for each member.
 SHORT = 16
-#: Rows of three longs or fewer that are broadcast, counted; more are joined by a shuffle.
-BROADCAST_ROWS = 400_000
+#: Logarithm of the ratio of two neighbouring classes of sizes.
+SIZE_STEP = math.log(1.02)
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -100,11 +101,6 @@ def sets_of(docs: DataFrame, doc_id: str, text: str, width: int, wanted: DataFra
     return rows.join(bounded(wanted), "doc_id").select("doc_id", full("text", "d1", "d2").alias("full")).where(F.size("full") > 0)
 
 
-def bounded(rows: DataFrame) -> DataFrame:
-    """``rows``, a stored table of few columns, to be broadcast if they are few enough; otherwise joins shuffle."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-
 def similar(shared, n_a, n_b, percent: int):
     """100 * intersection >= percent * union, by the sizes of the intersection and the sets."""
     return (100 + percent) * shared >= percent * (n_a + n_b)
@@ -168,26 +164,40 @@ def open_members(lists: DataFrame, label: DataFrame) -> DataFrame:
     return labelled.join(several, "v", "left_semi").select("doc_id", "label").distinct()
 
 
-def open_pairs(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+def open_pairs(members: DataFrame, full: DataFrame, percent: int, every: bool = False) -> DataFrame:
     """Pairs (a, b) of (doc_id, label) members with different labels that may be similar.
 
     All shingles of these documents are ranked from the rarest among them to
     the most frequent. Similar sets have their first common shingle within
-    their prefixes, and what follows it bounds their overlap. For each shingle
-    the component with most members isn't paired with itself.
+    their prefixes, and what follows it bounds their overlap: the set of an
+    entry that has ``u`` shingles from its place on can be similar to sets of
+    at most ``most`` = (100 + percent) * u / percent - n shingles. Entries that
+    no other of their list can go with are left out before anything is paired,
+    and the others meet those of their range of sizes alone. For each shingle
+    the component with most members isn't paired with itself. With ``every``
+    the rows are all pairs that meet, for tests.
     """
     entries = full.join(members, "doc_id").select("doc_id", "label", F.size("full").alias("n"), F.explode("full").alias("h"))
     frequency = entries.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
     by_doc = W.partitionBy("doc_id")
     shared = entries.join(frequency, "h").withColumn("alone", F.col("n") - F.count("*").over(by_doc)).withColumn("at", F.col("alone") + F.row_number().over(by_doc.orderBy("f", "h")) - 1)
-    prefix = stored(shared.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).select("h", "doc_id", "label", "n", "at"))
-    by_label = prefix.groupBy("h", "label").agg(F.count("*").alias("c"))
-    largest = by_label.groupBy("h").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("h", F.col("m.label").alias("largest"))
-    a = prefix.join(largest, "h").where("label <> largest").select("h", "largest", *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "label", "n", "at")))
-    b = prefix.select("h", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "label", "n", "at")))
-    most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    most = F.floor((100 + percent) * (F.col("n") - F.col("at")) / percent - F.col("n"))
+    prefix = stored(shared.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).select("h", "doc_id", "label", "n", most.cast("int").alias("most")))
+    by_label = prefix.groupBy("h", "label").agg(F.count("*").alias("c"), F.min("n").alias("least_n"), F.max("most").alias("most"))
+    lists = by_label.groupBy("h").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("labels"), F.min("least_n").alias("least_n"), F.max("most").alias("largest_most")).where("labels > 1")
+    alive = stored(prefix.join(lists.select("h", F.col("m.label").alias("largest"), "least_n", "largest_most"), "h").where("most >= least_n and n <= largest_most").drop("least_n", "largest_most"))
+    discard(prefix)
+    size_class = lambda n: F.floor(F.log(n.cast("double")) / F.lit(SIZE_STEP)).cast("int")
+    n = F.col("n")
+    low, high = F.ceil(n * percent / 100), F.least(F.col("most"), F.floor(n * 100 / percent))
+    a = alive.where((F.col("label") != F.col("largest")) & (high >= low)).select("h", "largest", *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "label", "n", "most")), F.explode(F.sequence(size_class(low), size_class(high))).alias("k"))
+    b = alive.select("h", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "label", "n", "most")), size_class(n).alias("k"))
     once = (F.col("label_b") == F.col("largest")) | (F.col("doc_id_a") < F.col("doc_id_b"))
-    met = a.join(b, (a.h == b.h) & (F.col("label_a") != F.col("label_b")) & once & similar(most, F.col("n_a"), F.col("n_b"), percent) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
+    met = a.join(b, ["h", "k"])
+    if every:
+        return met
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    met = met.where((F.col("label_a") != F.col("label_b")) & once & (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b")) & sizes)
     return met.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
 
 
@@ -220,7 +230,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """A row per document: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when their sets of distinct shingles of ``width``
-    words have 100 * intersection >= percent * union. ``component_id`` is the
+    words have 100 * intersection >= percent * union; shingles are compared by
+    hashes of 63 bits. ``component_id`` is the
     smallest doc_id of all that are reachable, ``kept`` says that it is the
     document's own.
 
