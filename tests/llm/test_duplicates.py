@@ -38,6 +38,25 @@ def test_a_large_group_with_members_that_miss_the_hub(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def test_templates_are_not_compared_pair_by_pair(spark):
+    """Pages with a common frame that are too different: what is paired grows with their number and not with its square."""
+    import random
+
+    frame = prose(1, 87).split()
+    pairs = []
+    for n in (300, 600, 1200):
+        rng = random.Random(n)
+        rows = [(k, " ".join([*(f"own{k}x{j}" if rng.random() < 0.7 else f"pool{rng.randrange(60)}" for j in range(rng.randint(19, 24))), *frame]), "en", "s", 1) for k in range(n)]
+        docs = spark.createDataFrame(rows, SCHEMA)
+        sketched = near_dedup.sketches(docs, "doc_id", "text", 2).select("doc_id", "d1", "d2", near_dedup.F.col("doc_id").alias("label")).cache()
+        full = near_dedup.sets_of(docs, "doc_id", "text", 2, sketched.select("doc_id", "d1", "d2"))
+        pairs.append(near_dedup.open_pairs(sketched.select("doc_id", "label"), full, 80, every=True).count())
+    assert pairs[2] <= 12 * 1200 and pairs[2] <= 5 * max(pairs[0], 100), pairs
+    want = brute.near_groups([(r[0], r[1]) for r in rows[:300]], 2)
+    got = near_dedup.near_duplicates(docs.where("doc_id < 300"), width=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     rows = near_dedup.near_duplicates(odd_docs, width=2).collect()
     assert len(rows) == 15
@@ -78,6 +97,49 @@ def test_planted_passages(spark):
     assert cut[3].split() == f"{prose(203, 21)} {prose(303, 39)}".split()
 
 
+def test_rows_that_share_an_id_are_cut_by_their_own_spans(spark):
+    passage = prose(77, 60)
+    rows = [(1, f"{passage} {prose(1, 30)}", "en", "s", 1), (2, f"{prose(2, 40)} {passage}", "en", "s", 1), (2, f"{passage} {prose(3, 40)}", "en", "s", 1), (2, prose(4, 150), "en", "s", 1), (3, f"{prose(5, 60)} {prose(6, 20)}", "en", "s", 1), (3, f"{prose(5, 60)} {prose(7, 20)}", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r.doc_id, r.start_word, r.end_word, r.first) for r in suffix_dedup.repeated_spans(docs).collect())
+    assert got == [(1, 0, 60, True), (2, 0, 60, False), (2, 40, 100, False)]
+    cut = sorted((r.doc_id, " ".join(r.text.split())) for r in suffix_dedup.drop_repeats(docs).collect())
+    assert cut == sorted([(1, rows[0][1]), (2, prose(2, 40)), (2, prose(3, 40)), (2, rows[3][1]), (3, rows[4][1]), (3, rows[5][1])])
+
+
+@pytest.mark.parametrize(("partitions", "batch"), [(1, 10_000), (1, 3), (7, 10_000), (7, 5), (40, 10_000), (40, 2)])
+def test_neighbours_across_the_borders_of_ranges(spark, partitions, batch):
+    """Every suffix whose first words another document has, and no other, wherever the array is cut."""
+    import random
+
+    rng = random.Random(partitions)
+    rows = [(bytes([97 + rng.choice([0, 0, 0, 0, rng.randrange(26)])]), rng.randrange(6), 0, k) for k in range(300)] + [(b"zz", 3, 0, k) for k in range(50)] + [(b"zzz", 4, 0, 1)]
+    docs = {}
+    for start, doc, _, _ in rows:
+        docs.setdefault(start, set()).add(doc)
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = suffix_dedup.neighbours(spark.createDataFrame(rows, "start binary, doc_id long, mark int, at int")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sorted(tuple(r) for r in got) == sorted((d, m, a) for start, d, m, a in rows if len(docs[start]) > 1)
+
+
+def test_a_neighbour_with_the_longer_end_hides_no_repeat(spark):
+    """Of three suffixes the middle one of the array shares less to the left than the outer two share with each other."""
+    rows = []
+    for k in range(12):
+        a, right = prose(500 + k, 35), prose(600 + k, 40)
+        tails = sorted(prose(700 + 10 * k + j, 30) for j in range(3))
+        rows += [(10 * k, f"{a} {right} {tails[0]}", "en", "s", 1), (10 * k + 1, f"{prose(800 + k, 35)} {right} {tails[1]}", "en", "s", 1), (10 * k + 2, f"{a} {right} {tails[2]}", "en", "s", 1)]
+    got = brute.covered(suffix_dedup.repeated_spans(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == {i: x for i, x in brute.repeats([(r[0], r[1]) for r in rows])[0].items() if x}
+
+
 def test_repeats_of_odd_rows(odd_docs, no_docs):
     rows = suffix_dedup.repeated_spans(odd_docs).collect()
     assert {(r.doc_id, r.start_word, r.end_word, r.first) for r in rows} == {(0, 0, 120, True), (1, 0, 120, False), (5, 0, 30_000, True), (6, 0, 30_000, False)}
