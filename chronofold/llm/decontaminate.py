@@ -4,8 +4,13 @@ Each window of an item has a rarest word, its pivot. The index stores the
 postings (document, position) of the pivots over the whole corpus; a posting,
 moved back by the pivot's place in the item, is where the item would stand.
 There the neighbouring words are intersected with the item's, outwards from
-the pivot; the index keeps them beside each posting. Runs of a window's length are exact phrase matches; the share of
+the pivot. Runs of a window's length are exact phrase matches; the share of
 equal words around the pivot gives proximity matches.
+
+The lists of the other words aren't read one by one: the index keeps the words
+around a posting beside it, which are the entries of those lists that can meet
+it. Lists of their own would have the benchmark's frequent words too, which is
+most of the corpus, shuffled by document and position.
 """
 
 from __future__ import annotations
@@ -121,23 +126,22 @@ def contamination(found: DataFrame) -> DataFrame:
     (ids as strings, sorted), near_items. Rows that share a doc_id count as one
     document that has the words of the longest and the hits of all.
     """
-    exact = F.col("exact") & F.col("item_id").isNotNull()
-    by_doc = found.groupBy("doc_id").agg(
+    hit, item = F.col("exact"), F.col("item_id").cast("string")
+    rows = found.select("doc_id", "n_words", F.when(hit, F.col("first")).alias("first"), F.when(hit, F.col("last")).alias("last"), F.when(hit, item).alias("item"), F.when(~hit, item).alias("near_item"))
+    order = W.partitionBy("doc_id").orderBy("first", "last")
+    reached = F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1))
+    opens = F.col("first").isNotNull() & (reached.isNull() | (F.col("first") > reached + 1))
+    spans = rows.withColumn("opens", opens.cast("int")).withColumn("span", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    by_span = spans.groupBy("doc_id", "span").agg(F.max("n_words").alias("n_words"), F.min("first").alias("first"), F.max("last").alias("last"), F.collect_set("item").alias("items"), F.collect_set("near_item").alias("near_items"))
+    together = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    by_doc = by_span.groupBy("doc_id").agg(
         F.max("n_words").alias("n_words"),
-        F.array_sort(F.collect_set(F.when(F.col("exact"), F.struct("first", "last")))).alias("spans"),
-        F.array_sort(F.collect_set(F.when(exact, F.col("item_id").cast("string")))).alias("items"),
-        F.array_sort(F.collect_set(F.when(~F.col("exact"), F.col("item_id").cast("string")))).alias("near_items"),
-    )
-    merged = F.aggregate(
-        "spans",
-        F.expr("cast(array() as array<struct<first:int,last:int>>)"),
-        lambda done, s: F.when(
-            (F.size(done) > 0) & (s["first"] <= F.get(done, F.size(done) - 1)["last"] + 1),
-            F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(F.get(done, F.size(done) - 1)["first"].alias("first"), F.greatest(F.get(done, F.size(done) - 1)["last"], s["last"]).alias("last")))),
-        ).otherwise(F.concat(done, F.array(s))),
+        F.array_sort(F.collect_list(F.when(F.col("first").isNotNull(), F.struct("first", "last")))).alias("hits"),
+        F.coalesce(F.sum(F.col("last") - F.col("first") + 1), F.lit(0)).cast("long").alias("n_hit"),
+        together("items"),
+        together("near_items"),
     )
-    hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
-    return by_doc.select("doc_id", "n_words", "items", F.array_except("near_items", "items").alias("near_items"), merged.alias("hits")).withColumn("n_hit", hit)
+    return by_doc.select("doc_id", "n_words", "items", F.array_except("near_items", "items").alias("near_items"), "hits", "n_hit")
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:
