@@ -8,9 +8,7 @@ it. The language with the smallest sum is the prediction.
 
 from __future__ import annotations
 
-import functools
 import re
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,19 +22,15 @@ from chronofold.llm.common import free_name, lean
 UNKNOWN = "und"
 
 
-@functools.cache
-def _other() -> re.Pattern:
-    """Runs of what isn't a letter: all but word characters, and of these digits, other numerals and the underscore."""
-    numerals = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha()]
-    return re.compile(f"[\\W_{''.join(numerals)}]+")
-
-
+_OTHER = re.compile(r"[\W\d_]+")
 _BITS = 21  # of a code point
 
 
 def grams(text: str) -> np.ndarray:
     """Codes of all 1-, 2- and 3-grams of a text: lower-cased, letters only, one space between words and at both ends."""
-    clean = _other().sub(" ", text.lower()).strip()
+    clean = _OTHER.sub(" ", text.lower()).strip()
+    if not clean.replace(" ", "").isalpha():  # numerals that aren't digits
+        clean = " ".join("".join(c if c.isalpha() else " " for c in clean).split())
     if not clean:
         return np.zeros(0, np.uint64)
     x = np.frombuffer(f" {clean} ".encode("utf-32-le"), "<u4").astype(np.uint64)
