@@ -101,27 +101,18 @@ def day_key(ts: Column | str, offset: Column | str | None = None) -> Column:
     return F.floor((c(ts) + shift) / 86400).cast("bigint")
 
 
-_COMPACT = r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})(Z|[+-]\d{4})?$"
-_EXTENDED = r"^(\d{4})-(\d{2})-(\d{2})[T ](\d{2}):(\d{2})(?::(\d{2})(?:\.\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})?$"
+#: A zone at the end of a timestamp.
+_ZONE = r"(Z|[+-][0-9]{2}:?[0-9]{2})$"
+#: Lengths of the wall time without zone and fraction, with the pattern that reads them.
+_WALLS = {15: "yyyyMMdd'T'HHmmss", 16: "yyyy-MM-dd'T'HH:mm", 19: "yyyy-MM-dd'T'HH:mm:ss"}
 
 
 def _zone(text: Column) -> Column:
-    """Seconds of Z, +hh:mm or +hhmm; 0 for nothing, null beyond fourteen hours."""
-    digits = F.regexp_replace(text, "[:+-]", "")
-    hours, minutes = F.substring(digits, 1, 2).try_cast("int"), F.substring(digits, 3, 2).try_cast("int")
-    size = hours * 3600 + minutes * 60
-    signed = F.when(text.startswith("-"), -size).otherwise(size)
-    return F.when(F.coalesce(text, F.lit("")).isin("", "Z"), 0).when((minutes < 60) & (size <= OFFSET_LIMIT_S), signed)
-
-
-def _grammar(x: Column) -> tuple[Column, Column]:
-    pattern = F.when(x.rlike(_COMPACT), F.lit("c")).when(x.rlike(_EXTENDED), F.lit("e"))
-    pick = lambda k: F.when(pattern == "c", F.regexp_extract(x, _COMPACT, k)).when(pattern == "e", F.regexp_extract(x, _EXTENDED, k))
-    part = lambda k: F.when(pick(k) == "", "0").otherwise(pick(k)).try_cast("int")
-    year, month, day, hour, minute, second = (part(k) for k in range(1, 7))
-    wall = F.datediff(F.try_make_timestamp(year, month, day, F.lit(0), F.lit(0), F.lit(0)).cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint") * 86400
-    ok = (hour < 24) & (minute < 60) & (second < 60)
-    return F.when(ok, wall + hour * 3600 + minute * 60 + second), _zone(pick(7))
+    """Seconds of a zone; 0 for Z and for none, null beyond fourteen hours."""
+    digits = F.translate(text, "+-:", "")
+    minutes = F.substring(digits, 3, 2).try_cast("int")
+    size = F.substring(digits, 1, 2).try_cast("int") * 3600 + minutes * 60
+    return F.when(text.isin("", "Z"), 0).when((minutes < 60) & (size <= OFFSET_LIMIT_S), F.when(text.startswith("-"), -size).otherwise(size))
 
 
 def timestamp_s(x: Column | str) -> Column:
@@ -129,15 +120,24 @@ def timestamp_s(x: Column | str) -> Column:
 
     Forms: 20140401T080000+0300, 20140402T024827[Z] and ISO 8601 with optional
     seconds, up to nine digits of a fraction (dropped) and an optional zone.
+    White space around them doesn't count.
     """
-    wall, zone = _grammar(c(x))
-    return (wall - zone).cast("bigint")
+    text = trimmed(x)
+    zone = F.regexp_extract(text, _ZONE, 1)
+    wall = F.regexp_replace(text, _ZONE, "")
+    whole = F.regexp_replace(wall, r"[.][0-9]{1,9}$", "")
+    # the compact form has no fraction and its zone no colon
+    odd = (F.length(whole) != 19) & (wall != whole) | (F.length(whole) == 15) & zone.contains(":")
+    read = F.lit(None).cast("timestamp")
+    for size, pattern in _WALLS.items():
+        read = F.when(F.length(whole) == size, F.try_to_timestamp(F.concat(whole, F.lit("Z")), F.lit(f"{pattern}X"))).otherwise(read)
+    return F.when(~odd, F.unix_seconds(read) - _zone(zone)).cast("bigint")
 
 
 def timestamp_offset_s(x: Column | str) -> Column:
-    """The numeric zone of such a timestamp in seconds; null if it has none or is Z."""
-    text = F.regexp_extract(c(x), r"([+-]\d{2}:?\d{2})$", 1)
-    return F.when(timestamp_s(x).isNotNull() & (text != ""), _zone(text)).cast("int")
+    """The zone of such a timestamp in seconds, 0 for Z; null if it has none."""
+    zone = F.regexp_extract(trimmed(x), _ZONE, 1)
+    return F.when(timestamp_s(x).isNotNull() & (zone != ""), _zone(zone)).cast("int")
 
 
 def day_text_s(x: Column | str) -> Column:

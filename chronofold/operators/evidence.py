@@ -82,23 +82,24 @@ def unlinked(observations: DataFrame, known: DataFrame, link: str, prefix: str)
     return loose.where(F.col(link).isNull() | ~F.col(link).startswith(prefix))
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(node, component) of (a, b) edges of any orderable type: the smallest reachable node.
+def components(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, node, component) of (keys, a, b) edges, a and b of any orderable type: the smallest node of the same keys that is reachable.
 
-    Labels spread along edges and jump to the label of their label; the rounds
-    end when nothing changes. Each round is written to the checkpoint folder.
+    Labels spread along edges and jump to the label of their label, so the
+    rounds grow with the logarithm of a component's width; they end when
+    nothing changes. Each round is written to the checkpoint folder.
     """
+    keys = keys or []
     checkpoints(edges.sparkSession)
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
-    for _ in range(rounds):
+    both = edges.select(*keys, "a", "b").unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    labels = both.groupBy(*keys, F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
+    changed = True
+    while changed:
         labels = labels.checkpoint()
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("m")), "b").groupBy(F.col("a").alias("node")).agg(F.min("m").alias("m"))
-        step = labels.join(near, "node").select("node", "component", F.least("component", "m").alias("to"))
-        jump = labels.select(F.col("node").alias("to"), F.col("component").alias("far"))
-        after = step.join(jump, "to").select("node", "component", F.least("to", "far").alias("new")).checkpoint()
-        changed = after.where("new <> component").limit(1).count()
-        labels = after.select("node", F.col("new").alias("component"))
-        if not changed:
-            break
+        near = both.join(labels.select(*keys, F.col("node").alias("b"), F.col("component").alias("m")), [*keys, "b"]).groupBy(*keys, F.col("a").alias("node")).agg(F.min("m").alias("m"))
+        step = labels.join(near, [*keys, "node"]).select(*keys, "node", "component", F.least("component", "m").alias("to"))
+        jump = labels.select(*keys, F.col("node").alias("to"), F.col("component").alias("far"))
+        after = step.join(jump, [*keys, "to"]).select(*keys, "node", "component", F.least("to", "far").alias("new")).checkpoint()
+        changed = after.where("new <> component").limit(1).count() > 0
+        labels = after.select(*keys, "node", F.col("new").alias("component"))
     return labels

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from chronofold.functions.scalars import haversine_m
 
+# Fixed values.
 DAY_S = 86_400
 STAY_BUFFER_M = 50
 AMBIGUOUS_M = 25
@@ -51,16 +52,25 @@ def best_match(pairs: DataFrame, keys: list[str], distance: str, tie: str) -> Da
 
 
 def claim_matches(left: DataFrame, right: DataFrame, keys: list[str], slack: int = CLAIM_SLACK_S) -> DataFrame:
-    """Pairs of claims on the same time: half of the shorter overlaps, or both ends are within the slack; without an a_start the ends alone count."""
-    a = in_buckets(left.withColumn("_from", F.coalesce("a_start", "a_end")), "_from", "a_end", pad=slack)
-    b = in_buckets(right, "b_start", "b_end", pad=slack)
-    shorter = F.least(F.col("a_end") - F.col("a_start"), F.col("b_end") - F.col("b_start"))
+    """Pairs of claims on the same time, with overlap_s.
+
+    Half of the shorter overlaps, which counts as a second at least, or both
+    ends are within the slack; where either start is null the ends alone
+    count. A pair that meets in several buckets counts in its first.
+    """
+    size = DAY_S
+    a_from, b_from = F.coalesce("a_start", "a_end"), F.coalesce("b_start", "b_end")
+    a = in_buckets(left.withColumn("_a", a_from), "_a", "a_end", size, slack)
+    b = in_buckets(right.withColumn("_b", b_from), "_b", "b_end", size, slack)
+    lasts = lambda x: F.greatest(F.col(f"{x}_end") - F.col(f"{x}_start"), F.lit(1))
     shared = overlap_s(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end"))
     ends = F.abs(F.col("a_end") - F.col("b_end")) <= slack
     near = ends & (F.abs(F.col("a_start") - F.col("b_start")) <= slack)
-    matched = F.when(F.col("a_start").isNull(), ends).otherwise(near | F.coalesce(shared / F.when(shorter > 0, shorter) >= 0.5, F.lit(False)))
-    met = a.join(b, [*keys, "bucket"]).where(matched).withColumn("overlap_s", F.coalesce(shared, F.lit(0)))
-    return met.drop("bucket", "_from").dropDuplicates()
+    unknown = F.col("a_start").isNull() | F.col("b_start").isNull()
+    matched = F.when(unknown, ends).otherwise(near | (2 * shared >= F.least(lasts("a"), lasts("b"))))
+    first = F.floor((F.greatest("_a", "_b") - slack) / size).cast("bigint")
+    met = a.join(b, [*keys, "bucket"]).where(matched & (F.col("bucket") == first))
+    return met.withColumn("overlap_s", F.when(unknown, F.lit(0)).otherwise(shared)).drop("bucket", "_a", "_b")
 
 
 def points_in(intervals: DataFrame, points: DataFrame, keys: list[str], ts: str, closed: bool = False, size: int = DAY_S) -> DataFrame:
@@ -72,11 +82,13 @@ def points_in(intervals: DataFrame, points: DataFrame, keys: list[str], ts: str,
 
 
 def touching(intervals: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
-    """The intervals (start_ts, end_ts) that overlap any of the others."""
-    a = in_buckets(intervals.withColumn("_row", F.struct(*intervals.columns)), "start_ts", "end_ts")
+    """The intervals (start_ts, end_ts) that overlap any of the others; equal rows stay as many as they were."""
+    counted = intervals.groupBy(*intervals.columns).agg(F.count("*").alias("_n"))
+    a = in_buckets(counted.withColumn("_row", F.struct(*intervals.columns)), "start_ts", "end_ts")
     b = in_buckets(others.select(*keys, F.col("start_ts").alias("_s"), F.col("end_ts").alias("_e")), "_s", "_e")
     met = a.join(b, [*[a[k] == b[k] for k in keys], a.bucket == b.bucket, F.col("start_ts") < F.col("_e"), F.col("_s") < F.col("end_ts")], "left_semi")
-    return met.select("_row.*").dropDuplicates()
+    once = met.select("_row", "_n").dropDuplicates()
+    return once.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")
 
 
 def subtract(windows: DataFrame, covered: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,13 +6,14 @@ a track is cleaned as a whole, in an Arrow function over arrays of points.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed values.
 EARTH_M = 6_371_000.0
 MAX_SPEED_MPS = 400.0
 SAME_PLACE_M = 0.01
@@ -20,9 +21,9 @@ SAME_PLACE_M = 0.01
 
 def distance_m(a: tuple, b: tuple) -> float:
     (_, x1, y1), (_, x2, y2) = a, b
-    p1, p2 = np.radians(y1), np.radians(y2)
-    s = np.sin((p2 - p1) / 2) ** 2 + np.cos(p1) * np.cos(p2) * np.sin(np.radians(x2 - x1) / 2) ** 2
-    return float(2 * EARTH_M * np.arctan2(np.sqrt(s), np.sqrt(max(0.0, 1 - s))))
+    p1, p2 = math.radians(y1), math.radians(y2)
+    s = math.sin((p2 - p1) / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin(math.radians(x2 - x1) / 2) ** 2
+    return 2 * EARTH_M * math.atan2(math.sqrt(s), math.sqrt(max(0.0, 1 - s)))
 
 
 def plausible(a: tuple, b: tuple) -> bool:
@@ -69,7 +70,11 @@ def length_m(points: list[tuple]) -> float:
 
 
 def cleaned_route(points: Column) -> Column:
-    """array<struct<ts,lon,lat>> as struct<points, distance_m, quality>: ``filtered`` if a point went, else ``raw``."""
+    """array<struct<ts,lon,lat>> as struct<points, distance_m, quality>: ``filtered`` if a point went, else ``raw``.
+
+    Of a route without any times all points stay, in their order; of one with
+    some, those with a time. Points without coordinates go.
+    """
 
     @F.arrow_udf("points array<struct<ts:bigint,lon:double,lat:double>>, distance_m double, quality string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -77,8 +82,9 @@ def cleaned_route(points: Column) -> Column:
         for batch in batches:
             kept, metres, quality = [], [], []
             for route in batch.to_pylist():
-                before = sorted((p["ts"], p["lon"], p["lat"]) for p in route or [])
-                after = clean(before)
+                before = [(p["ts"], p["lon"], p["lat"]) for p in route or [] if None not in (p["lon"], p["lat"])]
+                timed = sorted(p for p in before if p[0] is not None)
+                after = clean(timed) if timed else before
                 kept.append([dict(zip(("ts", "lon", "lat"), p, strict=True)) for p in after])
                 metres.append(length_m(after))
                 quality.append("raw" if len(after) == len(before) else "filtered")

@@ -6,12 +6,17 @@ parallel, and order equal times by a tie-breaking column.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronofold.functions.scalars import haversine_m
 
+# Fixed values.
 GAP_S = 600
 CAP_S = 21_600
 DEFAULT_EXTENSION_S = 60
@@ -31,35 +36,70 @@ def gap_islands(df: DataFrame, keys: list[str], ts: str, tie: str, gap_s: int =
     return df.withColumn("_opens", opens).withColumn(into, F.sum("_opens").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_opens")
 
 
-def extension_s(times: Column) -> Column:
-    """How long the last observation of a sorted array is taken to last: the mean positive step, 1 to 60 s."""
-    steps = F.filter(F.zip_with(F.slice(times, F.lit(1), F.greatest(F.size(times) - 1, F.lit(0))), F.slice(times, F.lit(2), F.greatest(F.size(times) - 1, F.lit(0))), lambda a, b: b - a), lambda d: d > 0)
-    total = F.aggregate(steps, F.lit(0).cast("bigint"), lambda s, d: s + d)
-    return F.when(F.size(steps) > 0, F.greatest(F.lit(1.0), F.least(F.lit(60.0), total / F.size(steps)))).otherwise(float(DEFAULT_EXTENSION_S))
+def _lasting(total: Column, n: Column) -> Column:
+    """How long the last observation of a window is taken to last: the mean positive step, 1 to 60 s, by default 60."""
+    return F.coalesce(F.greatest(F.lit(1.0), F.least(F.lit(60.0), total / F.when(n > 0, n))), F.lit(float(DEFAULT_EXTENSION_S)))
 
 
 def observation_windows(df: DataFrame, keys: list[str], ts: str, tie: str, gap_s: int = GAP_S, cap_s: int | None = CAP_S) -> DataFrame:
-    """Windows of observations: history, start_ts, end_ts, n.
+    """Windows of observations: keys, start_ts, end_ts, n.
 
     A window closes at a gap, or once it has lasted ``cap_s``; those of a
-    single observation go. The cap depends on where the window opened, so it is
-    folded over the sorted times of an island, which gaps bound.
+    single observation go. Where a window ends at its cap depends on where it
+    opened, so capped ones are cut out of sorted rows one after another, and a
+    task holds one window.
     """
-    islands = gap_islands(df, keys, ts, tie, gap_s).groupBy(*keys, "island").agg(F.array_sort(F.collect_list(F.col(ts).cast("bigint"))).alias("times"))
+    rows = df.select(*keys, F.col(ts).cast("bigint").alias("_ts"), tie)
     if cap_s is None:
-        pieces = islands.select(*keys, F.col("times").alias("piece"))
+        held = gap_islands(rows, keys, "_ts", tie, gap_s).withColumn("_d", F.col("_ts") - F.lag("_ts").over(over([*keys, "island"], "_ts", tie)))
+        steps = F.when(F.col("_d") > 0, F.col("_d"))
+        out = held.groupBy(*keys, "island").agg(F.min("_ts").alias("start_ts"), F.max("_ts").alias("_last"), F.sum(steps).alias("_sum"), F.count(steps).alias("_steps"), F.count("*").alias("n"))
     else:
-        start = F.struct(F.lit(None).cast("bigint").alias("at"), F.expr("cast(array() as array<bigint>)").alias("starts"))
-        cut = F.aggregate(
-            "times",
-            start,
-            lambda s, t: F.when(s["at"].isNull() | (t - s["at"] >= cap_s), F.struct(t.alias("at"), F.concat(s["starts"], F.array(t)).alias("starts"))).otherwise(s),
-            lambda s: s["starts"],
-        )
-        opened = islands.withColumn("starts", cut).select(*keys, "times", F.posexplode("starts").alias("k", "from"), "starts")
-        until = F.get("starts", F.col("k") + 1)
-        pieces = opened.select(*keys, F.filter("times", lambda t: (t >= F.col("from")) & (until.isNull() | (t < until))).alias("piece"))
-    return pieces.where(F.size("piece") > 1).select(*keys, F.element_at("piece", 1).alias("start_ts"), (F.element_at("piece", -1) + extension_s(F.col("piece"))).alias("end_ts"), F.size("piece").cast("bigint").alias("n"))
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema), "start_ts bigint, _last bigint, _sum bigint, _steps bigint, n bigint"])
+        out = rows.repartition(*keys).sortWithinPartitions(*keys, "_ts", tie).select(*keys, "_ts").mapInArrow(_capped(len(keys), gap_s, cap_s), schema)
+    return out.where("n > 1").select(*keys, "start_ts", (F.col("_last") + _lasting(F.col("_sum"), F.col("_steps"))).alias("end_ts"), "n")
+
+
+def _capped(n_keys: int, gap_s: int, cap_s: int):
+    """An Arrow function from rows of keys and time, sorted, to windows: keys, first and last time, sum and number of positive steps, rows."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: pa.RecordBatch | None = None
+
+        def windows(rows: pa.RecordBatch, final: bool) -> tuple[pa.RecordBatch, int]:
+            t = rows.column(n_keys).to_numpy(zero_copy_only=False)
+            step = np.diff(t)
+            new = step > gap_s
+            for k in range(n_keys):
+                x = rows.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                new |= np.diff(x) != 0
+            ends = np.concatenate([np.flatnonzero(new) + 1, [len(t)]])
+            starts, at = [], 0
+            for end in ends.tolist():
+                while at < end:
+                    starts.append(at)
+                    at += int(np.searchsorted(t[at:end], t[at] + cap_s))
+            done = len(starts) if final else len(starts) - 1
+            bounds = np.array([*starts, len(t)])
+            first, last = bounds[:done], bounds[1 : done + 1] - 1
+            risen = np.concatenate([[0], np.cumsum(np.maximum(step, 0))])
+            rises = np.concatenate([[0], np.cumsum(step > 0)])
+            picked = rows.take(pa.array(first))
+            numbers = (t[first], t[last], risen[last] - risen[first], rises[last] - rises[first], last - first + 1)
+            out = pa.RecordBatch.from_arrays([*picked.columns[:n_keys], *(pa.array(x, pa.int64()) for x in numbers)], [*picked.schema.names[:n_keys], "start_ts", "_last", "_sum", "_steps", "n"])
+            return out, int(bounds[done])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = batch if left is None else pa.Table.from_batches([left, batch]).combine_chunks().to_batches()[0]
+            out, at = windows(rows, False)
+            left = rows.slice(at)
+            yield out
+        if left is not None and len(left):
+            yield windows(left, True)[0]
+
+    return cut
 
 
 def fragmented(df: DataFrame, keys: list[str], duration: str, least: int = 2) -> DataFrame:
@@ -120,10 +160,16 @@ def first_last(df: DataFrame, keys: list[str], ts: str, tie: str, column: str) -
     return df.groupBy(*keys).agg(F.min_by(column, there).alias(f"first_{column}"), F.max_by(column, there).alias(f"last_{column}"))
 
 
-def floor_index_percentile(values: Column, p: float) -> Column:
-    """The element at floor((n - 1) * p) of the sorted values."""
-    ordered = F.sort_array(values)
-    return F.get(ordered, F.floor((F.size(ordered) - 1) * p).cast("int"))
+def floor_index(df: DataFrame, keys: list[str], value: str, p: float) -> DataFrame:
+    """(keys, value): of the non-null values of a group in ascending order the one at floor((n - 1) * p)."""
+    there = df.where(F.col(value).isNotNull())
+    ranked = there.select(*keys, value, F.row_number().over(over(keys, value)).alias("_r"), F.count("*").over(W.partitionBy(*keys)).alias("_n"))
+    return ranked.where(F.col("_r") == F.floor((F.col("_n") - 1) * p) + 1).select(*keys, value)
+
+
+def median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value): the middle of the non-null values, of two the mean; null where there is none."""
+    return df.groupBy(*keys).agg(F.median(value).alias(value))
 
 
 def dominant(df: DataFrame, keys: list[str], mode: str, rank: str | None = None) -> DataFrame:

@@ -99,12 +99,24 @@ def monthly_step_stats(spark, sf_dir):
     return views.pedometer_stats(_steps(spark, sf_dir), "month").select("month", "total_steps", *rounded("total_distance_m", places=2))
 
 
-@query("""SELECT o_orderkey, coalesce(c_name, o_orderpriority) AS name, c_mktsegment, n_name, r_name, o_totalprice
-FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
+_STAR = """s AS (SELECT * FROM i WHERE kind = 'view'), m AS (SELECT * FROM i WHERE kind IN ('click', 'purchase')), g AS (SELECT * FROM i WHERE kind NOT IN ('view', 'click', 'purchase')),
+x AS (SELECT 'stay' AS kind, start_ts, end_ts, id AS stay_id, NULL::BIGINT AS move_id, NULL::BIGINT AS gap_id FROM s UNION ALL SELECT 'move', start_ts, end_ts, NULL, id, NULL FROM m UNION ALL SELECT 'gap', start_ts, end_ts, NULL, NULL, id FROM g)"""
+
+
+@query(f"""WITH {I}, {_STAR}
+SELECT x.kind, x.start_ts, x.end_ts, stay_id, move_id, gap_id, CASE WHEN s_suppkey IS NULL THEN NULL ELSE s_name END AS poi_name, s.k AS poi_id, m.kind AS mode, m.value AS distance_m, g.kind AS reason,
+  coalesce(CASE WHEN s.id % 3 > 0 THEN s.k * 60 END, CASE WHEN m.id % 2 > 0 THEN m.k * 30 END, g.k) AS tz_offset_s
+FROM x LEFT JOIN s ON x.stay_id = s.id LEFT JOIN supplier ON s_suppkey = s.k LEFT JOIN m ON x.move_id = m.id LEFT JOIN g ON x.gap_id = g.id""")
 def enriched_star(spark, sf_dir):
-    o, c, n, r = (read(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
-    out = o.join(c, o.o_custkey == c.c_custkey, "left").join(n, c.c_nationkey == n.n_nationkey, "left").join(r, n.n_regionkey == r.r_regionkey, "left")
-    return out.select("o_orderkey", F.coalesce("c_name", "o_orderpriority").alias("name"), "c_mktsegment", "n_name", "r_name", "o_totalprice")
+    i = half_hours(spark, sf_dir)
+    none = F.lit(None)
+    kind = lambda *k: i.where(F.col("kind").isin(*k))
+    stays = kind("view").select("id", "start_ts", "end_ts", F.col("k").alias("poi_id"), none.alias("centroid_lat"), none.alias("centroid_lon"), none.alias("radius_m"), F.lit("visit").alias("type"), F.when(F.col("id") % 3 > 0, F.col("k") * 60).alias("tz_offset_s"), none.alias("end_tz_offset_s"))
+    moves = kind("click", "purchase").select("id", "start_ts", "end_ts", F.col("kind").alias("mode"), F.col("value").alias("distance_m"), F.when(F.col("id") % 2 > 0, F.col("k") * 30).alias("tz_offset_s"), none.alias("end_tz_offset_s"))
+    gaps = i.where(~F.col("kind").isin("view", "click", "purchase")).select("id", "start_ts", "end_ts", F.col("kind").alias("reason"), none.alias("uncertainty"), none.alias("notes"), F.col("k").alias("tz_offset_s"), none.alias("end_tz_offset_s"))
+    pois = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), none.alias("category"), none.alias("subcategory"), none.alias("lat"), none.alias("lon"))
+    out = views.enriched_events(views.timeline_events(stays, moves, gaps), stays, pois, moves, gaps)
+    return out.select("kind", "start_ts", "end_ts", "stay_id", "move_id", "gap_id", "poi_name", "poi_id", "mode", "distance_m", "reason", "tz_offset_s")
 
 
 _KINDS = "CASE kind WHEN 'view' THEN 'stay' WHEN 'click' THEN 'move' WHEN 'purchase' THEN 'move' ELSE 'gap' END"
@@ -234,12 +246,12 @@ def dominant_mode(spark, sf_dir):
 
 @query(f"WITH {E} SELECT history, round(median(value), 4) AS median_value FROM e GROUP BY history")
 def median_value(spark, sf_dir):
-    return observations(spark, sf_dir).groupBy("history").agg(F.round(F.median("value"), 4).alias("median_value"))
+    return windows.median(observations(spark, sf_dir), ["history"], "value").select("history", F.round("value", 4).alias("median_value"))
 
 
 @query(f"WITH {E} SELECT history, list_sort(list(value))[CAST(floor((count(*) - 1) * 0.9) AS INTEGER) + 1] AS p90 FROM e WHERE value IS NOT NULL GROUP BY history")
 def p90_floor_index(spark, sf_dir):
-    return observations(spark, sf_dir).where("value is not null").groupBy("history").agg(windows.floor_index_percentile(F.collect_list("value"), 0.9).alias("p90"))
+    return windows.floor_index(observations(spark, sf_dir), ["history"], "value", 0.9).select("history", F.col("value").alias("p90"))
 
 
 _HAV = "2 * 6371000 * atan2(sqrt({h}), sqrt(1 - ({h})))"
@@ -304,32 +316,51 @@ def duplicate_moves(spark, sf_dir):
 
 
 
-@query(f"""SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'walk' WHEN 1 THEN 'walk' WHEN 2 THEN 'tram' WHEN 3 THEN 'transit' WHEN 4 THEN 'eScooter' WHEN 7 THEN 'airplane' ELSE 'other' END AS mode FROM events""")
+_NAMES = [(mode, name) for mode, names in scalars.MODE_NAMES.items() for name in names.split()] + [("other", x) for x in ("", "teleport", "walk ing", "bus2")]
+#: The ways of writing a name: as it is, with white space around, in upper case, with other separators.
+_WRITTEN = (lambda x: x, lambda x: f" \t{x}\n", str.upper, lambda x: x.replace("_", "-"), lambda x: x.replace("_", " ").title(), lambda x: x.replace("_", "/"))
+
+
+@query(f"""WITH n AS (SELECT unnest([{", ".join(repr(m) for m, _ in _NAMES)}]) AS mode, unnest(range({len(_NAMES)})) AS j)
+SELECT event_id, mode FROM events JOIN n ON j = event_id % {len(_NAMES)}""")
 def mode_dictionary(spark, sf_dir):
-    names = F.array(*(F.lit(x) for x in (" Walking", "on-foot", "Light Rail", "public/transport", "E-Scooter", "", "teleport", "Aircraft")))
-    e = read(spark, sf_dir, "events")
-    return e.select("event_id", scalars.mode_of(F.get(names, (F.col("event_id") % 8).cast("int"))).alias("mode"))
+    forms = F.array(*(F.array(*(F.lit(write(name)) for write in _WRITTEN)) for _, name in _NAMES))
+    e = read(spark, sf_dir, "events").withColumn("j", (F.col("event_id") % len(_NAMES)).cast("int")).withColumn("way", (F.floor(F.col("event_id") / len(_NAMES)) % len(_WRITTEN)).cast("int"))
+    return e.select("event_id", scalars.mode_of(F.get(F.get(forms, F.col("j")), F.col("way"))).alias("mode"))
 
 
-@query("""SELECT o_orderkey, CAST(floor(epoch_us(o_orderdate) / 1000000.0) AS BIGINT) AS iso, CAST(floor(epoch_us(o_orderdate) / 1000000.0) AS BIGINT) AS compact,
-  CAST(floor(epoch_us(o_orderdate) / 1000000.0) AS BIGINT) - 10800 AS zoned, CAST(NULL AS BIGINT) AS wrong FROM orders""")
+@query("""WITH o AS (SELECT o_orderkey, CAST(floor(epoch_us(o_orderdate) / 1000000.0) AS BIGINT) AS t, o_orderkey % 27 * 1800 - 23400 AS z FROM orders)
+SELECT o_orderkey, t AS iso, t AS compact, t - z AS zoned, CAST(z AS INTEGER) AS zone, t - t % 60 AS minutes, CASE WHEN o_orderkey % 5 > 1 THEN t END AS some FROM o""")
 def timestamp_parse(spark, sf_dir):
-    o = read(spark, sf_dir, "orders")
+    o = read(spark, sf_dir, "orders").withColumn("z", F.col("o_orderkey") % 27 * 1800 - 23400)
     text = lambda p: F.date_format("o_orderdate", p)
     iso, compact = text("yyyy-MM-dd'T'HH:mm:ss"), text("yyyyMMdd'T'HHmmss")
-    return o.select("o_orderkey", scalars.timestamp_s(F.concat(iso, F.lit(".987Z"))).alias("iso"), scalars.timestamp_s(compact).alias("compact"), scalars.timestamp_s(F.concat(compact, F.lit("+0300"))).alias("zoned"), scalars.timestamp_s(F.concat(text("yyyy"), F.lit("0230T080000Z"))).alias("wrong"))
+    size = F.abs("z")
+    zone = F.concat(F.when(F.col("z") < 0, "-").otherwise("+"), F.lpad(F.floor(size / 3600).cast("string"), 2, "0"), F.lpad((F.floor(size / 60) % 60).cast("string"), 2, "0"))
+    zoned, broken = F.concat(compact, zone), F.concat(text("yyyy"), F.when(F.col("o_orderkey") % 5 == 0, "-02-30T").otherwise("-13-01T"), text("HH:mm:ss"))
+    some = scalars.timestamp_s(F.when(F.col("o_orderkey") % 5 > 1, F.concat(F.lit(" "), iso)).otherwise(broken))
+    return o.select("o_orderkey", scalars.timestamp_s(F.concat(iso, F.lit(".987Z"))).alias("iso"), scalars.timestamp_s(compact).alias("compact"), scalars.timestamp_s(zoned).alias("zoned"), scalars.timestamp_offset_s(zoned).alias("zone"), scalars.timestamp_s(text("yyyy-MM-dd'T'HH:mm")).alias("minutes"), some.alias("some"))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, CAST(NULL AS VARCHAR) AS text FROM events")
+@query("""WITH e AS (SELECT event_id, event_type, event_id % 6 AS form, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)
+SELECT event_id, CASE WHEN form IN (0, 1) THEN k END AS k, CASE WHEN form IN (0, 2) THEN event_type END AS text, form = 3 AS yes FROM e""")
 def json_field(spark, sf_dir):
-    return read(spark, sf_dir, "events").select("event_id", scalars.strict_number("props", "$.k").alias("k"), scalars.strict_string("props", "$.k").alias("text"))
+    e = read(spark, sf_dir, "events").withColumn("form", F.col("event_id") % 6).withColumn("n", F.get_json_object("props", "$.k"))
+    # number and text, a number alone, a number as text, true, text that is empty, neither
+    forms = ['{"k":%s,"t":"%s"}', '{"k":%s,"t":7}', '{"k":"%s","t":"%s"}', '{"k":false,"t":null,"y":true}', '{"k":null,"t":"","y":"true"}', "no object"]
+    made = F.lit(forms[5])
+    for j, form in enumerate(forms[:5]):
+        made = F.when(F.col("form") == j, F.format_string(form, *["n", "event_type"][: form.count("%s")]) if "%s" in form else F.lit(form)).otherwise(made)
+    return e.withColumn("j", made).select("event_id", scalars.strict_number("j", "$.k").alias("k"), scalars.strict_string("j", "$.t").alias("text"), scalars.strict_true("j", "$.y").alias("yes"))
 
 
-@query(f"WITH {GEO} SELECT history, id, floor(lon * 1e7 + 0.5) / 1e7 AS lon, floor(lat * 1e7 + 0.5) / 1e7 AS lat FROM g")
+@query(f"WITH {GEO} SELECT history, id, floor(lon / 2 * 1e7 + 0.5) / 1e7 AS lon, floor(lat * 1e7 + 0.5) / 1e7 AS lat FROM g")
 def codec_roundtrip(spark, sf_dir):
-    t = track(spark, sf_dir).withColumn("r", F.array_sort(F.array(F.struct("lon", "lat"), F.struct(F.col("lon"), F.col("lat")))))
-    coded = t.select("history", "id", codec.decode_route(codec.encode_route(F.col("r.lon"), F.col("r.lat"))).alias("d"))
-    return coded.select("history", "id", F.round(F.get("d", F.lit(1))["lon"], 7).alias("lon"), F.round(F.get("d", F.lit(1))["lat"], 7).alias("lat"))
+    """The track of each history and day, encoded and decoded as a whole; half the longitude, for steps that fit in 32 bits."""
+    days = track(spark, sf_dir).withColumn("lon", F.col("lon") / 2).groupBy("history", scalars.day_key("ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", "id", "lon", "lat"))).alias("r"))
+    coded = days.select("history", "r", codec.decode_route(codec.encode_route(F.col("r.lon"), F.col("r.lat"))).alias("d"))
+    points = coded.select("history", F.explode(F.arrays_zip(F.col("r.id").alias("id"), F.col("d").alias("d"))).alias("p"))
+    return points.select("history", "p.id", F.round("p.d.lon", 7).alias("lon"), F.round("p.d.lat", 7).alias("lat"))
 
 
 @query(f"""WITH {I} SELECT count(*) FILTER (kind = 'view') AS n_stays, count(*) FILTER (kind = 'click') AS n_moves, count(*) FILTER (kind = 'error') AS n_gaps,
@@ -347,31 +378,56 @@ def top_diagnostics(spark, sf_dir):
     return views.top_diagnostics(e, "m", "id")
 
 
-@query(f"""WITH RECURSIVE {E}, c AS (SELECT id, ts // 86400 AS day, history % 2 AS side, ts AS s, ts + 1800 AS t FROM e WHERE kind IN ('purchase', 'signup') AND history < 20),
-m AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.day = b.day AND a.side = 0 AND b.side = 1 AND (least(a.t, b.t) - greatest(a.s, b.s) >= 900)),
-u AS (SELECT a, b FROM m UNION SELECT b, a FROM m), r AS (SELECT a AS node, a AS seen FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.seen)
-SELECT node, min(seen) AS component FROM r GROUP BY node""")
+#: Users 2 n and 2 n + 1 stand for the two sources of history n, and each of their events for a claim of half an hour.
+_CLAIMS = """c AS (SELECT id, history // 2 AS h, ts // 86400 AS day, history % 2 AS side, ts AS s, ts + 1800 AS t, k, CASE WHEN k % 3 > 0 THEN value END AS metres, id % 9 = 0 AS manual FROM e),
+m AS (SELECT a.h, a.day, a.id AS a, b.id AS b FROM c a JOIN c b ON a.h = b.h AND a.day = b.day AND a.side = 0 AND b.side = 1 AND least(a.t, b.t) - greatest(a.s, b.s) >= 900),
+u AS (SELECT h, day, a, b FROM m UNION SELECT h, day, b, a FROM m), r AS (SELECT a AS node, a AS seen FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.seen),
+p AS (SELECT node, min(seen) AS component FROM r GROUP BY node)"""
+
+
+def _claims(spark, sf_dir):
+    e = observations(spark, sf_dir)
+    none = lambda t: F.lit(None).cast(t)
+    return e.select(
+        F.floor(F.col("history") / 2).cast("string").alias("history_id"), F.col("id").alias("claim_id"), F.when(F.col("history") % 2 == 0, "arc").otherwise("moves").alias("source"), F.lit("move").alias("kind"), scalars.day_key("ts").alias("day_key"),
+        F.col("ts").alias("start"), (F.col("ts") + 1800).alias("end"), F.col("k").alias("steps"), F.when(F.col("k") % 3 > 0, F.col("value")).alias("distance"), none("double").alias("floors_up"), none("double").alias("floors_down"), none("int").alias("tz_offset_s"),
+        (F.col("id") % 9 == 0).alias("manual"), none("bigint").alias("sequence"), F.lit("walk").alias("mode"),
+    )
+
+
+@query(f"WITH RECURSIVE {E}, {_CLAIMS} SELECT node, component FROM p")
 def claim_components(spark, sf_dir):
-    """Claims of all histories. The SQL above reads histories below 20 alone: it agrees where there are no others, as on sf0.001."""
-    e = observations(spark, sf_dir).where("kind in ('purchase', 'signup')")
-    side = lambda x, k: e.where(F.col("history") % 2 == k).select(scalars.day_key("ts").alias("day"), F.col("id").alias(f"{x}_id"), F.col("ts").alias(f"{x}_start"), (F.col("ts") + 1800).alias(f"{x}_end"))
-    met = intervals.claim_matches(side("a", 0), side("b", 1), ["day"])
-    return evidence.components(met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+    claims, keys = _claims(spark, sf_dir), ["history_id", "day_key"]
+    side = lambda x, k: claims.where(F.col("source") == k).select(*keys, F.col("claim_id").alias(f"{x}_id"), F.col("start").alias(f"{x}_start"), F.col("end").alias(f"{x}_end"))
+    met = intervals.claim_matches(side("a", "arc"), side("b", "moves"), keys)
+    return evidence.components(met.select(*keys, F.col("a_id").alias("a"), F.col("b_id").alias("b")), keys).select("node", "component")
 
 
 def _events_of(spark, sf_dir):
     e = _kinds(half_hours(spark, sf_dir))
     long = F.col("end_ts") + F.when(F.col("id") % 3 == 0, 3600).otherwise(0)
     spot = (F.col("k") % 7).cast("double")
+    routed, measured = (F.col("kind") == "move") & (F.col("id") % 4 == 0), (F.col("kind") == "move") & (F.col("id") % 4 < 2)
+    quality = F.when(F.col("kind") == "move", 1 + 6 * routed.cast("int") + 2 * measured.cast("int") + 2 * (F.col("k") % 2)).when(F.col("kind") == "stay", 1 + F.col("k") % 10).otherwise(F.col("k") % 2 * 2)
     return e.select(
-        F.col("history").cast("string").alias("history_id"), "id", "kind", F.col("start_ts").cast("double").alias("start_ts"), long.cast("double").alias("end_ts"), (F.col("k") % 12).cast("int").alias("quality"), (F.col("id") % 11 == 0).alias("manual"),
-        F.col("value").alias("revision"), F.when(F.col("id") % 2 == 0, "arc").otherwise("moves").alias("source"), (spot / 10).alias("lat"), (spot / 5).alias("lon"), F.lit(50.0).alias("radius_m"),
+        F.col("history").cast("string").alias("history_id"), "id", "kind", F.col("start_ts").cast("double").alias("start_ts"), long.cast("double").alias("end_ts"), quality.cast("int").alias("quality"), (F.col("id") % 11 == 0).alias("manual"),
+        F.col("value").alias("revision"), F.when(F.col("id") % 2 == 0, "arc").otherwise("moves").alias("source"), (spot / 10).alias("lat"), (spot / 5).alias("lon"), F.lit(50.0).alias("radius_m"), routed.alias("has_route"), measured.alias("has_distance"),
     )
 
 
 @query()
 def overlap_resolution(spark, sf_dir):
-    return timeline.sweep(_events_of(spark, sf_dir)).select("history_id", "id", "part", "kind", "start_ts", "end_ts", "geometry_valid")
+    return timeline.sweep(_events_of(spark, sf_dir)).select("history_id", "id", "part", "kind", "start_ts", "end_ts", "quality", "geometry_valid")
+
+
+@query(f"""WITH {I}, v AS (SELECT history, start_ts AS s, end_ts + CASE WHEN id % 3 = 0 THEN 3600 ELSE 0 END AS t FROM i WHERE kind IN ('click', 'purchase')), w AS (SELECT * FROM v WHERE t > s),
+r AS (SELECT *, max(t) OVER (PARTITION BY history ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM w)
+SELECT CAST(history AS VARCHAR) AS history_id, CAST(sum(greatest(t - greatest(s, coalesce(reach, s)), 0)) AS DOUBLE) AS covered_s, 0::BIGINT AS n_overlaps FROM r GROUP BY history""")
+def overlap_coverage(spark, sf_dir):
+    """The moves alone, which never merge: the time that any covers is what the swept ones last, and no two of them overlap."""
+    swept = timeline.sweep(_events_of(spark, sf_dir).where("kind = 'move'"))
+    total = swept.groupBy("history_id").agg(F.sum(F.col("end_ts") - F.col("start_ts")).alias("covered_s"))
+    return total.join(timeline.integrity(swept, ["history_id"]).select("history_id", "n_overlaps"), "history_id")
 
 
 @query()
@@ -386,8 +442,9 @@ def cleaned_routes(spark, sf_dir):
     return out.select("history", "day", F.size("r.points").alias("n_points"), F.round("r.distance_m", 2).alias("distance_m"), "r.quality")
 
 
-@query()
+@query(f"""WITH RECURSIVE {E}, {_CLAIMS}, h AS (SELECT c.*, component FROM c LEFT JOIN p ON c.id = p.node),
+g AS (SELECT component, [count(*) FILTER (side = 1 AND manual), coalesce(sum(t - s) FILTER (side = 1), 0), count(k) FILTER (side = 1), count(metres) FILTER (side = 1)]
+  >= [count(*) FILTER (side = 0 AND manual), coalesce(sum(t - s) FILTER (side = 0), 0), count(k) FILTER (side = 0), count(metres) FILTER (side = 0)] AS days FROM h WHERE component IS NOT NULL GROUP BY component)
+SELECT h.id AS claim_id, CASE side WHEN 0 THEN 'arc' ELSE 'moves' END AS source, s AS start, k AS steps FROM h LEFT JOIN g USING (component) WHERE days IS NULL OR days = (side = 1)""")
 def pedometer_choice(spark, sf_dir):
-    e = observations(spark, sf_dir).where("kind in ('purchase', 'signup')")
-    claims = e.select(F.col("id").alias("claim_id"), scalars.day_key("ts").alias("day_key"), F.when(F.col("history") % 2 == 0, "arc").otherwise("moves").alias("source"), F.col("ts").alias("start"), (F.col("ts") + 1800).alias("end"), F.col("k").alias("steps"), F.when(F.col("k") % 3 > 0, F.col("value")).alias("distance"), (F.col("id") % 9 == 0).alias("manual"))
-    return pedometer.chosen_side(claims).select("claim_id", "source", "start", "steps")
+    return pedometer.chosen_side(_claims(spark, sf_dir)).select("claim_id", "source", "start", "steps")

@@ -50,9 +50,11 @@ def test_plausible_steps(spark):
 
 
 def test_pedometer_sides(spark):
+    rest = [c for c in pedometer.SCHEMA.split(", ") if c.split()[0] not in ("claim_id", "day_key", "source", "start", "end", "steps", "distance", "manual", "history_id")]
     schema = "claim_id int, day_key bigint, source string, start bigint, end bigint, steps bigint, distance double, manual boolean"
     claims = [(1, 1, "arc", 0, 1000, 10, None, False), (2, 1, "moves", 0, 1000, 12, 9.0, False), (3, 1, "arc", 5000, 6000, 7, None, False)]
-    assert sorted(r.claim_id for r in pedometer.chosen_side(spark.createDataFrame(claims, schema)).collect()) == [2, 3]
+    df = spark.createDataFrame(claims, schema).selectExpr("*", "'h' as history_id", *(f"cast(null as {c.split()[1]}) as {c.split()[0]}" for c in rest))
+    assert sorted(r.claim_id for r in pedometer.chosen_side(df).collect()) == [2, 3]
 
 
 def test_enriched_events(spark):

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -6,20 +7,34 @@ from pyspark.sql import functions as F
 from chronofold.functions import codec, scalars
 from chronofold.operators import routes
 
-TIMES = {
-    "2024-05-01T10:20:30Z": 1714558830, "2024-05-01T10:20:30.987+10:00": 1714522830, "20140401T080000+0300": 1396328400, "20140402T024827Z": 1396406907,
-    None: None, "bad-date": None, "20240101T080000+9900": None, "20240230T080000Z": None, "20240230T080000+0000": None, "20240230T080000": None, "2024-02-30T12:00:00Z": None, "2023-02-29T00:00:00Z": None,
-}
+DAY = 1_609_372_800  # 2020-12-31, a day of a leap year, at midnight
+
+
+def times():
+    """Text -> seconds, made from a wall time of DAY and the forms it may have."""
+    at = DAY + 23 * 3600 + 5 * 60 + 9
+    out = {f"2020{d}12{d}31T23{c}05{c}09{zone}": at - shift for d, c in (("", ""), ("-", ":")) for zone, shift in (("", 0), ("Z", 0), ("+0545", 20_700), ("-0330", -12_600))}
+    out |= {"2020-12-31T23:05": at - 9, "2020-12-31T23:05-03:30": at - 9 + 12_600, " \t2020-12-31T23:05:09Z\n": at}
+    out |= {f"2020-12-31T23:05:09.{'7' * n}+01:00": at - 3600 for n in (1, 3, 9)}
+    return out | {"20200229T000000Z": 1_582_934_400, "1969-12-31T23:59:59Z": -1, "2020-12-31T00:00:00+14:00": DAY - 50_400}
+
+
+NO_TIMES = [
+    "", "now", "2020-12-31", "2020-12-31 23:05:09Z", "20201231T2305Z", "20201231T230509.5Z", "20201231T230509+01:00", "2020-12-31T23:05.5Z", "2020-12-31T23:05:09.Z", "2020-12-31T23:05:09.1234567890Z",
+    "2021-02-29T10:00:00Z", "20211131T100000Z", "2020-00-10T10:00:00Z", "2020-12-31T24:00:00Z", "2020-12-31T23:60:00Z", "2020-12-31T23:05:60Z", "2020-12-31T23:05:09+14:30", "2020-12-31T23:05:09+01:75", "2020-12-31T23:05:09 Z", "+2020-12-31T23:05Z", None,
+]
 
 
 def test_timestamps(spark):
-    df = spark.createDataFrame([(k,) for k in TIMES], "x string")
-    assert {r.x: r.t for r in df.select("x", scalars.timestamp_s("x").alias("t")).collect()} == TIMES
+    want = times() | dict.fromkeys(NO_TIMES)
+    df = spark.createDataFrame([(k,) for k in want], "x string")
+    assert {r.x: r.t for r in df.select("x", scalars.timestamp_s("x").alias("t")).collect()} == want
 
 
 def test_offsets(spark):
-    df = spark.createDataFrame([("20140401T080000+0300",), ("2024-05-01T10:20:30-09:30",), ("2024-05-01T10:20:30Z",)], "x string")
-    assert [r[0] for r in df.select(scalars.timestamp_offset_s("x")).collect()] == [10800, -34200, None]
+    want = {"20201231T230509+0545": 20_700, "2020-12-31T23:05-03:30": -12_600, "2020-12-31T23:05:09Z": 0, " 20201231T230509Z ": 0, "2020-12-31T23:05:09": None, "2021-02-29T10:00:00+01:00": None}
+    df = spark.createDataFrame([(k,) for k in want], "x string")
+    assert {r.x: r.t for r in df.select("x", scalars.timestamp_offset_s("x").alias("t")).collect()} == want
 
 
 def test_strict_json(spark):
@@ -63,6 +78,35 @@ def test_codec_header_and_errors():
         codec.decode(data[:-1] + b"\x80")
 
 
+ROUTES = st.lists(st.one_of(st.none(), st.lists(st.tuples(st.floats(-200, 200), st.one_of(st.none(), st.floats(-95, 95))), max_size=8)), max_size=8)
+
+
+@given(ROUTES, st.sampled_from([1, 100, 65535]))
+def test_many_routes_encode_as_each_alone(rows, cm):
+    xs = pa.array([None if r is None else [x for x, _ in r] for r in rows], pa.list_(pa.float64()))
+    ys = pa.array([None if r is None else [y for _, y in r] for r in rows], pa.list_(pa.float64()))
+
+    def alone(r):
+        try:
+            return codec.encode([x for x, _ in r], [float("nan") if y is None else y for _, y in r], cm)
+        except (ValueError, TypeError):
+            return None
+
+    assert codec.encode_all(xs, ys, cm).to_pylist() == [alone(r) for r in rows]
+
+
+def test_routes_of_different_lengths_have_no_code():
+    got = codec.encode_all(pa.array([[1.0, 2.0], [3.0], [4.0, 5.0]]), pa.array([[1.0], [3.0], [4.0, 6.0]])).to_pylist()
+    assert got[0] is None and got[1] == codec.encode([3.0], [3.0]) and got[2] == codec.encode([4.0, 5.0], [4.0, 6.0])
+
+
+def test_routes_without_times(spark):
+    df = spark.createDataFrame([([(None, 1.0, 2.0), (None, 0.0, 0.0)],), ([(9, 1.0, 2.0), (None, 5.0, 5.0), (3, 1.0, 2.001)],), ([(1, None, 2.0)],), (None,), ([],)], "p array<struct<ts:bigint,lon:double,lat:double>>")
+    got = [r[0] for r in df.select(routes.cleaned_route(F.col("p"))).collect()]
+    assert [[tuple(p) for p in r.points] for r in got] == [[(None, 1.0, 2.0), (None, 0.0, 0.0)], [(3, 1.0, 2.001), (9, 1.0, 2.0)], [], [], []]
+    assert [r.quality for r in got] == ["raw", "filtered", "raw", "raw", "raw"]
+
+
 def test_spikes_go_and_flights_stay():
     line = [(k * 60, 13.0 + k / 1000, 52.0) for k in range(3)]
     assert routes.clean([*line[:2], (90, 63.0, 52.0), line[2]]) == line
