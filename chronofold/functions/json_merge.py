@@ -22,12 +22,8 @@ def fingerprint(raw: Column | str) -> Column:
 
 
 def populated(value: Any) -> int:
-    """How many leaves of a value aren't null."""
-    if isinstance(value, dict):
-        return sum(map(populated, value.values()))
-    if isinstance(value, list):
-        return sum(map(populated, value))
-    return int(value is not None)
+    """How many fields of an object, and of the objects in its fields, aren't null."""
+    return sum(1 + populated(v) for v in value.values() if v is not None) if isinstance(value, dict) else 0
 
 
 def over(base: Any, later: Any, explicit: frozenset[str] = frozenset()) -> Any:

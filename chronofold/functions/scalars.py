@@ -42,10 +42,8 @@ def activity_key(x: Column | str) -> Column:
 
 def mode_of(x: Column | str) -> Column:
     """The mode of an activity name; ``other`` for null, empty and unknown names."""
-    key, out = activity_key(x), F.lit("other")
-    for mode, names in MODE_NAMES.items():
-        out = F.when(key.isin(*names.split()), mode).otherwise(out)
-    return out
+    named = F.create_map(*(F.lit(v) for mode, names in MODE_NAMES.items() for name in names.split() for v in (name, mode)))
+    return F.coalesce(F.try_element_at(named, activity_key(x)), F.lit("other"))
 
 
 def valid_point(lat: Column | str, lon: Column | str) -> Column:

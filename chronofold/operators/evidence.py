@@ -75,10 +75,9 @@ def distinct_by(df: DataFrame, keys: list[str], keep_min: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(keep_min).alias(keep_min))
 
 
-def unlinked(observations: DataFrame, known: DataFrame, link: str, prefix: str) -> DataFrame:
-    """Observations without a link, or whose link neither has the prefix nor is a known id."""
-    ids = known.select(F.col(known.columns[0]).alias("_known")).distinct()
-    loose = observations.join(ids, observations[link] == ids["_known"], "left_anti")
+def unlinked(observations: DataFrame, known: DataFrame, link: str, prefix: str, keys: list[str] | None = None) -> DataFrame:
+    """Observations without a link, or whose link neither begins with the prefix nor is among the known ones (keys, link)."""
+    loose = observations.join(known.select(*(keys or []), link).distinct(), [*(keys or []), link], "left_anti")
     return loose.where(F.col(link).isNull() | ~F.col(link).startswith(prefix))
 
 

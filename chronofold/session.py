@@ -7,15 +7,15 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "chronofold", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings that the operators assume: UTC, ANSI, adaptive execution."""
+    """A session with the settings that the operators assume: UTC, ANSI, adaptive execution, Arrow batches bounded in bytes."""
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
-    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "true", "spark.sql.adaptive.enabled": "true"} | conf
+    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "true", "spark.sql.adaptive.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "64m"} | conf
     return builder.config(map=settings).getOrCreate()
 
 
@@ -39,6 +39,12 @@ def ship(spark: SparkSession) -> None:
 _shipped: set[str] = set()
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as written to the checkpoint folder: neither its plan nor its lineage goes on into what is made of it."""
+    checkpoints(df.sparkSession)
+    return df.checkpoint()
+
+
 def checkpoints(spark: SparkSession) -> None:
     """See that ``checkpoint()`` has a folder: that of ``spark.checkpoint.dir``, or on a local master one of its own."""
     context = spark.sparkContext

@@ -17,7 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-VALUES = "path string, shape string, pos bigint, raw string, error string"
+from chronofold.functions.scalars import timestamp_s
+from chronofold.functions.times import at_least_0, point, record, records, seconds, string
+from chronofold.operators.fusion import clean_account, usable, usable_summary
+
+VALUES = "path string, shape string, pos bigint, kind string, raw string, error string"
 OBJECT_KEYS = ("itemId", "placeId", "sampleId", "segments")
 LIST_KEY = "timelineItems"
 
@@ -97,24 +101,94 @@ def values(body: bytes) -> tuple[str, list]:
     return "root-object", [root]
 
 
+def is_range_summary(value: dict) -> bool:
+    span = record(value.get("dateRange"))
+    return string(span.get("start")) is not None and at_least_0(span.get("duration")) is not None
+
+
+def is_day(value: dict) -> bool:
+    """A date with any segment or summary that says something."""
+    return string(value.get("date")) is not None and (any(map(usable, records(value.get("segments")))) or any(map(usable_summary, records(value.get("summary")))))
+
+
+def is_observation(value: dict) -> bool:
+    """A time of 1970 or later, with a place or an activity."""
+    where = record(value.get("location")) or value
+    ts = seconds(string(where.get("timestamp")) or string(value.get("date")))
+    told = any(string(value.get(k)) for k in ("confirmedType", "coreMotionActivityType", "movingState"))
+    return ts is not None and ts >= 0 and (told or point(where) is not None)
+
+
+def has_identity(item: dict) -> bool:
+    return string(item.get("itemId")) is not None or None not in (seconds(item.get("startDate")), seconds(item.get("endDate")))
+
+
+def kind_of(value: object, shape: str) -> tuple[str, str | None]:
+    """What a value is, and what is wrong with it: an exported item, a stored item, place, sample or summary, a day, something deleted, or unknown."""
+    if not isinstance(value, dict):
+        return "unknown", "not an object"
+    if shape == "timeline-items":
+        if not isinstance(value.get("isVisit"), bool) or not string(value.get("startDate")) or not string(value.get("endDate")):
+            return "unknown", "an item without isVisit, startDate or endDate"
+        return ("export-item", None) if has_identity(value) else ("unknown", "an item without identity")
+    if is_range_summary(value):
+        return "range-summary", None
+    for key, kind in (("itemId", "stored-item"), ("placeId", "place"), ("sampleId", "sample")):
+        if string(value.get(key)):
+            if kind == "sample" and value.get("deleted") is not True and not is_observation(value):
+                return "unknown", "a sample without time, or without place and activity"
+            return kind, None
+    if is_day(value):
+        bad = seconds(f"{value['date']}T000000") is None
+        return ("unknown", "a day that the calendar doesn't have") if bad else ("day", None)
+    if value.get("deleted") is True:
+        return "deleted", None
+    return ("sample", None) if is_observation(value) else ("unknown", "nothing known")
+
+
 def decoded(path: str, data: bytes) -> Iterator[dict]:
+    """The values of a file or archive, with their kinds. One that isn't valid has an error and kind unknown; a damaged file has one error and no values."""
     for name, body in entries(path, data):
         try:
             if isinstance(body, Damaged):
                 raise body
             shape, found = values(plain(name, body))
-            rows = [{"path": name, "shape": shape, "pos": k, "raw": json.dumps(v, ensure_ascii=False, sort_keys=True, separators=(",", ":")), "error": None} for k, v in enumerate(found)]
+            rows = []
+            for k, v in enumerate(found):
+                kind, wrong = kind_of(v, shape)
+                v = clean_account(v) if kind == "day" else v
+                rows.append({"path": name, "shape": shape, "pos": k, "kind": kind, "raw": json.dumps(v, ensure_ascii=False, sort_keys=True, separators=(",", ":")), "error": wrong})
         except Damaged as e:
-            rows = [{"path": name, "shape": None, "pos": None, "raw": None, "error": str(e)}]
+            rows = [{"path": name, "shape": None, "pos": None, "kind": None, "raw": None, "error": str(e)}]
         yield from rows
 
 
+#: Folders of archives, in the order in which they decide; paths begin with a slash and are in lower case.
+_FOLDERS = (
+    ("day", r"/json/(daily|weekly|monthly|yearly)/storyline/|/json/full/storyline[.]json([.]gz)?$"),
+    ("export-item", r"/export/json/(daily|monthly)/|^/json/(daily|monthly)/"),
+    ("stored-item", r"/timelineitem/"),
+    ("sample", r"/locomotionsample/"),
+    ("place", r"/place/"),
+    ("range-summary", r"/timelinerangesummary/"),
+)
+
+
+def path_kind(path: Column | str) -> Column:
+    """What a file should hold by the folder that it is in; null where the path doesn't say."""
+    text = F.concat(F.lit("/"), F.lower(F.replace(F.col(path) if isinstance(path, str) else path, F.lit("\\"), F.lit("/"))))
+    out = F.lit(None).cast("string")
+    for kind, pattern in reversed(_FOLDERS):
+        out = F.when(text.rlike(pattern), kind).otherwise(out)
+    return out
+
+
 def decode_files(files: DataFrame) -> DataFrame:
     """(path, content) rows as values; files that are neither JSON nor zip don't count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["path", "shape", "pos", "raw", "error"]
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+        names = ["path", "shape", "pos", "kind", "raw", "error"]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
                 rows = list(decoded(path.as_py(), content.as_py() or b""))
@@ -126,36 +200,30 @@ def decode_files(files: DataFrame) -> DataFrame:
     return wanted.select("path", "content").mapInArrow(run, VALUES)
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """All values of the files below a folder that Spark can read."""
-    return decode_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder))
-
+def read_archives(spark: SparkSession, folder: str, history: str | None = None) -> DataFrame:
+    """(history_id, and the columns of VALUES) of the files below a folder that Spark can read.
 
-def dialect(raw: Column | str) -> Column:
-    """What a value is: an exported item, a stored item, place, sample or summary, a day, or unknown."""
-    raw = F.col(raw) if isinstance(raw, str) else raw
-    has = lambda key: F.get_json_object(raw, f"$.{key}").isNotNull()
-    return (
-        F.when(has("dateRange"), "range-summary")
-        .when(has("sampleId") | (has("location") & has("date")), "sample")
-        .when(has("segments") | (has("summary") & has("date")), "day")
-        .when(has("isVisit") & has("startDate") & has("samples"), "export-item")
-        .when(has("itemId"), "stored-item")
-        .when(has("isVisit") & has("startDate"), "export-item")
-        .when(has("placeId"), "place")
-        .otherwise("unknown")
-    )
+    All are of one ``history``, or else each folder right below is a history of its own.
+    """
+    found = decode_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder))
+    if history is not None:
+        return found.select(F.lit(history).alias("history_id"), "*")
+    below = F.regexp_extract("path", r"^(?:[a-z0-9]+:/*)?\Q" + folder.split(":", 1)[-1].strip("/") + r"\E/+([^/!]+)/" if "://" in folder else r"\Q" + folder.strip("/") + r"\E/+([^/!]+)/", 1)
+    return found.select(below.alias("history_id"), "*")
 
 
 def scan_summary(found: DataFrame) -> DataFrame:
-    """For each file: its values, its dialects, and whether any of it can be imported."""
-    kind = F.when(F.col("error").isNull(), dialect("raw"))
-    good = F.coalesce(~kind.isin("unknown", "range-summary"), F.lit(False))
-    return found.groupBy("path").agg(F.count("raw").alias("n_values"), F.array_sort(F.collect_set(kind)).alias("dialects"), F.max(good).alias("supported"), F.min("error").alias("error"))
+    """For each file: its values, their kinds, whether any of it can be imported, and the first error."""
+    good = F.coalesce(~F.col("kind").isin("unknown", "range-summary"), F.lit(False))
+    kinds = F.array_sort(F.collect_set(F.when(F.col("kind") != "unknown", F.col("kind"))))
+    by = [c for c in ("history_id", "path") if c in found.columns]
+    return found.groupBy(*by).agg(F.count("raw").alias("n_values"), kinds.alias("dialects"), F.max(good).alias("supported"), F.min_by("error", F.when(F.col("error").isNotNull(), F.coalesce("pos", F.lit(-1)))).alias("error"), F.count("error").alias("n_errors"))
 
 
 def item_key(raw: Column | str) -> Column:
-    """``id:`` and the item's id, or ``time:`` with its window and kind."""
+    """``id:`` and the item's id, or ``time:`` with its window and kind; null if it has neither."""
+    raw = F.col(raw) if isinstance(raw, str) else raw
     get = lambda key: F.get_json_object(raw, f"$.{key}")
     kind = F.when(get("isVisit") == "true", "stay").otherwise("move")
-    return F.coalesce(F.concat(F.lit("id:"), F.nullif(get("itemId"), F.lit(""))), F.concat(F.lit("time:"), get("startDate"), F.lit("|"), get("endDate"), F.lit("|"), kind))
+    window = F.concat(F.lit("time:"), timestamp_s(get("startDate")).cast("string"), F.lit("|"), timestamp_s(get("endDate")).cast("string"), F.lit("|"), kind)
+    return F.coalesce(F.concat(F.lit("id:"), F.nullif(get("itemId"), F.lit(""))), window)

@@ -38,10 +38,10 @@ def test_gzip_is_verified():
 
 
 def test_a_damaged_zip_entry_leaves_the_others():
-    data = bytearray(zipped({"a.json": b"[1,2]", "b/c.json": b"[3]", "d.txt": b"x"}, zipfile.ZIP_STORED))
+    data = bytearray(zipped({"a.json": b"[1,2]", "b/c.json": b'[{"placeId":"p"}]', "d.txt": b"x"}, zipfile.ZIP_STORED))
     data[data.index(b"[1,2]") + 1] ^= 1
     rows = list(a.decoded("h.zip", bytes(data)))
-    assert [(r["path"], r["raw"], bool(r["error"])) for r in rows] == [("h.zip!/a.json", None, True), ("h.zip!/b/c.json", "3", False)]
+    assert [(r["path"], r["raw"], bool(r["error"])) for r in rows] == [("h.zip!/a.json", None, True), ("h.zip!/b/c.json", '{"placeId":"p"}', False)]
     assert list(a.decoded("x.zip", b"PK\3\4 nonsense"))[0]["error"]
     assert zlib.crc32(b"") == 0
 
@@ -49,15 +49,52 @@ def test_a_damaged_zip_entry_leaves_the_others():
 def test_read_folder(spark, tmp_path):
     (tmp_path / "deep").mkdir()
     (tmp_path / "deep/a.json").write_text(json.dumps({"timelineItems": [ITEM, ITEM | {"itemId": "i"}]}))
-    (tmp_path / "b.json.gz").write_bytes(gzip.compress(json.dumps([{"date": "20240501", "segments": [], "summary": []}]).encode()))
-    (tmp_path / "c.zip").write_bytes(zipped({"p.json": json.dumps({"placeId": "p"}), "r.json": json.dumps({"dateRange": {}})}))
+    (tmp_path / "b.json.gz").write_bytes(gzip.compress(json.dumps([{"date": "20240501", "segments": [{"type": "off", "startTime": "20240501T000000Z", "endTime": "20240501T010000Z"}], "summary": []}]).encode()))
+    (tmp_path / "c.zip").write_bytes(zipped({"p.json": json.dumps({"placeId": "p"}), "r.json": json.dumps({"dateRange": {"start": "2024-05-01T00:00:00Z", "duration": 86400}})}))
     (tmp_path / "d.json").write_text("[1, ")
     (tmp_path / "e.txt").write_text("no")
-    found = a.read_archives(spark, str(tmp_path))
+    found = a.read_archives(spark, str(tmp_path), "h")
     summary = {r.path.rsplit("/", 1)[-1]: (r.n_values, r.dialects, r.supported) for r in a.scan_summary(found).collect()}
     assert summary == {"a.json": (2, ["export-item"], True), "b.json.gz": (1, ["day"], True), "p.json": (1, ["place"], True), "r.json": (1, ["range-summary"], False), "d.json": (0, [], False)}
     keys = [r[0] for r in found.where("shape = 'timeline-items'").orderBy("pos").select(a.item_key("raw")).collect()]
-    assert keys == ["time:2024-05-01T10:00:00Z|2024-05-01T11:00:00Z|stay", "id:i"]
+    assert keys == ["time:1714557600|1714561200|stay", "id:i"]
+
+
+def test_kinds_are_strict():
+    item = {"isVisit": False, "startDate": "2024-05-01T10:00:00Z", "endDate": "2024-05-01T11:00:00Z"}
+    place = {"type": "place", "startTime": "20240501T000000Z", "endTime": "20240501T010000Z"}
+    kinds = lambda v, shape="root-array": (a.kind_of(v, shape)[0], a.kind_of(v, shape)[1] is None)
+    good = [
+        ({"dateRange": {"start": "x", "duration": 0}}, "range-summary"), ({"itemId": "i", "placeId": "p"}, "stored-item"), ({"placeId": "p", "sampleId": "s"}, "place"), ({"sampleId": "s", "deleted": True}, "sample"),
+        ({"date": "20240501", "summary": [{"activity": "wlk", "steps": 0}]}, "day"), ({"date": "20240501", "segments": [place | {"place": {"id": 5}}]}, "day"), ({"deleted": True}, "deleted"),
+        ({"date": "2024-05-01T00:00:00Z", "movingState": "moving"}, "sample"), ({"location": {"timestamp": "2024-05-01T00:00:00Z", "lat": 1, "longitude": 2}}, "sample"),
+    ]
+    assert [kinds(v) for v, _ in good] == [(k, True) for _, k in good]
+    bad = [3, None, [], {}, {"dateRange": {"start": "x", "duration": -1}}, {"itemId": 7}, {"date": "20240501", "segments": [place]}, {"date": "20240231", "segments": [place | {"type": "off"}]}, {"date": "2024-05-01T00:00:00Z", "location": {"lat": 91, "lon": 0}}, {"sampleId": "s"}, {"date": "1960-05-01T00:00:00Z", "movingState": "x"}]
+    assert [kinds(v) for v in bad] == [("unknown", False)] * len(bad)
+    assert kinds(item, "timeline-items") == ("export-item", True)
+    for v in (item | {"isVisit": "no"}, item | {"startDate": ""}, item | {"endDate": "later"}, {}):
+        assert kinds(v, "timeline-items") == ("unknown", False)
+
+
+def test_paths_tell_what_a_file_holds(spark):
+    want = {
+        "x/JSON/Daily/Storyline/a.json": "day", "json/full/storyline.json.gz": "day", "json\\yearly\\storyline\\a.json": "day", "export/json/monthly/a.json.gz": "export-item", "my/Export/JSON/monthly/a.json.gz": "export-item", "json/daily/a.json": "export-item",
+        "b/TimelineItem/1/a.json": "stored-item", "LocomotionSample/a.json": "sample", "b/Place/a.json": "place", "TimelineRangeSummary/a.json": "range-summary", "a.json": None, "myplace/a.json": None,
+    }
+    df = spark.createDataFrame([(k,) for k in want], "p string")
+    assert {r.p: r.k for r in df.select("p", a.path_kind("p").alias("k")).collect()} == want
+
+
+def test_folders_are_histories_and_bad_values_are_told(spark, tmp_path):
+    for user in ("u1", "u2"):
+        (tmp_path / user).mkdir()
+    (tmp_path / "u1/a.json").write_text(json.dumps({"timelineItems": [ITEM, {"isVisit": True}, ITEM | {"endDate": "?"}]}))
+    (tmp_path / "u2/b.zip").write_bytes(zipped({"p.json": json.dumps({"placeId": "p"})}))
+    found = a.read_archives(spark, str(tmp_path))
+    assert sorted((r.history_id, r.kind, bool(r.error)) for r in found.collect()) == [("u1", "export-item", False), ("u1", "unknown", True), ("u1", "unknown", True), ("u2", "place", False)]
+    got = {r.history_id: (r.supported, r.n_errors, r.error) for r in a.scan_summary(found).collect()}
+    assert got == {"u1": (True, 2, "an item without isVisit, startDate or endDate"), "u2": (True, 0, None)}
 
 
 def test_stream_keeps_the_latest(spark, tmp_path):
