@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import free_name, lean
+from chronofold.llm.common import bounded, free_name, kept, lean
 
 UNKNOWN = "und"
 
 
 _OTHER = re.compile(r"[\W\d_]+")
 _BITS = 21  # of a code point
+#: Parts of a language's n-grams that are ranked apart before all of them are.
+PARTS = 16
 
 
 def grams(text: str) -> np.ndarray:
@@ -96,7 +98,7 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "
     profile. The driver gets ``most`` n-grams of each language.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.col(text).alias("text"))
-    chosen = sample_of_each(labelled.select("lang", "key"), "lang", "key", per_lang).distinct()
+    chosen = bounded(kept(sample_of_each(labelled.select("lang", "key"), "lang", "key", per_lang).distinct()))
     order = W.partitionBy("lang").orderBy(F.xxhash64("key"), "key", F.xxhash64("text"))
     texts = labelled.join(chosen, ["lang", "key"], "left_semi").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang).select("lang", "text")
 
@@ -117,8 +119,10 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes)), pa.array(codes.astype(np.int64)), pa.array(n)], ["lang", "code", "weight"])
 
     summed = texts.mapInArrow(count, "lang string, code long, weight double").groupBy("lang", "code").agg(F.round(F.sum("weight"), 9).alias("weight"))
-    order = W.partitionBy("lang").orderBy(F.desc("weight"), "code")
-    top = summed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
+    best = [F.desc("weight"), "code"]
+    part = F.pmod(F.xxhash64("code"), F.lit(PARTS))
+    some = summed.withColumn("part", part).withColumn("r", F.row_number().over(W.partitionBy("lang", "part").orderBy(*best))).where(F.col("r") <= most)
+    top = some.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(*best))).where(F.col("r") <= most)
     by_lang: dict[str, list[tuple[int, int]]] = {}
     for r in top.collect():
         by_lang.setdefault(r.lang, []).append((r.r, r.code))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import bounded, discard, free_name, lean, stored
+from chronofold.llm.common import bounded, discard, free_name, kept, lean, stored
 
 MIN_WORDS = 50
 RUN = 8
@@ -148,7 +148,7 @@ HIT, OPEN, EDGE = 0, 1, 2
 
 
 def neighbours(suffix: DataFrame) -> DataFrame:
-    """(start, doc_id, mark, at, state) of the sorted suffixes whose first words a neighbour of another document has.
+    """(doc_id, mark, at) of the sorted suffixes whose first words a neighbour of another document has.
 
     A task reads a range of the array. Suffixes that begin alike stand
     together, by doc_id, so that some two neighbours among them are of
@@ -158,7 +158,8 @@ def neighbours(suffix: DataFrame) -> DataFrame:
     """
 
     def stated(rows: pa.RecordBatch, state: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(len(rows), state, np.int8))], [*rows.schema.names, "state"])
+        start = pa.nulls(len(rows), pa.binary()) if state == HIT else rows.column(0)  # needed at borders alone
+        return pa.RecordBatch.from_arrays([start, *rows.columns[1:], pa.array(np.full(len(rows), state, np.int8))], [*rows.schema.names, "state"])
 
     @lean
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,13 +244,12 @@ def _spans(rows: DataFrame, least: int) -> DataFrame:
     """Spans of (doc_id, text) rows, with the mark of the text they are in; stored."""
     if least < WINDOW + RUN:
         raise ValueError(f"least must be at least {WINDOW + RUN}")
-    texts = stored(long_texts(rows, least))
+    texts = kept(long_texts(rows, least))
     same = texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest")).where("lowest < highest")
-    copies = stored(texts.join(same, ["t1", "t2"]).select("doc_id", "mark", "n", (F.col("doc_id") == F.col("lowest")).alias("first")).distinct())
-    later = stored(copies.where("not first").groupBy("doc_id").agg(F.collect_set("mark").alias("skip")))
+    copies = kept(texts.join(same, ["t1", "t2"]).select("doc_id", "mark", "n", (F.col("doc_id") == F.col("lowest")).alias("first")).distinct())
+    later = kept(copies.where("not first").groupBy("doc_id").agg(F.collect_set("mark").alias("skip")))
     skipping = rows.join(bounded(later), "doc_id", "left").select("doc_id", "text", "skip")
-    shared = stored(neighbours(suffixes(skipping, least)))
-    long = stored(extended(rows, shared, least))
+    long = stored(extended(rows, neighbours(suffixes(skipping, least)), least))
     equal = long.groupBy("h1", "h2").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest")).where("lowest < highest").select("h1", "h2", "lowest")
     found = long.join(equal, ["h1", "h2"]).select("doc_id", "mark", "at", (F.col("doc_id") == F.col("lowest")).alias("first"))
     order = W.partitionBy("doc_id", "mark", "first").orderBy("at")
@@ -258,7 +258,7 @@ def _spans(rows: DataFrame, least: int) -> DataFrame:
     whole = copies.select("doc_id", "mark", F.lit(0).alias("start_word"), F.col("n").alias("end_word"), "first")
     out = spans.select("doc_id", "mark", "start_word", "end_word", "first").unionByName(whole)
     done = stored(out.select("doc_id", "mark", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first"))
-    discard(texts, copies, later, shared, long)
+    discard(texts, copies, later, long)
     return done
 
 
