@@ -1 +1,28 @@
-"""Timeline engine on Spark DataFrames."""
+"""An analytics engine for personal mobility history, on Spark.
+
+``import_history`` and ``import_histories`` read archives into tables,
+``write_tables`` writes them, ``scan`` says what a folder holds, ``register``
+makes the functions known to SQL.
+"""
+
+from __future__ import annotations
+
+import importlib
+
+_API = {
+    "import_history": "chronofold.plans.importer",
+    "import_histories": "chronofold.plans.importer",
+    "write_tables": "chronofold.plans.sinks",
+    "read_archives": "chronofold.sources.archive",
+    "scan_summary": "chronofold.sources.archive",
+    "register": "chronofold.functions.register",
+    "session": "chronofold.session",
+}
+
+
+def __getattr__(name: str):
+    """What the package offers, loaded when it is first asked for."""
+    if name in _API:
+        module = importlib.import_module(_API[name])
+        return module if _API[name].endswith(f".{name}") and not hasattr(module, name) else getattr(module, name)
+    raise AttributeError(name)

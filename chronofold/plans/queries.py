@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.functions import codec, scalars
-from chronofold.operators import evidence, intervals, pedometer, routes, timeline, windows
+from chronofold.operators import evidence, frames, intervals, pedometer, reconstruct, routes, timeline, windows
 from chronofold.plans import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -448,3 +448,110 @@ g AS (SELECT component, [count(*) FILTER (side = 1 AND manual), coalesce(sum(t -
 SELECT h.id AS claim_id, CASE side WHEN 0 THEN 'arc' ELSE 'moves' END AS source, s AS start, k AS steps FROM h LEFT JOIN g USING (component) WHERE days IS NULL OR days = (side = 1)""")
 def pedometer_choice(spark, sf_dir):
     return pedometer.chosen_side(_claims(spark, sf_dir)).select("claim_id", "source", "start", "steps")
+
+
+@query(f"""WITH {I} SELECT i.history, i.id AS interval_id, p.id AS point_id FROM i JOIN e p ON p.history = i.history AND p.kind = 'click' AND p.ts >= i.start_ts AND p.ts < i.end_ts WHERE i.kind = 'view' OR i.id % 5 = 0""")
+def points_in_intervals(spark, sf_dir):
+    i = half_hours(spark, sf_dir).where("kind = 'view' or id % 5 = 0").select("history", F.col("id").alias("interval_id"), "start_ts", "end_ts")
+    p = observations(spark, sf_dir).where("kind = 'click'").select("history", F.col("id").alias("point_id"), F.col("ts").alias("p_ts"))
+    return intervals.points_in(i, p, ["history"], "p_ts").select("history", "interval_id", "point_id")
+
+
+@query(f"""WITH {E} SELECT a.history, a.ts // 3600 AS hour FROM e a WHERE kind = 'view' AND EXISTS (SELECT 1 FROM e b WHERE b.history = a.history AND b.kind = 'purchase' AND a.ts // 3600 * 3600 < b.ts + 5400 AND b.ts < a.ts // 3600 * 3600 + 7200)""")
+def touching_intervals(spark, sf_dir):
+    """Hours with a view that a purchase touches, an hour as often as it has views."""
+    e = observations(spark, sf_dir)
+    hour = F.floor(F.col("ts") / 3600).cast("bigint")
+    a = e.where("kind = 'view'").select("history", (hour * 3600).alias("start_ts"), (hour * 3600 + 7200).alias("end_ts"))
+    b = e.where("kind = 'purchase'").select("history", F.col("ts").alias("start_ts"), (F.col("ts") + 5400).alias("end_ts"))
+    return intervals.touching(a, b, ["history"]).select("history", F.floor(F.col("start_ts") / 3600).cast("bigint").alias("hour"))
+
+
+@query(f"""WITH {E}, l AS (SELECT *, CASE WHEN k % 7 = 0 THEN NULL WHEN k % 7 < 3 THEN 'moves:' || k ELSE kind || (id % 50) END AS link FROM e)
+SELECT history, id, link FROM l WHERE (link IS NULL OR link NOT LIKE 'moves:%') AND NOT EXISTS (SELECT 1 FROM l m WHERE m.history = l.history AND m.id % 3 = 0 AND m.link = l.link)""")
+def unlinked_observations(spark, sf_dir):
+    k = F.col("k") % 7
+    link = F.when(k == 0, F.lit(None)).when(k < 3, F.concat(F.lit("moves:"), F.col("k").cast("string"))).otherwise(F.concat("kind", (F.col("id") % 50).cast("string")))
+    e = observations(spark, sf_dir).withColumn("link", link)
+    return evidence.unlinked(e, e.where("id % 3 = 0").select("history", "link"), "link", "moves:", ["history"]).select("history", "id", "link")
+
+
+@query(f"""WITH {E}, x AS (SELECT history, ts // 86400 AS day, CASE WHEN k % 3 > 0 THEN k % 3 END AS spot, CASE WHEN id % 4 > 0 THEN value END AS a, CASE WHEN id % 5 > 0 THEN kind END AS b, id, k FROM e)
+SELECT history, day, spot, arg_max(a, (k, id)) FILTER (a IS NOT NULL) AS a, arg_max(b, (id)) FILTER (b IS NOT NULL) AS b, max(id) AS id FROM x WHERE spot IS NOT NULL GROUP BY history, day, spot
+UNION ALL SELECT history, day, spot, a, b, id FROM x WHERE spot IS NULL""")
+def collapsed_observations(spark, sf_dir):
+    x = observations(spark, sf_dir).select("history", scalars.day_key("ts").alias("day"), F.when(F.col("k") % 3 > 0, F.col("k") % 3).alias("spot"), F.when(F.col("id") % 4 > 0, F.col("value")).alias("a"), F.when(F.col("id") % 5 > 0, F.col("kind")).alias("b"), "id", "k")
+    return evidence.collapsed(x, ["history", "day", "spot"], {"a": ["a"], "b": ["b"]}, {"a": ["k", "id"], "b": ["id"]}, "id").select("history", "day", "spot", "a", "b", "id")
+
+
+@query(f"""WITH {E}, d AS (SELECT history, ts // 86400 AS day, ts - lag(ts) OVER (PARTITION BY history, ts // 86400 ORDER BY ts, id) AS d FROM e)
+SELECT history, day, CAST(coalesce(greatest(1.0, least(300.0, median(d) FILTER (d > 0 AND d <= 600))), 60.0) AS DOUBLE) AS interval_s FROM d GROUP BY history, day""")
+def typical_interval(spark, sf_dir):
+    e = observations(spark, sf_dir).withColumn("day", scalars.day_key("ts"))
+    return windows.typical_interval_s(e, ["history", "day"], "ts", "id")
+
+
+@query(f"""WITH {E}, x AS (SELECT *, CASE WHEN k % 3 > 0 THEN k * 60 END AS o FROM e)
+SELECT history, arg_min(o, (ts, id)) FILTER (o IS NOT NULL) AS first_o, arg_max(o, (ts, id)) FILTER (o IS NOT NULL) AS last_o FROM x GROUP BY history""")
+def first_last_offset(spark, sf_dir):
+    e = observations(spark, sf_dir).withColumn("o", F.when(F.col("k") % 3 > 0, F.col("k") * 60))
+    return windows.first_last(e, ["history"], "ts", "id", "o")
+
+
+@query(f"""WITH {E}, x AS (SELECT id, value, k, CASE WHEN id % 3 = 0 THEN -value WHEN id % 3 = 1 THEN value * 9 ELSE value END AS v, CASE WHEN id % 4 = 0 THEN k * 700.5 ELSE k * 900 - 20000 END AS o FROM e)
+SELECT id, CASE WHEN v > 0 THEN v END AS positive, CASE WHEN v >= 0 THEN v END AS not_negative, CASE WHEN v >= 0 THEN round(v % 360, 6) END AS course, CASE WHEN v >= 0 AND v < 360 THEN v END AS accuracy,
+  CASE WHEN o = floor(o) AND abs(o) <= 50400 THEN CAST(o AS INTEGER) END AS zone, CAST(floor(v + 0.5) AS BIGINT) AS half_up, v > 0 AND v + k - 20 > v AS valid, v BETWEEN -90 AND 90 AND v * 3 BETWEEN -180 AND 180 AS placed FROM x""")
+def scalar_bounds(spark, sf_dir):
+    third = F.col("id") % 3
+    x = observations(spark, sf_dir).withColumn("v", F.when(third == 0, -F.col("value")).when(third == 1, F.col("value") * 9).otherwise(F.col("value"))).withColumn("o", F.when(F.col("id") % 4 == 0, F.col("k") * 700.5).otherwise(F.col("k") * 900 - 20000))
+    return x.select("id", scalars.positive("v").alias("positive"), scalars.non_negative("v").alias("not_negative"), F.round(scalars.course("v"), 6).alias("course"), scalars.course_accuracy("v").alias("accuracy"), scalars.offset_s("o").alias("zone"), scalars.half_up("v").cast("bigint").alias("half_up"), scalars.valid_window("v", F.col("v") + F.col("k") - 20).alias("valid"), scalars.valid_point("v", F.col("v") * 3).alias("placed"))
+
+
+_NEAR = "p AS (SELECT id, history, 45 + (id * 7919 % 4000) / 100000.0 AS lat, 9 + (id * 104729 % 4000) / 100000.0 AS lon, k * 2.0 AS r FROM e), q AS (SELECT s_suppkey AS place_id, 45 + (s_suppkey * 613 % 4000) / 100000.0 AS plat, 9 + (s_suppkey * 1217 % 4000) / 100000.0 AS plon, s_suppkey % 90 * 1.0 AS pr FROM supplier)"
+
+
+@query(f"""WITH {E}, {_NEAR}, d AS (SELECT id, place_id, {_hav_sql('lat', 'lon', 'plat', 'plon')} AS m, greatest(50, r + pr) AS reach FROM p, q),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY m, place_id) AS r, lead(m) OVER (PARTITION BY id ORDER BY m, place_id) AS next FROM d WHERE m <= reach)
+SELECT id AS point_id, place_id, round(m, 3) AS distance_m FROM n WHERE r = 1 AND (next IS NULL OR next - m >= 25)""")
+def nearest_place(spark, sf_dir):
+    p = observations(spark, sf_dir).select(F.col("id").alias("point_id"), (45 + (F.col("id") * 7919 % 4000) / 100000.0).alias("lat"), (9 + (F.col("id") * 104729 % 4000) / 100000.0).alias("lon"), (F.col("k") * 2.0).alias("radius_m"))
+    s = F.col("s_suppkey")
+    q = read(spark, sf_dir, "supplier").select(s.alias("place_id"), (45 + (s * 613 % 4000) / 100000.0).alias("place_lat"), (9 + (s * 1217 % 4000) / 100000.0).alias("place_lon"), (s % 90 * 1.0).alias("place_radius_m"))
+    return intervals.nearest_unambiguous(p, q, []).select("point_id", "place_id", F.round("distance_m", 3).alias("distance_m"))
+
+
+_FRAMES = "f AS (SELECT id, history, ts // 604800 AS stream_id, CASE WHEN id % 6 > 0 THEN ts END AS s, ts + k * 60 AS t, lat, lon FROM g)"
+
+
+@query(f"""WITH {GEO}, {_FRAMES} SELECT history, stream_id, count(*) AS frame_count, arg_min(s, id) FILTER (s IS NOT NULL) AS ts_start, max(t) AS ts_end, min(lat) AS bbox_min_lat, min(lon) AS bbox_min_lon, max(lat) + 1 AS bbox_max_lat, max(lon) + 1 AS bbox_max_lon FROM f GROUP BY history, stream_id""")
+def stream_totals(spark, sf_dir):
+    return frames.stream_totals(_frames(spark, sf_dir), ["history"])
+
+
+def _frames(spark, sf_dir):
+    t = track(spark, sf_dir)
+    return t.select("history", F.floor(F.col("ts") / 604800).cast("bigint").alias("stream_id"), "id", F.when(F.col("id") % 6 > 0, F.col("ts")).alias("ts_start"), (F.col("ts") + F.col("k") * 60).alias("ts_end"), F.col("lat").alias("bbox_min_lat"), F.col("lon").alias("bbox_min_lon"), (F.col("lat") + 1).alias("bbox_max_lat"), (F.col("lon") + 1).alias("bbox_max_lon"))
+
+
+@query(f"""WITH {GEO}, {_FRAMES}, p AS (SELECT history, min(ts) // 86400 * 86400 AS lo, unnest(range(10)) AS j FROM e GROUP BY history), t AS (SELECT history, j AS id, lo + j * 259200 AS a, lo + j * 259200 + 432000 AS b FROM p)
+SELECT f.history, f.id AS frame_id, t.id AS tileset_id FROM f JOIN t ON f.history = t.history AND f.t > t.a AND f.s < t.b WHERE s IS NOT NULL""")
+def stale_tiles(spark, sf_dir):
+    lo = observations(spark, sf_dir).groupBy("history").agg((F.floor(F.min("ts") / 86400) * 86400).cast("bigint").alias("lo"))
+    sets = lo.select("history", "lo", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(9).cast("bigint"))).alias("id")).select("history", "id", (F.col("lo") + F.col("id") * 259200).alias("period_start"), (F.col("lo") + F.col("id") * 259200 + 432000).alias("period_end"))
+    return frames.stale_tiles(_frames(spark, sf_dir), sets, ["history"])
+
+
+@query(f"""WITH {GEO}, d AS (SELECT DISTINCT history, ts // 86400 AS day FROM e), n AS (SELECT d.history, d.day, d.day * 86400 AS a, d.day * 86400 + 86400 AS b, count(*) AS n, min(ts) AS lo, max(ts) AS hi FROM d JOIN e ON e.history = d.history AND e.ts BETWEEN d.day * 86400 AND d.day * 86400 + 86400 GROUP BY d.history, d.day),
+s AS (SELECT n.history, n.day, ts - lag(ts) OVER (PARTITION BY n.history, n.day ORDER BY ts) AS d FROM n JOIN e ON e.history = n.history AND e.ts BETWEEN n.a AND n.b),
+x AS (SELECT history, day, CAST(trunc(greatest(1, least(300, coalesce(median(d) FILTER (d > 0 AND d <= 600), 60)))) AS BIGINT) AS step FROM s GROUP BY history, day),
+y AS (SELECT *, least(b, hi + step) AS u FROM n JOIN x USING (history, day))
+SELECT history, lo AS start_ts, u AS end_ts, 'arc_fragment_low_evidence' AS notes FROM y WHERE n > 1 AND u > lo UNION ALL SELECT history, a, lo, 'arc_fragment_unobserved' FROM y WHERE n > 1 AND u > lo AND lo > a
+UNION ALL SELECT history, u, b, 'arc_fragment_unobserved' FROM y WHERE n > 1 AND u > lo AND b > u UNION ALL SELECT history, a, b, 'arc_fragment_low_evidence' FROM y WHERE n <= 1 OR u <= lo""")
+def reconstructed_days(spark, sf_dir):
+    """Days as intervals and events as samples without a place: all that can become of them are gaps."""
+    e = observations(spark, sf_dir)
+    day = scalars.day_key("ts")
+    days = e.select("history", (day * 86400).alias("start_ts"), (day * 86400 + 86400).alias("end_ts")).distinct()
+    none = lambda t: F.lit(None).cast(t)
+    seen = e.select("history", "ts", none("double").alias("lon"), none("double").alias("lat"), none("double").alias("h_acc"), F.lit("unknown").alias("activity"), none("int").alias("tz_offset_s"))
+    return reconstruct.reconstructed(days, seen, ["history"]).select("history", "start_ts", "end_ts", "notes")

@@ -251,3 +251,22 @@ def test_all_timelines_are_sound(histories):
     assert {r["history_id"] for r in histories["report"]} == set(HISTORIES)
     assert all(r[c] == 0 for r in histories["report"] for c in bad)
     assert not [r for r in histories["files"] if r["n_errors"]]
+
+
+def test_tables_are_written_and_hold(spark, tmp_path):
+    from chronofold.plans import sinks
+
+    folder = tmp_path / "in"
+    for name in ("activities", "accounts"):
+        (folder / name).mkdir(parents=True)
+        write(folder / name, HISTORIES[name])
+    tables, heard, out = importer.import_histories(spark, str(folder)), [], str(tmp_path / "out")
+    n = sinks.write_tables(tables, out, on_table=heard.append)
+    written = sinks.read_tables(spark, out, list(tables))
+    assert sorted(heard) == sorted(tables) and heard[-1] == "events" and n["moves"] == 5 == written["moves"].count()
+    assert [r.sound and r.same for r in sinks.verified(tables, written).collect()] == [True, True]
+    assert spark.read.parquet(f"{out}/migrations").first().n_rows == sum(n.values())
+    with pytest.raises(Exception, match="differs"):
+        sinks.verified(tables, written | {"stays": written["stays"].limit(1)}).collect()
+    with pytest.raises(ValueError, match="nothing"):
+        sinks.write_tables({k: v.where("false") for k, v in tables.items()}, str(tmp_path / "none"))

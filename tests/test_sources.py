@@ -98,12 +98,38 @@ def test_folders_are_histories_and_bad_values_are_told(spark, tmp_path):
 
 
 def test_stream_keeps_the_latest(spark, tmp_path):
-    from chronofold.streaming.latest import merge_revisions
-
-    source = tmp_path / "in"
-    for k, rows in enumerate([[(1, 1, "a"), (2, 5, "b")], [(1, 3, "c"), (2, 4, "d")]]):
-        spark.createDataFrame(rows, "id int, revision int, x string").coalesce(1).write.mode("append").parquet(str(source))
-        stream = spark.readStream.schema("id int, revision int, x string").parquet(str(source))
-        merge_revisions(stream, ["id"], ["revision"], str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-        last = spark.read.parquet(str(tmp_path / f"out/{k}"))
-    assert sorted(tuple(r) for r in last.collect()) == [(1, 3, "c"), (2, 5, "b")]
+    from chronofold.streaming.latest import compact, current, merge_revisions
+
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    schema = "id int, revision int, x string, deleted boolean"
+    batches = [[(1, 1, "a", False), (2, 5, "b", False), (3, 9, "c", False), (4, 1, "d", None)], [(1, 3, "e", False), (2, 4, "f", False), (3, 9, None, True), (4, None, None, True)], [(4, 100, "late", False), (3, 10, "again", False)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(schema).parquet(str(source))
+        merge_revisions(stream, ["id"], ["revision"], out, str(tmp_path / "check"), "deleted").awaitTermination()
+    want = [(1, 3, "e", False), (2, 5, "b", False), (3, 10, "again", False)]
+    assert sorted(tuple(r) for r in current(spark, out, ["id"], ["revision"], "deleted").collect()) == want
+    compact(spark, out, str(tmp_path / "one"), ["id"], ["revision"], "deleted")
+    assert sorted(tuple(r) for r in current(spark, str(tmp_path / "one"), ["id"], ["revision"], "deleted").collect()) == want
+
+
+def test_sessions_of_a_stream(spark, tmp_path):
+    import datetime
+
+    from chronofold.streaming.latest import session_windows
+
+    at = lambda m: datetime.datetime(2024, 5, 1, 10) + datetime.timedelta(minutes=m)
+    rows = [("a", at(0)), ("a", at(9)), ("a", at(18)), ("a", at(40)), ("b", at(5)), ("b", at(6)), ("z", at(600))]
+    spark.createDataFrame(rows, "k string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, ts timestamp").parquet(str(tmp_path / "in"))
+    q = session_windows(stream, "k", "ts").writeStream.format("memory").queryName("sessions").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r.k, r.start_ts, r.end_ts, r.n) for r in spark.table("sessions").collect()) == [("a", at(0), at(18), 3), ("b", at(5), at(6), 2)]
+
+
+def test_functions_in_sql(spark):
+    import chronofold
+
+    assert "move_mode" in chronofold.register(spark)
+    r = spark.sql("select import_timestamp('20200101T000000+0100') as t, import_offset('20200101T000000+0100') as o, move_mode('On Foot') as m, encode_route(array(9.0D, 9.1D), array(45.0D, 45.0D)) as c, import_timestamp(null) as n").first()
+    assert (r.t, r.o, r.m, bytes(r.c[:4]), r.n) == (1577833200, 3600, "walk", b"CDQB", None)
