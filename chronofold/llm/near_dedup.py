@@ -267,3 +267,18 @@ def op1_near_duplicates(spark, sf_dir: str) -> DataFrame:
     from chronofold.llm.common import table
 
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+#: All pairs of texts that share a shingle; fit for tables of some thousand documents.
+OP1_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]) END)) AS s FROM d),
+c AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+x AS (SELECT rep, n, unnest(s) AS x FROM c),
+p AS (SELECT a.rep AS a, b.rep AS b, a.n AS n, b.n AS m, count(*) AS k FROM x a JOIN x b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * k >= 80 * (n + m - k)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT rep AS node, rep AS seen FROM c UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.seen),
+g AS (SELECT node, min(seen) AS component FROM r GROUP BY node)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(component, s.doc_id) AS component_id, coalesce(component, s.doc_id) = s.doc_id AS kept FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN g ON g.node = c.rep
+"""

@@ -7,14 +7,13 @@ from chronofold.llm.chat_format import OP8_SQL, op8_chat_format
 from chronofold.llm.decontaminate import OP4_SQL, op4_decontamination
 from chronofold.llm.language_id import op6_language_id
 from chronofold.llm.license_scan import op7_license_scan
-from chronofold.llm.near_dedup import op1_near_duplicates
+from chronofold.llm.near_dedup import OP1_SQL, op1_near_duplicates
 from chronofold.llm.packing import op3_pattern_packing
 from chronofold.llm.record_files import op9_token_records
-from chronofold.llm.suffix_dedup import op5_suffix_repeats
+from chronofold.llm.suffix_dedup import OP5_SQL, op5_suffix_repeats
 from chronofold.llm.token_counts import op2_token_counts
 
 
-
 def pipeline(spark, sf_dir: str):
     import corpus_pipeline
 
@@ -35,4 +34,4 @@ QUERIES = {
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_decontamination": OP4_SQL, "op8_chat_format": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_near_duplicates": OP1_SQL, "op4_decontamination": OP4_SQL, "op5_suffix_repeats": OP5_SQL, "op8_chat_format": OP8_SQL}

@@ -327,3 +327,19 @@ def op5_suffix_repeats(spark, sf_dir: str) -> DataFrame:
     from chronofold.llm.common import table
 
     return repeated_spans(table(spark, sf_dir, "documents"))
+
+
+#: Every run of 50 words of every text; fit for tables of some thousand documents. Ids are unique there.
+OP5_SQL = r"""
+WITH t AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[ \t\n\r\x0b\x0c]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+c AS (SELECT text, any_value(w) AS w, min(doc_id) AS lo, max(doc_id) AS hi FROM t WHERE len(w) >= 50 GROUP BY text),
+s AS (SELECT lo AS doc_id, w, unnest(range(len(w) - 49)) AS pos FROM c),
+r AS (SELECT doc_id, pos, array_to_string(list_slice(w, pos + 1, pos + 50), ' ') AS run FROM s),
+g AS (SELECT run, min(doc_id) AS lo FROM r GROUP BY run HAVING min(doc_id) < max(doc_id)),
+f AS (SELECT doc_id, pos, doc_id = lo AS first FROM r JOIN g USING (run)),
+o AS (SELECT *, CASE WHEN pos <= lag(pos) OVER x + 50 THEN 0 ELSE 1 END AS new FROM f WINDOW x AS (PARTITION BY doc_id, first ORDER BY pos)),
+n AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, first ORDER BY pos) AS span FROM o),
+z AS (SELECT doc_id, CAST(min(pos) AS INTEGER) AS start_word, CAST(max(pos) + 50 AS INTEGER) AS end_word, first FROM n GROUP BY doc_id, first, span
+  UNION ALL SELECT t.doc_id, 0, CAST(len(t.w) AS INTEGER), t.doc_id = c.lo FROM t JOIN c ON t.text = c.text WHERE c.lo < c.hi)
+SELECT doc_id, start_word, end_word, end_word - start_word AS n_words, first FROM z
+"""

@@ -148,3 +148,16 @@ def test_repeats_of_odd_rows(odd_docs, no_docs):
     kept = [(r.doc_id, r.text) for r in out.select("doc_id", "text").collect()]
     assert (6, "end") in kept and 1 not in {d for d, _ in kept} and len(kept) == 14
     assert suffix_dedup.repeated_spans(no_docs).count() == 0 and suffix_dedup.drop_repeats(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op1_near_duplicates", "op5_suffix_repeats"])
+def test_rows_of_the_sql(spark, name):
+    import duckdb
+
+    from chronofold.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    out = queries.QUERIES[name](spark, SF)
+    want = con.sql(queries.ORACLE_SQL[name]).select(*out.columns).fetchall()
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want)
