@@ -131,6 +131,9 @@ def write_token_records(docs: DataFrame, out: str, *, text: str = "text", doc_id
             yield pa.RecordBatch.from_pylist([{"shard": context.partitionId(), "path": f"{out}/part-{context.partitionId():05d}.rec", "records": len(offsets), "ids": n_ids}])
 
     shards = dealt.select("doc_id", "text").mapInArrow(write, "shard long, path string, records long, ids long").collect()  # a row for each shard
+    for left in where.get_file_info(fs.FileSelector(folder)):  # by tasks that didn't end
+        if left.base_name.startswith("."):
+            where.delete_file(left.path)
     return sorted(tuple(r) for r in shards)
 
 
