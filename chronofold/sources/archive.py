@@ -14,6 +14,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,20 +64,29 @@ def entries(path: str, data: bytes) -> Iterator[tuple[str, bytes | Damaged]]:
         yield path, Damaged(f"zip: {e}")
         return
     for info in archive.infolist():
-        name = normal_path(info.filename)
-        if info.is_dir() or not is_json_path(name):
-            continue
-        try:
-            if info.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
-                raise Damaged(f"zip: compression method {info.compress_type}")
-            body = archive.read(info)
-            if len(body) != info.file_size:
-                raise Damaged("zip: wrong size")
-            yield f"{path}!/{name}", body
-        except Damaged as e:
-            yield f"{path}!/{name}", e
-        except (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError) as e:
-            yield f"{path}!/{name}", Damaged(f"zip: {e}")
+        if wanted(info):
+            yield f"{path}!/{normal_path(info.filename)}", entry_bytes(archive, info)
+
+
+def wanted(info: zipfile.ZipInfo) -> bool:
+    return not info.is_dir() and is_json_path(normal_path(info.filename))
+
+
+def entry_bytes(archive: zipfile.ZipFile, info: zipfile.ZipInfo) -> bytes | Damaged:
+    """An entry's bytes, stored or deflated, with its size and checksum verified."""
+    if info.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+        return Damaged(f"zip: compression method {info.compress_type}")
+    try:
+        body = archive.read(info)
+    except (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError, OSError) as e:
+        return Damaged(f"zip: {e}")
+    return body if len(body) == info.file_size else Damaged("zip: wrong size")
+
+
+def open_file(path: str):
+    """A file by its URI, for reading anywhere in it."""
+    where, name = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file:///") else path)
+    return where.open_input_file(name)
 
 
 def is_json_path(path: str) -> bool:
@@ -149,18 +159,22 @@ def kind_of(value: object, shape: str) -> tuple[str, str | None]:
 def decoded(path: str, data: bytes) -> Iterator[dict]:
     """The values of a file or archive, with their kinds. One that isn't valid has an error and kind unknown; a damaged file has one error and no values."""
     for name, body in entries(path, data):
-        try:
-            if isinstance(body, Damaged):
-                raise body
-            shape, found = values(plain(name, body))
-            rows = []
-            for k, v in enumerate(found):
-                kind, wrong = kind_of(v, shape)
-                v = clean_account(v) if kind == "day" else v
-                rows.append({"path": name, "shape": shape, "pos": k, "kind": kind, "raw": json.dumps(v, ensure_ascii=False, sort_keys=True, separators=(",", ":")), "error": wrong})
-        except Damaged as e:
-            rows = [{"path": name, "shape": None, "pos": None, "kind": None, "raw": None, "error": str(e)}]
-        yield from rows
+        yield from values_of(name, body)
+
+
+def values_of(name: str, body: bytes | Damaged) -> list[dict]:
+    try:
+        if isinstance(body, Damaged):
+            raise body
+        shape, found = values(plain(name, body))
+        rows = []
+        for k, v in enumerate(found):
+            kind, wrong = kind_of(v, shape)
+            v = clean_account(v) if kind == "day" else v
+            rows.append({"path": name, "shape": shape, "pos": k, "kind": kind, "raw": json.dumps(v, ensure_ascii=False, sort_keys=True, separators=(",", ":")), "error": wrong})
+        return rows
+    except Damaged as e:
+        return [{"path": name, "shape": None, "pos": None, "kind": None, "raw": None, "error": str(e)}]
 
 
 #: Folders of archives, in the order in which they decide; paths begin with a slash and are in lower case.
@@ -183,21 +197,59 @@ def path_kind(path: Column | str) -> Column:
     return out
 
 
+def _batches(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    names = ["path", "shape", "pos", "kind", "raw", "error"]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
+    for at in range(0, len(rows), 1000):
+        part = rows[at : at + 1000]
+        yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in part], t) for n, t in zip(names, kinds, strict=True)], names)
+
+
 def decode_files(files: DataFrame) -> DataFrame:
     """(path, content) rows as values; files that are neither JSON nor zip don't count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["path", "shape", "pos", "kind", "raw", "error"]
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                rows = list(decoded(path.as_py(), content.as_py() or b""))
-                for at in range(0, len(rows), 1000):
-                    part = rows[at : at + 1000]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in part], t) for n, t in zip(names, kinds, strict=True)], names)
+                yield from _batches(list(decoded(path.as_py(), content.as_py() or b"")))
+
+    json_or_zip = files.where(F.lower("path").rlike(r"\.(json|json\.gz|zip)$"))
+    return json_or_zip.select("path", "content").mapInArrow(run, VALUES)
+
+
+def decode_archives(paths: DataFrame) -> DataFrame:
+    """The values of zip files (path), whose entries are dealt to the tasks one by one.
+
+    One pass reads the directories of the archives, which stand at their ends;
+    another seeks the entries. No archive is held as a whole, whatever its size.
+    """
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                try:
+                    with open_file(path) as f, zipfile.ZipFile(f) as archive:
+                        rows += [(path, k, info.file_size, None) for k, info in enumerate(archive.infolist()) if wanted(info)]
+                except (zipfile.BadZipFile, OSError) as e:
+                    rows.append((path, -1, 0, f"zip: {e}"))
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.string()), strict=True)], ["path", "entry", "size", "error"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, entry, _, error in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if error:
+                    yield from _batches(values_of(path, Damaged(error)))
+                    continue
+                with open_file(path) as f, zipfile.ZipFile(f) as archive:
+                    info = archive.infolist()[entry]
+                    body = entry_bytes(archive, info)
+                yield from _batches(values_of(f"{path}!/{normal_path(info.filename)}", body))
 
-    wanted = files.where(F.lower("path").rlike(r"\.(json|json\.gz|zip)$"))
-    return wanted.select("path", "content").mapInArrow(run, VALUES)
+    every = paths.select("path").mapInArrow(listed, "path string, entry int, size long, error string")
+    dealt = every.repartition(F.xxhash64("path", "entry"))
+    return dealt.mapInArrow(read, VALUES)
 
 
 def read_archives(spark: SparkSession, folder: str, history: str | None = None) -> DataFrame:
@@ -205,11 +257,13 @@ def read_archives(spark: SparkSession, folder: str, history: str | None = None)
 
     All are of one ``history``, or else each folder right below is a history of its own.
     """
-    found = decode_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    zipped = F.lower("path").endswith(".zip")
+    found = decode_files(files.where(~zipped)).unionByName(decode_archives(files.where(zipped).select("path")))
     if history is not None:
         return found.select(F.lit(history).alias("history_id"), "*")
-    below = F.regexp_extract("path", r"^(?:[a-z0-9]+:/*)?\Q" + folder.split(":", 1)[-1].strip("/") + r"\E/+([^/!]+)/" if "://" in folder else r"\Q" + folder.strip("/") + r"\E/+([^/!]+)/", 1)
-    return found.select(below.alias("history_id"), "*")
+    root = folder.split(":", 1)[-1].strip("/")
+    return found.select(F.regexp_extract("path", r"^[^:]*:?/*\Q" + root + r"\E/+([^/!]+)/", 1).alias("history_id"), "*")
 
 
 def scan_summary(found: DataFrame) -> DataFrame:

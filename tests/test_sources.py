@@ -46,6 +46,34 @@ def test_a_damaged_zip_entry_leaves_the_others():
     assert zlib.crc32(b"") == 0
 
 
+def test_entries_of_archives_are_dealt(spark, tmp_path):
+    """Damaged archives and entries are errors beside the others."""
+    (tmp_path / "many.zip").write_bytes(zipped({f"d/{k}.json": json.dumps({"placeId": f"p{k}"}) for k in range(300)}))
+    good = zipped({"a.json": json.dumps([{"placeId": "x"}, {"placeId": "y"}])}, zipfile.ZIP_STORED)
+    (tmp_path / "good.ZIP").write_bytes(good)
+    (tmp_path / "bad.zip").write_bytes(good[:-30])
+    torn = bytearray(good)
+    torn[torn.index(b'"x"') + 1] ^= 1
+    (tmp_path / "torn.zip").write_bytes(bytes(torn))
+    (tmp_path / "lzma.zip").write_bytes(zipped({"a.json": "[]"}, zipfile.ZIP_LZMA))
+    rows = a.read_archives(spark, str(tmp_path), "h").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.path.split("!")[0].rsplit("/", 1)[-1], []).append(r)
+    assert len(by["many.zip"]) == 300 and len({r.path for r in by["many.zip"]}) == 300 and len(by["good.ZIP"]) == 2
+    assert all(len(by[n]) == 1 and by[n][0].error for n in ("bad.zip", "torn.zip", "lzma.zip")) and "method" in by["lzma.zip"][0].error
+
+
+def test_large_directories(tmp_path):
+    """An archive in the 64-bit format."""
+    with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
+        for name in ("a.json", "b.json"):
+            with z.open(name, "w", force_zip64=True) as f:
+                f.write(b'[{"placeId":"p"}]')
+    rows = list(a.decoded("x.zip", (tmp_path / "x.zip").read_bytes()))
+    assert [(r["kind"], r["error"]) for r in rows] == [("place", None)] * 2
+
+
 def test_read_folder(spark, tmp_path):
     (tmp_path / "deep").mkdir()
     (tmp_path / "deep/a.json").write_text(json.dumps({"timelineItems": [ITEM, ITEM | {"itemId": "i"}]}))
