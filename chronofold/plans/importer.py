@@ -328,7 +328,7 @@ def days(values: DataFrame) -> DataFrame:
 
 REFERENCE = {
     "kind": "string", "start_ts": "bigint", "end_ts": "bigint", "start_offset_s": "int", "end_offset_s": "int", "notes": "string", "manual": "boolean", "revision": "double", "source": "string", "provider": "string", "ref": "string", "lat": "double", "lon": "double", "radius_m": "double",
-    "place_key": "string", "poi_name": "string", "anchor": "boolean", "mode": "string", "distance_m": "double", "route": "array<struct<ts:bigint,lon:double,lat:double>>", "path_quality": "string",
+    "place_key": "string", "poi_name": "string", "second_key": "string", "second_m": "double", "anchor": "boolean", "mode": "string", "distance_m": "double", "route": "array<struct<ts:bigint,lon:double,lat:double>>", "path_quality": "string",
 }
 
 
@@ -407,15 +407,22 @@ def place_groups(of_days: DataFrame) -> DataFrame:
 
 
 def from_days(day: DataFrame, item_refs: DataFrame) -> DataFrame:
-    """References of fused days; a place without a point is a gap where nothing else covers any of it."""
+    """References of fused days.
+
+    A stay is at its own place if any account names that, else at the place of
+    the item's stay that it matches best, which is its second place otherwise.
+    A place without a point is a gap where nothing else covers any of it.
+    """
     rows = day.select(H, F.explode("events").alias("e")).select(H, "e.*")
     groups = place_groups(rows)
     keyed = rows.join(groups.withColumnRenamed("alias", "_first"), [rows[H] == groups[H], F.get("place_ids", F.lit(0)) == F.col("_first")], "left").select(*(rows[c] for c in rows.columns), "place_key")
     met = _matched_stays(rows, item_refs)
-    full = keyed.join(met, [H, "ref"], "left")
+    named = keyed.where("poi_name is not null").select(H, "place_key").distinct().withColumn("is_named", F.lit(True))
+    full = keyed.join(met, [H, "ref"], "left").join(named, [H, "place_key"], "left")
+    own = F.when(F.col("is_named"), F.col("place_key"))
     refs = _reference(
         full.withColumn("if_uncovered", F.coalesce("if_uncovered", F.lit(False))), source=F.lit("moves"), provider=F.lit(DAY_PROVIDER), radius_m=F.coalesce("b_radius", F.lit(DEFAULT_RADIUS_M)), manual=F.coalesce("manual", F.lit(False)), anchor=F.coalesce("anchor", F.lit(False)) | F.coalesce("b_anchor", F.lit(False)),
-        place_key=F.when(F.col("poi_name").isNotNull() | F.col("place_key").isNotNull(), F.col("place_key")), path_quality=F.col("quality"), notes=F.when(F.col("if_uncovered"), F.concat(F.lit("?"), "notes")).otherwise(F.col("notes")),
+        place_key=F.coalesce(own, "b_key"), second_key=F.when(own != F.col("b_key"), F.col("b_key")), second_m=F.when(own != F.col("b_key"), F.col("far")), path_quality=F.col("quality"), notes=F.when(F.col("if_uncovered"), F.concat(F.lit("?"), "notes")).otherwise(F.col("notes")),
     )
     maybe, sure = refs.where("notes like '?%'"), refs.where("notes is null or not notes like '?%'")
     others = item_refs.select(H, "start_ts", "end_ts").unionByName(sure.where("kind <> 'move'").select(H, "start_ts", "end_ts"))
@@ -562,11 +569,13 @@ def import_values(values: DataFrame) -> dict[str, DataFrame]:
     pois = pois_of(refs, source.places)
     stays = full.where("kind = 'stay'").join(pois.select(H, F.col("poi_id").alias("place_key"), F.lit(True).alias("named")), [H, "place_key"], "left")
     at_place = F.when(F.col("named"), F.col("place_key"))
-    links = refs.where("kind = 'stay'").select(H, F.col("id").alias("from_id"), F.col("place_key").alias("poi_id"))
+    at = lambda key, far: refs.where(f"kind = 'stay' and {key} is not null").select(H, F.col("id").alias("from_id"), F.col(key).alias("poi_id"), far.alias("distance_m"))
+    links = at("place_key", F.lit(None).cast("double")).unionByName(at("second_key", F.col("second_m")))
     whole = swept.where("kind = 'stay'").select(H, "id", "part", F.explode(F.array_union(F.array("id"), "absorbed")).alias("from_id"))
     primary = stays.select(H, "id", "part", at_place.alias("main"))
     linked = whole.join(links, [H, "from_id"]).join(pois.select(H, "poi_id"), [H, "poi_id"], "left_semi").join(primary, [H, "id", "part"])
-    stay_pois = linked.select(H, "id", "part", "poi_id", F.when(F.col("poi_id") == F.col("main"), "primary").otherwise("secondary").alias("role")).distinct()
+    role = F.when(F.col("poi_id") == F.col("main"), "primary").otherwise("secondary")
+    stay_pois = linked.groupBy(H, "id", "part", "poi_id").agg(F.min(role).alias("role"), F.min("distance_m").alias("distance_m"))
     seen = canonical(source.seen)
     motion = seen.where("activity is not null").withColumn("k", F.lower(trimmed("activity")))
     flag = lambda *names: F.col("k").isin(*names).cast("int")

@@ -162,6 +162,14 @@ HISTORIES = {
         ]},
         "d.json": [{"date": "20150310", "segments": [seg("move", "0800", "0830", activities=[act("wlk", "0800", "0830", steps=2000, distance=1500)])], "summary": [{"activity": "wlk", "steps": 2300, "distance": 1700}]}],
     },
+    # a day's places where items have stays: one without a name of its own, one with another
+    "matches": {
+        "i.json": {"timelineItems": [
+            {"itemId": "u", "isVisit": True, "startDate": at("08:00", "2015-03-10"), "endDate": at("10:00", "2015-03-10"), "samples": [], "radius": {"mean": 33}, "place": {"placeId": "cafe", "name": "Cafe", "center": {"latitude": 45.0, "longitude": 9.0}}},
+            {"itemId": "v", "isVisit": True, "startDate": at("12:00", "2015-03-10"), "endDate": at("14:00", "2015-03-10"), "samples": [], "place": {"placeId": "gym", "name": "Gym", "isHome": True, "center": {"latitude": 45.5, "longitude": 9.0}}},
+        ]},
+        "d.json": [{"date": "20150310", "segments": [seg("place", "0810", "0950", place=spot(45.0001, id=7)), seg("place", "1150", "1400", place=spot(45.5001, id=8, name="Club"))]}],
+    },
     # one place by three ids; of equal moves before the cut-off the day's provenance counts; a cut move is measured again
     "places": {
         "d.json": [{"date": "20150310", "segments": [
@@ -246,6 +254,15 @@ def test_places_and_routes(histories):
     assert len(of(histories, "raw_gps", "places", "ts")) == 12
 
 
+def test_stays_of_both_sources(histories):
+    d = "2015-03-10"
+    stays = of(histories, "stays", "matches", "start_ts", "end_ts", "poi_id", "radius_m", "type")
+    assert stays == [(secs("08:00", d), secs("10:00", d), "arc:cafe", 33.0, "venue"), (secs("11:50", d), secs("14:00", d), "moves:8", 50.0, "anchor")]
+    links = of(histories, "stay_pois", "matches", "poi_id", "role")
+    assert links == [("arc:cafe", "primary"), ("arc:gym", "secondary"), ("moves:8", "primary")]
+    assert [round(x) for p, x in of(histories, "stay_pois", "matches", "poi_id", "distance_m") if p == "arc:gym"] == [11]
+
+
 def test_all_timelines_are_sound(histories):
     bad = ("n_duplicate_starts", "n_overlaps", "n_adjacent_same_kind", "n_open", "n_non_positive")
     assert {r["history_id"] for r in histories["report"]} == set(HISTORIES)
