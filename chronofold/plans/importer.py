@@ -42,6 +42,8 @@ GAP_NOTES = {"low": "arc_low_confidence", "off": "moves_tracking_off", "unplaced
 ANCHORS = ("home", "work", "school")
 DEFAULT_RADIUS_M = 50.0
 CODEC = "bqdc-v1"
+#: Begins the keys of places that have a name and a point but no id.
+NAMED = "named"
 
 
 def _point(*places: str) -> tuple[Column, Column]:
@@ -375,7 +377,8 @@ def from_items(item: DataFrame, seen: DataFrame, place: DataFrame) -> tuple[Data
     radius = F.coalesce(F.when(~stored, positive("radius.mean")), F.col("p_radius"), F.lit(DEFAULT_RADIUS_M))
     told = F.when(_low(), F.col("confirmedType")).otherwise(F.coalesce(F.nullif("activityType", F.lit("")), "confirmedType"))
     name = F.coalesce(F.nullif(trimmed("place.name"), F.lit("")), "p_name")
-    key = F.when(name.isNotNull(), F.coalesce(F.concat(F.lit("mapbox:"), F.nullif("place.mapboxPlaceId", F.lit(""))), F.concat(F.lit("arc:"), F.col("p_id"))))
+    without_id = F.concat_ws(":", F.lit(NAMED), name, *_point("place.center", "place.location"))
+    key = F.when(name.isNotNull(), F.coalesce(F.concat(F.lit("mapbox:"), F.nullif("place.mapboxPlaceId", F.lit(""))), F.concat(F.lit("arc:"), F.col("p_id")), F.when(_point("place.center", "place.location")[0].isNotNull(), without_id)))
     within = F.filter("samples", lambda s: (s["ts"] >= F.col("start_ts")) & (s["ts"] <= F.col("end_ts")) & s["lat"].isNotNull())
     read = whole.withColumn("low", low).withColumn("kind", F.when(F.col("low"), "gap").when(F.col("isVisit") & lat.isNotNull(), "stay").when(~F.col("isVisit"), "move")).where("kind is not null")
     routed = read.withColumn("r", routes.cleaned_route(F.when(F.col("kind") == "move", F.transform(within, lambda s: F.struct(s["ts"].alias("ts"), s["lon"].alias("lon"), s["lat"].alias("lat"))))))
@@ -534,7 +537,9 @@ def pois_of(refs: DataFrame, place: DataFrame) -> DataFrame:
     latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull() & F.col("name").isNotNull(), F.struct("revision", F.coalesce("seen", F.lit(0)))))
     out = rows.groupBy(H, "place_key").agg(*(latest(c).alias(c) for c in ("name", "lat", "lon", "radius_m", "category", "thoroughfare")), F.count("seen").alias("visitCount"), F.min("seen").alias("first_seen_ts"), F.max("seen").alias("last_seen_ts"))
     named = out.where("name is not null")
-    return named.select(H, F.col("place_key").alias("poi_id"), F.substring_index("place_key", ":", 1).alias("provider"), F.expr("substring(place_key, locate(':', place_key) + 1)").alias("provider_poi_id"), "name", "category", "lat", "lon", "radius_m", "visitCount", "first_seen_ts", "last_seen_ts", "thoroughfare")
+    prefix = F.substring_index("place_key", ":", 1)
+    own_id = F.when(prefix != NAMED, F.expr("substring(place_key, locate(':', place_key) + 1)"))
+    return named.select(H, F.col("place_key").alias("poi_id"), F.when(prefix == NAMED, "arc").otherwise(prefix).alias("provider"), own_id.alias("provider_poi_id"), "name", "category", "lat", "lon", "radius_m", "visitCount", "first_seen_ts", "last_seen_ts", "thoroughfare")
 
 
 def along(points: Column) -> Column:

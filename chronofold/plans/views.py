@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronofold.functions.scalars import local_date
 
+# Fixed values.
 MIN_M_PER_STEP, MAX_M_PER_STEP = 0.3, 2.5
 GRAINS = {"day": {"date": "yyyy-MM-dd"}, "hour": {"date": "yyyy-MM-dd", "hour": "HH"}, "month": {"month": "yyyy-MM"}}
 

@@ -170,6 +170,15 @@ HISTORIES = {
         ]},
         "d.json": [{"date": "20150310", "segments": [seg("place", "0810", "0950", place=spot(45.0001, id=7)), seg("place", "1150", "1400", place=spot(45.5001, id=8, name="Club"))]}],
     },
+    # a day's place within a long stay of an item, before the cut-off; the item's place has no id
+    "overlay": {
+        "i.json": {"timelineItems": [{"itemId": "s", "isVisit": True, "startDate": at("08:00", "2015-03-10"), "endDate": at("12:00", "2015-03-10"), "place": {"name": "Lodge", "location": {"latitude": 47.0, "longitude": 9.0}}}]},
+        "d.json": [{"date": "20150310", "segments": [seg("place", "1000", "1100", place=spot(47.5, id=3, name="Lake"))]}],
+    },
+    # two dozen moves of a second, with steps and points: one range of unknown time, and what was measured stays
+    "dense": {"d.json": [{"date": "20150310", "segments": [
+        {"type": "move", "startTime": f"20150310T0800{k:02d}Z", "endTime": f"20150310T0800{k + 1:02d}Z", "activities": [{"activity": "wlk", "startTime": f"20150310T0800{k:02d}Z", "endTime": f"20150310T0800{k + 1:02d}Z", "steps": 2, "trackPoints": [{"lat": 45.0, "lon": 9 + k / 1e4, "time": f"20150310T0800{k:02d}Z"}]}]} for k in range(24)
+    ]}]},
     # one place by three ids; of equal moves before the cut-off the day's provenance counts; a cut move is measured again
     "places": {
         "d.json": [{"date": "20150310", "segments": [
@@ -263,6 +272,20 @@ def test_stays_of_both_sources(histories):
     assert [round(x) for p, x in of(histories, "stay_pois", "matches", "poi_id", "distance_m") if p == "arc:gym"] == [11]
 
 
+def test_a_days_place_within_a_stay(histories):
+    d = "2015-03-10"
+    assert of(histories, "stays", "overlay", "start_ts", "end_ts", "part") == [(secs("08:00", d), secs("10:00", d) - 30, 0), (secs("10:00", d) + 30, secs("11:00", d) - 30, 0), (secs("11:00", d) + 30, secs("12:00", d), 1)]
+    assert of(histories, "no_data_gaps", "overlay", "notes") == [("generated_between_stays",)] * 2
+    assert of(histories, "pois", "overlay", "name", "provider", "provider_poi_id") == [("Lake", "moves", "3"), ("Lodge", "arc", None)]
+
+
+def test_dense_fragments_of_a_day(histories):
+    d = "2015-03-10"
+    assert of(histories, "no_data_gaps", "dense", "start_ts", "end_ts", "notes") == [(secs("08:00", d), secs("08:00", d) + 24, "moves_tracking_off")]
+    assert not of(histories, "moves", "dense", "start_ts") and len(of(histories, "raw_gps", "dense", "ts")) == 24
+    assert sum(n for (n,) in of(histories, "raw_pedometer", "dense", "steps_delta")) == 48
+
+
 def test_all_timelines_are_sound(histories):
     bad = ("n_duplicate_starts", "n_overlaps", "n_adjacent_same_kind", "n_open", "n_non_positive")
     assert {r["history_id"] for r in histories["report"]} == set(HISTORIES)
