@@ -10,12 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from chronofold.functions import codec, scalars
 from chronofold.operators import evidence, frames, intervals, pedometer, reconstruct, routes, timeline, windows
-from chronofold.plans import views
+from chronofold.plans import importer, views
+from chronofold.sources import archive
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -555,3 +555,46 @@ def reconstructed_days(spark, sf_dir):
     none = lambda t: F.lit(None).cast(t)
     seen = e.select("history", "ts", none("double").alias("lon"), none("double").alias("lat"), none("double").alias("h_acc"), F.lit("unknown").alias("activity"), none("int").alias("tz_offset_s"))
     return reconstruct.reconstructed(days, seen, ["history"]).select("history", "start_ts", "end_ts", "notes")
+
+
+_FOLDER = "CASE id % 9 WHEN 0 THEN 'Moves\\JSON\\Daily\\Storyline\\' || id || '.json' WHEN 1 THEN 'json/full/storyline.json.gz' WHEN 2 THEN 'a/Export/JSON/monthly/' || id || '.json' WHEN 3 THEN 'json/daily/' || id || '.json' WHEN 4 THEN 'x/TimelineItem/0/' || id || '.json' WHEN 5 THEN 'LocomotionSample/' || id || '.json' WHEN 6 THEN 'b/Place/' || id || '.json' WHEN 7 THEN 'TimelineRangeSummary/1.json' ELSE 'myplace/' || id || '.json' END"
+
+
+@query(f"""WITH {E} SELECT id, CASE id % 9 WHEN 0 THEN 'day' WHEN 1 THEN 'day' WHEN 2 THEN 'export-item' WHEN 3 THEN 'export-item' WHEN 4 THEN 'stored-item' WHEN 5 THEN 'sample' WHEN 6 THEN 'place' WHEN 7 THEN 'range-summary' END AS kind FROM e""")
+def path_kinds(spark, sf_dir):
+    number = F.col("id").cast("string")
+    folders = ["Moves\\JSON\\Daily\\Storyline\\", "json/full/storyline.json.gz", "a/Export/JSON/monthly/", "json/daily/", "x/TimelineItem/0/", "LocomotionSample/", "b/Place/", "TimelineRangeSummary/1.json", "myplace/"]
+    whole = [f if f.endswith((".gz", ".json")) else None for f in folders]
+    path = F.get(F.array(*(F.lit(f) if w else F.concat(F.lit(f), number, F.lit(".json")) for f, w in zip(folders, whole, strict=True))), (F.col("id") % 9).cast("int"))
+    return observations(spark, sf_dir).select("id", archive.path_kind(path).alias("kind"))
+
+
+_TWICE = "r AS (SELECT CAST(history AS VARCHAR) AS h, ts // 86400 * 86400 AS s, kind AS mode, id % 2 = 0 AS arc, CASE WHEN id % 3 > 0 THEN value END AS metres, CASE WHEN id % 4 > 0 THEN k * 60 END AS zone, id % 7 = 0 AS manual, CAST(k AS DOUBLE) AS revision, id FROM e)"
+
+
+@query(f"""WITH {E}, {_TWICE} SELECT h AS history_id, s AS start_ts, mode, arg_max(metres, (arc, revision, lpad(CAST(id AS VARCHAR), 12, '0'))) FILTER (metres IS NOT NULL) AS distance_m, CAST(arg_max(zone, (arc, revision, lpad(CAST(id AS VARCHAR), 12, '0'))) FILTER (zone IS NOT NULL) AS INTEGER) AS start_offset_s,
+  CASE WHEN bool_or(arc) THEN 'arc' ELSE 'moves' END AS source, bool_or(manual) AS manual, max(revision) AS revision FROM r GROUP BY h, s, mode""")
+def merged_moves(spark, sf_dir):
+    """Events of one kind and day as moves of the whole day, told by two sources."""
+    e = observations(spark, sf_dir).withColumnRenamed("kind", "told").withColumn("history_id", F.col("history").cast("string"))
+    day = (F.floor(F.col("ts") / 86400) * 86400).cast("bigint")
+    refs = importer._reference(
+        e, kind=F.lit("move"), start_ts=day, end_ts=day + 86400, mode=F.col("told"), source=F.when(F.col("id") % 2 == 0, "arc").otherwise("moves"), distance_m=F.when(F.col("id") % 3 > 0, F.col("value")), start_offset_s=F.when(F.col("id") % 4 > 0, F.col("k") * 60),
+        manual=F.col("id") % 7 == 0, revision=F.col("k"), ref=F.lpad(F.col("id").cast("string"), 12, "0"),
+    )
+    return importer.without_duplicate_moves(refs).select("history_id", "start_ts", "mode", "distance_m", "start_offset_s", "source", "manual", "revision")
+
+
+@query(f"""WITH {E}, v AS (SELECT CAST(history AS VARCHAR) AS h, 'arc:' || (k % 20) AS p, CASE WHEN id % 3 > 0 THEN kind END AS name, id / 1000.0 AS lat, CAST(k AS DOUBLE) AS revision, ts AS seen FROM e),
+w AS (SELECT h, p, name, lat, revision, seen FROM v UNION ALL SELECT DISTINCT CAST(history AS VARCHAR), 'arc:' || (k % 30), 'place ' || (k % 30), 1.5, 25.0, NULL FROM e),
+g AS (SELECT h, p, arg_max(name, (revision, coalesce(seen, 0), name)) FILTER (name IS NOT NULL) AS name, arg_max(lat, (revision, coalesce(seen, 0))) FILTER (name IS NOT NULL) AS lat, count(seen) AS n, min(seen) AS lo, max(seen) AS hi FROM w GROUP BY h, p)
+SELECT h AS history_id, p AS poi_id, n AS "visitCount", lo AS first_seen_ts, hi AS last_seen_ts FROM g WHERE name IS NOT NULL""")
+def poi_visits(spark, sf_dir):
+    e = observations(spark, sf_dir).withColumnRenamed("kind", "told").withColumn("history_id", F.col("history").cast("string"))
+    refs = importer._reference(
+        e, kind=F.lit("stay"), start_ts=F.col("ts"), place_key=F.concat(F.lit("arc:"), (F.col("k") % 20).cast("string")), poi_name=F.when(F.col("id") % 3 > 0, F.col("told")), lat=F.col("id") / 1000.0, lon=F.lit(0.0), revision=F.col("k"), source=F.lit("arc"), ref=F.col("id"),
+    )
+    own = (F.col("k") % 30).cast("string")
+    none = lambda t: F.lit(None).cast(t)
+    places = e.select("history_id", own.alias("place_id"), F.concat(F.lit("place "), own).alias("name"), F.lit(1.5).alias("lat"), F.lit(0.0).alias("lon"), none("double").alias("radius_m"), none("string").alias("category"), none("string").alias("thoroughfare"), F.lit(25.0).alias("revision")).distinct()
+    return importer.pois_of(refs, places).select("history_id", "poi_id", "visitCount", "first_seen_ts", "last_seen_ts")
