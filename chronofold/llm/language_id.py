@@ -83,7 +83,7 @@ def sample_of_each(rows: DataFrame, lang: str, key: str, per_lang: int) -> DataF
     """
     h = F.xxhash64(key)
     share = F.col("n").cast("double")
-    counts = rows.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n"))
+    counts = bounded(kept(rows.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n"))))
     near = rows.select(lang, key, h.alias("h")).join(counts, F.col(lang) == F.col("l")).where((F.col("h") / F.lit(2.0**64) + 0.5) * share <= 2.0 * per_lang)
     return near.withColumn("r", F.row_number().over(W.partitionBy(lang).orderBy("h", key))).where(F.col("r") <= per_lang).select(lang, key)
 
