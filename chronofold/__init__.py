@@ -1,8 +1,9 @@
 """An analytics engine for personal mobility history, on Spark.
 
 ``import_history`` and ``import_histories`` read archives into tables,
-``write_tables`` writes them, ``scan`` says what a folder holds, ``register``
-makes the functions known to SQL.
+``write_tables`` writes them, ``scan`` says what the values of
+``read_archives`` hold, ``register`` makes the functions known to SQL, and
+``start`` gives a session with the settings that all of it assumes.
 """
 
 from __future__ import annotations
@@ -10,19 +11,19 @@ from __future__ import annotations
 import importlib
 
 _API = {
-    "import_history": "chronofold.plans.importer",
-    "import_histories": "chronofold.plans.importer",
-    "write_tables": "chronofold.plans.sinks",
-    "read_archives": "chronofold.sources.archive",
-    "scan_summary": "chronofold.sources.archive",
-    "register": "chronofold.functions.register",
-    "session": "chronofold.session",
+    "import_history": ("chronofold.plans.importer", "import_history"),
+    "import_histories": ("chronofold.plans.importer", "import_histories"),
+    "write_tables": ("chronofold.plans.sinks", "write_tables"),
+    "read_archives": ("chronofold.sources.archive", "read_archives"),
+    "scan": ("chronofold.sources.archive", "scan_summary"),
+    "register": ("chronofold.functions.register", "register"),
+    "start": ("chronofold.session", "session"),
 }
 
 
 def __getattr__(name: str):
     """What the package offers, loaded when it is first asked for."""
-    if name in _API:
-        module = importlib.import_module(_API[name])
-        return module if _API[name].endswith(f".{name}") and not hasattr(module, name) else getattr(module, name)
-    raise AttributeError(name)
+    if name not in _API:
+        raise AttributeError(f"module {__name__!r} has no attribute {name!r}")
+    module, function = _API[name]
+    return getattr(importlib.import_module(module), function)

@@ -159,5 +159,6 @@ def test_functions_in_sql(spark):
     import chronofold
 
     assert "move_mode" in chronofold.register(spark)
+    assert all(callable(getattr(chronofold, name)) for name in ("import_history", "import_histories", "write_tables", "read_archives", "scan", "start")) and not hasattr(chronofold, "other")
     r = spark.sql("select import_timestamp('20200101T000000+0100') as t, import_offset('20200101T000000+0100') as o, move_mode('On Foot') as m, encode_route(array(9.0D, 9.1D), array(45.0D, 45.0D)) as c, import_timestamp(null) as n").first()
     assert (r.t, r.o, r.m, bytes(r.c[:4]), r.n) == (1577833200, 3600, "walk", b"CDQB", None)
