@@ -598,3 +598,18 @@ def poi_visits(spark, sf_dir):
     none = lambda t: F.lit(None).cast(t)
     places = e.select("history_id", own.alias("place_id"), F.concat(F.lit("place "), own).alias("name"), F.lit(1.5).alias("lat"), F.lit(0.0).alias("lon"), none("double").alias("radius_m"), none("string").alias("category"), none("string").alias("thoroughfare"), F.lit(25.0).alias("revision")).distinct()
     return importer.pois_of(refs, places).select("history_id", "poi_id", "visitCount", "first_seen_ts", "last_seen_ts")
+
+
+@query(f"""WITH {E}, v AS (SELECT history AS h, id, ts AS s, ts + 3600 + k * 1200 AS t, id * 7919 % 1000003 AS q FROM e),
+b AS (SELECT DISTINCT h, x FROM (SELECT h, s AS x FROM v UNION ALL SELECT h, t FROM v)), g AS (SELECT h, x AS a, lead(x) OVER (PARTITION BY h ORDER BY x) AS b FROM b),
+o AS (SELECT g.h, g.a, g.b, arg_max(v.id, v.q) AS id FROM g JOIN v ON v.h = g.h AND v.s <= g.a AND v.t >= g.b GROUP BY 1, 2, 3),
+i AS (SELECT *, CASE WHEN lag(id) OVER w = id AND lag(b) OVER w = a THEN 0 ELSE 1 END AS new FROM o WINDOW w AS (PARTITION BY h ORDER BY a)), n AS (SELECT *, sum(new) OVER (PARTITION BY h ORDER BY a) AS piece FROM i)
+SELECT CAST(h AS VARCHAR) AS history_id, id, CAST(min(a) AS DOUBLE) AS start_ts, CAST(max(b) AS DOUBLE) AS end_ts FROM n GROUP BY h, id, piece""")
+def sweep_owners(spark, sf_dir):
+    """Moves of one source with qualities of their own: each second belongs to the best of those that cover it."""
+    none = lambda t: F.lit(None).cast(t)
+    moves = observations(spark, sf_dir).select(
+        F.col("history").cast("string").alias("history_id"), "id", F.lit("move").alias("kind"), F.col("ts").cast("double").alias("start_ts"), (F.col("ts") + 3600 + F.col("k") * 1200).cast("double").alias("end_ts"), (F.col("id") * 7919 % 1_000_003).cast("int").alias("quality"), F.lit(False).alias("manual"), F.lit(0.0).alias("revision"),
+        F.lit("arc").alias("source"), none("double").alias("lat"), none("double").alias("lon"), none("double").alias("radius_m"),
+    )
+    return timeline.sweep(moves).select("history_id", "id", "start_ts", "end_ts")

@@ -184,3 +184,18 @@ def test_integrity_counts_what_is_wrong(spark):
     assert t.checked(good).first().sound
     with pytest.raises(Exception, match="not sound"):
         t.checked(spark.createDataFrame(rows, "kind string, start_ts double, end_ts double")).collect()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 300), st.integers(1, 120)), max_size=20), st.randoms())
+def test_each_second_belongs_to_the_best_event_that_covers_it(spans_, random):
+    ranks = list(range(len(spans_)))
+    random.shuffle(ranks)
+    events = [move(k, float(s), float(s + d), quality=ranks[k]) for k, (s, d) in enumerate(spans_)]
+    owner = {}
+    for e in sorted(events, key=lambda e: e.quality):
+        owner |= dict.fromkeys(range(int(e.start), int(e.end)), e.id)
+    got = {}
+    for e in t.resolve(events):
+        got |= dict.fromkeys(range(int(e.start), int(e.end)), e.id)
+    assert got == owner
