@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from chronofold.llm import decontaminate, language_id, near_dedup, packing, suffix_dedup
 from chronofold.llm.common import discard, free_name, lasting, table
 
-#: Texts in a known language score 0.39 at least (10,056 of sf0.1, single words
+#: Texts in a known language score 0.39 at least (10,000 of sf0.1, single words
 #: among them); in others, in Latin script, 0.18 to 0.29, and random letters,
 #: of ten words or more, 0.28 at most.
 LEAST_SCORE = 0.3
