@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import bounded, discard, lean, stored
+from chronofold.llm.common import bounded, discard, kept, lean, stored
 
 K = 64
 #: Per cent by which an estimate may fall short of the similarity: six standard deviations for k = 64 at 80 per cent.
@@ -150,7 +150,7 @@ def estimated(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFr
 
 def verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b), a stored table, whose full sets are similar."""
-    first = stored(pairs.select(F.col("a").alias("doc_id")).distinct())
+    first = kept(pairs.select(F.col("a").alias("doc_id")).distinct())
     mine = full.join(bounded(first), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("full").alias("x"))
     other = full.select(F.col("doc_id").alias("b"), F.col("full").alias("y"))
     both = pairs.join(other, "b").join(mine, "a")
@@ -247,15 +247,15 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     owners = seen.where("doc_id = rep").select("doc_id", "d1", "d2").distinct()
     reps = stored(sketched.join(owners, ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"]))
     lists = stored(sketch_lists(reps, k, percent))
-    digests = lambda ids: stored(owners.join(ids, "doc_id", "left_semi"))
-    near = stored(estimated(list_pairs(lists, percent), reps, k, percent))
+    digests = lambda ids: kept(owners.join(ids, "doc_id", "left_semi"))
+    near = kept(estimated(list_pairs(lists, percent), reps, k, percent))
     full = stored(sets_of(docs, doc_id, text, width, digests(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())))
-    first = stored(components(verified(near, full, percent)))
+    first = kept(components(verified(near, full, percent)))
     discard(sketched, reps, near, full)
-    members = stored(open_members(lists, first.select(F.col("node").alias("doc_id"), F.col("component").alias("label"))))
+    members = kept(open_members(lists, first.select(F.col("node").alias("doc_id"), F.col("component").alias("label"))))
     full = stored(sets_of(docs, doc_id, text, width, digests(members.select("doc_id"))))
-    rest = verified(stored(open_pairs(members, full, percent)), full, percent)
-    group = stored(components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest)))
+    rest = verified(kept(open_pairs(members, full, percent)), full, percent)
+    group = kept(components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest)))
     discard(lists, members, full, first)
     found = seen.join(group.withColumnRenamed("node", "rep"), "rep", "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))
