@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import discard, lean, stored, table
+from chronofold.llm.common import discard, kept, lean, stored, table
 from chronofold.llm.near_dedup import components
 
 FRAME_S = 0.128
@@ -181,7 +181,7 @@ def postings(prints: DataFrame) -> DataFrame:
             offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
 
-    every = stored(prints.select(F.explode(sample("prints")).alias("k"), "id"))
+    every = kept(prints.select(F.explode(sample("prints")).alias("k"), "id"))
     shared = every.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
     return every.join(shared, "k")
 
@@ -304,26 +304,26 @@ def align(prints: DataFrame, *, most_errors: float = 0.25, least_frames: int = 6
     fingerprints, and come out once each. Of equal
     votes the smallest offset counts, of equal errors the smallest id.
     """
-    usable = stored(classes(prints, least_frames))
+    usable = kept(classes(prints, least_frames))
     reps = usable.where("id = rep").select("id", "prints")
     index = stored(postings(reps))
     found, label = None, None
     while True:
-        lists = stored(still_open(index, label))
+        lists = kept(still_open(index, label))
         pairs = hub_pairs(lists)
-        made = stored(aligned(pairs, reps, most_errors, least_frames))
+        made = kept(aligned(pairs, reps, most_errors, least_frames))
         links = made if found is None else found.unionByName(made)
         fresh = made.limit(1).count() > 0
         if fresh:
             discard(lists)
             known = links.select("a", "b")
-            label = stored(components(known))
+            label = kept(components(known))
             found = links
             continue
-        rest = stored(aligned(open_pairs(lists), reps, most_errors, least_frames))
+        rest = kept(aligned(open_pairs(lists), reps, most_errors, least_frames))
         found = links.unionByName(rest)
         break
-    discard(index, lists)
+    discard(lists)  # the index stays: what was compared is held on executors, and computed again from it if one is lost
     group = components(found.select("a", "b")).select(F.col("node").alias("rep"), F.col("component"))
     best = found.groupBy("b").agg(F.min(F.struct("bit_error_rate", "a", "offset", "frames")).alias("m")).select(F.col("b").alias("rep"), "m")
     of_class = usable.select("id", "rep", F.size("prints").alias("n")).join(group, "rep", "left").join(best, "rep", "left")
