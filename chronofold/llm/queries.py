@@ -5,6 +5,7 @@ from __future__ import annotations
 from chronofold.llm.audio_fingerprint import op10_audio_alignment
 from chronofold.llm.chat_format import OP8_SQL, op8_chat_format
 from chronofold.llm.decontaminate import OP4_SQL, op4_decontamination
+from chronofold.llm.filter_audit import OP11_SQL, op11_filter_audit
 from chronofold.llm.language_id import op6_language_id
 from chronofold.llm.license_scan import op7_license_scan
 from chronofold.llm.near_dedup import OP1_SQL, op1_near_duplicates
@@ -31,7 +32,8 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_token_records": op9_token_records,
     "op10_audio_alignment": op10_audio_alignment,
+    "op11_filter_audit": op11_filter_audit,
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_near_duplicates": OP1_SQL, "op4_decontamination": OP4_SQL, "op5_suffix_repeats": OP5_SQL, "op8_chat_format": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_near_duplicates": OP1_SQL, "op4_decontamination": OP4_SQL, "op5_suffix_repeats": OP5_SQL, "op8_chat_format": OP8_SQL, "op11_filter_audit": OP11_SQL}
