@@ -114,6 +114,28 @@ def bounded(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
+#: Keys that can each have more than a HOT_KEYS-th of all rows; so there are fewer of them.
+HOT_KEYS = 20_000
+
+
+def with_own(rows: DataFrame, own: DataFrame, key: list[str], count: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``own``, a stored aggregate of theirs: a row for each key, ``count`` of which says how many rows it has.
+
+    A join with an aggregate on its own key has no skew that Spark would split.
+    So keys with more than a HOT_KEYS-th of all rows go by a broadcast of their
+    aggregates, of which there are fewer than HOT_KEYS, and their rows aren't dealt by key.
+    """
+    limit = (own.agg(F.sum(count)).first()[0] or 0) // HOT_KEYS
+    hot = own.where(F.col(count) > F.lit(max(limit, 1000)))
+    if not hot.head(1):
+        return rows.join(own, key, how)
+    values = [c for c in own.columns if c not in key]
+    marked = rows.join(F.broadcast(hot.select(*key, F.struct(*values).alias("_own"))), key, "left")
+    split = [marked.where("_own is not null").select(*rows.columns, *(F.col(f"_own.{c}") for c in values))]
+    rest = marked.where("_own is null").drop("_own").join(own, key, how)
+    return rest.unionByName(split[0].select(*rest.columns))
+
+
 def ascii_lower(text):
     """Lower-case A-Z alone. Texts of ASCII only take the fast way."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

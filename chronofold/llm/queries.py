@@ -9,6 +9,7 @@ from chronofold.llm.filter_audit import OP11_SQL, op11_filter_audit
 from chronofold.llm.language_id import op6_language_id
 from chronofold.llm.license_scan import op7_license_scan
 from chronofold.llm.near_dedup import OP1_SQL, op1_near_duplicates
+from chronofold.llm.ngram_join import OP13_SQL, op13_ngram_join
 from chronofold.llm.packing import op3_pattern_packing
 from chronofold.llm.record_files import op9_token_records
 from chronofold.llm.suffix_dedup import OP5_SQL, op5_suffix_repeats
@@ -33,7 +34,8 @@ QUERIES = {
     "op9_token_records": op9_token_records,
     "op10_audio_alignment": op10_audio_alignment,
     "op11_filter_audit": op11_filter_audit,
+    "op13_ngram_join": op13_ngram_join,
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_near_duplicates": OP1_SQL, "op4_decontamination": OP4_SQL, "op5_suffix_repeats": OP5_SQL, "op8_chat_format": OP8_SQL, "op11_filter_audit": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_near_duplicates": OP1_SQL, "op4_decontamination": OP4_SQL, "op5_suffix_repeats": OP5_SQL, "op8_chat_format": OP8_SQL, "op11_filter_audit": OP11_SQL, "op13_ngram_join": OP13_SQL}
