@@ -39,8 +39,8 @@ _UPPER = bytes(range(ord("A"), ord("Z") + 1))
 _MARKS = re.compile(rb"[#$%&*|]")
 #: Bytes of texts that a reading task holds before it passes on what it has.
 HELD_BYTES = 48 << 20
-#: The most tasks that texts are dealt to, so that the shuffle keeps to files of a fair size.
-MOST_TASKS = 20_000
+#: Documents that a task of the route gets, more or less: its share of the texts is sorted, on disk where it is large.
+TASK_ROWS = 50_000
 
 OUT = "part string, filter_order string, step int, kept long, removed long, redundant long, unique_fails long, good_lost long, toxic_lost long, shapley long"
 
@@ -133,9 +133,9 @@ def masks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", part:
     ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long"), F.coalesce(F.col(part).cast("string"), F.lit("")), F.col(text).cast("string").cast("binary")).rdd
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(rows.getNumPartitions(), MOST_TASKS))
-    sent = rows.mapPartitions(lambda x: routed(x, digest)).repartitionAndSortWithinPartitions(tasks, lambda key: key[0])
+    rows = docs.select(F.col(doc_id).cast("long"), F.coalesce(F.col(part).cast("string"), F.lit("")), F.col(text).cast("string").cast("binary"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // TASK_ROWS)
+    sent = rows.rdd.mapPartitions(lambda x: routed(x, digest)).repartitionAndSortWithinPartitions(tasks, lambda key: key[0])
     return spark.createDataFrame(sent.mapPartitions(settled), "doc_id long, part string, mask int, n long", verifySchema=False)
 
 
