@@ -1,8 +1,8 @@
 """An analytics engine for personal mobility history, on Spark.
 
 ``import_history`` and ``import_histories`` read archives into tables,
-``write_tables`` writes them, ``scan`` says what the values of
-``read_archives`` hold, ``register`` makes the functions known to SQL, and
+``write_tables`` writes them, ``scan_folder`` says what a folder holds without
+reading it whole, ``scan`` what the values of ``read_archives`` hold, ``register`` makes the functions known to SQL, and
 ``start`` gives a session with the settings that all of it assumes.
 """
 
@@ -16,6 +16,7 @@ _API = {
     "write_tables": ("chronofold.plans.sinks", "write_tables"),
     "read_archives": ("chronofold.sources.archive", "read_archives"),
     "scan": ("chronofold.sources.archive", "scan_summary"),
+    "scan_folder": ("chronofold.sources.archive", "scan_folder"),
     "register": ("chronofold.functions.register", "register"),
     "start": ("chronofold.session", "session"),
 }

@@ -1,6 +1,6 @@
-"""Archives of JSON histories: plain, gzip and zip files, decoded file by file.
+"""Archives of JSON histories: plain, gzip and zip files, and what their values are.
 
-A file counts as a whole: if any of it is damaged, it yields one error and no
+:mod:`chronofold.sources.history_source` reads them. A file counts as a whole: if any of it is damaged, it yields one error and no
 values. Files and zip entries are told apart by ``path``; the order of values
 within one is ``pos``.
 """
@@ -9,44 +9,26 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import zipfile
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.functions.scalars import timestamp_s
 from chronofold.functions.times import at_least_0, point, record, records, seconds, string
 from chronofold.operators.fusion import clean_account, usable, usable_summary
+from chronofold.sources import json_stream
+from chronofold.sources.json_stream import Damaged, plain_pieces
 
 VALUES = "path string, shape string, pos bigint, kind string, raw string, error string"
-OBJECT_KEYS = ("itemId", "placeId", "sampleId", "segments")
-LIST_KEY = "timelineItems"
-
-
-class Damaged(ValueError):
-    """A file that can't be read whole."""
-
-
-def gunzip(data: bytes) -> bytes:
-    """One gzip member with its checksum and size verified; anything after it is an error."""
-    reader = zlib.decompressobj(31)
-    try:
-        out = reader.decompress(data)
-    except zlib.error as e:
-        raise Damaged(f"gzip: {e}") from None
-    if not reader.eof:
-        raise Damaged("gzip: cut off")
-    if reader.unused_data:
-        raise Damaged("gzip: data after the first member")
-    return out
 
 
 def plain(path: str, data: bytes) -> bytes:
-    return gunzip(data) if path.lower().endswith(".gz") or data[:2] == b"\x1f\x8b" else data
+    return b"".join(plain_pieces(path, [data]))
 
 
 def normal_path(name: str) -> str:
@@ -83,32 +65,18 @@ def entry_bytes(archive: zipfile.ZipFile, info: zipfile.ZipInfo) -> bytes | Dama
     return body if len(body) == info.file_size else Damaged("zip: wrong size")
 
 
-def open_file(path: str):
-    """A file by its URI, for reading anywhere in it."""
-    where, name = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file:///") else path)
-    return where.open_input_file(name)
-
-
 def is_json_path(path: str) -> bool:
     return path.lower().endswith((".json", ".json.gz"))
 
 
 def values(body: bytes) -> tuple[str, list]:
     """The shape of a JSON text and the values it stands for."""
-    try:
-        root = json.loads(body.decode("utf-8-sig"))
-    except (ValueError, RecursionError) as e:
-        raise Damaged(f"JSON: {e}") from None
-    if isinstance(root, list):
-        return "root-array", root
-    if not isinstance(root, dict):
-        raise Damaged("JSON: neither an object nor an array")
-    for key in root:
-        if key == LIST_KEY and isinstance(root[key], list):
-            return "timeline-items", root[key]
-        if key in OBJECT_KEYS:
-            break
-    return "root-object", [root]
+    found = list(json_stream.values([body]))
+    return (found[0][0], [v for _, v in found]) if found else (shape_of_none(body), [])
+
+
+def shape_of_none(body: bytes) -> str:
+    return "root-array" if body.lstrip(b"\xef\xbb\xbf \t\r\n")[:1] == b"[" else "timeline-items"
 
 
 def is_range_summary(value: dict) -> bool:
@@ -188,6 +156,12 @@ _FOLDERS = (
 )
 
 
+def folder_kind(path: str) -> str | None:
+    """:func:`path_kind` of one path."""
+    text = "/" + path.replace("\\", "/").lower()
+    return next((kind for kind, pattern in _FOLDERS if re.search(pattern, text)), None)
+
+
 def path_kind(path: Column | str) -> Column:
     """What a file should hold by the folder that it is in; null where the path doesn't say."""
     text = F.concat(F.lit("/"), F.lower(F.replace(F.col(path) if isinstance(path, str) else path, F.lit("\\"), F.lit("/"))))
@@ -217,53 +191,59 @@ def decode_files(files: DataFrame) -> DataFrame:
     return json_or_zip.select("path", "content").mapInArrow(run, VALUES)
 
 
-def decode_archives(paths: DataFrame) -> DataFrame:
-    """The values of zip files (path), whose entries are dealt to the tasks one by one.
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder's URI with scheme and authority, as Spark resolves it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
-    One pass reads the directories of the archives, which stand at their ends;
-    another seeks the entries. No archive is held as a whole, whatever its size.
-    """
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for path in batch.column(0).to_pylist():
-                try:
-                    with open_file(path) as f, zipfile.ZipFile(f) as archive:
-                        rows += [(path, k, info.file_size, None) for k, info in enumerate(archive.infolist()) if wanted(info)]
-                except (zipfile.BadZipFile, OSError) as e:
-                    rows.append((path, -1, 0, f"zip: {e}"))
-            columns = zip(*rows, strict=True) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.string()), strict=True)], ["path", "entry", "size", "error"])
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, entry, _, error in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if error:
-                    yield from _batches(values_of(path, Damaged(error)))
-                    continue
-                with open_file(path) as f, zipfile.ZipFile(f) as archive:
-                    info = archive.infolist()[entry]
-                    body = entry_bytes(archive, info)
-                yield from _batches(values_of(f"{path}!/{normal_path(info.filename)}", body))
+def _history_source(spark: SparkSession, root: str, history: str | None, **options: str) -> DataFrame | None:
+    """The folder through the data source; None where its file system is one that only Spark can read."""
+    from chronofold.sources import history_source
 
-    every = paths.select("path").mapInArrow(listed, "path string, entry int, size long, error string")
-    dealt = every.repartition(F.xxhash64("path", "entry"))
-    return dealt.mapInArrow(read, VALUES)
+    try:
+        history_source.located(root)
+    except (pa.ArrowException, OSError, ImportError):
+        return None
+    spark.dataSource.register(history_source.HistorySource)
+    options |= {"parallelism": str(spark.sparkContext.defaultParallelism)} | ({"history": history} if history is not None else {})
+    return spark.read.format("history").options(**options).load(root)
 
 
 def read_archives(spark: SparkSession, folder: str, history: str | None = None) -> DataFrame:
-    """(history_id, and the columns of VALUES) of the files below a folder that Spark can read.
+    """(history_id, and the columns of VALUES) of the files below a folder.
 
-    All are of one ``history``, or else each folder right below is a history of its own.
+    All are of one ``history``, or else each folder right below is a history of
+    its own, and a file that isn't in one is an error. Where only Spark can open
+    the file system, files are read as a whole.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    zipped = F.lower("path").endswith(".zip")
-    found = decode_files(files.where(~zipped)).unionByName(decode_archives(files.where(zipped).select("path")))
+    root = qualified(spark, folder)
+    found = _history_source(spark, root, history)
+    if found is not None:
+        return found
+    files = decode_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root))
     if history is not None:
-        return found.select(F.lit(history).alias("history_id"), "*")
-    root = folder.split(":", 1)[-1].strip("/")
-    return found.select(F.regexp_extract("path", r"^[^:]*:?/*\Q" + root + r"\E/+([^/!]+)/", 1).alias("history_id"), "*")
+        return files.select(F.lit(history).alias("history_id"), "*")
+    return files.select(history_of(root).alias("history_id"), "*")
+
+
+def history_of(root: str) -> Column:
+    """The folder right below the qualified ``root`` that a path lies in; an error if there is none."""
+    found = F.regexp_extract("path", "^\\Q" + root + "\\E/+([^/!]+)/", 1)
+    outside = F.col("path").rlike("^\\Q" + root + "\\E/+[^/]+!/") | (found == "")
+    return F.when(outside, F.raise_error(F.concat(F.lit("no folder that would be a history: "), "path"))).otherwise(found)
+
+
+def scan_folder(spark: SparkSession, folder: str, history: str | None = None) -> DataFrame:
+    """What a folder holds, without reading it whole: history_id, path, kind, supported, bytes_read, error for each entry.
+
+    A folder's name that tells is trusted, and nothing is read. Otherwise an
+    entry is read up to its first value that can be imported.
+    """
+    found = _history_source(spark, qualified(spark, folder), history, mode="probe")
+    if found is None:
+        raise ValueError(f"only Spark can open {folder}: read it and use scan_summary")
+    return found
 
 
 def scan_summary(found: DataFrame) -> DataFrame:
