@@ -10,11 +10,11 @@ sets. Chance that brings two prefixes together under one order is independent of
 chance under the next.
 
 Each order goes from rare shingles to frequent ones. How frequent a shingle is
-comes from counters, ORDERS rows of BUCKETS, whose size doesn't depend on the
-corpus: a shingle falls into one bucket of each row, and its class is the
-logarithm of that bucket's count. Shingles of one class follow the order's own
-hash. Whatever the counts, an order is the same for all documents, and so exact;
-better counts only make better filters.
+comes from a table of counters whose size doesn't depend on the corpus: those of
+a bucket that stands out of the others' noise come last, by the logarithm of its
+count; a shingle with a few times 1 / BUCKETS of all occurrences does. Shingles
+of one class follow the order's own hash. Whatever the counts, an order is the
+same for all documents, and so exact; better counts only make better filters.
 
 Documents with the same set are a class, and one of each takes part. Long lists
 are not expanded: members are linked to their list's smallest, and members that
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,9 @@ from chronofold.llm.common import discard, lean, stored, table, with_own
 from chronofold.llm.near_dedup import SHORT, components, open_members, open_pairs, sets_of, shingle_hashes, verified
 
 ORDERS = 3
-BUCKET_BITS = 20
+BUCKET_BITS = 23
+#: Blocks of the table that are added up apart.
+BLOCKS = 64
 #: Classes of frequency for each doubling of a count.
 STEPS = 4
 #: Different sets that a task remembers in order to count copies once.
@@ -44,8 +47,8 @@ SEEN = 500_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 
 
-def buckets(values: np.ndarray, order: int) -> np.ndarray:
-    return values >> np.int64(order * BUCKET_BITS) & np.int64((1 << BUCKET_BITS) - 1)
+def buckets(values: np.ndarray) -> np.ndarray:
+    return values & np.int64((1 << BUCKET_BITS) - 1)
 
 
 def mixed(values: np.ndarray, order: int) -> np.ndarray:
@@ -56,12 +59,11 @@ def mixed(values: np.ndarray, order: int) -> np.ndarray:
 
 
 def frequency_classes(docs: DataFrame, text: str, width: int) -> np.ndarray:
-    """A class from 0 to 255 for each order and bucket, from the shingles of all documents; ORDERS x BUCKETS bytes on the driver."""
-    blocks = 64
+    """A class of frequency, a byte, for each bucket, from the shingles of all documents: 0 up to the noise of a bucket."""
 
     @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((ORDERS, 1 << BUCKET_BITS), np.int64)
+        counts = np.zeros(1 << BUCKET_BITS, np.int32)
         seen: set[bytes] = set()
         for batch in batches:
             for at in range(0, len(batch), 500):
@@ -74,16 +76,28 @@ def frequency_classes(docs: DataFrame, text: str, width: int) -> np.ndarray:
                         if len(seen) < SEEN:
                             seen.add(digest)
                 if fresh:
-                    values = np.concatenate(fresh)
-                    for k in range(ORDERS):
-                        counts[k] += np.bincount(buckets(values, k), minlength=1 << BUCKET_BITS)
-        parts = counts.reshape(blocks, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "counts"])
+                    np.add.at(counts, buckets(np.concatenate(fresh)), 1)
+        pack = zstandard.ZstdCompressor(level=1).compress
+        small = np.minimum(counts, 255).astype(np.uint8)  # in one task
+        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([pack(p.tobytes()) for p in small.reshape(BLOCKS, -1)], pa.binary())], ["block", "counts"])
+
+    def opened(row: tuple) -> tuple[int, np.ndarray]:
+        return row[0], np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row[1])), np.uint8)
+
+    def wide(x: np.ndarray) -> np.ndarray:
+        return x.astype(np.int64)
+
+    def classed(counts: np.ndarray) -> tuple[int, bytes]:
+        return int(counts.sum()), np.minimum(255, np.log2(1.0 + counts) * STEPS).astype(np.uint8).tobytes()
 
     made = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "block int, counts binary")
-    merged = made.rdd.map(lambda r: (r[0], np.frombuffer(bytes(r[1]), np.int64))).reduceByKey(lambda x, y: x + y).collectAsMap()
-    counts = np.concatenate([merged[k] for k in range(blocks)]) if merged else np.zeros(ORDERS << BUCKET_BITS, np.int64)
-    return np.minimum(255, np.log2(1.0 + counts) * STEPS).astype(np.uint8).reshape(ORDERS, -1)
+    merged = made.rdd.map(opened).combineByKey(wide, lambda a, x: a + x, lambda a, x: a + x).mapValues(classed).collectAsMap()
+    if not merged:
+        return np.zeros(1 << BUCKET_BITS, np.uint8)
+    mean = sum(n for n, _ in merged.values()) / (1 << BUCKET_BITS)
+    noise = int(np.log2(1 + mean + 4 * mean**0.5 + 4) * STEPS)
+    classes = np.frombuffer(b"".join(merged[k][1] for k in range(BLOCKS)), np.uint8)
+    return np.where(classes <= noise, 0, classes).astype(np.uint8)
 
 
 def prefix(values: np.ndarray, order: int, classes: np.ndarray, percent: int) -> np.ndarray:
@@ -92,7 +106,7 @@ def prefix(values: np.ndarray, order: int, classes: np.ndarray, percent: int) ->
     length = n - -(-n * percent // 100) + 1
     if length >= n:
         return values
-    key = classes[order][buckets(values, order)].astype(np.uint64) << np.uint64(56) | mixed(values, order) >> np.uint64(8)
+    key = classes[buckets(values)].astype(np.uint64) << np.uint64(56) | mixed(values, order) >> np.uint64(8)
     return values[np.argpartition(key, length - 1)[:length]]
 
 
@@ -140,17 +154,18 @@ def _lists(arrays: list[np.ndarray | None], kind) -> pa.ListArray:
 
 
 def inverted_lists(reps: DataFrame) -> DataFrame:
-    """(v, f, doc_id, n, hub, hub_n): the lists of more than one member under the first order, each row with its list's length and smallest member."""
-    entries = stored(reps.select(F.explode("p0").alias("v"), "doc_id", F.col("n_shingles").cast("int").alias("n")))
-    least = F.min(F.struct("doc_id", "n"))
-    lists = stored(entries.groupBy("v").agg(F.count("*").alias("f"), least.alias("h")).where("f > 1").select("v", "f", F.col("h.doc_id").alias("hub"), F.col("h.n").alias("hub_n")))
-    return with_own(entries, lists, ["v"], "f")
+    """(v, f, doc_id, n): the lists of more than one member under the first order, each row with its list's length."""
+    entries = reps.select(F.explode("p0").alias("v"), "doc_id", F.col("n_shingles").cast("int").alias("n"))
+    return with_own(entries, stored(entries.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")), ["v"], "f")
 
 
 def candidates(lists: DataFrame, percent: int) -> DataFrame:
     """Distinct (a, b) of sizes that allow the similarity: all pairs of short lists, those with the smallest member of long ones."""
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    star = lists.where((F.col("f") > SHORT) & (F.col("hub") < F.col("doc_id")) & fits(F.col("hub_n"), F.col("n"))).select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
+    long = lists.where(f"f > {SHORT}")
+    hubs = long.groupBy("v").agg(F.count("*").alias("f"), F.min(F.struct("doc_id", "n")).alias("h"))
+    star = with_own(long.drop("f"), stored(hubs.select("v", "f", F.col("h.doc_id").alias("hub"), F.col("h.n").alias("hub_n"))), ["v"], "f")
+    star = star.where((F.col("hub") < F.col("doc_id")) & fits(F.col("hub_n"), F.col("n"))).select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
     short = lists.where(f"f <= {SHORT}").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("doc_id", "n"))).alias("m"))
     one = short.select("m", F.posexplode("m").alias("at", "x"))
     both = one.select("x", F.explode(F.slice("m", F.col("at") + 2, SHORT)).alias("y")).where((F.col("x.doc_id") < F.col("y.doc_id")) & fits(F.col("x.n"), F.col("y.n")))
