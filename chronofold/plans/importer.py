@@ -409,6 +409,35 @@ def place_groups(of_days: DataFrame) -> DataFrame:
     return group.join(best, [H, "component"]).select(H, F.col("node").alias("alias"), F.concat(F.lit("moves:"), "best").alias("place_key"))
 
 
+def item_aliases(item: DataFrame) -> DataFrame:
+    """(history_id, arc, mapbox): the two keys of a place that an item with both ids, a name and a point tells."""
+    lat = _point("place.center", "place.location")[0]
+    named = item.where(F.nullif(trimmed("place.name"), F.lit("")).isNotNull() & lat.isNotNull())
+    keys = named.select(H, F.concat(F.lit("arc:"), F.coalesce(F.nullif("placeId", F.lit("")), F.nullif("place.placeId", F.lit("")))).alias("arc"), F.concat(F.lit("mapbox:"), F.nullif("place.mapboxPlaceId", F.lit(""))).alias("mapbox"))
+    return keys.where("arc is not null and mapbox is not null").distinct()
+
+
+def place_aliases(pairs: DataFrame, stored: DataFrame) -> DataFrame:
+    """(history_id, alias, place_key): keys that stand for one place, directly or by way of others, with the one that it goes by.
+
+    That is the key of a stored place if there is one, else a mapbox key; of
+    several the smallest. ``pairs`` has (history_id, arc, mapbox), ``stored``
+    (history_id, place_key).
+    """
+    group = evidence.components(pairs.select(H, F.col("arc").alias("a"), F.col("mapbox").alias("b")), [H])
+    known = stored.select(H, F.col("place_key").alias("node"), F.lit(0).alias("rank")).distinct()
+    rank = F.coalesce("rank", F.when(F.startswith("node", F.lit("mapbox:")), 1).otherwise(2))
+    best = group.join(known, [H, "node"], "left").groupBy(H, "component").agg(F.min_by("node", F.struct(rank, "node")).alias("place_key"))
+    return group.join(best, [H, "component"]).select(H, F.col("node").alias("alias"), "place_key")
+
+
+def by_alias(rows: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Rows whose place_key is that which their place goes by."""
+    own = aliases.select(F.col(H).alias("_h"), "alias", F.col("place_key").alias("_key"))
+    joined = rows.join(own, (rows[H] == own["_h"]) & (rows["place_key"] == own["alias"]), "left")
+    return joined.select(*(F.coalesce("_key", rows[c]).alias(c) if c == "place_key" else rows[c] for c in rows.columns))
+
+
 def from_days(day: DataFrame, item_refs: DataFrame) -> DataFrame:
     """References of fused days.
 
@@ -493,12 +522,15 @@ class Sources:
         self.items, self.places, self.days = cut(items(values)), cut(places(values)), cut(days(values))
         points = self.days.select(H, F.explode("points").alias("p")).select(H, "p.*")
         self.seen = cut(observations(values, points))
+        stored = self.places.where("name is not null").select(H, F.concat(F.lit("arc:"), "place_id").alias("place_key"))
+        self.aliases = cut(place_aliases(item_aliases(self.items), stored))
 
     def references(self) -> DataFrame:
-        item_refs, spans = map(cut, from_items(self.items, self.seen, self.places))
+        item_refs, spans = from_items(self.items, self.seen, self.places)
+        item_refs, spans = cut(by_alias(item_refs, self.aliases)), cut(spans)
         day_refs = cut(from_days(self.days, item_refs))
         known = self.items.select(H, "key").unionByName(_of_kind(self.values, "stored-item").where(F.get_json_object("raw", "$.deleted") == "true").select(H, archive.item_key("raw").alias("key")))
-        made = from_samples(item_refs.unionByName(day_refs), spans, self.seen, known, self.places)
+        made = by_alias(from_samples(item_refs.unionByName(day_refs), spans, self.seen, known, self.places), self.aliases)
         return cut(rated(without_duplicate_moves(item_refs.unionByName(day_refs).unionByName(made))))
 
     def claims(self) -> DataFrame:
@@ -529,11 +561,11 @@ class Sources:
         return self.days.where("total is not null").select(H, F.floor(timestamp_s(F.concat("date", F.lit("T000000"))) / 86400).cast("bigint").alias("day_key"), "total")
 
 
-def pois_of(refs: DataFrame, place: DataFrame) -> DataFrame:
-    """Named places by key: the latest name and point, how often and when they were visited."""
+def pois_of(refs: DataFrame, place: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Named places by key: the latest name and point, how often and when they were visited. Stored places go by their ``aliases``."""
     known = place.where("name is not null").select(H, F.concat(F.lit("arc:"), "place_id").alias("place_key"), "name", "lat", "lon", "radius_m", "category", "thoroughfare", "revision", F.lit(None).cast("bigint").alias("seen"))
     visits = refs.where("kind = 'stay' and place_key is not null").select(H, "place_key", F.col("poi_name").alias("name"), "lat", "lon", F.when(F.col("source") == "arc", F.col("radius_m")).alias("radius_m"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("thoroughfare"), "revision", F.col("start_ts").alias("seen"))
-    rows = known.unionByName(visits)
+    rows = (known if aliases is None else by_alias(known, aliases)).unionByName(visits)
     latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull() & F.col("name").isNotNull(), F.struct("revision", F.coalesce("seen", F.lit(0)))))
     out = rows.groupBy(H, "place_key").agg(*(latest(c).alias(c) for c in ("name", "lat", "lon", "radius_m", "category", "thoroughfare")), F.count("seen").alias("visitCount"), F.min("seen").alias("first_seen_ts"), F.max("seen").alias("last_seen_ts"))
     named = out.where("name is not null")
@@ -571,7 +603,7 @@ def import_values(values: DataFrame) -> dict[str, DataFrame]:
     )
     generated = timeline.filled_gaps(swept).select(H, F.lit(None).cast("bigint").alias("id"), F.lit(0).alias("part"), "start_ts", "end_ts", F.lit(GAP_NOTES["between"]).alias("notes"), F.lit(None).cast("int").alias("tz_offset_s"), F.lit(None).cast("int").alias("end_tz_offset_s"))
     gaps = full.where("kind = 'gap'").select(H, "id", "part", "start_ts", "end_ts", "notes", F.col("start_offset_s").alias("tz_offset_s"), F.col("end_offset_s").alias("end_tz_offset_s")).unionByName(generated)
-    pois = pois_of(refs, source.places)
+    pois = pois_of(refs, source.places, source.aliases)
     stays = full.where("kind = 'stay'").join(pois.select(H, F.col("poi_id").alias("place_key"), F.lit(True).alias("named")), [H, "place_key"], "left")
     at_place = F.when(F.col("named"), F.col("place_key"))
     at = lambda key, far: refs.where(f"kind = 'stay' and {key} is not null").select(H, F.col("id").alias("from_id"), F.col(key).alias("poi_id"), far.alias("distance_m"))

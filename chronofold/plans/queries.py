@@ -585,6 +585,19 @@ def merged_moves(spark, sf_dir):
     return importer.without_duplicate_moves(refs).select("history_id", "start_ts", "mode", "distance_m", "start_offset_s", "source", "manual", "revision")
 
 
+@query(f"""WITH RECURSIVE {E}, p AS (SELECT DISTINCT CAST(history AS VARCHAR) AS h, 'arc:' || (id % 40) AS a, 'mapbox:' || (id * 7 % 60) AS b FROM e WHERE id % 5 < 2), s AS (SELECT DISTINCT CAST(history AS VARCHAR) AS h, 'arc:' || (id % 40) AS n FROM e WHERE id % 11 = 0),
+u AS (SELECT h, a, b FROM p UNION SELECT h, b, a FROM p), r AS (SELECT h, a AS n, a AS m FROM u UNION SELECT r.h, r.n, u.b FROM r JOIN u ON u.h = r.h AND u.a = r.m),
+g AS (SELECT h, n, min(m) AS c FROM r GROUP BY h, n), k AS (SELECT g.h, g.n, g.c, CASE WHEN s.n IS NOT NULL THEN 0 WHEN g.n LIKE 'mapbox:%' THEN 1 ELSE 2 END AS rank FROM g LEFT JOIN s ON s.h = g.h AND s.n = g.n),
+o AS (SELECT h, c, arg_min(n, (rank, n)) AS key FROM k GROUP BY h, c) SELECT k.h AS history_id, k.n AS alias, o.key AS place_key FROM k JOIN o ON o.h = k.h AND o.c = k.c""")
+def place_alias_groups(spark, sf_dir):
+    """Two kinds of ids of places in some events; some of the one kind are of stored places."""
+    e = observations(spark, sf_dir).withColumn("history_id", F.col("history").cast("string"))
+    key = lambda kind, number: F.concat(F.lit(f"{kind}:"), number.cast("string"))
+    pairs = e.where("id % 5 < 2").select("history_id", key("arc", F.col("id") % 40).alias("arc"), key("mapbox", F.col("id") * 7 % 60).alias("mapbox")).distinct()
+    stored = e.where("id % 11 = 0").select("history_id", key("arc", F.col("id") % 40).alias("place_key")).distinct()
+    return importer.place_aliases(pairs, stored)
+
+
 @query(f"""WITH {E}, v AS (SELECT CAST(history AS VARCHAR) AS h, 'arc:' || (k % 20) AS p, CASE WHEN id % 3 > 0 THEN kind END AS name, id / 1000.0 AS lat, CAST(k AS DOUBLE) AS revision, ts AS seen FROM e),
 w AS (SELECT h, p, name, lat, revision, seen FROM v UNION ALL SELECT DISTINCT CAST(history AS VARCHAR), 'arc:' || (k % 30), 'place ' || (k % 30), 1.5, 25.0, NULL FROM e),
 g AS (SELECT h, p, arg_max(name, (revision, coalesce(seen, 0), name)) FILTER (name IS NOT NULL) AS name, arg_max(lat, (revision, coalesce(seen, 0))) FILTER (name IS NOT NULL) AS lat, count(seen) AS n, min(seen) AS lo, max(seen) AS hi FROM w GROUP BY h, p)

@@ -310,3 +310,18 @@ def test_tables_are_written_and_hold(spark, tmp_path):
         sinks.verified(tables, written | {"stays": written["stays"].limit(1)}).collect()
     with pytest.raises(ValueError, match="nothing"):
         sinks.write_tables({k: v.where("false") for k, v in tables.items()}, str(tmp_path / "none"))
+
+
+@pytest.mark.parametrize("order", [0, 1, 2])
+def test_ids_of_two_kinds_are_one_place(spark, tmp_path, order):
+    """A stored place, an item that tells both ids and one that tells the stored id alone, in files of any order; another pair without a stored place."""
+    both = {"placeId": "p", "mapboxPlaceId": "m", "name": "Home", "center": {"latitude": 31.2, "longitude": 121.4}}
+    lake = {"placeId": "l", "mapboxPlaceId": "n", "name": "Lake", "center": {"latitude": 35.0, "longitude": 121.4}}
+    files = [
+        {"placeId": "p", "name": "Old", "center": {"latitude": 31.2, "longitude": 121.4}, "lastSaved": "2024-01-01T00:00:00Z"},
+        {"timelineItems": [item("08:00", "09:00", True, itemId="visit", lastSaved="2024-05-02T00:00:00Z", center=both["center"], place=both), item("13:00", "14:00", True, itemId="swim", place=lake)]},
+        {"timelineItems": [item("10:00", "11:00", True, itemId="again", place={k: both[k] for k in ("placeId", "name", "center")}), item("15:00", "16:00", True, itemId="dive", place={k: lake[k] for k in ("placeId", "name", "center")})]},
+    ]
+    t = importer.import_history(spark, write(tmp_path, {f"{(k + order) % 3}.json": f for k, f in enumerate(files)}))
+    assert rows(t["pois"], "poi_id", "provider", "name", "visitCount", "first_seen_ts") == [("arc:p", "arc", "Home", 2, T("8:00")), ("mapbox:n", "mapbox", "Lake", 2, T("13:00"))]
+    assert rows(t["stays"], "start_ts", "poi_id") == [(T("8:00"), "arc:p"), (T("10:00"), "arc:p"), (T("13:00"), "mapbox:n"), (T("15:00"), "mapbox:n")]
