@@ -36,7 +36,7 @@ SCALE_DIGITS = 3  # of base 1000: shares are in units of 1 / 1,000,000,000
 MIN_DOCS = 3
 TOP = 200
 #: Counters that a task holds before it passes its tries on.
-LEAVES = 300_000
+LEAVES = 1_000_000
 #: Counters of a stretch.
 STRETCH = 200_000
 #: Sources whose pairs with all others one task adds up.
@@ -320,6 +320,14 @@ def term_leaves(docs: DataFrame, text: str, lang: str, source: str, least: int)
     return out
 
 
+def binned(terms: DataFrame) -> DataFrame:
+    """The terms with small stretches that follow each other as one: numbers of (lang, stretch) that have up to twice STRETCH counters."""
+    sizes = terms.groupBy("lang", "stretch").agg(F.sum(F.size("counts")).alias("n"))
+    upto = F.sum("n").over(W.partitionBy("lang").orderBy("stretch"))
+    bins = stored(sizes.select("lang", "stretch", F.floor((upto - F.col("n")) / STRETCH).alias("bin")))
+    return terms.join(bounded(bins), ["lang", "stretch"]).select("lang", "term", "sources", "counts", F.col("bin").alias("stretch"))
+
+
 def totals(leaves: DataFrame) -> DataFrame:
     """(lang, v, names, mass): the number of a language's kept terms, its sources and the sum of each one's counts.
 
@@ -352,8 +360,8 @@ def source_divergence(docs: DataFrame, *, text: str = "text", lang: str = "lang"
     """
     leaves = term_leaves(docs, text, lang, source, least)
     known = stored(totals(leaves))
+    terms = binned(leaves.where(F.octet_length("term") > 0))
     blocks = lambda n: F.explode(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))).alias("block")
-    terms = leaves.where(F.octet_length("term") > 0)
     heads = terms.select("lang", "stretch").distinct().join(known, "lang").select(*(F.col(c).alias(c) for c in ("lang", "stretch", "v", "names", "mass")), blocks(F.size("names")))
     wide = known.where(F.size("names") > BLOCK).select("lang", F.size("names").alias("n"))
     dealt = terms.join(bounded(wide), "lang", "left").select(*(F.col(c).alias(c) for c in terms.columns), blocks(F.coalesce("n", F.lit(1))))
