@@ -1,8 +1,13 @@
 """Joins and arithmetic on intervals.
 
-Interval joins without another key would compare everything with everything:
-both sides are dealt to time buckets, which become an equi key, and a pair that
-meets in several buckets counts in its first one.
+Interval joins without another key would compare everything with everything, so
+both sides are dealt to cells of time, which become an equi key. Cells have
+sizes of a base times a power of two. An interval's own level is that of the
+first size that it fits into, where it touches two cells at most; it goes to
+those and to the one or two of each larger size that occurs. Two intervals meet
+at the larger one's level, in their first common cell. So an interval of
+thousands of years costs a few rows, and shorter ones don't go to levels that
+nothing is in.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronofold.functions.scalars import haversine_m
+from chronofold.operators import spatial
 
 # Fixed values.
 DAY_S = 86_400
@@ -20,9 +26,40 @@ AMBIGUOUS_M = 25
 CLAIM_SLACK_S = 90
 
 
-def in_buckets(df: DataFrame, start: str, end: str, size: int = DAY_S, pad: int = 0, into: str = "bucket") -> DataFrame:
-    first, last = F.floor((F.col(start) - pad) / size).cast("bigint"), F.floor((F.col(end) + pad) / size).cast("bigint")
-    return df.withColumn(into, F.explode(F.sequence(first, F.greatest(first, last))))
+#: Levels of cells: the largest has 2**24 times the base, more than 40,000 years for days.
+MOST_LEVEL = 24
+
+
+def own_level(start: Column, end: Column, size: int = DAY_S) -> Column:
+    """The first level whose cells an interval fits into."""
+    return F.least(F.greatest(F.ceil(F.log2(F.greatest((end - start) / F.lit(float(size)), F.lit(1e-12)))), F.lit(0)), F.lit(MOST_LEVEL)).cast("int")
+
+
+def levels_of(*sides: tuple[DataFrame, Column, Column], size: int = DAY_S) -> DataFrame:
+    """The levels that intervals are of: (_level), one row for each, MOST_LEVEL + 1 at most."""
+    every = [df.select(own_level(s, e, size).alias("_level")) for df, s, e in sides]
+    out = every[0]
+    for e in every[1:]:
+        out = out.unionByName(e)
+    return out.where("_level is not null").distinct()
+
+
+def in_cells(df: DataFrame, levels: DataFrame, start: Column, end: Column, size: int = DAY_S, own: str = "_own") -> DataFrame:
+    """Rows with the level ``own`` and their cells (_level, _cell) at each of ``levels`` from their own on; none where an end is null."""
+    leveled = df.withColumn(own, own_level(start, end, size)).join(F.broadcast(levels), F.col("_level") >= F.col(own))
+    return leveled.withColumn("_cell", F.explode(F.sequence(cell_of(start, size), F.greatest(cell_of(start, size), cell_of(end, size)))))
+
+
+def cell_of(ts: Column, size: int = DAY_S) -> Column:
+    return F.floor(ts / (F.lit(float(size)) * F.pow(F.lit(2.0), F.col("_level")))).cast("bigint")
+
+
+def _met(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[Column, Column], b: tuple[Column, Column], size: int) -> DataFrame:
+    """Pairs of rows whose intervals a and b, ends included, have a cell in common, each once."""
+    levels = levels_of((left, *a), (right, *b), size=size)
+    x, y = in_cells(left, levels, *a, size, "_own_a"), in_cells(right, levels, *b, size, "_own_b")
+    met = x.join(y, [*keys, "_level", "_cell"]).where(F.col("_level") == F.greatest("_own_a", "_own_b"))
+    return met.where(F.col("_cell") == cell_of(F.greatest(a[0], b[0]), size)).drop("_level", "_cell", "_own_a", "_own_b")
 
 
 def overlap_s(s1, e1, s2, e2) -> Column:
@@ -34,10 +71,9 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], size: int =
 
     ``left`` has keys and a_start, a_end; ``right`` keys and b_start, b_end.
     """
-    a, b = in_buckets(left, "a_start", "a_end", size), in_buckets(right, "b_start", "b_end", size)
-    first = F.floor(F.greatest("a_start", "b_start") / size).cast("bigint")
-    met = a.join(b, [*keys, "bucket"]).where((F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end")) & (F.col("bucket") == first))
-    return met.withColumn("overlap_s", overlap_s(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end"))).drop("bucket")
+    met = _met(left, right, keys, (F.col("a_start"), F.col("a_end")), (F.col("b_start"), F.col("b_end")), size)
+    met = met.where((F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end")))
+    return met.withColumn("overlap_s", overlap_s(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end")))
 
 
 def half_matches(left: DataFrame, right: DataFrame, keys: list[str], share: float = 0.5) -> DataFrame:
@@ -56,37 +92,38 @@ def claim_matches(left: DataFrame, right: DataFrame, keys: list[str], slack: int
 
     Half of the shorter overlaps, which counts as a second at least, or both
     ends are within the slack; where either start is null the ends alone
-    count. A pair that meets in several buckets counts in its first.
+    count.
     """
-    size = DAY_S
-    a_from, b_from = F.coalesce("a_start", "a_end"), F.coalesce("b_start", "b_end")
-    a = in_buckets(left.withColumn("_a", a_from), "_a", "a_end", size, slack)
-    b = in_buckets(right.withColumn("_b", b_from), "_b", "b_end", size, slack)
     lasts = lambda x: F.greatest(F.col(f"{x}_end") - F.col(f"{x}_start"), F.lit(1))
     shared = overlap_s(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end"))
     ends = F.abs(F.col("a_end") - F.col("b_end")) <= slack
     near = ends & (F.abs(F.col("a_start") - F.col("b_start")) <= slack)
     unknown = F.col("a_start").isNull() | F.col("b_start").isNull()
     matched = F.when(unknown, ends).otherwise(near | (2 * shared >= F.least(lasts("a"), lasts("b"))))
-    first = F.floor((F.greatest("_a", "_b") - slack) / size).cast("bigint")
-    met = a.join(b, [*keys, "bucket"]).where(matched & (F.col("bucket") == first))
-    return met.withColumn("overlap_s", F.when(unknown, F.lit(0)).otherwise(shared)).drop("bucket", "_a", "_b")
+    padded = lambda x: (F.coalesce(f"{x}_start", f"{x}_end") - slack, F.col(f"{x}_end") + slack)
+    met = _met(left, right, keys, padded("a"), padded("b"), DAY_S).where(matched)
+    return met.withColumn("overlap_s", F.when(unknown, F.lit(0)).otherwise(shared))
 
 
 def points_in(intervals: DataFrame, points: DataFrame, keys: list[str], ts: str, closed: bool = False, size: int = DAY_S) -> DataFrame:
     """Rows of ``points`` joined to the intervals [start_ts, end_ts) that hold them; with ``closed`` the end counts too."""
-    a = in_buckets(intervals, "start_ts", "end_ts", size)
-    b = points.withColumn("bucket", F.floor(F.col(ts) / size).cast("bigint"))
+    held = (F.col("start_ts"), F.col("end_ts"))
+    levels = levels_of((intervals, *held), size=size)
+    a = in_cells(intervals, levels, *held, size).where("_level = _own").drop("_own")
+    b = points.join(F.broadcast(levels), F.col("_level") >= 0).withColumn("_cell", cell_of(F.col(ts), size))
     before = F.col(ts) <= F.col("end_ts") if closed else F.col(ts) < F.col("end_ts")
-    return a.join(b, [*keys, "bucket"]).where((F.col(ts) >= F.col("start_ts")) & before).drop("bucket")
+    return a.join(b, [*keys, "_level", "_cell"]).where((F.col(ts) >= F.col("start_ts")) & before).drop("_level", "_cell")
 
 
 def touching(intervals: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
     """The intervals (start_ts, end_ts) that overlap any of the others; equal rows stay as many as they were."""
     counted = intervals.groupBy(*intervals.columns).agg(F.count("*").alias("_n"))
-    a = in_buckets(counted.withColumn("_row", F.struct(*intervals.columns)), "start_ts", "end_ts")
-    b = in_buckets(others.select(*keys, F.col("start_ts").alias("_s"), F.col("end_ts").alias("_e")), "_s", "_e")
-    met = a.join(b, [*[a[k] == b[k] for k in keys], a.bucket == b.bucket, F.col("start_ts") < F.col("_e"), F.col("_s") < F.col("end_ts")], "left_semi")
+    b = others.select(*keys, F.col("start_ts").alias("_s"), F.col("end_ts").alias("_e"))
+    a = counted.withColumn("_row", F.struct(*intervals.columns))
+    mine, theirs = (F.col("start_ts"), F.col("end_ts")), (F.col("_s"), F.col("_e"))
+    levels = levels_of((a, *mine), (b, *theirs))
+    x, y = in_cells(a, levels, *mine, own="_own_a"), in_cells(b, levels, *theirs, own="_own_b")
+    met = x.join(y, [*(x[k] == y[k] for k in [*keys, "_level", "_cell"]), x["_level"] == F.greatest("_own_a", "_own_b"), F.col("start_ts") < F.col("_e"), F.col("_s") < F.col("end_ts")], "left_semi")
     once = met.select("_row", "_n").dropDuplicates()
     return once.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")
 
@@ -106,30 +143,28 @@ def subtract(windows: DataFrame, covered: DataFrame, keys: list[str]) -> DataFra
     return pieces.where("s > from").select(*keys, "window_id", F.col("from").alias("start_ts"), F.col("s").alias("end_ts"))
 
 
-def nearest_unambiguous(points: DataFrame, places: DataFrame, keys: list[str], margin: float = AMBIGUOUS_M, cell_deg: float = 0.01) -> DataFrame:
+def nearest_unambiguous(points: DataFrame, places: DataFrame, keys: list[str], margin: float = AMBIGUOUS_M) -> DataFrame:
     """(point_id, place_id, distance_m): the nearest place within reach of a point, unless the next is hardly farther.
 
     ``points``: keys, point_id, lat, lon, radius_m; ``places``: keys, place_id,
     place_lat, place_lon, place_radius_m. Reach is the sum of the radii, 50 m at
-    least. Latitude cells, widened by the reach of both, are the join key.
+    least. Both go to the cells that their part of the reach touches, see
+    :mod:`chronofold.operators.spatial`.
     """
-    per_m = 1 / 111_000 / cell_deg
-    cell = lambda lat: F.floor(F.col(lat) / cell_deg).cast("bigint")
-    spread = F.ceil(F.greatest(F.coalesce("place_radius_m", F.lit(0.0)), F.lit(float(STAY_BUFFER_M))) * per_m).cast("bigint")
-    b = places.withColumn("cell", F.explode(F.sequence(cell("place_lat") - spread, cell("place_lat") + spread)))
-    own = F.ceil(F.coalesce("radius_m", F.lit(0.0)) * per_m).cast("bigint")
-    a = points.withColumn("cell", F.explode(F.sequence(cell("lat") - own, cell("lat") + own)))
-    met = a.join(b, [*keys, "cell"]).withColumn("distance_m", haversine_m("lat", "lon", "place_lat", "place_lon"))
-    reach = F.greatest(F.lit(float(STAY_BUFFER_M)), F.coalesce("radius_m", F.lit(0.0)) + F.coalesce("place_radius_m", F.lit(0.0)))
+    least = F.lit(float(STAY_BUFFER_M))
+    own, theirs = F.coalesce("radius_m", F.lit(0.0)), F.greatest(F.coalesce("place_radius_m", F.lit(0.0)), least)
+    levels = spatial.levels_of((points, own), (places, theirs))
+    a = spatial.in_cells(points, levels, "lat", "lon", own).withColumnRenamed("_own", "_own_a")
+    b = spatial.in_cells(places, levels, "place_lat", "place_lon", theirs).withColumnRenamed("_own", "_own_b")
+    met = a.join(b, [*keys, "_level", "_band", "_part"]).where(F.col("_level") == F.greatest("_own_a", "_own_b")).withColumn("distance_m", haversine_m("lat", "lon", "place_lat", "place_lon"))
+    reach = F.greatest(least, F.coalesce("radius_m", F.lit(0.0)) + F.coalesce("place_radius_m", F.lit(0.0)))
     near = met.where(F.col("distance_m") <= reach).select(*keys, "point_id", "place_id", "distance_m").dropDuplicates([*keys, "point_id", "place_id"])
     w = W.partitionBy(*keys, "point_id").orderBy("distance_m", "place_id")
     ranked = near.withColumn("_r", F.row_number().over(w)).withColumn("_next", F.lead("distance_m").over(w))
     return ranked.where((F.col("_r") == 1) & (F.col("_next").isNull() | (F.col("_next") - F.col("distance_m") >= margin))).drop("_r", "_next")
 
 
-def within_box(df: DataFrame, lat: str, lon: str, south: float, west: float, north: float, east: float) -> DataFrame:
-    """Rows in a box; the four comparisons reach the statistics of Parquet files."""
-    return df.where(F.col(lat).between(south, north) & F.col(lon).between(west, east))
+within_box = spatial.within_box
 
 
 def bounds(df: DataFrame, keys: list[str], lat: str, lon: str) -> DataFrame:

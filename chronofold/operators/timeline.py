@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -329,7 +329,12 @@ def integrity(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
 
 
+def is_sound() -> Column:
+    """Whether the counters of :func:`integrity` are those of a sound timeline."""
+    bad = F.col("n_duplicate_starts") + F.col("n_overlaps") + F.col("n_adjacent_same_kind") + F.col("n_open_not_last") + F.col("n_non_positive") + F.greatest(F.col("n_open") - 1, F.lit(0))
+    return bad == 0
+
+
 def checked(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The counters, with an error where an invariant is broken."""
-    bad = F.col("n_duplicate_starts") + F.col("n_overlaps") + F.col("n_adjacent_same_kind") + F.col("n_open_not_last") + F.col("n_non_positive") + F.greatest(F.col("n_open") - 1, F.lit(0))
-    return integrity(events, keys).withColumn("sound", F.when(bad == 0, F.lit(True)).otherwise(F.raise_error(F.lit("the timeline is not sound")).cast("boolean")))
+    return integrity(events, keys).withColumn("sound", F.when(is_sound(), F.lit(True)).otherwise(F.raise_error(F.lit("the timeline is not sound")).cast("boolean")))
