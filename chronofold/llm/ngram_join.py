@@ -16,7 +16,8 @@ count; a shingle with a few times 1 / BUCKETS of all occurrences does. Shingles
 of one class follow the order's own hash. Whatever the counts, an order is the
 same for all documents, and so exact; better counts only make better filters.
 
-Documents with the same set are a class, and one of each takes part. Long lists
+Documents with the same set are a class, and one of each takes part. Lists of up
+to SHORT members yield the pairs of sizes that allow the similarity. Longer ones
 are not expanded: members are linked to their list's smallest, and members that
 are still in several components are compared on full sets by ranges of what
 each place of a prefix allows, see :func:`near_dedup.open_pairs`.
@@ -34,10 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.llm.common import discard, lean, stored, table, with_own
-from chronofold.llm.near_dedup import SHORT, components, open_members, open_pairs, sets_of, shingle_hashes, verified
+from chronofold.llm.near_dedup import components, open_pairs, sets_of, shingle_hashes, verified
 
 ORDERS = 3
 BUCKET_BITS = 23
+#: Lists up to this length yield their pairs, a bounded number for each member.
+SHORT = 64
 #: Blocks of the table that are added up apart.
 BLOCKS = 64
 #: Classes of frequency for each doubling of a count.
@@ -168,10 +171,18 @@ def candidates(lists: DataFrame, percent: int) -> DataFrame:
     star = star.where((F.col("hub") < F.col("doc_id")) & fits(F.col("hub_n"), F.col("n"))).select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
     short = lists.where(f"f <= {SHORT}").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("doc_id", "n"))).alias("m"))
     one = short.select("m", F.posexplode("m").alias("at", "x"))
-    both = one.select("x", F.explode(F.slice("m", F.col("at") + 2, SHORT)).alias("y")).where((F.col("x.doc_id") < F.col("y.doc_id")) & fits(F.col("x.n"), F.col("y.n")))
+    after = F.filter(F.slice("m", F.col("at") + 2, SHORT), lambda y: (y["doc_id"] > F.col("x.doc_id")) & fits(F.col("x.n"), y["n"]))
+    both = one.select("x", F.explode(after).alias("y"))
     return star.unionByName(both.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))).distinct()
 
 
+def open_members(lists: DataFrame, label: DataFrame) -> DataFrame:
+    """(doc_id, label) of the members of long lists with several components."""
+    long = lists.where(f"f > {SHORT}").join(label, "doc_id", "left").select("v", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    several = stored(long.groupBy("v").agg(F.count("*").alias("f"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("v", "f"))
+    return with_own(long, several, ["v"], "f").select("doc_id", "label").distinct()
+
+
 def agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs (a, b) whose prefixes meet under each of the other orders."""
     others = [f"p{k}" for k in range(1, ORDERS)]
