@@ -1,9 +1,9 @@
 """How the sources of a language differ in their terms, from mergeable radix tries.
 
-A task counts the terms of its documents into one radix trie of bytes for each
-language. A leaf has a counter for each source and the number of documents; the
-root's leaf counts the documents themselves, so that sources without terms are
-known too. Tries are passed on once they hold LEAVES counters, so that a task's
+A task counts the terms of its documents, UNIT_BYTES of text at a time, and
+puts them into one radix trie of bytes for each language. A leaf has a counter
+for each source and the number of documents; the root's leaf counts the
+documents themselves, so that sources without terms are known too. A task's
 memory doesn't depend on what it reads.
 
 A trie is traversed in the order of its bytes, which for UTF-8 is that of code
@@ -19,7 +19,7 @@ candidates of each source: of equal ones the first in the traversal.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +35,8 @@ from chronofold.llm.common import bounded, discard, lean, stored, table
 SCALE_DIGITS = 3  # of base 1000: shares are in units of 1 / 1,000,000,000
 MIN_DOCS = 3
 TOP = 200
-#: Counters that a task holds before it passes its tries on.
-LEAVES = 1_000_000
+#: Bytes of texts that a task counts at a time.
+UNIT_BYTES = 32 << 20
 #: Counters of a stretch.
 STRETCH = 200_000
 #: Sources whose pairs with all others one task adds up.
@@ -45,8 +45,6 @@ BLOCK = 256
 CELLS = 1 << 20
 #: Leaves that a task of the merge gets, more or less.
 TASK_LEAVES = 500_000
-#: Bytes of a text that are taken as words at a time.
-SLICE = 4 << 20
 _SPACED = bytes(32 if c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
 LEAF = "lang string, term binary, sources array<string>, counts array<long>, docs long"
@@ -54,25 +52,23 @@ OUT = "lang string, source string, part string, item string, value long"
 
 
 class Node:
-    __slots__ = ("children", "counts", "docs", "label")
+    __slots__ = ("children", "label", "value")
 
     def __init__(self, label: bytes) -> None:
         self.label = label
         self.children: dict[int, Node] | None = None
-        self.counts: dict[str, int] | None = None
-        self.docs = 0
+        self.value: int | None = None
 
 
 class Trie:
-    """A radix trie of byte strings with a counter for each source at each leaf."""
+    """A radix trie of byte strings; a leaf's value is the number of its counters."""
 
     def __init__(self) -> None:
         self.root = Node(b"")
 
-    def leaf(self, term: bytes) -> Node:
-        """The node of a term, made if it isn't there."""
-        node, at = self.root, 0
-        while at < len(term):
+    def put(self, term: bytes, value: int) -> None:
+        node, at, n = self.root, 0, len(term)
+        while at < n:
             if node.children is None:
                 node.children = {}
             child = node.children.get(term[at])
@@ -81,119 +77,108 @@ class Trie:
             elif not term.startswith(child.label, at):
                 label = child.label
                 same = 1
-                while same < len(label) and at + same < len(term) and label[same] == term[at + same]:
+                while same < len(label) and at + same < n and label[same] == term[at + same]:
                     same += 1
                 split = Node(label[:same])
                 child.label = label[same:]
                 split.children = {label[same]: child}
                 node.children[term[at]] = child = split
             node, at = child, at + len(child.label)
-        if node.counts is None:
-            node.counts = {}
-        return node
-
-    def add(self, term: bytes, counts: dict[str, int], docs: int) -> None:
-        node = self.leaf(term)
-        node.docs += docs
-        for source, n in counts.items():
-            node.counts[source] = node.counts.get(source, 0) + n
-
-    def merge(self, other: Trie) -> None:
-        for term, node in other.walk():
-            self.add(term, node.counts, node.docs)
-
-    def walk(self) -> Iterator[tuple[bytes, Node]]:
-        """The terms in the order of their bytes, with their leaves."""
+        node.value = value
+
+    def walk(self) -> Iterator[int]:
+        """The values of the leaves in the order of the bytes of their terms."""
+        stack = [self.root]
+        while stack:
+            node = stack.pop()
+            if node.value is not None:
+                yield node.value
+            if node.children:
+                stack.extend([node.children[b] for b in sorted(node.children, reverse=True)])
+
+    def terms(self) -> Iterator[tuple[bytes, int]]:
+        """The terms in the order of their bytes, with their values."""
         stack = [(b"", self.root)]
         while stack:
             before, node = stack.pop()
             term = before + node.label
-            if node.counts is not None:
-                yield term, node
+            if node.value is not None:
+                yield term, node.value
             if node.children:
                 stack.extend((term, node.children[b]) for b in sorted(node.children, reverse=True))
 
 
-class Tally:
-    """Counts of the documents that a task has read, as tries of languages when it passes them on."""
-
-    def __init__(self) -> None:
-        self.empty()
-
-    def empty(self) -> None:
-        self.counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
-        self.docs: dict[str, Counter] = defaultdict(Counter)
-        self.rows: Counter = Counter()
-        self.size = 0
-
-    def add(self, lang: str, source: str, body: bytes) -> None:
-        counts, terms, at = self.counts[lang, source], set(), 0
-        before = len(counts)
-        while at < len(body):
-            piece = body[at : at + SLICE].translate(_SPACED)
-            end = len(piece) if at + SLICE >= len(body) else piece.rfind(b" ") + 1
-            if not end:  # a term of more than SLICE bytes
-                piece = body[at:].translate(_SPACED)
-                end = piece.find(b" ") + 1 or len(piece)
-            words = piece[:end].split()
-            counts.update(words)
-            terms.update(words)
-            at += end
-        self.docs[lang].update(terms)
-        self.rows[lang, source] += 1
-        self.size += len(counts) - before
-
-    def tries(self) -> Iterator[tuple[str, Trie]]:
-        """Each language with its trie; the root's leaf counts documents."""
-        for lang, docs in self.docs.items():
-            trie = Trie()
-            leaves = {}
-            for (of, source), counts in self.counts.items():
-                if of == lang:
-                    trie.leaf(b"").counts[source] = self.rows[of, source]
-                    for term, n in counts.items():
-                        node = leaves.get(term)
-                        if node is None:
-                            node = leaves[term] = trie.leaf(term)
-                            node.docs = docs[term]
-                        node.counts[source] = n
-            yield lang, trie
-        self.empty()
-
-
-def leaf_batches(tries: Iterator[tuple[str, Trie]], size: int = 20_000) -> Iterator[pa.RecordBatch]:
-    for lang, trie in tries:
-        terms, docs, sources, counts, ends = [], [], [], [], [0]
-
-        def batch(lang=lang):
-            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (pa.array(sources, pa.string()), pa.array(counts, pa.int64()))]
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(terms), pa.string()), pa.array(terms, pa.binary()), *lists, pa.array(docs, pa.int64())], ["lang", "term", "sources", "counts", "docs"])
-
-        for term, node in trie.walk():
-            terms.append(term)
-            docs.append(node.docs)
-            sources.extend(node.counts)
-            counts.extend(node.counts.values())
-            ends.append(len(counts))
-            if len(terms) >= size:
-                yield batch()
-                terms, docs, sources, counts, ends = [], [], [], [], [0]
-        if terms:
-            yield batch()
+def words_of(texts: pa.StringArray) -> tuple[np.ndarray, pa.StringArray]:
+    """The text's number and the word, A-Z lower-cased, of each word of some texts without nulls."""
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    body = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+    spaced = np.take(np.frombuffer(_SPACED, np.uint8), body)
+    lists = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(texts), pa.py_buffer((ends - ends[0]).astype(np.int32)), pa.py_buffer(spaced)))
+    flat = lists.flatten()
+    full = pc.greater(pc.binary_length(flat), 0)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int64), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    return owner[full.to_numpy(zero_copy_only=False)], flat.filter(full)
+
+
+def unit_leaves(rows: pa.Table, size: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """(lang, source, text) rows as the leaves of one trie for each language, in its traversal."""
+    lang, source = (rows[c].combine_chunks().dictionary_encode() for c in ("lang", "source"))
+    of_lang, of_source = (x.indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in (lang, source))
+    n_sources = len(source.dictionary)
+    parts = [words_of(chunk) for chunk in rows["text"].chunks]
+    starts = np.cumsum([0, *(len(chunk) for chunk in rows["text"].chunks)])
+    owner = np.concatenate([o + s for (o, _), s in zip(parts, starts)])
+    words = pa.chunked_array([w for _, w in parts], pa.string()).combine_chunks().dictionary_encode()
+    words = words if isinstance(words, pa.DictionaryArray) else words.combine_chunks()
+    code, m = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(words.dictionary))
+    cells, counts = np.unique((of_lang[owner] * m + code) * n_sources + of_source[owner], return_counts=True)
+    pairs = np.sort(owner * m + code)
+    doc, term = np.divmod(pairs[np.diff(pairs, prepend=-1) != 0], m)
+    leaf, docs = np.unique(of_lang[doc] * m + term, return_counts=True)
+    ends = np.searchsorted(cells // n_sources, np.arange(len(leaf) + 1) if not len(leaf) else np.append(leaf, leaf[-1] + 1))
+    known, seen = np.unique(of_lang * n_sources + of_source, return_counts=True)
+    terms = words.dictionary.cast(pa.binary())
+    for k, name in enumerate(lang.dictionary.to_pylist()):
+        own = known // n_sources == k
+        yield _leaf_batch(name, pa.array([b""], pa.binary()), [0, int(own.sum())], source.dictionary.take(pa.array(known[own] % n_sources)), seen[own], [0])
+        lo, hi = np.searchsorted(leaf, [k * m, (k + 1) * m])
+        trie, held = Trie(), terms.take(pa.array(leaf[lo:hi] - k * m))
+        for value, t in enumerate(held.to_pylist()):
+            trie.put(t, value)
+        order = np.fromiter(trie.walk(), np.int64, hi - lo)
+        for at in range(0, hi - lo, size):
+            some = order[at : at + size]
+            begin, end = ends[lo + some], ends[lo + some + 1]
+            length = end - begin
+            upto = np.concatenate([[0], np.cumsum(length)])
+            cell = np.arange(upto[-1]) + np.repeat(begin - upto[:-1], length)
+            yield _leaf_batch(name, held.take(pa.array(some)), upto, source.dictionary.take(pa.array(cells[cell] % n_sources)), counts[cell], docs[lo + some])
+
+
+def _leaf_batch(lang: str, terms: pa.Array, ends, sources: pa.Array, counts, docs) -> pa.RecordBatch:
+    lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (sources, pa.array(counts, pa.int64()))]
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(terms), pa.string()), terms, *lists, pa.array(docs, pa.int64())], ["lang", "term", "sources", "counts", "docs"])
 
 
 @lean
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, text) as the leaves of tries."""
-    tally = Tally()
-    for batch in batches:
-        for at in range(0, len(batch), 500):
-            part = batch.slice(at, 500)
-            for lang, source, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()), strict=True):
-                tally.add(lang, source, body.as_py())
-                if tally.size > LEAVES:
-                    yield from leaf_batches(tally.tries())
-    yield from leaf_batches(tally.tries())
+    gc.disable()  # tries have no cycles
+    try:
+        held, size = [], 0
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                held.append(part)
+                size += pc.sum(pc.binary_length(part.column(2))).as_py()
+                if size > UNIT_BYTES:
+                    yield from unit_leaves(pa.Table.from_batches(held))
+                    held, size = [], 0
+        if held:
+            yield from unit_leaves(pa.Table.from_batches(held))
+    finally:
+        gc.enable()
 
 
 def merged_rows(rows: pa.Table) -> pa.Table:
