@@ -5,9 +5,10 @@ similar sets can't both do without: of n shingles n - need + 1, where need is
 the least overlap that the threshold asks for. That holds under any order, so
 similar sets have a shingle in common in their prefixes under each of them. The
 first order gives candidates by inverted lists; those whose prefixes under the
-other orders have nothing in common are dropped; the rest are verified on full
-sets. Chance that brings two prefixes together under one order is independent of
-chance under the next.
+other orders have too little in common are dropped; the rest are verified on
+full sets. Chance that brings two prefixes together under one order is
+independent of chance under the next. The prefixes of the other orders are
+EXTENT times as long, and the longer a prefix, the more of it similar sets share.
 
 Each order goes from rare shingles to frequent ones. How frequent a shingle is
 comes from a table of counters whose size doesn't depend on the corpus: those of
@@ -31,13 +32,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import discard, lean, stored, table, with_own
+from chronofold.llm.common import discard, kept, lean, stored, table, with_own
 from chronofold.llm.near_dedup import components, open_pairs, sets_of, shingle_hashes, verified
 
 ORDERS = 3
+#: How many times as long the prefixes under the orders that filter are.
+EXTENT = 2
 BUCKET_BITS = 23
 #: Lists up to this length yield their pairs, a bounded number for each member.
 SHORT = 64
@@ -84,17 +87,15 @@ def frequency_classes(docs: DataFrame, text: str, width: int) -> np.ndarray:
         small = np.minimum(counts, 255).astype(np.uint8)  # in one task
         yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([pack(p.tobytes()) for p in small.reshape(BLOCKS, -1)], pa.binary())], ["block", "counts"])
 
-    def opened(row: tuple) -> tuple[int, np.ndarray]:
-        return row[0], np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row[1])), np.uint8)
+    def wide(x: bytes | np.ndarray) -> np.ndarray:
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).astype(np.int64) if isinstance(x, bytes) else x
 
-    def wide(x: np.ndarray) -> np.ndarray:
-        return x.astype(np.int64)
-
-    def classed(counts: np.ndarray) -> tuple[int, bytes]:
+    def classed(packed: bytes | np.ndarray) -> tuple[int, bytes]:
+        counts = wide(packed)
         return int(counts.sum()), np.minimum(255, np.log2(1.0 + counts) * STEPS).astype(np.uint8).tobytes()
 
     made = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "block int, counts binary")
-    merged = made.rdd.map(opened).combineByKey(wide, lambda a, x: a + x, lambda a, x: a + x).mapValues(classed).collectAsMap()
+    merged = made.rdd.map(lambda r: (r[0], bytes(r[1]))).reduceByKey(lambda a, b: wide(a) + wide(b)).mapValues(classed).collectAsMap()
     if not merged:
         return np.zeros(1 << BUCKET_BITS, np.uint8)
     mean = sum(n for n, _ in merged.values()) / (1 << BUCKET_BITS)
@@ -104,9 +105,9 @@ def frequency_classes(docs: DataFrame, text: str, width: int) -> np.ndarray:
 
 
 def prefix(values: np.ndarray, order: int, classes: np.ndarray, percent: int) -> np.ndarray:
-    """The shingles of a set's prefix under an order."""
+    """The shingles of a set's prefix under an order; those of orders that filter are EXTENT times as long."""
     n = len(values)
-    length = n - -(-n * percent // 100) + 1
+    length = (n - -(-n * percent // 100) + 1) * (EXTENT if order else 1)
     if length >= n:
         return values
     key = classes[buckets(values)].astype(np.uint64) << np.uint64(56) | mixed(values, order) >> np.uint64(8)
@@ -183,16 +184,37 @@ def open_members(lists: DataFrame, label: DataFrame) -> DataFrame:
     return with_own(long, several, ["v"], "f").select("doc_id", "label").distinct()
 
 
-def agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose prefixes meet under each of the other orders."""
+def least_common(n_a: Column, n_b: Column, percent: int) -> Column:
+    """How many shingles prefixes of similar sets under one order share at least, by the sizes of the sets.
+
+    Similar sets have an overlap o, and m = n - o shingles of each aren't in the
+    other. A common shingle at rank r of a has at most rank r + m_b in b, so of
+    the first shingles of a all but m_a are in the prefix of b, as far as
+    m_b from its end.
+    """
+    length = lambda n: F.least(n, (n - F.ceil(n * percent / 100) + 1) * EXTENT)
+    o = F.ceil((n_a + n_b) * percent / (100 + percent))
+    m_a, m_b = n_a - o, n_b - o
+    return F.greatest(F.lit(1), F.least(length(n_a), length(n_b) - m_b) - m_a, F.least(length(n_b), length(n_a) - m_a) - m_b)
+
+
+def agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose prefixes share enough under each of the other orders."""
     others = [f"p{k}" for k in range(1, ORDERS)]
-    side = lambda name: reps.select(F.col("doc_id").alias(name), *(F.col(p).alias(f"{name}_{p}") for p in others))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    side = lambda name: reps.select(F.col("doc_id").alias(name), F.col("n_shingles").alias(f"{name}_n"), *(F.col(p).alias(f"{name}_{p}") for p in others))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").withColumn("least", least_common(F.col("a_n"), F.col("b_n"), percent))
+    full = lambda x: F.least(F.col(f"{x}_n"), (F.col(f"{x}_n") - F.ceil(F.col(f"{x}_n") * percent / 100) + 1) * EXTENT)
     for p in others:
-        both = both.where(F.arrays_overlap(f"a_{p}", f"b_{p}"))
+        alike = full("a") - F.size(f"a_{p}") + full("b") - F.size(f"b_{p}")  # shingles of a set that 32 bits don't tell apart
+        both = both.where(F.size(F.array_intersect(f"a_{p}", f"b_{p}")) >= F.col("least") - alike)
     return both.select("a", "b")
 
 
+def dealt_by_id(rows: DataFrame) -> DataFrame:
+    """Rows held by their doc_id: joins on it deal the other side alone."""
+    return kept(rows.repartition("doc_id"))
+
+
 def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id.
 
@@ -214,21 +236,23 @@ def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", w
     named = with_own(rows.where("n_shingles > 0"), stored(classes), ["d1", "d2"], "n_docs", "left").select(*rows.columns, "rep")
     seen = stored(named.unionByName(rows.where("n_shingles = 0").withColumn("rep", F.lit(None).cast("long"))))
     owners = seen.where("doc_id = rep").select("doc_id", "d1", "d2").distinct()
-    reps = stored(made.where("p0 is not null").join(owners, ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"]))
-    discard(made)
+    own = owners.groupBy("doc_id").agg(F.collect_list(F.struct("d1", "d2")).alias("own"))
+    whole = made.where("p0 is not null").repartition("doc_id").join(own, "doc_id").where(F.array_contains("own", F.struct("d1", "d2")))
+    reps = kept(whole.drop("own").dropDuplicates(["doc_id", "d1", "d2"]))
     lists = stored(inverted_lists(reps))
     digests = lambda ids: stored(owners.join(ids, "doc_id", "left_semi"))
-    near = stored(agreeing(candidates(lists, percent), reps))
-    full = stored(sets_of(docs, doc_id, text, width, digests(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())))
+    near = stored(agreeing(candidates(lists, percent), reps, percent))
+    full = dealt_by_id(sets_of(docs, doc_id, text, width, digests(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())))
     first = stored(components(verified(near, full, percent)))
     discard(near, full)
     members = stored(open_members(lists, first.select(F.col("node").alias("doc_id"), F.col("component").alias("label"))))
     discard(lists)
     edges = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
     if members.head(1):
-        full = stored(sets_of(docs, doc_id, text, width, digests(members.select("doc_id"))))
-        edges = edges.unionByName(verified(stored(agreeing(open_pairs(members, full, percent), reps)), full, percent))
+        full = dealt_by_id(sets_of(docs, doc_id, text, width, digests(members.select("doc_id"))))
+        edges = edges.unionByName(verified(stored(agreeing(open_pairs(members, full, percent), reps, percent)), full, percent))
     group = stored(components(edges))
+    discard(made, reps)
     found = seen.join(group.withColumnRenamed("node", "rep"), "rep", "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))

@@ -60,9 +60,10 @@ def test_no_rows(spark, no_docs):
     assert nj.ngram_join(no_docs).collect() == []
 
 
-def test_similar_sets_meet_under_each_order_whatever_the_counts(monkeypatch):
+def test_similar_sets_meet_under_each_order_whatever_the_counts(spark, monkeypatch):
     monkeypatch.setattr(nj, "BUCKET_BITS", 12)
     rng = np.random.default_rng(5)
+    shares = []
     for seed in range(300):
         n = int(rng.integers(1, 400))
         x = np.unique(rng.integers(0, 1 << 62, n))
@@ -70,7 +71,11 @@ def test_similar_sets_meet_under_each_order_whatever_the_counts(monkeypatch):
         classes = np.random.default_rng(seed).integers(0, 256, 1 << 12, np.uint8)
         shared = len(np.intersect1d(x, y))
         if len(y) and 100 * shared >= 90 * (len(x) + len(y) - shared):
-            assert all(len(np.intersect1d(nj.prefix(x, k, classes, 90), nj.prefix(y, k, classes, 90))) for k in range(nj.ORDERS))
+            both = [len(np.intersect1d(nj.prefix(x, k, classes, 90), nj.prefix(y, k, classes, 90))) for k in range(nj.ORDERS)]
+            assert both[0] >= 1
+            shares.append((len(x), len(y), min(both[1:])))
+    least = spark.createDataFrame(shares, "a int, b int, n int").withColumn("least", nj.least_common(F.col("a"), F.col("b"), 90))
+    assert least.where("n < least").count() == 0 and least.where("least > 10").count() > 20 and len(shares) > 100
 
 
 def test_orders_drop_what_one_order_lets_pass(spark):
@@ -80,7 +85,7 @@ def test_orders_drop_what_one_order_lets_pass(spark):
     classes = np.zeros(1 << nj.BUCKET_BITS, np.uint8)
     reps = nj.prefixes(docs, "doc_id", "text", 3, 90, classes).cache()
     pairs = nj.candidates(nj.inverted_lists(reps), 90)
-    assert nj.agreeing(pairs, reps).count() < pairs.count()
+    assert nj.agreeing(pairs, reps, 90).count() < pairs.count()
 
 
 def test_counters_put_frequent_shingles_last(spark):
