@@ -81,6 +81,34 @@ def unlinked(observations: DataFrame, known: DataFrame, link: str, prefix: str,
     return loose.where(F.col(link).isNull() | ~F.col(link).startswith(prefix))
 
 
+#: The fields of a sample and its location, with the columns of observations that they come from.
+_SAMPLE = {"sampleId": "sample_id", "timelineItemId": "link", "secondsFromGMT": "tz_offset_s", "movingState": "moving_state"}
+_LOCATION = {"altitude": "altitude_m", "horizontalAccuracy": "h_acc", "verticalAccuracy": "v_acc_m", "speed": "speed_mps", "speedAccuracy": "speed_acc_mps", "course": "course_deg", "courseAccuracy": "course_acc_deg"}
+CONFIRMED_RANK, MOTION_RANK = 3, 2
+
+
+def sample_of(names: dict[str, str], columns: list[str]) -> Column:
+    """The sample that an observation (ts, lat, lon, activity, rank, ...) stands for, as a struct.
+
+    An activity of rank 3 or more was confirmed, one of rank 2 is that of core
+    motion; of a lower rank the sample has its moving state alone. It has a
+    location where there is a latitude and a longitude. ``names`` maps columns
+    of the defaults to those of the rows; what is not among ``columns`` is null.
+    """
+    date = F.date_format(F.timestamp_millis(F.floor(F.col("ts") * 1000)), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+    def own(column: str) -> Column:
+        name = names.get(column, column)
+        return F.col(name) if name in columns else F.lit(None).cast("string" if column in ("sample_id", "link", "moving_state") else "double")
+
+    place = F.struct(date.alias("timestamp"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), *(own(c).alias(field) for field, c in _LOCATION.items()))
+    activity = F.nullif("activity", F.lit(""))
+    return F.struct(
+        date.alias("date"), F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), place).alias("location"), *(own(c).alias(field) for field, c in _SAMPLE.items()),
+        F.when(F.col("rank") >= CONFIRMED_RANK, activity).alias("confirmedType"), F.when((F.col("rank") >= MOTION_RANK) & (F.col("rank") < CONFIRMED_RANK), activity).alias("coreMotionActivityType"),
+    )
+
+
 def components(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, node, component) of (keys, a, b) edges, a and b of any orderable type: the smallest node of the same keys that is reachable.
 

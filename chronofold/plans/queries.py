@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 from chronofold.functions import codec, scalars
 from chronofold.operators import evidence, frames, intervals, pedometer, reconstruct, routes, timeline, windows
 from chronofold.plans import importer, views
+from chronofold.plans.incremental import Timeline
+from chronofold.plans.store import Store
+from chronofold.session import scratch
 from chronofold.sources import archive
+from chronofold.streaming import frames as frame_streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -528,6 +532,16 @@ def stream_totals(spark, sf_dir):
     return frames.stream_totals(_frames(spark, sf_dir), ["history"])
 
 
+@query(ORACLE_SQL["stream_totals"])
+def batched_totals(spark, sf_dir):
+    """As ``stream_totals``, from five batches of frames of any time, one of which comes twice."""
+    every, store = _frames(spark, sf_dir), Store(spark, scratch(spark))
+    for number, part in enumerate((3, 1, 4, 0, 2)):
+        for _ in range(1 + (part == 4)):
+            frame_streams.fold_frames(store, every.where(F.col("id") % 5 == part), number, keys=["history"], buckets=8)
+    return frame_streams.totals(store)
+
+
 def _frames(spark, sf_dir):
     t = track(spark, sf_dir)
     return t.select("history", F.floor(F.col("ts") / 604800).cast("bigint").alias("stream_id"), "id", F.when(F.col("id") % 6 > 0, F.col("ts")).alias("ts_start"), (F.col("ts") + F.col("k") * 60).alias("ts_end"), F.col("lat").alias("bbox_min_lat"), F.col("lon").alias("bbox_min_lon"), (F.col("lat") + 1).alias("bbox_max_lat"), (F.col("lon") + 1).alias("bbox_max_lon"))
@@ -557,6 +571,29 @@ def reconstructed_days(spark, sf_dir):
     return reconstruct.reconstructed(days, seen, ["history"]).select("history", "start_ts", "end_ts", "notes")
 
 
+@query(f"""WITH {E} SELECT 'history=' || history AS history_id, 'export-item' AS kind, 'e' || id AS item, ts AS start_ts FROM e""")
+def history_values(spark, sf_dir):
+    """Events as exported items, written as one JSON text for each history and month and read as archives."""
+    folder = scratch(spark)
+    date = lambda ts: F.date_format(F.timestamp_seconds(ts), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    item = F.struct(F.concat(F.lit("e"), F.col("id").cast("string")).alias("itemId"), F.lit(False).alias("isVisit"), date(F.col("ts")).alias("startDate"), date(F.col("ts") + 60).alias("endDate"))
+    month = F.date_format(F.timestamp_seconds("ts"), "yyyy-MM")
+    texts = observations(spark, sf_dir).groupBy("history", month.alias("month")).agg(F.collect_list(item).alias("timelineItems")).drop("month")
+    texts.repartition("history").write.option("maxRecordsPerFile", 1).partitionBy("history").json(folder)
+    found = archive.read_archives(spark, folder)
+    return found.select("history_id", "kind", F.get_json_object("raw", "$.itemId").alias("item"), scalars.timestamp_s(F.get_json_object("raw", "$.startDate")).alias("start_ts"))
+
+
+@query(f"""WITH {GEO} SELECT history, id, CASE WHEN id % 3 > 0 THEN lat END AS latitude, CASE WHEN k % 4 >= 3 THEN kind END AS confirmed, CASE WHEN k % 4 = 2 THEN kind END AS core_motion, CASE WHEN id % 2 = 0 THEN 'moving' END AS state, strftime(make_timestamp(ts * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') AS date FROM g""")
+def observation_samples(spark, sf_dir):
+    """Observations of ranks 0 to 3 as the samples that they stand for."""
+    t = track(spark, sf_dir)
+    there = lambda c: F.when(F.col("id") % 3 > 0, F.col(c))
+    seen = t.withColumn("lat", there("lat")).withColumn("lon", there("lon")).withColumnRenamed("kind", "activity").withColumn("rank", F.col("k") % 4).withColumn("moving", F.when(F.col("id") % 2 == 0, "moving"))
+    s = evidence.sample_of({"moving_state": "moving"}, seen.columns)
+    return seen.select("history", "id", s.alias("s")).select("history", "id", F.col("s.location.latitude").alias("latitude"), F.col("s.confirmedType").alias("confirmed"), F.col("s.coreMotionActivityType").alias("core_motion"), F.col("s.movingState").alias("state"), F.col("s.date").alias("date"))
+
+
 _FOLDER = "CASE id % 9 WHEN 0 THEN 'Moves\\JSON\\Daily\\Storyline\\' || id || '.json' WHEN 1 THEN 'json/full/storyline.json.gz' WHEN 2 THEN 'a/Export/JSON/monthly/' || id || '.json' WHEN 3 THEN 'json/daily/' || id || '.json' WHEN 4 THEN 'x/TimelineItem/0/' || id || '.json' WHEN 5 THEN 'LocomotionSample/' || id || '.json' WHEN 6 THEN 'b/Place/' || id || '.json' WHEN 7 THEN 'TimelineRangeSummary/1.json' ELSE 'myplace/' || id || '.json' END"
 
 
@@ -620,9 +657,27 @@ i AS (SELECT *, CASE WHEN lag(id) OVER w = id AND lag(b) OVER w = a THEN 0 ELSE
 SELECT CAST(h AS VARCHAR) AS history_id, id, CAST(min(a) AS DOUBLE) AS start_ts, CAST(max(b) AS DOUBLE) AS end_ts FROM n GROUP BY h, id, piece""")
 def sweep_owners(spark, sf_dir):
     """Moves of one source with qualities of their own: each second belongs to the best of those that cover it."""
+    return timeline.sweep(_moves(spark, sf_dir)).select("history_id", "id", "start_ts", "end_ts")
+
+
+def _moves(spark, sf_dir):
     none = lambda t: F.lit(None).cast(t)
-    moves = observations(spark, sf_dir).select(
+    return observations(spark, sf_dir).select(
         F.col("history").cast("string").alias("history_id"), "id", F.lit("move").alias("kind"), F.col("ts").cast("double").alias("start_ts"), (F.col("ts") + 3600 + F.col("k") * 1200).cast("double").alias("end_ts"), (F.col("id") * 7919 % 1_000_003).cast("int").alias("quality"), F.lit(False).alias("manual"), F.lit(0.0).alias("revision"),
         F.lit("arc").alias("source"), none("double").alias("lat"), none("double").alias("lon"), none("double").alias("radius_m"),
     )
-    return timeline.sweep(moves).select("history_id", "id", "start_ts", "end_ts")
+
+
+@query(ORACLE_SQL["sweep_owners"])
+def timeline_changes(spark, sf_dir):
+    """As ``sweep_owners``, by changes: all moves but some, others longer than they are, and some that go; then three sets of changes that put that right."""
+    right = _moves(spark, sf_dir)
+    part = F.col("id") % 5
+    wrong = right.where(part != 0).withColumn("end_ts", F.when(part == 1, F.col("end_ts") + 5000).otherwise(F.col("end_ts")))
+    extra = right.where(part == 2).withColumn("id", -F.col("id") - 1)
+    kept = Timeline(Store(spark, scratch(spark)), 8)
+    kept.start(wrong.unionByName(extra))
+    for change, rows in (("insert", right.where(part == 0)), ("update", right.where(part == 1)), ("delete", extra)):
+        kept.apply(rows.withColumn("_change", F.lit(change)))
+    return kept.read().select("history_id", "id", "start_ts", "end_ts")
+

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -39,6 +40,12 @@ def ship(spark: SparkSession) -> None:
 _shipped: set[str] = set()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below that of the checkpoints, which all executors share."""
+    checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as written to the checkpoint folder: neither its plan nor its lineage goes on into what is made of it."""
     checkpoints(df.sparkSession)

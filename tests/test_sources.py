@@ -162,3 +162,14 @@ def test_functions_in_sql(spark):
     assert all(callable(getattr(chronofold, name)) for name in ("import_history", "import_histories", "write_tables", "read_archives", "scan", "start")) and not hasattr(chronofold, "other")
     r = spark.sql("select import_timestamp('20200101T000000+0100') as t, import_offset('20200101T000000+0100') as o, move_mode('On Foot') as m, encode_route(array(9.0D, 9.1D), array(45.0D, 45.0D)) as c, import_timestamp(null) as n").first()
     assert (r.t, r.o, r.m, bytes(r.c[:4]), r.n) == (1577833200, 3600, "walk", b"CDQB", None)
+
+
+def test_geometry_and_checksums_in_sql(spark):
+    import chronofold
+
+    chronofold.register(spark)
+    r = spark.sql("""select haversine_m(0D, 0D, 0D, 1D) as d, path_length_m(array(0D, 1D, 1D), array(0D, 0D, 1D)) as l, path_length_m(array(1D), array(1D)) as z, path_bounds(array(2D, 1D), array(4D, 5D)) as b, path_bounds(cast(array() as array<double>), cast(array() as array<double>)) as e,
+      crc32_update(crc32_update(4294967295, cast('ab' as binary)), cast('c' as binary)) as c, decode_route(encode_route(array(9.0D, 9.1D), array(45.0D, 45.5D))) as p, decode_route(null) as n""").first()
+    assert r.d == pytest.approx(111_195, abs=1) and r.l == pytest.approx(2 * r.d, abs=1) and r.z == 0 and tuple(r.b) == (4, 1, 5, 2) and r.e is None and r.n is None
+    assert r.c ^ 0xFFFFFFFF == zlib.crc32(b"abc")
+    assert [(round(x.lon, 5), round(x.lat, 5)) for x in r.p] == [(9.0, 45.0), (9.1, 45.5)]
