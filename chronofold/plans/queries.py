@@ -668,6 +668,29 @@ def _moves(spark, sf_dir):
     )
 
 
+@query(f"""WITH {E}, v AS (SELECT history AS h, id, ts // 60 * 60 - CASE WHEN history % 2 = 0 THEN 315360000 ELSE 0 END AS s, 3600 + k * 1200 AS d, id * 7919 % 1000003 AS q, id % 7 = 0 AS manual, id % 2 = 0 AS of_day FROM e), w AS (SELECT *, s + d AS t FROM v),
+b AS (SELECT DISTINCT h, x FROM (SELECT h, s AS x FROM w UNION ALL SELECT h, t FROM w)), g AS (SELECT h, x AS a, lead(x) OVER (PARTITION BY h ORDER BY x) AS b FROM b),
+o AS (SELECT g.h, g.a, g.b, arg_max(w.id, (g.h % 2 = 0 AND w.of_day, w.manual, w.q)) AS id FROM g JOIN w ON w.h = g.h AND w.s <= g.a AND w.t >= g.b GROUP BY 1, 2, 3),
+i AS (SELECT *, CASE WHEN lag(id) OVER w = id AND lag(b) OVER w = a THEN 0 ELSE 1 END AS new FROM o WINDOW w AS (PARTITION BY h ORDER BY a)), n AS (SELECT *, sum(new) OVER (PARTITION BY h ORDER BY a) AS piece FROM i)
+SELECT CAST(h AS VARCHAR) AS history_id, id, CAST(min(a) AS DOUBLE) AS start_ts, CAST(max(b) AS DOUBLE) AS end_ts FROM n GROUP BY h, id, piece""")
+def sweep_dialects(spark, sf_dir):
+    """Moves of both dialects, some manual: before the cut-off that of a day counts, after it the manual one, then the better one."""
+    moves = _moves(spark, sf_dir)
+    shift = F.when(F.col("history_id").cast("bigint") % 2 == 0, 315_360_000).otherwise(0)
+    start = F.floor(F.col("start_ts") / 60) * 60 - shift
+    lasts = F.col("end_ts") - F.col("start_ts")
+    told = moves.withColumn("lasts", lasts).withColumn("start_ts", start.cast("double")).withColumn("end_ts", F.col("start_ts") + F.col("lasts")).drop("lasts")
+    told = told.withColumn("manual", F.col("id") % 7 == 0).withColumn("source", F.when(F.col("id") % 2 == 0, "moves").otherwise("arc"))
+    return timeline.sweep(told).select("history_id", "id", "start_ts", "end_ts")
+
+
+@query(f"""WITH {I}, t AS (SELECT *, CASE WHEN id % 3 > 0 THEN 'stay' ELSE 'move' END AS part FROM i), n AS (SELECT *, lead(part) OVER w AS next, lead(start_ts) OVER w AS s FROM t WINDOW w AS (PARTITION BY history ORDER BY start_ts, id))
+SELECT CAST(history AS VARCHAR) AS history_id, end_ts AS start_ts, s AS end_ts FROM n WHERE part = 'stay' AND next = 'stay' AND s > end_ts""")
+def gaps_between_stays(spark, sf_dir):
+    told = half_hours(spark, sf_dir).select(F.col("history").cast("string").alias("history_id"), "id", F.lit(0).alias("part"), F.when(F.col("id") % 3 > 0, "stay").otherwise("move").alias("kind"), "start_ts", "end_ts")
+    return timeline.filled_gaps(told)
+
+
 @query(ORACLE_SQL["sweep_owners"])
 def timeline_changes(spark, sf_dir):
     """As ``sweep_owners``, by changes: all moves but some, others longer than they are, and some that go; then three sets of changes that put that right."""
