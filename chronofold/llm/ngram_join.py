@@ -247,11 +247,11 @@ def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", w
     discard(near, full)
     members = stored(open_members(lists, first.select(F.col("node").alias("doc_id"), F.col("component").alias("label"))))
     discard(lists)
-    edges = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    group = first
     if members.head(1):
         full = dealt_by_id(sets_of(docs, doc_id, text, width, digests(members.select("doc_id"))))
-        edges = edges.unionByName(verified(stored(agreeing(open_pairs(members, full, percent), reps, percent)), full, percent))
-    group = stored(components(edges))
+        rest = verified(stored(agreeing(open_pairs(members, full, percent), reps, percent)), full, percent)
+        group = stored(components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest)))
     discard(made, reps)
     found = seen.join(group.withColumnRenamed("node", "rep"), "rep", "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))
