@@ -153,7 +153,8 @@ def fingerprints(media: DataFrame, *, key: str = "id", audio: str = "audio") ->
     """(id, prints): the fingerprint of each recording, an array of int.
 
     Null, empty and damaged audio, and audio shorter than a window, has an
-    empty array. Rows are neither merged nor dropped; other columns don't pass.
+    empty array. Rows are neither merged nor dropped; other columns don't pass,
+    whatever their names; an empty table gives no rows.
     A recording is decoded and transformed in blocks, so beside its bytes a
     task holds its chroma frames alone; how many recordings reach it at once
     is bounded in bytes by ``spark.sql.execution.arrow.maxBytesPerBatch``.
@@ -302,7 +303,8 @@ def align(prints: DataFrame, *, most_errors: float = 0.25, least_frames: int = 6
     Null ids have a null component; empty fingerprints link to nothing. Rows
     that repeat an id count once for links, by the smallest of their
     fingerprints, and come out once each. Of equal
-    votes the smallest offset counts, of equal errors the smallest id.
+    votes the smallest offset counts, of equal errors the smallest id. Other
+    columns are ignored, whatever their names; an empty table gives no rows.
     """
     usable = kept(classes(prints, least_frames))
     reps = usable.where("id = rep").select("id", "prints")

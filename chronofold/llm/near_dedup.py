@@ -239,7 +239,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     links. A row with a null doc_id takes no part: its component is null and it
     is kept. doc_id is meant to be unique; rows that repeat it each get the
     group of their own text, and groups with the same smallest id are one.
-    Other columns are ignored. An empty table gives no rows.
+    Other columns are ignored. An empty table gives no rows. Texts of any length
+    are taken whole; a task holds the set of one text.
     """
     sketched = stored(sketches(docs, doc_id, text, width, k))
     classes = sketched.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))

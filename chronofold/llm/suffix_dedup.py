@@ -275,7 +275,7 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     doc_id. Rows that share a doc_id are one document, whatever their texts:
     what only they share doesn't count, and the spans of each text come out,
     those of equal rows once. Other columns are ignored; an empty table has no
-    spans.
+    spans. Texts of any length are taken whole; a task holds the words of one.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
     return _spans(rows, least).drop("mark")
