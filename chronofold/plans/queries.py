@@ -7,6 +7,7 @@ holds the number of steps.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ from chronofold.plans.store import Store
 from chronofold.session import scratch
 from chronofold.sources import archive
 from chronofold.streaming import frames as frame_streams
+from chronofold.streaming import state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -165,6 +167,48 @@ def latest_revision(spark, sf_dir):
     return evidence.latest(observations(spark, sf_dir).select("history", "kind", "id", "value"), ["history"], ["value", "id"]).select("history", "kind", "id")
 
 
+@contextlib.contextmanager
+def _state_partitions(spark, most: int = 8):
+    """At most so many partitions of state for queries that start within."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), most)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _streamed(spark, rows: DataFrame, files: int) -> DataFrame:
+    """Rows as a stream of files, one for each micro-batch."""
+    folder = scratch(spark)
+    rows.repartition(files).write.parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query(ORACLE_SQL["observation_capped_windows"])
+def streamed_windows(spark, sf_dir):
+    """As ``observation_capped_windows``, from a stream with state; a row of another history, long after all, moves the watermark past them."""
+    e = observations(spark, sf_dir).select("history", "ts")
+    last = e.agg(F.lit(-1).cast("bigint").alias("history"), (F.max("ts") + 1_000_000).alias("ts"))
+    rows = e.unionByName(last).select("history", F.timestamp_seconds("ts").alias("ts"))
+    out = scratch(spark)
+    with _state_partitions(spark):
+        found = state.capped_windows(_streamed(spark, rows, 1), ["history"], "ts", "1 hour", 7200, 21_600)
+        found.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("history bigint, start_ts bigint, end_ts double, n bigint").parquet(f"{out}/rows").where("history >= 0")
+
+
+@query(ORACLE_SQL["latest_revision"])
+def streamed_latest(spark, sf_dir):
+    """As ``latest_revision``, from changes of a stream of three batches in buckets of a store."""
+    rows = observations(spark, sf_dir).select("history", "kind", "id", "value")
+    out = scratch(spark)
+    with _state_partitions(spark):
+        state.keep_current(_streamed(spark, rows, 3), ["history"], ["value", "id"], f"{out}/store", f"{out}/state", buckets=8).awaitTermination()
+    return Store(spark, f"{out}/store").read("current").select("history", "kind", "id")
+
+
 @query(f"""WITH {E}, n AS (SELECT history, id, value, CASE WHEN k % 3 = 0 THEN NULL ELSE k END AS a, CASE WHEN kind = 'view' THEN NULL ELSE kind END AS b FROM e)
 SELECT history, arg_max(a, (value, id)) FILTER (a IS NOT NULL) AS a, arg_max(b, (value, id)) FILTER (b IS NOT NULL) AS b FROM n GROUP BY history""")
 def rank_first_non_null(spark, sf_dir):
