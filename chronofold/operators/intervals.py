@@ -2,12 +2,11 @@
 
 Interval joins without another key would compare everything with everything, so
 both sides are dealt to cells of time, which become an equi key. Cells have
-sizes of a base times a power of two. An interval's own level is that of the
+sizes of a base times a power of 64. An interval's own level is that of the
 first size that it fits into, where it touches two cells at most; it goes to
-those and to the one or two of each larger size that occurs. Two intervals meet
-at the larger one's level, in their first common cell. So an interval of
-thousands of years costs a few rows, and shorter ones don't go to levels that
-nothing is in.
+those and to the one or two of each larger size. Two intervals meet at the
+larger one's level, in their first common cell. So any interval costs ten rows
+at most, also one of thousands of years.
 """
 
 from __future__ import annotations
@@ -28,25 +27,18 @@ CLAIM_SLACK_S = 90
 
 #: Levels of cells: the largest has 2**24 times the base, more than 40,000 years for days.
 MOST_LEVEL = 24
+#: Levels from one size of cells to the next.
+STEP = 6
 
 
 def own_level(start: Column, end: Column, size: int = DAY_S) -> Column:
     """The first level whose cells an interval fits into."""
-    return F.least(F.greatest(F.ceil(F.log2(F.greatest((end - start) / F.lit(float(size)), F.lit(1e-12)))), F.lit(0)), F.lit(MOST_LEVEL)).cast("int")
+    return F.least(F.greatest(F.ceil(F.log2(F.greatest((end - start) / F.lit(float(size)), F.lit(1e-12))) / STEP) * STEP, F.lit(0)), F.lit(MOST_LEVEL)).cast("int")
 
 
-def levels_of(*sides: tuple[DataFrame, Column, Column], size: int = DAY_S) -> DataFrame:
-    """The levels that intervals are of: (_level), one row for each, MOST_LEVEL + 1 at most."""
-    every = [df.select(own_level(s, e, size).alias("_level")) for df, s, e in sides]
-    out = every[0]
-    for e in every[1:]:
-        out = out.unionByName(e)
-    return out.where("_level is not null").distinct()
-
-
-def in_cells(df: DataFrame, levels: DataFrame, start: Column, end: Column, size: int = DAY_S, own: str = "_own") -> DataFrame:
-    """Rows with the level ``own`` and their cells (_level, _cell) at each of ``levels`` from their own on; none where an end is null."""
-    leveled = df.withColumn(own, own_level(start, end, size)).join(F.broadcast(levels), F.col("_level") >= F.col(own))
+def in_cells(df: DataFrame, start: Column, end: Column, size: int = DAY_S, own: str = "_own") -> DataFrame:
+    """Rows with the level ``own`` and their cells (_level, _cell) at each level from their own on; none where an end is null."""
+    leveled = df.withColumn(own, own_level(start, end, size)).withColumn("_level", F.explode(F.sequence(F.col(own), F.lit(MOST_LEVEL), F.lit(STEP))))
     return leveled.withColumn("_cell", F.explode(F.sequence(cell_of(start, size), F.greatest(cell_of(start, size), cell_of(end, size)))))
 
 
@@ -56,8 +48,7 @@ def cell_of(ts: Column, size: int = DAY_S) -> Column:
 
 def _met(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[Column, Column], b: tuple[Column, Column], size: int) -> DataFrame:
     """Pairs of rows whose intervals a and b, ends included, have a cell in common, each once."""
-    levels = levels_of((left, *a), (right, *b), size=size)
-    x, y = in_cells(left, levels, *a, size, "_own_a"), in_cells(right, levels, *b, size, "_own_b")
+    x, y = in_cells(left, *a, size, "_own_a"), in_cells(right, *b, size, "_own_b")
     met = x.join(y, [*keys, "_level", "_cell"]).where(F.col("_level") == F.greatest("_own_a", "_own_b"))
     return met.where(F.col("_cell") == cell_of(F.greatest(a[0], b[0]), size)).drop("_level", "_cell", "_own_a", "_own_b")
 
@@ -108,9 +99,8 @@ def claim_matches(left: DataFrame, right: DataFrame, keys: list[str], slack: int
 def points_in(intervals: DataFrame, points: DataFrame, keys: list[str], ts: str, closed: bool = False, size: int = DAY_S) -> DataFrame:
     """Rows of ``points`` joined to the intervals [start_ts, end_ts) that hold them; with ``closed`` the end counts too."""
     held = (F.col("start_ts"), F.col("end_ts"))
-    levels = levels_of((intervals, *held), size=size)
-    a = in_cells(intervals, levels, *held, size).where("_level = _own").drop("_own")
-    b = points.join(F.broadcast(levels), F.col("_level") >= 0).withColumn("_cell", cell_of(F.col(ts), size))
+    a = in_cells(intervals, *held, size).where("_level = _own").drop("_own")
+    b = points.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(MOST_LEVEL), F.lit(STEP)))).withColumn("_cell", cell_of(F.col(ts), size))
     before = F.col(ts) <= F.col("end_ts") if closed else F.col(ts) < F.col("end_ts")
     return a.join(b, [*keys, "_level", "_cell"]).where((F.col(ts) >= F.col("start_ts")) & before).drop("_level", "_cell")
 
@@ -121,8 +111,7 @@ def touching(intervals: DataFrame, others: DataFrame, keys: list[str]) -> DataFr
     b = others.select(*keys, F.col("start_ts").alias("_s"), F.col("end_ts").alias("_e"))
     a = counted.withColumn("_row", F.struct(*intervals.columns))
     mine, theirs = (F.col("start_ts"), F.col("end_ts")), (F.col("_s"), F.col("_e"))
-    levels = levels_of((a, *mine), (b, *theirs))
-    x, y = in_cells(a, levels, *mine, own="_own_a"), in_cells(b, levels, *theirs, own="_own_b")
+    x, y = in_cells(a, *mine, own="_own_a"), in_cells(b, *theirs, own="_own_b")
     met = x.join(y, [*(x[k] == y[k] for k in [*keys, "_level", "_cell"]), x["_level"] == F.greatest("_own_a", "_own_b"), F.col("start_ts") < F.col("_e"), F.col("_s") < F.col("end_ts")], "left_semi")
     once = met.select("_row", "_n").dropDuplicates()
     return once.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")
@@ -153,9 +142,8 @@ def nearest_unambiguous(points: DataFrame, places: DataFrame, keys: list[str], m
     """
     least = F.lit(float(STAY_BUFFER_M))
     own, theirs = F.coalesce("radius_m", F.lit(0.0)), F.greatest(F.coalesce("place_radius_m", F.lit(0.0)), least)
-    levels = spatial.levels_of((points, own), (places, theirs))
-    a = spatial.in_cells(points, levels, "lat", "lon", own).withColumnRenamed("_own", "_own_a")
-    b = spatial.in_cells(places, levels, "place_lat", "place_lon", theirs).withColumnRenamed("_own", "_own_b")
+    a = spatial.in_cells(points, "lat", "lon", own).withColumnRenamed("_own", "_own_a")
+    b = spatial.in_cells(places, "place_lat", "place_lon", theirs).withColumnRenamed("_own", "_own_b")
     met = a.join(b, [*keys, "_level", "_band", "_part"]).where(F.col("_level") == F.greatest("_own_a", "_own_b")).withColumn("distance_m", haversine_m("lat", "lon", "place_lat", "place_lon"))
     reach = F.greatest(least, F.coalesce("radius_m", F.lit(0.0)) + F.coalesce("place_radius_m", F.lit(0.0)))
     near = met.where(F.col("distance_m") <= reach).select(*keys, "point_id", "place_id", "distance_m").dropDuplicates([*keys, "point_id", "place_id"])

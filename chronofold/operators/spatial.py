@@ -3,8 +3,7 @@
 A cell is a band of latitude and a part of it. A band has as many parts as keep
 them about as wide as high, and parts are counted around the globe, so that the
 date line is no edge. Each place goes to the cells that its reach touches, of a
-size that fits the reach and of the larger sizes that occur: a few cells for
-each. Two that are within reach meet in the larger one's size.
+size that fits the reach and of the larger sizes: some cells for each. Two that are within reach meet in the larger one's size.
 """
 
 from __future__ import annotations
@@ -15,7 +14,8 @@ from pyspark.sql import functions as F
 from chronofold.functions.scalars import EARTH_M
 
 BASE_DEG = 0.01
-MOST_LEVEL = 14
+MOST_LEVEL = 15
+STEP = 5
 _SPREAD = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
 
 
@@ -55,12 +55,12 @@ def _least_cos(band: Column, size: Column) -> Column:
 def own_level(reach_m: Column) -> Column:
     """The smallest size of cells that a reach fits into, as a power of two of the base."""
     deg = F.degrees(reach_m / EARTH_M)
-    return F.least(F.greatest(F.ceil(F.log2(F.greatest(deg / BASE_DEG, F.lit(1e-12)))), F.lit(0)), F.lit(MOST_LEVEL)).cast("int")
+    return F.least(F.greatest(F.ceil(F.log2(F.greatest(deg / BASE_DEG, F.lit(1e-12))) / STEP) * STEP, F.lit(0)), F.lit(MOST_LEVEL)).cast("int")
 
 
-def in_cells(df: DataFrame, levels: DataFrame, lat: str, lon: str, reach: Column) -> DataFrame:
-    """Rows with _own, and for each level of ``levels`` (_level) from their own on the cells (_level, _band, _part) that their reach touches."""
-    leveled = df.withColumn("_reach", reach).withColumn("_own", own_level(F.col("_reach"))).join(F.broadcast(levels), F.col("_level") >= F.col("_own"))
+def in_cells(df: DataFrame, lat: str, lon: str, reach: Column) -> DataFrame:
+    """Rows with _own, and for each level from their own on the cells (_level, _band, _part) that their reach touches."""
+    leveled = df.withColumn("_reach", reach).withColumn("_own", own_level(F.col("_reach"))).withColumn("_level", F.explode(F.sequence(F.col("_own"), F.lit(MOST_LEVEL), F.lit(STEP))))
     size = F.lit(BASE_DEG) * F.pow(F.lit(2.0), F.col("_level"))
     deg = F.degrees(F.col("_reach") / EARTH_M) * (1 + 1e-9) + 1e-9
     low, high = (F.floor(F.least(F.greatest(F.col(lat) + d, F.lit(-90.0)), F.lit(90.0)) / size).cast("bigint") for d in (-deg, deg))
@@ -73,12 +73,3 @@ def in_cells(df: DataFrame, levels: DataFrame, lat: str, lon: str, reach: Column
     sized = banded.withColumn("_parts", parts).withColumn("_from", at(F.col(lon) - wide)).withColumn("_to", F.least(at(F.col(lon) + wide), F.col("_from") + F.col("_parts") - 1))
     spread = sized.withColumn("_part", F.explode(F.sequence("_from", "_to"))).withColumn("_part", F.pmod("_part", "_parts"))
     return spread.drop("_reach", "_size", "_parts", "_from", "_to")
-
-
-def levels_of(*reaches: tuple[DataFrame, Column]) -> DataFrame:
-    """The sizes of cells that occur, at most one for each level."""
-    every = [df.select(own_level(reach).alias("_level")) for df, reach in reaches]
-    out = every[0]
-    for e in every[1:]:
-        out = out.unionByName(e)
-    return out.where("_level is not null").distinct()
