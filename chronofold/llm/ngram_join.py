@@ -6,7 +6,7 @@ the least overlap that the threshold asks for. That holds under any order, so
 similar sets have a shingle in common in their prefixes under each of them. The
 first order gives candidates by inverted lists; those whose prefixes under the
 other orders have too little in common are dropped; the rest are verified on
-full sets. Chance that brings two prefixes together under one order is
+full sets. Before prefixes meet, which are long, parities do, see :func:`parity`. Chance that brings two prefixes together under one order is
 independent of chance under the next. The prefixes of the other orders are
 EXTENT times as long, and the longer a prefix, the more of it similar sets share.
 
@@ -114,10 +114,23 @@ def prefix(values: np.ndarray, order: int, classes: np.ndarray, percent: int) ->
     return values[np.argpartition(key, length - 1)[:length]]
 
 
+def parity(values: np.ndarray) -> np.ndarray:
+    """For each of some buckets whether a set has an odd number of shingles there: half a bit a shingle or a bit, 64 at least, in longs.
+
+    Sets differ by as many shingles as their parities do by bits, or more. A set
+    of buckets half as large is the exclusive or of the halves.
+    """
+    bits = 64
+    while bits * 2 < len(values):
+        bits *= 2
+    odd = np.bincount(values >> np.int64(32) & np.int64(bits - 1), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
 def prefixes(docs: DataFrame, doc_id: str, text: str, width: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, two halves of the set's digest, p0: the prefix under the first order, and p1, p2: 32 bits of each shingle of the others.
+    """doc_id, n_shingles, two halves of the set's digest, p0: the prefix under the first order, p1, p2: 32 bits of each shingle of the others, and the set's parity.
 
-    The prefixes are null where the task has seen the same set under a smaller id.
+    The prefixes and the parity are null where the task has seen the same set under a smaller id.
     """
     held = docs.sparkSession.sparkContext.broadcast(classes)
 
@@ -129,6 +142,7 @@ def prefixes(docs: DataFrame, doc_id: str, text: str, width: int, percent: int,
                 part = batch.slice(at, 500)
                 digests, sizes = [], []
                 out: list[list[np.ndarray | None]] = [[] for _ in range(ORDERS)]
+                odd: list[np.ndarray | None] = []
                 for doc, body in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     values = shingle_hashes(body.as_py(), width)
                     digest = xxhash.xxh3_128_digest(values.tobytes())
@@ -140,14 +154,15 @@ def prefixes(docs: DataFrame, doc_id: str, text: str, width: int, percent: int,
                     for k in range(ORDERS):
                         own = None if again else prefix(values, k, held.value, percent)
                         out[k].append(own if k == 0 or again else np.unique((own >> np.int64(31)).astype(np.int32)))
+                    odd.append(None if again else parity(values))
                 halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), *(_lists(x, np.int32 if k else np.int64) for k, x in enumerate(out))],
-                    ["doc_id", "n_shingles", "d1", "d2", *(f"p{k}" for k in range(ORDERS))],
+                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), *(_lists(x, np.int32 if k else np.int64) for k, x in enumerate(out)), _lists(odd, np.int64)],
+                    ["doc_id", "n_shingles", "d1", "d2", *(f"p{k}" for k in range(ORDERS)), "parity"],
                 )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(make, "doc_id long, n_shingles long, d1 long, d2 long, p0 array<long>, p1 array<int>, p2 array<int>")
+    return rows.mapInArrow(make, "doc_id long, n_shingles long, d1 long, d2 long, p0 array<long>, p1 array<int>, p2 array<int>, parity array<long>")
 
 
 def _lists(arrays: list[np.ndarray | None], kind) -> pa.ListArray:
@@ -198,8 +213,20 @@ def least_common(n_a: Column, n_b: Column, percent: int) -> Column:
     return F.greatest(F.lit(1), F.least(length(n_a), length(n_b) - m_b) - m_a, F.least(length(n_b), length(n_a) - m_a) - m_b)
 
 
+def of_like_parity(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose parities differ by no more bits than similar sets of their sizes do by shingles."""
+    side = lambda name: reps.select(F.col("doc_id").alias(name), F.col("n_shingles").alias(f"{name}_n"), F.col("parity").alias(f"{name}_odd"))
+    half = lambda x, other: F.when(F.size(x) > F.size(other), F.zip_with(F.slice(x, 1, F.size(other)), F.slice(x, F.size(other) + 1, F.size(other)), lambda u, v: u.bitwiseXOR(v))).otherwise(F.col(x))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    most = F.col("a_n") + F.col("b_n") - 2 * F.ceil((F.col("a_n") + F.col("b_n")) * percent / (100 + percent))
+    bits = F.zip_with(half("a_odd", "b_odd"), half("b_odd", "a_odd"), lambda u, v: F.bit_count(u.bitwiseXOR(v)))
+    alike = F.greatest(F.size("a_odd"), F.size("b_odd")) <= 2 * F.least(F.size("a_odd"), F.size("b_odd"))
+    return both.where(~alike | (F.aggregate(bits, F.lit(0), lambda n, x: n + F.coalesce(x, F.lit(0))) <= most)).select("a", "b")
+
+
 def agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose prefixes share enough under each of the other orders."""
+    """The pairs (a, b) of like parity whose prefixes share enough under each of the other orders."""
+    pairs = of_like_parity(pairs, reps, percent)
     others = [f"p{k}" for k in range(1, ORDERS)]
     side = lambda name: reps.select(F.col("doc_id").alias(name), F.col("n_shingles").alias(f"{name}_n"), *(F.col(p).alias(f"{name}_{p}") for p in others))
     both = pairs.join(side("b"), "b").join(side("a"), "a").withColumn("least", least_common(F.col("a_n"), F.col("b_n"), percent))

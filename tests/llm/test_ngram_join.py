@@ -88,6 +88,27 @@ def test_orders_drop_what_one_order_lets_pass(spark):
     assert nj.agreeing(pairs, reps, 90).count() < pairs.count()
 
 
+def test_parities_drop_pairs_by_chance_before_their_prefixes_meet(spark):
+    """Sets around powers of two that are similar all stay, also those whose parities have two lengths; of sets with a few shingles in common hardly any does."""
+    rng = np.random.default_rng(8)
+    sets, like, chance = [], [], []
+    for n in [1, 3, 20, 63, 127, 128, 130, 255, 260, 500, 514, 1030, 4000] * 4:
+        x = np.unique(rng.integers(0, 1 << 62, n))
+        y = np.unique(np.concatenate([x[int(n * rng.choice([0, 0.02, 0.05])) :], rng.integers(0, 1 << 62, int(n * rng.choice([0, 0.02, 0.05])))]))
+        z = np.unique(np.concatenate([x[: 1 + n // 20], rng.integers(0, 1 << 62, n - 1 - n // 20)]))
+        shared = len(np.intersect1d(x, y))
+        if 100 * shared >= 90 * (len(x) + len(y) - shared):
+            like.append((len(sets), len(sets) + 1))
+        if n >= 20:
+            chance.append((len(sets), len(sets) + 2))
+        sets += [x, y, z]
+    reps = spark.createDataFrame([(k, len(x), nj.parity(x).tolist()) for k, x in enumerate(sets)], "doc_id long, n_shingles long, parity array<long>").cache()
+    kept = {tuple(r) for r in nj.of_like_parity(spark.createDataFrame(like + chance, "a long, b long"), reps, 90).collect()}
+    lengths = {(len(nj.parity(sets[a])), len(nj.parity(sets[b]))) for a, b in like}
+    assert set(like) <= kept and len(like) > 30 and any(u != v for u, v in lengths)
+    assert len(kept & set(chance)) <= 2 and len(chance) > 40
+
+
 def test_counters_put_frequent_shingles_last(spark):
     line = prose(1, 10)
     docs = spark.createDataFrame([(k, line + " " + prose(k + 10, 30), "en", "s", 0) for k in range(300)], SCHEMA)
