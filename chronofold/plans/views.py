@@ -34,13 +34,26 @@ def timeline_events(stays: DataFrame, moves: DataFrame, gaps: DataFrame) -> Data
     return out.select("kind", "start_ts", "end_ts", "stay_id", "move_id", "gap_id")
 
 
+#: How many tasks rows without a key may go to in a join that keeps them.
+SPREAD = 4096
+
+
+def _with_known(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """A left join by a key that most rows don't have: these are spread by what they are, and not dealt to one task."""
+    apart = F.when(F.col(key).isNull(), F.pmod(F.xxhash64("stay_id", "move_id", "gap_id", "start_ts"), F.lit(SPREAD))).otherwise(F.lit(0))
+    none = F.pmod(F.xxhash64(key), F.lit(1))  # 0, but no literal: with one, rows would be dealt by the key alone
+    return rows.withColumn("_apart", apart).join(known.withColumn("_apart", none), [key, "_apart"], "left").drop("_apart")
+
+
 def enriched_events(events: DataFrame, stays: DataFrame, pois: DataFrame, moves: DataFrame, gaps: DataFrame) -> DataFrame:
     """Events with what their own tables and the places know; the offsets come from whichever row there is."""
     s = stays.select(F.col("id").alias("stay_id"), "poi_id", "centroid_lat", "centroid_lon", "radius_m", F.col("type").alias("stay_type"), F.col("tz_offset_s").alias("_s0"), F.col("end_tz_offset_s").alias("_s1"))
     p = pois.select(F.col("id").alias("poi_id"), F.col("name").alias("poi_name"), "category", "subcategory", F.col("lat").alias("poi_lat"), F.col("lon").alias("poi_lon"))
     m = moves.select(F.col("id").alias("move_id"), "mode", "distance_m", F.col("tz_offset_s").alias("_m0"), F.col("end_tz_offset_s").alias("_m1"))
     g = gaps.select(F.col("id").alias("gap_id"), "reason", "uncertainty", "notes", F.col("tz_offset_s").alias("_g0"), F.col("end_tz_offset_s").alias("_g1"))
-    out = events.join(s, "stay_id", "left").join(p, "poi_id", "left").join(m, "move_id", "left").join(g, "gap_id", "left")
+    out = events
+    for known, key in ((s, "stay_id"), (p, "poi_id"), (m, "move_id"), (g, "gap_id")):
+        out = _with_known(out, known, key)
     offsets = [F.coalesce(*(f"_{x}{k}" for x in "smg")).alias(name) for k, name in ((0, "tz_offset_s"), (1, "end_tz_offset_s"))]
     return out.select("kind", "start_ts", "end_ts", "stay_id", "move_id", "gap_id", "poi_id", "poi_name", "category", "subcategory", "poi_lat", "poi_lon", "centroid_lat", "centroid_lon", "radius_m", "stay_type", "mode", "distance_m", "reason", "uncertainty", "notes", *offsets)
 

@@ -64,3 +64,27 @@ def test_enriched_events(spark):
     pois = spark.createDataFrame([(7, "home", "c", None, 1.0, 2.0)], "id int, name string, category string, subcategory string, lat double, lon double")
     out = views.enriched_events(views.timeline_events(stays, moves, gaps), stays, pois, moves, gaps).orderBy("start_ts").collect()
     assert [(r.kind, r.poi_name, r.mode, r.notes, r.tz_offset_s) for r in out] == [("stay", "home", None, None, 3600), ("move", None, "walk", None, None), ("gap", None, None, "n", 60)]
+
+
+def test_rows_without_a_key_are_not_dealt_to_one_task(spark):
+    from pyspark.sql import functions as F
+
+    from chronofold.plans import views
+
+    none = F.lit(None)
+    own = lambda k, *c: spark.range(k).select("id", F.col("id").alias("start_ts"), (F.col("id") + 1).alias("end_ts"), none.cast("int").alias("tz_offset_s"), none.cast("int").alias("end_tz_offset_s"), *(F.lit(1).alias(x) for x in c))
+    stays, moves, gaps = own(50, "poi_id", "centroid_lat", "centroid_lon", "radius_m", "type"), own(4000, "mode", "distance_m"), own(50, "reason", "uncertainty", "notes")
+    pois = spark.range(3).select("id", *(F.lit(f"p{x}").alias(x) for x in ("name", "category", "subcategory", "lat", "lon")))
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    held = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = views.enriched_events(views.timeline_events(stays, moves, gaps), stays, pois, moves, gaps)
+        rows = out.select("kind", "poi_name", "mode", "reason", F.spark_partition_id().alias("at")).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert len(rows) == 4100
+    assert all((r.poi_name == "pname") == (r.kind == "stay") and (r.mode == 1) == (r.kind == "move") and (r.reason == 1) == (r.kind == "gap") for r in rows)
+    assert max(sum(r.at == at for r in rows) for at in {r.at for r in rows}) < 2500
