@@ -227,11 +227,13 @@ def islands(events: DataFrame) -> DataFrame:
     split = split.withColumn("_part", F.sum("_cut").over(w.rowsBetween(W.unboundedPreceding, 0)))
     of_part = W.partitionBy("history_id", "_part")
     is_gap = F.col("kind") == "gap"
-    facts = split.withColumn("_from", F.min("start_ts").over(of_part)).groupBy("history_id", "_part").agg(F.max(is_gap).alias("_has"), F.max(is_gap & (F.col("start_ts") == F.col("_from"))).alias("_starts"))
-    v = W.partitionBy("history_id").orderBy("_part")
-    joined = F.coalesce(F.lag("_has").over(v), F.lit(False)) & F.col("_starts")
-    numbered = facts.withColumn("_new", (~joined).cast("int")).withColumn("island", F.sum("_new").over(v.rowsBetween(W.unboundedPreceding, 0)))
-    return split.join(numbered.select("history_id", "_part", "island"), ["history_id", "_part"]).drop("_cut", "_part")
+    split = split.withColumn("_has", F.max(is_gap).over(of_part)).withColumn("_from", F.min("start_ts").over(of_part))
+    split = split.withColumn("_starts", F.max(is_gap & (F.col("start_ts") == F.col("_from"))).over(of_part))
+    # At the first row of a part, the row before is of the part before.
+    joined = F.coalesce(F.lag("_has").over(w), F.lit(False)) & F.col("_starts")
+    new = F.when(F.col("_cut") == 1, (~joined).cast("int")).otherwise(0)
+    numbered = split.withColumn("_new", new).withColumn("island", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return numbered.select(*events.columns, "island")
 
 
 COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronofold.operators import intervals, timeline
+from chronofold.operators import timeline
 from chronofold.plans.store import Store, Version, bucket_of
 from chronofold.session import cut
 
@@ -32,24 +32,27 @@ def _usable(events: DataFrame) -> DataFrame:
     return events.where("start_ts is not null and (end_ts is null or end_ts > start_ts)")
 
 
-def _inside(rows: DataFrame, islands: DataFrame) -> DataFrame:
-    """The rows (history_id, start_ts) that begin within one of some islands, which lie apart from each other."""
-    held = islands.select(H, F.col("lo").alias("start_ts"), F.col("hi").alias("end_ts"))
-    named = rows.withColumn("_at", F.col("start_ts")).withColumn("_row", F.struct(*rows.columns)).select(H, "_at", "_row")
-    return intervals.points_in(held, named, [H], "_at", closed=True).select("_row.*")
+def _told(rows: DataFrame, islands: DataFrame) -> DataFrame:
+    """The rows with ``_in``: whether they begin within one of some islands. Both pass one another once, in order of time."""
+    w = W.partitionBy(H).orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, 0)
+    held = islands.select(H, F.col("lo").alias("_at"), F.lit(0).alias("_kind"), "hi")
+    named = rows.select(H, F.col("start_ts").alias("_at"), F.lit(1).alias("_kind"), F.struct(*rows.columns).alias("_row"))
+    met = held.unionByName(named, True).withColumn("_in", F.coalesce(F.col("_at") <= F.max("hi").over(w), F.lit(False)))
+    return met.where("_kind = 1").select("_row.*", "_in")
 
 
 def affected(islands: DataFrame, marks: DataFrame) -> DataFrame:
     """(history_id, lo, hi) of the islands that marks (history_id, start_ts, end_ts) can touch, and of their neighbours."""
+    # A mark touches an island if, of those that begin before a minute past its end, the last end lies after a minute before it.
     near = timeline.NEAR_S
-    a = islands.select(H, "lo", "hi", (F.col("lo") - near).alias("a_start"), (F.col("hi") + near).alias("a_end"))
-    b = marks.select(H, F.col("start_ts").alias("b_start"), F.coalesce("end_ts", F.lit(OPEN_S)).alias("b_end"))
-    hit = intervals.overlap_join(a, b, [H]).select(H, "lo").distinct().withColumn("_hit", F.lit(True))
-    w = W.partitionBy(H).orderBy("lo")
-    flagged = islands.join(hit, [H, "lo"], "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    a = islands.select(H, (F.col("hi") + near).alias("_at"), F.lit(0).alias("_kind"), "lo", "hi")
+    b = marks.select(H, F.col("start_ts").alias("_at"), F.lit(1).alias("_kind"), F.coalesce("end_ts", F.lit(OPEN_S)).alias("_end"))
+    so_far = W.partitionBy(H).orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, 0)
+    hit = F.coalesce(F.max("_end").over(so_far) > F.col("lo") - near, F.lit(False))
     # What lies between two islands touches neither, and yet what merges with it are the islands beside it.
-    points = marks.select(H, F.col("start_ts").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(True).alias("_hit"))
-    beside = flagged.select(H, "lo", "hi", "_hit").unionByName(points).withColumn("_near", F.col("_hit") | F.coalesce(F.lag("_hit").over(w), F.lit(False)) | F.coalesce(F.lead("_hit").over(w), F.lit(False)))
+    flagged = a.unionByName(b, True).withColumn("_hit", hit | (F.col("_kind") == 1)).withColumn("lo", F.coalesce("lo", "_at"))
+    w = W.partitionBy(H).orderBy("lo")
+    beside = flagged.withColumn("_near", F.col("_hit") | F.coalesce(F.lag("_hit").over(w), F.lit(False)) | F.coalesce(F.lead("_hit").over(w), F.lit(False)))
     return beside.where("_near and hi is not null").select(H, "lo", "hi").distinct()
 
 
@@ -87,9 +90,9 @@ class Timeline:
         marks = _usable(before).select(H, "start_ts", "end_ts").unionByName(_usable(later).select(H, "start_ts", "end_ts"))
         old = cut(affected(islands, marks))
         n = old.count()
-        swept_events = cut(_inside(_usable(events.join(ids, [H, "id"], "left_anti")), old).unionByName(_usable(later).select(*events.columns)))
+        swept_events = cut(_told(_usable(events.join(ids, [H, "id"], "left_anti")), old).where("_in").drop("_in").unionByName(_usable(later).select(*events.columns)))
         gone = lambda df: df.join(old.select(H, "lo"), [H, "lo"], "left_anti")
-        outside = rows.join(_inside(rows.select(H, "id", "part", "start_ts"), old).select(H, "id", "part", "start_ts"), [H, "id", "part", "start_ts"], "left_anti")
+        outside = _told(rows, old).where("not _in")
         with Version(self.store, base=base) as version:
             version.put_buckets("events", events.join(ids, [H, "id"], "left_anti").select(*events.columns).unionByName(later), [H], self.buckets, touched)
             version.put_buckets("islands", gone(islands).unionByName(extents(swept_events).select(*islands.columns)), [H], self.buckets, touched)

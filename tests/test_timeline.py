@@ -199,3 +199,49 @@ def test_each_second_belongs_to_the_best_event_that_covers_it(spans_, random):
     for e in t.resolve(events):
         got |= dict.fromkeys(range(int(e.start), int(e.end)), e.id)
     assert got == owner
+
+
+def test_islands_are_numbered_by_one_shuffle(spark):
+    rows = [("h", 1, "stay", 0.0, 100.0), ("h", 2, "gap", 150.0, 200.0), ("h", 3, "gap", 1000.0, 1100.0), ("h", 4, "stay", 1300.0, None), ("h", 5, "move", 9000.0, 9001.0), ("g", 6, "move", 0.0, 10.0), ("g", 7, "stay", 70.0, 80.0), ("g", 8, "gap", 300.0, 310.0)]
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    held = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = t.islands(spark.createDataFrame(rows, "history_id string, id bigint, kind string, start_ts double, end_ts double"))
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        assert {r.id: r.island for r in out.collect()} == {1: 1, 2: 1, 3: 1, 4: 2, 5: 2, 6: 1, 7: 2, 8: 3}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_rows_meet_islands_in_one_pass(spark):
+    """Rows and changes against islands as all pairs say; no row stands in several cells of time."""
+    import random
+
+    from chronofold.plans import incremental
+
+    rng = random.Random(6)
+    islands, at = [], {"a": 0.0, "b": 50.0}
+    for k in range(60):
+        h = "ab"[k % 2]
+        lo = at[h] + rng.choice([60, 61, 500, 90_000])
+        at[h] = lo + rng.choice([1, 30, 4000, 200_000])
+        islands.append((h, lo, at[h]))
+    rows = [("abc"[k % 3], k, rng.choice([lo, hi, hi + 1, lo - 1, rng.uniform(0, hi)])) for k in range(300) for _, lo, hi in [rng.choice(islands)]]
+    held = spark.createDataFrame(islands, "history_id string, lo double, hi double")
+    got = incremental._told(spark.createDataFrame(rows, "history_id string, id int, start_ts double"), held).collect()
+    assert {r.id: r._in for r in got} == {i: any(h == g and lo <= s <= hi for g, lo, hi in islands) for h, i, s in rows} and len(got) == 300
+    for seed in range(6):
+        own = random.Random(seed)
+        marks = [(own.choice("abc"), s, own.choice([None, s + 1, s + 300])) for s in (own.choice([hi + 60, hi + 59, lo - 61, lo, hi + 10]) for _, lo, hi in (own.choice(islands) for _ in range(4)))]
+        touched = {(h, lo) for h, lo, hi in islands for g, s, e in marks if g == h and lo - 60 < (4e11 if e is None else e) and s < hi + 60}
+        want = set()
+        for h in "ab":
+            row = sorted([(lo, True, (h, lo) in touched) for g, lo, hi in islands if g == h] + [(s, False, True) for g, s, _ in marks if g == h])
+            want |= {(h, x[0]) for k, x in enumerate(row) if x[1] and any(y[2] for y in row[max(0, k - 1) : k + 2])}
+        found = {(r.history_id, r.lo) for r in incremental.affected(held, spark.createDataFrame(marks, "history_id string, start_ts double, end_ts double")).collect()}
+        assert touched <= found
+        if not {(g, s) for g, s, _ in marks} & {(g, lo) for g, lo, _ in islands}:
+            assert found == want
