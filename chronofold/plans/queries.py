@@ -622,8 +622,8 @@ def history_values(spark, sf_dir):
     date = lambda ts: F.date_format(F.timestamp_seconds(ts), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     item = F.struct(F.concat(F.lit("e"), F.col("id").cast("string")).alias("itemId"), F.lit(False).alias("isVisit"), date(F.col("ts")).alias("startDate"), date(F.col("ts") + 60).alias("endDate"))
     month = F.date_format(F.timestamp_seconds("ts"), "yyyy-MM")
-    texts = observations(spark, sf_dir).groupBy("history", month.alias("month")).agg(F.collect_list(item).alias("timelineItems")).drop("month")
-    texts.repartition("history").write.option("maxRecordsPerFile", 1).partitionBy("history").json(folder)
+    texts = observations(spark, sf_dir).groupBy("history", month.alias("month")).agg(F.collect_list(item).alias("timelineItems"))
+    archive.write_items(texts.withColumnRenamed("month", "name"), folder)
     found = archive.read_archives(spark, folder)
     return found.select("history_id", "kind", F.get_json_object("raw", "$.itemId").alias("item"), scalars.timestamp_s(F.get_json_object("raw", "$.startDate")).alias("start_ts"))
 

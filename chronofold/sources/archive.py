@@ -210,6 +210,36 @@ def _history_source(spark: SparkSession, root: str, history: str | None, **optio
     return spark.read.format("history").options(**options).load(root)
 
 
+def write_items(texts: DataFrame, folder: str) -> None:
+    """Rows (history, name, timelineItems) as exported JSON texts, a file ``history=<history>/<name>.json`` each.
+
+    Tasks write files themselves, as :mod:`history_source` reads them: one of
+    Spark's own writer takes some twenty milliseconds, which for many small
+    texts is most of the work. Where only Spark can open the file system, it writes.
+    """
+    from chronofold.sources import history_source
+
+    root = qualified(texts.sparkSession, folder)
+    try:
+        where, top = history_source.located(root)
+    except (pa.ArrowException, OSError, ImportError):
+        texts.drop("name").repartition("history").write.option("maxRecordsPerFile", 1).partitionBy("history").json(folder)
+        return
+    where.create_dir(top, recursive=True)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, top = history_source.located(root)
+        for batch in batches:
+            for history, name, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                where.create_dir(f"{top}/history={history}", recursive=True)
+                with where.open_output_stream(f"{top}/history={history}/{name}.json") as f:
+                    f.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], ["n"])
+
+    history = F.coalesce(F.col("history").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    texts.select(history, F.coalesce("name", F.lit("none")), F.to_json(F.struct("timelineItems"))).mapInArrow(put, "n long").agg(F.sum("n")).collect()
+
+
 def read_archives(spark: SparkSession, folder: str, history: str | None = None) -> DataFrame:
     """(history_id, and the columns of VALUES) of the files below a folder.
 

@@ -254,7 +254,7 @@ class HistoryReader(DataSourceReader):
             entries = [e for found in pool.map(lambda x: entries_of(where, *x), self.files()) for e in found]
         total = sum(e.estimate + 1000 for e in entries)
         most = max(1 << 20, min(self.most, -(-total // max(1, self.least))))
-        return [Share(s) for s in shares(entries, most)]
+        return [Share(s) for s in shares(entries, most)] or [Share([])]
 
     def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
         opened = Opened(self.root)

@@ -211,3 +211,18 @@ def test_entries_that_declare_a_wrong_size_or_checksum():
     for args in (([packed], len(body) - 1, zlib.crc32(body), 8), ([packed], len(body) + 1, zlib.crc32(body), 8), ([packed], len(body), 1, 8), ([packed[:-2]], len(body), zlib.crc32(body), 8), ([packed + b"x"], len(body), zlib.crc32(body), 8), ([body], len(body), zlib.crc32(body), 14)):
         with pytest.raises(json_stream.Damaged):
             list(json_stream.inflated(*args))
+
+
+def test_exported_items_are_written_by_their_tasks(spark, tmp_path):
+    """A file for each text and none beside it, read as Spark's own writer leaves them; also from no rows."""
+    item = {"itemId": "é1", "isVisit": False, "startDate": "2024-01-01T00:00:00Z", "endDate": "2024-01-01T00:01:00Z"}
+    kind = "history long, name string, timelineItems array<struct<itemId string, isVisit boolean, startDate string, endDate string>>"
+    rows = [(h, m, [item | {"itemId": f"{h}-{m}-{k}"} for k in range(3)]) for h in (1, 2) for m in ("2024-01", "2024-02")] + [(3, "2024-01", [item])]
+    texts = spark.createDataFrame(rows, kind)
+    archive.write_items(texts, str(tmp_path / "own"))
+    assert sorted(str(p.relative_to(tmp_path / "own")) for p in (tmp_path / "own").rglob("*") if p.is_file()) == ["history=1/2024-01.json", "history=1/2024-02.json", "history=2/2024-01.json", "history=2/2024-02.json", "history=3/2024-01.json"]
+    texts.drop("name").repartition("history").write.option("maxRecordsPerFile", 1).partitionBy("history").json(str(tmp_path / "spark"))
+    told = lambda name: sorted((r.history_id, r.kind, r.raw) for r in archive.read_archives(spark, str(tmp_path / name)).collect())
+    assert told("own") == told("spark") and len(told("own")) == 13
+    archive.write_items(texts.limit(0), str(tmp_path / "none"))
+    assert told("none") == []
