@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
-import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +43,35 @@ def parts(text: str) -> list[str]:
 
 #: White space before a space, in the widest sense: there Arrow's split isn't safe.
 _SPACED_RE2 = r"[\s\x0b\x1c-\x1f\x{85}\x{180e}\p{Z}] "
-#: A word of letters and what may follow it; the pre-tokenizer cuts between the two.
-_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&|)\]\"-]*)")
-#: The characters that stand for bytes in the vocabulary of a byte-level tokenizer, after a latin-1 decoding.
-_BYTES = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
+#: White space in the widest sense.
+_BLANK = "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + "\u180e"
+
+
+def opening(whole) -> np.ndarray | None:
+    """For each id of a tokenizer whether its token begins with a space; None where pieces that begin with one can't be told apart by that."""
+    about = repr(whole.pre_tokenizer)
+    added = whole.get_added_tokens_decoder().values()
+    if not about.startswith("ByteLevel(") or "use_regex=True" not in about or "add_prefix_space=False" not in about or whole.normalizer is not None or any(t.lstrip or t.rstrip or t.single_word or " " in t.content for t in added):
+        return None
+    vocab = whole.get_vocab()
+    out = np.zeros(max(vocab.values()) + 1, bool)
+    out[[i for token, i in vocab.items() if token[0] == "\u0120"]] = True  # this stands for a space
+    return out
+
+
+def strings(texts: pa.Array) -> list[str]:
+    """Texts without nulls as a list; ``to_pylist`` goes through a scalar for each."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
+def gathered(values: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Runs of ``values``, each given by where it begins and how long it is, one after another."""
+    ends = np.cumsum(length)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total + len(values) < 1 << 31 else np.int64
+    at = np.repeat((begin - (ends - length)).astype(kind), length)
+    at += np.arange(total, dtype=kind)
+    return values[at]
 
 
 class Encoder:
@@ -54,115 +79,109 @@ class Encoder:
 
     Texts are cut at safe spaces. Arrow finds the distinct pieces of a batch;
     those alone are encoded, and the ids are gathered from their table. Pieces
-    are kept for later batches, up to ``keep``, then the table is emptied. A
-    piece that is one word, with or without punctuation after it, goes to the
-    tokenizer's model as the pre-tokens it consists of; any other goes through
-    all of the tokenizer.
+    are kept for later batches; where they would be more than ``keep``, or more
+    than 16 times as many characters, those that the batch has not are dropped.
+    New pieces are encoded many in one text, in which each begins with a space
+    and no other token does; where the tokenizer doesn't warrant that, and for
+    pieces with white space at an end, each is a text of its own.
     """
 
     def __init__(self, path: str, keep: int = 400_000) -> None:
         whole = tokenizer(path)
-        encode, model = whole.encode_batch_fast, whole.model
-        about = repr(whole.pre_tokenizer)
-        plain = "use_regex=True" in about and "add_prefix_space=False" in about and whole.normalizer is None
-        pack = [struct.Struct(f"<{n}I").pack for n in range(64)]
-
-        def packed(got: list[int]) -> bytes:
-            return pack[len(got)](*got) if len(got) < 64 else struct.pack(f"<{len(got)}I", *got)
-
-        def ids(piece: str) -> bytes:
-            return packed(encode([piece], add_special_tokens=False)[0].ids)
-
-        def by_model(word: str) -> bytes:
-            piece = "\u0120" + word if word.isascii() else f" {word}".encode().decode("latin-1").translate(_BYTES)
-            return packed([t.id for t in model.tokenize(piece)])
-
-        class Ends(dict):
-            def __missing__(self, end: str) -> bytes:
-                out = ids(end)
-                if len(self) < 10_000:
-                    self[end] = out
-                return out
-
-        ends = Ends({"": b""})
-
-        class Kept(dict):
-            def __missing__(self, part: str) -> bytes:
-                m = _WORD.fullmatch(part) if plain else None
-                out = by_model(m[1]) + ends[m[2]] if m else ids(" " + part)
-                if len(part) <= 64:
-                    if len(self) >= keep:
-                        self.clear()
-                    self[part] = out
-                return out
-
-        self._ids, self._kept, self._keep, self._encode = ids, Kept(), keep, encode
-        self._lengths: dict[str, int] = {}
-
-    def one(self, text: str) -> bytes:
-        """The ids of one text as bytes."""
-        first, *rest = parts(text)
-        return self._ids(first) + b"".join(map(self._kept.__getitem__, rest))
-
-    def _split(self, texts: pa.Array) -> tuple[list[str], np.ndarray, list[str], np.ndarray, dict[int, str]]:
-        """Texts cut at safe spaces by Arrow: the distinct pieces after a space, the codes of all pieces, each text's first piece and where it stands, and the texts that Arrow's split isn't safe for.
-
-        The code of a first piece is the number of distinct pieces and the place of its text; a text that isn't split has an empty one.
+        self._encode, self._opening, self._keep = whole.encode_batch_fast, opening(whole), keep
+        self._row: dict[str, int] = {}
+        self._chars = 0
+        self._ids, self._begin, self._length = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts one after another, and how many each has."""
+        got = [e.ids for e in self._encode(texts, add_special_tokens=False)] if texts else []
+        length = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(itertools.chain.from_iterable(got), "<u4", int(length.sum())), length
+
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`_encoded` of pieces after a space each, none of which has white space at an end."""
+        ids = np.array(self._encode([f" {' '.join(pieces)}"], add_special_tokens=False)[0].ids, "<u4")
+        first = np.flatnonzero(self._opening[ids])
+        if len(first) != len(pieces):
+            return self._encoded([f" {w}" for w in pieces])
+        return ids, np.diff(first, append=len(ids))
+
+    def _rows(self, pieces: list[str]) -> np.ndarray:
+        """Where in the table pieces after a space stand; those it lacks are encoded."""
+        rows = np.fromiter(map(self._row.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+        lacking = np.flatnonzero(rows < 0)
+        if not len(lacking):
+            return rows
+        fresh = dict.fromkeys(map(pieces.__getitem__, lacking.tolist()))
+        chars = sum(map(len, fresh))
+        if len(self._row) + len(fresh) > self._keep or self._chars + chars > 16 * self._keep:
+            own = {pieces[k]: rows[k] for k in np.flatnonzero(rows >= 0).tolist()}
+            at = np.fromiter(own.values(), np.int64, len(own))
+            self._ids, self._length = gathered(self._ids, self._begin[at], self._length[at]), self._length[at]
+            self._row, self._chars = {w: k for k, w in enumerate(own)}, sum(map(len, own))
+        plain, other = [], []
+        for w in fresh:
+            (plain if self._opening is not None and w and w.strip(_BLANK) == w else other).append(w)
+        new = [self._joined(plain[at : at + 1000]) for at in range(0, len(plain), 1000)]
+        new += [self._encoded([f" {w}" for w in other[at : at + 1000]]) for at in range(0, len(other), 1000)]
+        self._row.update(zip(plain + other, range(len(self._row), len(self._row) + len(fresh)), strict=True))
+        self._chars += chars
+        self._ids = np.concatenate([self._ids, *(ids for ids, _ in new)])
+        self._length = np.concatenate([self._length, *(length for _, length in new)])
+        self._begin = np.cumsum(self._length) - self._length
+        return np.fromiter(map(self._row.__getitem__, pieces), np.int64, len(pieces))
+
+    def _split(self, texts: pa.Array) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
+        """Texts (null: empty) cut at safe spaces: the distinct pieces after a space, the first pieces, the codes of all pieces and how many each text has.
+
+        The code of a first piece is the number of distinct pieces and the place of its text.
         """
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = {int(i): texts[i].as_py() for i in np.flatnonzero(pc.match_substring_regex(texts, _SPACED_RE2).to_numpy(zero_copy_only=False))}
-        if odd:
-            mask = np.zeros(len(texts), bool)
-            mask[list(odd)] = True
-            texts = pc.if_else(pa.array(mask), "", texts)
-        lists = pc.split_pattern(texts, " ")
-        words = lists.flatten()
-        starts = np.asarray(lists.offsets, np.int64)
-        starts = starts - starts[0]
+        odd = pc.match_substring_regex(texts, _SPACED_RE2)  # there Arrow's split isn't safe
+        by_hand = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        lists = pc.split_pattern(pc.if_else(odd, "", texts) if len(by_hand) else texts, " ")
+        words, count = lists.flatten(), np.diff(np.asarray(lists.offsets, np.int64))
+        begin = np.cumsum(count) - count
+        if len(by_hand):
+            cut = [parts(texts[int(i)].as_py()) for i in by_hand]
+            count[by_hand] = own = np.fromiter(map(len, cut), np.int64, len(cut))
+            begin[by_hand] = len(words) + np.cumsum(own) - own
+            words = pa.concat_arrays([words, pa.array(itertools.chain.from_iterable(cut), pa.large_string())])
+        firsts = strings(words.take(pa.array(begin)))
         coded = words.dictionary_encode()
-        codes, known = np.array(coded.indices, np.int64), coded.dictionary.to_pylist()
-        firsts = words.take(pa.array(starts[:-1])).to_pylist()
-        codes[starts[:-1]] = len(known) + np.arange(len(texts))  # no space before these
-        return known, codes, firsts, starts, odd
+        codes = gathered(np.array(coded.indices, np.int64), begin, count) if len(by_hand) else np.array(coded.indices, np.int64)
+        leads = np.cumsum(count) - count
+        inner = np.ones(len(codes), bool)
+        inner[leads] = False
+        used = np.zeros(len(coded.dictionary), bool)
+        used[codes[inner]] = True
+        known = strings(coded.dictionary.filter(pa.array(used)))
+        codes = (np.cumsum(used) - 1)[codes]
+        codes[leads] = len(known) + np.arange(len(texts))
+        return known, firsts, codes, count
+
+    def _encode_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of the table and of first pieces, where each piece begins among them, its number of ids, and how many pieces each text has."""
+        known, firsts, codes, count = self._split(texts)
+        rows = self._rows(known)
+        ids, length = self._encoded(firsts)
+        begin = np.concatenate([self._begin[rows], len(self._ids) + np.cumsum(length) - length])
+        length = np.concatenate([self._length[rows], length])
+        return np.concatenate([self._ids, ids]), begin[codes], length[codes], count
 
     def lengths(self, texts: pa.Array) -> np.ndarray:
         """How many ids each text (null: empty) has."""
         if not len(texts):
             return np.zeros(0, np.int64)
-        known, codes, firsts, starts, odd = self._split(texts)
-        spaced = [f" {w}" for w in known]
-        whole = {i: self._cut(t) for i, t in odd.items()}
-        table = self._known_lengths(w for part in (spaced, firsts, *whole.values()) for w in part)
-        length = np.array([*(table[w] for w in spaced), *(sum(table[w] for w in whole[i]) if i in whole else table[w] for i, w in enumerate(firsts))], np.int64)
-        return np.add.reduceat(length[codes], starts[:-1])
-
-    def _cut(self, text: str) -> list[str]:
-        first, *rest = parts(text)
-        return [first, *(f" {w}" for w in rest)]
-
-    def _known_lengths(self, pieces: Iterable[str]) -> dict[str, int]:
-        """The table of lengths with all of these pieces; those it lacks are encoded together."""
-        wanted = set(pieces)
-        if len(self._lengths) > self._keep:
-            self._lengths = {"": 0}
-        fresh = list(wanted.difference(self._lengths))
-        for at in range(0, len(fresh), 10_000):
-            part = fresh[at : at + 10_000]
-            self._lengths.update(zip(part, map(len, self._encode(part, add_special_tokens=False)), strict=True))
-        return self._lengths
+        _, _, length, count = self._encode_pieces(texts)
+        return np.add.reduceat(length, np.cumsum(count) - count)
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (null: empty) one after another, and where each text begins; the last entry is their number."""
-        known, codes, firsts, starts, odd = self._split(texts)
-        odd = {i: self.one(t) for i, t in odd.items()}
-        entries = [*map(self._kept.__getitem__, known), *(odd[i] if i in odd else self._ids(w) if w else b"" for i, w in enumerate(firsts))]
-        length = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
-        begin = np.cumsum(length) - length
-        ids = np.frombuffer(b"".join(entries), "<u4")
-        each = length[codes]
-        ends = np.cumsum(each)
-        at = np.repeat(begin[codes] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)
-        return ids[at], np.concatenate([[0], ends])[starts]
+        ids, begin, length, count = self._encode_pieces(texts)
+        ends = np.concatenate([[0], np.cumsum(length)])
+        return gathered(ids, begin, length), ends[np.concatenate([[0], np.cumsum(count)])]
 
     def batches(self, texts: pa.Array, most: int = 1 << 24) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """:meth:`batch` for runs of texts of about ``most`` bytes, each with the place of its first text."""

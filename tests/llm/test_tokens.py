@@ -33,6 +33,47 @@ def test_pieces_encode_as_whole_texts():
     assert list(token_counts.runs(np.array([3, 3, 9, 1, 1, 1]), 6)) == [(0, 2), (2, 3), (3, 6)]
 
 
+@pytest.mark.parametrize("opening", [True, False])
+def test_tables_that_overflow(opening):
+    rng = random.Random(1)
+    words = ["ab", "Ünï,", "the.\nOn", "\u3000", "\xa0", "\n", "x\n", "\tx", "\u180ex", "x\u180e", "'s", "don't", "<|endoftext|>", "a<|endoftext|>b", "", "q" * 90, "\x00", "\u0120", "日本"]
+    texts = [" ".join(rng.choice(words) + rng.choice(["", "", str(rng.randint(0, 99))]) for _ in range(rng.randint(1, 12))) for _ in range(600)] + [None, "", " ".join(f"{w}{k}" for k in range(300) for w in ("one", "two"))]
+    small = tokens.Encoder(PATH, keep=40)
+    if not opening:
+        small._opening = None
+    for most in (50, 1 << 24):
+        for at, ids, begin in small.batches(pa.array(texts, pa.string()), most):
+            for k in range(len(begin) - 1):
+                assert ids[begin[k] : begin[k + 1]].tolist() == ids_of(texts[at + k]), texts[at + k]
+
+
+class Counted:
+    """A tokenizer that notes the texts it is given."""
+
+    def __init__(self, inner, seen):
+        self.inner, self.seen = inner, seen
+
+    def __getattr__(self, name):
+        got = getattr(self.inner, name)
+        if name == "model":
+            return Counted(got, self.seen)
+        if name not in ("encode_batch_fast", "tokenize"):
+            return got
+        return lambda texts, **options: self.seen.extend([texts] if isinstance(texts, str) else texts) or got(texts, **options)
+
+
+def test_new_words_are_encoded_together_and_once(monkeypatch):
+    seen, real = [], tokens.tokenizer
+    monkeypatch.setattr(tokens, "tokenizer", lambda path: Counted(real(path), seen))
+    small, words = tokens.Encoder(PATH, keep=6000), [f"w{k}x," for k in range(8000)]
+    for own in (words[:5000], words[3000:]):
+        text = " ".join(["first", *own])
+        ids, begin = small.batch(pa.array([text, text]))
+        assert ids[: begin[1]].tolist() == ids[begin[1] :].tolist() == ids_of(text)
+    assert len(seen) < 20
+    assert sum(t.count("x,") for t in seen) == 8000  # a table that is full keeps what the batch has again
+
+
 def test_op2(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     want = {r.doc_id: (len((r.text or "").encode()), len(ids_of(r.text))) for r in rows}
