@@ -41,10 +41,12 @@ def parts(text: str) -> list[str]:
     return _SAFE.split(text) if _SPACED.search(text) else text.split(" ")
 
 
-#: White space before a space, in the widest sense: there Arrow's split isn't safe.
-_SPACED_RE2 = r"[\s\x0b\x1c-\x1f\x{85}\x{180e}\p{Z}] "
 #: White space in the widest sense.
-_BLANK = "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + "\u180e"
+_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{180e}\p{Z}]"
+#: White space before a space: there Arrow's split isn't safe.
+_SPACED_RE2 = f"{_BLANK} "
+#: White space at an end, or nothing at all.
+_EDGED_RE2 = rf"\A{_BLANK}|{_BLANK}\z|\A\z"
 
 
 def opening(whole) -> np.ndarray | None:
@@ -79,8 +81,8 @@ class Encoder:
 
     Texts are cut at safe spaces. Arrow finds the distinct pieces of a batch;
     those alone are encoded, and the ids are gathered from their table. Pieces
-    are kept for later batches; where they would be more than ``keep``, or more
-    than 16 times as many characters, those that the batch has not are dropped.
+    are kept for later batches, as Arrow holds them; where they would be more than
+    ``keep``, or 32 times as many bytes, those that the batch has not are dropped.
     New pieces are encoded many in one text, in which each begins with a space
     and no other token does; where the tokenizer doesn't warrant that, and for
     pieces with white space at an end, each is a text of its own.
@@ -89,8 +91,7 @@ class Encoder:
     def __init__(self, path: str, keep: int = 400_000) -> None:
         whole = tokenizer(path)
         self._encode, self._opening, self._keep = whole.encode_batch_fast, opening(whole), keep
-        self._row: dict[str, int] = {}
-        self._chars = 0
+        self._pieces = pa.array([], pa.large_string())
         self._ids, self._begin, self._length = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -103,36 +104,35 @@ class Encoder:
         """:meth:`_encoded` of pieces after a space each, none of which has white space at an end."""
         ids = np.array(self._encode([f" {' '.join(pieces)}"], add_special_tokens=False)[0].ids, "<u4")
         first = np.flatnonzero(self._opening[ids])
-        if len(first) != len(pieces):
-            return self._encoded([f" {w}" for w in pieces])
-        return ids, np.diff(first, append=len(ids))
-
-    def _rows(self, pieces: list[str]) -> np.ndarray:
-        """Where in the table pieces after a space stand; those it lacks are encoded."""
-        rows = np.fromiter(map(self._row.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
-        lacking = np.flatnonzero(rows < 0)
-        if not len(lacking):
+        return (ids, np.diff(first, append=len(ids))) if len(first) == len(pieces) else self._apart(pieces)
+
+    def _apart(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`_encoded` of pieces after a space each."""
+        return self._encoded([f" {w}" for w in pieces])
+
+    def _rows(self, pieces: pa.Array) -> np.ndarray:
+        """Where in the table distinct pieces after a space stand; those it lacks are encoded."""
+        rows = pc.fill_null(pc.index_in(pieces, value_set=self._pieces), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        held = rows >= 0
+        if held.all():
             return rows
-        fresh = dict.fromkeys(map(pieces.__getitem__, lacking.tolist()))
-        chars = sum(map(len, fresh))
-        if len(self._row) + len(fresh) > self._keep or self._chars + chars > 16 * self._keep:
-            own = {pieces[k]: rows[k] for k in np.flatnonzero(rows >= 0).tolist()}
-            at = np.fromiter(own.values(), np.int64, len(own))
+        fresh = pieces.filter(pa.array(~held))
+        if len(self._pieces) + len(fresh) > self._keep or self._pieces.nbytes + fresh.nbytes > 32 * self._keep:
+            at = rows[held]
             self._ids, self._length = gathered(self._ids, self._begin[at], self._length[at]), self._length[at]
-            self._row, self._chars = {w: k for k, w in enumerate(own)}, sum(map(len, own))
-        plain, other = [], []
-        for w in fresh:
-            (plain if self._opening is not None and w and w.strip(_BLANK) == w else other).append(w)
-        new = [self._joined(plain[at : at + 1000]) for at in range(0, len(plain), 1000)]
-        new += [self._encoded([f" {w}" for w in other[at : at + 1000]]) for at in range(0, len(other), 1000)]
-        self._row.update(zip(plain + other, range(len(self._row), len(self._row) + len(fresh)), strict=True))
-        self._chars += chars
+            self._pieces, rows[held] = self._pieces.take(pa.array(at)), np.arange(len(at))
+        edged = pc.match_substring_regex(fresh, _EDGED_RE2).to_numpy(zero_copy_only=False) | (self._opening is None)
+        order = np.argsort(edged, kind="stable")
+        plain, other = fresh.filter(pa.array(~edged)), fresh.filter(pa.array(edged))
+        new = [encode(strings(own.slice(at, 1000))) for own, encode in ((plain, self._joined), (other, self._apart)) for at in range(0, len(own), 1000)]
+        rows[np.flatnonzero(~held)[order]] = len(self._pieces) + np.arange(len(fresh))
+        self._pieces = pa.concat_arrays([self._pieces, plain, other])
         self._ids = np.concatenate([self._ids, *(ids for ids, _ in new)])
         self._length = np.concatenate([self._length, *(length for _, length in new)])
         self._begin = np.cumsum(self._length) - self._length
-        return np.fromiter(map(self._row.__getitem__, pieces), np.int64, len(pieces))
+        return rows
 
-    def _split(self, texts: pa.Array) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
+    def _split(self, texts: pa.Array) -> tuple[pa.Array, list[str], np.ndarray, np.ndarray]:
         """Texts (null: empty) cut at safe spaces: the distinct pieces after a space, the first pieces, the codes of all pieces and how many each text has.
 
         The code of a first piece is the number of distinct pieces and the place of its text.
@@ -156,7 +156,7 @@ class Encoder:
         inner[leads] = False
         used = np.zeros(len(coded.dictionary), bool)
         used[codes[inner]] = True
-        known = strings(coded.dictionary.filter(pa.array(used)))
+        known = coded.dictionary.filter(pa.array(used))
         codes = (np.cumsum(used) - 1)[codes]
         codes[leads] = len(known) + np.arange(len(texts))
         return known, firsts, codes, count
